@@ -1,11 +1,12 @@
 """Exact removal of long repeated byte strings by suffix arrays.
 
 A window of `length` bytes is repeated if the same bytes also start anywhere else in the corpus. Every window
-contains one anchor: the leftmost smallest hash among its 128-byte grams. Windows with the same anchor are
+contains one anchor: the leftmost smallest hash among its 64-byte grams. Windows with the same anchor are
 neighbours, so a text falls into segments; equal windows lie in segments with the same anchor gram. Then:
 
 1. Equal texts are grouped; each distinct text is read once, with its number of copies.
-2. Segments are counted by content (partial sums before the exchange). One seen twice is covered whole.
+2. Segments whose anchor occurs once in the corpus go no further. The others are counted by content (partial
+   sums before the exchange). One seen twice is covered whole.
 3. Only segments that share an anchor but differ go on, once each. They are dealt to shards by anchor, an
    anchor with more bytes than a shard holds is split over several.
 4. Each shard builds a suffix array (Larsson-Sadakane refinement of unsorted groups) and common prefixes
@@ -27,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import RollingHash, materialize, text_chunks
+from pointloom.llm.common import RollingHash, materialize, mix, release, text_chunks
 
-LENGTH, GRAM = 400, 128
+LENGTH, GRAM = 400, 64
 SHARD_BYTES = 1 << 20  # aimed at
 SPLIT_BYTES = 4 << 20  # an anchor with more is split
 _PLACE = np.uint64((1 << 28) - 1)
@@ -46,15 +47,15 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def segments(batches: Iterator[pa.RecordBatch], length: int = LENGTH, gram: int = GRAM) -> Iterator[pa.RecordBatch]:
-    """Rows (k1, k2, cnt, s, slen, akey, h1, h2): the windows that begin in s..s+slen-length share an anchor."""
-    one, two = RollingHash(11), RollingHash(23)
+    """Rows (k1, k2, cnt, s, slen, akey, h): the windows that begin in s..s+slen-length share an anchor."""
+    one = RollingHash(11)
     for rows, raw in text_chunks(batches):
         lens = np.fromiter(map(len, raw), np.int64, len(raw))
         ends = np.cumsum(lens)
         buf = np.frombuffer(b"".join(raw), np.uint8)
         if len(buf) < length:
             continue
-        p1, p2 = one.prefix(buf), two.prefix(buf)
+        p1 = one.prefix(buf)
         at = np.arange(len(buf) - gram + 1)
         grams = one.ranges(p1, at, at + gram)
         anchor = (sliding_min((grams & ~_PLACE) | at.astype(np.uint64), length - gram + 1) & _PLACE).astype(np.int64)
@@ -72,12 +73,12 @@ def segments(batches: Iterator[pa.RecordBatch], length: int = LENGTH, gram: int
         d = doc[first]
         pick = pa.array(d)
         yield pa.RecordBatch.from_arrays(
-            [rows.column("k1").take(pick), rows.column("k2").take(pick), rows.column("cnt").take(pick), pa.array((first - (ends - lens)[d]).astype(np.int32)), pa.array((end - first).astype(np.int32)), pa.array(grams[anchor[first]].view(np.int64)), pa.array(one.ranges(p1, first, end).view(np.int64)), pa.array(two.ranges(p2, first, end).view(np.int64))],
-            names=["k1", "k2", "cnt", "s", "slen", "akey", "h1", "h2"],
+            [rows.column("k1").take(pick), rows.column("k2").take(pick), rows.column("cnt").take(pick), pa.array((first - (ends - lens)[d]).astype(np.int32)), pa.array((end - first).astype(np.int32)), pa.array(grams[anchor[first]].view(np.int64)), pa.array(one.ranges(p1, first, end).view(np.int64))],
+            names=["k1", "k2", "cnt", "s", "slen", "akey", "h"],
         )
 
 
-SEGMENTS = "k1 long, k2 long, cnt long, s int, slen int, akey long, h1 long, h2 long"
+SEGMENTS = "k1 long, k2 long, cnt long, s int, slen int, akey long, h long"  # akey and h are 128 bits of a segment's content
 
 
 def suffix_array(buf: np.ndarray, depth: int) -> np.ndarray:
@@ -160,33 +161,36 @@ def _runs(places: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return part[first], places[first] - starts[part[first]], places[last] - starts[part[first]]
 
 
-FOUND = "h1 long, h2 long, lo int, hi int, akey long, shard long, f1 long, f2 long"
+FOUND = "akey long, h long, lo int, hi int, shard long, f1 long, f2 long"
 
 
 def search_shard(group: pa.Table) -> pa.Table:
     """Windows of one shard that repeat in it (f1 null), and of split anchors the others and one of each class with their fingerprints."""
     g = group.to_pydict()
-    parts, h1, h2 = g["bytes"], np.array(g["h1"], np.int64), np.array(g["h2"], np.int64)
+    parts, akey, h = g["bytes"], np.array(g["akey"], np.int64), np.array(g["h"], np.int64)
     starts = np.concatenate([[0], np.cumsum([len(x) for x in parts])])[:-1]
     place, kind, size = shard_windows(parts)
     part, lo, hi = _runs(place[size > 1], starts)
-    cols = [h1[part], h2[part], lo, hi, np.zeros(len(part), np.int64), np.zeros(len(part), np.int64)]
     f1, f2 = np.zeros(len(part), np.uint64), np.zeros(len(part), np.uint64)
+    known = len(part)
     if g["split"][0]:
         one, two = RollingHash(11), RollingHash(23)
         buf = np.frombuffer(b"".join(parts), np.uint8)
         q = np.sort(place)
         o = np.searchsorted(starts, q, "right") - 1
-        cols = [np.concatenate([a, b]) for a, b in zip(cols, (h1[o], h2[o], q - starts[o], q - starts[o], np.array(g["akey"], np.int64)[o], np.full(len(q), g["shard"][0])), strict=True)]
+        part, lo, hi = np.concatenate([part, o]), np.concatenate([lo, q - starts[o]]), np.concatenate([hi, q - starts[o]])
         f1 = np.concatenate([f1, one.ranges(one.prefix(buf), q, q + LENGTH)])
         f2 = np.concatenate([f2, two.ranges(two.prefix(buf), q, q + LENGTH)])
-    known = np.arange(len(f1)) < len(part)
-    return pa.table([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2].astype(np.int32)), pa.array(cols[3].astype(np.int32)), pa.array(cols[4]), pa.array(cols[5]), pa.array(f1.view(np.int64), mask=known), pa.array(f2.view(np.int64), mask=known)], names=["h1", "h2", "lo", "hi", "akey", "shard", "f1", "f2"])
+    own = np.arange(len(part)) < known
+    return pa.table(
+        [pa.array(akey[part]), pa.array(h[part]), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(np.full(len(part), g["shard"][0], np.int64)), pa.array(f1.view(np.int64), mask=own), pa.array(f2.view(np.int64), mask=own)],
+        names=["akey", "h", "lo", "hi", "shard", "f1", "f2"],
+    )
 
 
 def merge_runs(group: pa.Table) -> pa.Table:
     """Of the sorted fingerprints of several shards, the windows found in another shard by binary search."""
-    f = group.column("f1").to_numpy().view(np.uint64) ^ mixed(group.column("f2").to_numpy().view(np.uint64))
+    f = group.column("f1").to_numpy().view(np.uint64) ^ mix(group.column("f2").to_numpy().view(np.uint64))
     shard = group.column("shard").to_numpy()
     found = np.zeros(len(f), bool)
     runs = {k: np.unique(f[shard == k]) for k in np.unique(shard)}
@@ -196,13 +200,7 @@ def merge_runs(group: pa.Table) -> pa.Table:
             if other != k and len(sorted_run):
                 at = np.minimum(np.searchsorted(sorted_run, f[mine]), len(sorted_run) - 1)
                 found[mine] |= sorted_run[at] == f[mine]
-    return group.filter(pa.array(found)).select(["h1", "h2", "lo", "hi"])
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    from pointloom.llm.common import mix
-
-    return mix(x)
+    return group.filter(pa.array(found)).select(["akey", "h", "lo", "hi"])
 
 
 def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,25 +228,29 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", F.octet_length("text").cast("long").alias("n_bytes"), F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(7), "text").alias("k2"))
     long = keyed.where(F.col("n_bytes") >= LENGTH)
     texts = materialize(long.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count("*").alias("cnt")))
-    segs = materialize(texts.mapInArrow(segments, SEGMENTS))
-    kinds = materialize(segs.groupBy("akey", "h1", "h2").agg(F.sum("cnt").alias("c"), F.min(F.struct("k1", "k2", "s", "slen")).alias("at")))
+    every = materialize(texts.mapInArrow(segments, SEGMENTS))
+    anchors = every.groupBy("akey").agg(F.sum("cnt").alias("n")).where("n > 1").select("akey")
+    segs = materialize(every.join(anchors, "akey", "left_semi"))
+    release(every)
+    kinds = materialize(segs.groupBy("akey", "h").agg(F.sum("cnt").alias("c"), F.min(F.struct("k1", "k2", "s", "slen")).alias("at")))
     # one segment of a group of copies stands for all of them
     groups = kinds.groupBy("akey").agg(F.count("*").alias("n"), F.min("c").alias("least"), F.sum(F.col("at.slen").cast("long")).alias("bytes")).where("n > 1 AND least = 1")
     total = groups.agg(F.sum("bytes")).first()[0] or 0
     shards = max(1, int(total // SHARD_BYTES))
-    ways = F.greatest(F.lit(1), F.ceil(F.col("bytes") / F.lit(SPLIT_BYTES / 2)))
-    ways = F.when(F.col("bytes") > SPLIT_BYTES, ways).otherwise(F.lit(1))
+    ways = F.when(F.col("bytes") > SPLIT_BYTES, F.ceil(F.col("bytes") / F.lit(SPLIT_BYTES / 2))).otherwise(F.lit(1))
     open_ = kinds.join(groups.select("akey", ways.cast("long").alias("ways")), "akey").select(
-        "akey", "h1", "h2", "at.*", (F.col("ways") > 1).alias("split"), F.when(F.col("ways") > 1, F.xxhash64("akey", F.pmod("h1", "ways"))).otherwise(F.pmod("akey", F.lit(shards))).alias("shard")
+        "akey", "h", "at.*", (F.col("ways") > 1).alias("split"), F.when(F.col("ways") > 1, F.xxhash64("akey", F.pmod("h", "ways"))).otherwise(F.pmod("akey", F.lit(shards))).alias("shard")
     )
-    wanted = open_.groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "slen", "akey", "h1", "h2", "split", "shard")).alias("w"))
-    parts = wanted.join(texts.select("k1", "k2", "text"), ["k1", "k2"]).select("text", F.explode("w").alias("w")).select("w.shard", "w.split", "w.akey", "w.h1", "w.h2", F.expr("substring(cast(text as binary), w.s + 1, w.slen)").alias("bytes"))
+    wanted = open_.groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "slen", "akey", "h", "split", "shard")).alias("w"))
+    parts = wanted.join(texts.select("k1", "k2", "text"), ["k1", "k2"]).select("text", F.explode("w").alias("w")).select("w.shard", "w.split", "w.akey", "w.h", F.expr("substring(cast(text as binary), w.s + 1, w.slen)").alias("bytes"))
     found = materialize(parts.groupBy("shard", "split").applyInArrow(search_shard, FOUND))
-    merged = found.where("f1 IS NOT NULL").groupBy("akey", F.pmod("f1", F.lit(64)).alias("part")).applyInArrow(merge_runs, "h1 long, h2 long, lo int, hi int")
-    partial = found.where("f1 IS NULL").select("h1", "h2", "lo", "hi").union(merged)
-    twice = kinds.where("c > 1").select("h1", "h2")
-    spans = segs.join(twice, ["h1", "h2"]).select("k1", "k2", F.col("s").alias("lo"), F.expr("s + slen").alias("hi")).union(segs.join(partial, ["h1", "h2"]).select("k1", "k2", F.expr("s + lo").alias("lo"), F.expr(f"s + hi + {LENGTH}").alias("hi")))
-    per_text = spans.groupBy("k1", "k2").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi")).join(texts.select("k1", "k2", "text"), ["k1", "k2"])
-    cut = materialize(per_text.mapInArrow(cut_texts, "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string, spans array<long>"))
+    merged = found.where("f1 IS NOT NULL").groupBy("akey", F.pmod("f1", F.lit(64)).alias("part")).applyInArrow(merge_runs, "akey long, h long, lo int, hi int")
+    partial = found.where("f1 IS NULL").select("akey", "h", "lo", "hi").union(merged)
+    answers = materialize(kinds.where("c > 1").select("akey", "h", F.lit(0).alias("lo"), F.expr(f"at.slen - {LENGTH}").alias("hi")).union(partial))
+    release(kinds, found)
+    spans = materialize(segs.join(answers, ["akey", "h"]).select("k1", "k2", F.expr("s + lo").alias("lo"), F.expr(f"s + hi + {LENGTH}").alias("hi")).groupBy("k1", "k2").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi")))
+    release(segs, answers)
+    cut = materialize(spans.join(texts.select("k1", "k2", "text"), ["k1", "k2"]).mapInArrow(cut_texts, "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string, spans array<long>"))
+    release(texts, spans)
     rest = keyed.select("doc_id", "n_bytes", "k1", "k2", F.sha2(F.col("text").cast("binary"), 256).alias("whole"))
     return rest.join(cut, ["k1", "k2"], "left").select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"), "spans")

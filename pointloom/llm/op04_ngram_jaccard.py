@@ -10,8 +10,9 @@ frequent ones (heavy hitters found over the whole corpus), by hash within each c
 - if many: single frequent tokens.
 Equal sets are one member. Lists of five or more members are not expanded into pairs: each member is verified
 against a centre; what is linked forms a class, and only members of one list in different classes are verified
-in later rounds, the last of which takes every such pair. So no link between classes is lost. Verification
-compares whole sets.
+in later rounds, the last of which takes every such pair. So no link between classes is lost. Pairs are verified
+in two steps: bit maps of a byte for each token give an upper bound of the common tokens, and what passes
+is compared by the whole sets.
 
 Null and empty texts, and texts of blanks: empty set, linked with nothing. Repeated rows fall into one class. A null
 doc_id links like any other, but never names a class that holds an id (a class without ids has a null one). Other columns are ignored.
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import RollingHash, WordBatch, _G, materialize, mix, ngram_hashes, text_chunks
+from pointloom.llm.common import RollingHash, WordBatch, _G, materialize, mix, ngram_hashes, release, text_chunks
 
 SHINGLE, K = 5, 3
 FREQUENT = 64  # documents, from which a token is of the frequent class
@@ -59,6 +60,34 @@ def set_hash(tokens: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)), int(b.view(np.int64))
 
 
+def bit_map(tokens: np.ndarray) -> bytes:
+    """A bit for each token, by its low bits; as many bytes as tokens, rounded up to a power of two (8 at least)."""
+    size = 8 << max(3, (len(tokens) - 1).bit_length())
+    return np.packbits(np.bincount((tokens & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(bool)).tobytes()
+
+
+def at_most(x: bytes, y: bytes, nx: int, ny: int) -> int:
+    """An upper bound of the common tokens of two sets: the larger map is folded to the smaller."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(a) > len(b):
+        a, b, nx, ny = b, a, ny, nx
+    b = np.bitwise_or.reduce(b.reshape(-1, len(a)), axis=0)
+    both = int(np.bitwise_count(a & b).sum())
+    return both + min(nx - int(np.bitwise_count(a).sum()), ny - int(np.bitwise_count(b).sum()))
+
+
+def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose bound allows a link."""
+    for rows in batches:
+        g = [rows.column(c).to_pylist() for c in ("x", "y", "nx", "ny")]
+        keep = []
+        for i, (x, y, nx, ny) in enumerate(zip(*g, strict=True)):
+            most = at_most(x, y, nx, ny)
+            if 100 * most >= 75 * (nx + ny - most):
+                keep.append(i)
+        yield rows.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+
 def heavy(batches: Iterator[pa.RecordBatch], flush: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """(token, cnt) for tokens of three or more different sets among each few million tokens."""
 
@@ -81,14 +110,14 @@ def heavy(batches: Iterator[pa.RecordBatch], flush: int = 4_000_000) -> Iterator
         yield counted(sets)
 
 
-PREFIXES = "id long, n long, s1 long, s2 long, rare array<long>, single array<long>, mode int"
+PREFIXES = "id long, n long, s1 long, s2 long, rare array<long>, single array<long>, mode int, bits binary"
 
 
 def prefixes(frequent_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = frequent_of()
         for rows, raw in text_chunks(batches):
-            cols: list[list] = [[], [], [], [], [], []]
+            cols: list[list] = [[], [], [], [], [], [], []]
             for s in shingle_sets(raw):
                 n = len(s)
                 p = n - (3 * n + 3) // 4 + 1 if n else 0
@@ -106,10 +135,10 @@ def prefixes(frequent_of):
                     if mode == 2:
                         few = common[:f]
                         index = np.concatenate([index, [mix(mix(mix(few[[a]]) + few[b]) + few[c])[0] for a, b, c in combinations(range(f), K)]]).astype(np.uint64)
-                for col, v in zip(cols, (n, *set_hash(s), index.view(np.int64), single.view(np.int64), mode), strict=True):
+                for col, v in zip(cols, (n, *set_hash(s), index.view(np.int64), single.view(np.int64), mode, bit_map(s)), strict=True):
                     col.append(v)
             lists = [pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in c])]).astype(np.int32), np.concatenate([*c, np.empty(0, np.int64)])) for c in cols[3:5]]
-            yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), *lists, pa.array(cols[5], pa.int32())], names=["id", "n", "s1", "s2", "rare", "single", "mode"])
+            yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), *lists, pa.array(cols[5], pa.int32()), pa.array(cols[6], pa.binary())], names=["id", "n", "s1", "s2", "rare", "single", "mode", "bits"])
 
     return run
 
@@ -177,15 +206,21 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def linked(pairs: DataFrame, maps: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets reach the similarity. A centre's members are dealt in parts of about 128."""
-    pairs = materialize(pairs.distinct())
+    near = pairs.distinct().join(maps.toDF("a", "nx", "x"), "a").join(maps.toDF("b", "ny", "y"), "b")
+    pairs = materialize(near.select("a", "b", "nx", "ny", "x", "y").mapInArrow(bounded, "a long, b long"))
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / 128).alias("ways"))
     dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "ways").alias("part"))
     dealt = materialize(dealt)
+    wanted = dealt.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    # one text for each set; a text on the way to its pairs is moved once for each part of a centre
+    texts = texts.join(wanted, "id", "left_semi").dropDuplicates(["id"])
     rows = dealt.union(dealt.select("a", F.col("a").alias("b"), "part").distinct()).join(texts.withColumnRenamed("id", "b"), "b")
     rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("a") != F.col("b"))
-    return materialize(rows.select("a", "part", "b", "text").mapInArrow(verify, "a long, b long"))
+    out = materialize(rows.select("a", "part", "b", "text").mapInArrow(verify, "a long, b long"))
+    release(pairs, dealt)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -212,23 +247,25 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     found = np.sort(np.array([r[0] for r in top.select("token").collect()], np.int64).view(np.uint64))
     shared = spark.sparkContext.broadcast(found)
     members = materialize(texts.mapInArrow(prefixes(lambda: shared.value), PREFIXES))
-    sets = materialize(members.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("single").alias("single"), F.first("mode").alias("mode")))
-    total = sets.agg(F.sum(F.size("rare").cast("long"))).first()[0] or 0
-    lists = materialize(sets.select("rep", "n", "rare").mapInArrow(deal(max(1, int(total // 300_000))), "bucket long, token binary, member binary, n binary").groupBy("bucket").applyInArrow(gather, "list long, a long, b long"))
+    packed = materialize(members.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "rare", "single", "mode", "bits"))))
+    slim = materialize(members.select("id", "n", "s1", "s2"))
+    release(members)
+    members = slim
+    sets = materialize(packed.select("s1", "s2", "rep", "n", "single", "mode"))
+    maps = materialize(packed.select("rep", "n", "bits"))
+    total = packed.agg(F.sum(F.size("rare").cast("long"))).first()[0] or 0
+    lists = materialize(packed.select("rep", "n", "rare").mapInArrow(deal(max(1, int(total // 300_000))), "bucket long, token binary, member binary, n binary").groupBy("bucket").applyInArrow(gather, "list long, a long, b long"))
+    release(packed)
     often = sets.where("mode > 0").select(F.explode("single").alias("list"), F.col("rep").alias("a"), F.col("n").alias("b"), "mode")
     entries = lists.where("list IS NOT NULL").select("list", "a", "b", F.lit(0).alias("mode")).distinct().union(often).toDF("list", "member", "n", "mode")
     # a list of frequent tokens whose members are all indexed by combinations is not needed
     sized = entries.groupBy("list").agg(F.count("*").alias("size"), F.min("mode").alias("kind")).where("size > 1 AND kind < 2").select("list")
     entries = materialize(entries.join(sized, "list"))
-    # texts of the members of any pair, one for each set
-    involved = lists.where("list IS NULL").select(F.explode(F.array("a", "b")).alias("id")).union(entries.select("member")).distinct()
-    kept = materialize(texts.join(involved, "id", "left_semi").dropDuplicates(["id"]))
-
     def star(salt: int, pool: DataFrame) -> DataFrame:
         best = pool.groupBy("list").agg(F.min(F.struct("mode", F.xxhash64(F.lit(salt), "member").alias("u"), F.col("member").alias("centre"), F.col("n").alias("cn"))).alias("c")).select("list", "c.centre", "c.cn")
         return pool.join(best, "list").where("member <> centre AND 4 * least(n, cn) >= 3 * greatest(n, cn)").select(F.least("member", "centre").alias("x"), F.greatest("member", "centre").alias("y"), F.col("centre").alias("a"), F.col("member").alias("b")).dropDuplicates(["x", "y"]).select("a", "b")
 
-    edges = linked(lists.where("list IS NULL").select("a", "b").union(star(0, entries)), kept)
+    edges = linked(lists.where("list IS NULL").select("a", "b").union(star(0, entries)), maps, texts)
     for step in range(1, 4):
         comp = components(edges)
         named = entries.join(comp, F.col("member") == F.col("id"), "left").select("list", "member", "n", "mode", F.coalesce("comp", "member").alias("comp"))
@@ -246,7 +283,7 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
         entries = entries.drop("comp")
         if entries.limit(1).count() == 0:
             break
-        edges = materialize(edges.union(linked(pairs, kept)))
+        edges = materialize(edges.union(linked(pairs, maps, texts)))
     else:
         comp = components(edges)
     reps = sets.select("s1", "s2", "rep").join(comp, F.col("rep") == F.col("id"), "left").select("s1", "s2", F.coalesce("comp", "rep").alias("comp"))
