@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from pointloom.llm.common import RollingHash, WordBatch, _G, materialize, mix, ngram_hashes, release, text_chunks
 
 SHINGLE, K = 5, 3
-FREQUENT = 64  # documents, from which a token is of the frequent class
-MOST_FREQUENT = 1_000_000  # at most so many tokens are of that class: 8 MB to each executor; the class only orders tokens
+FREQUENT = 12  # documents, from which a token is of the frequent class
+MOST_FREQUENT = 500_000  # at most so many tokens are of that class: 4 MB to each executor; the class only orders tokens
 DEFICIT = 2  # at most so many frequent tokens beyond k in an extended prefix that is indexed by combinations
 SMALL = 4  # lists up to this length are expanded into pairs at once
 NO_ID = 1 << 62  # documents without an id get larger ones, by text
@@ -88,12 +88,12 @@ def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
 
-def heavy(batches: Iterator[pa.RecordBatch], flush: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """(token, cnt) for tokens of three or more different sets among each few million tokens."""
+def heavy(batches: Iterator[pa.RecordBatch], flush: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """(token, cnt) for tokens of two or more different sets among each few million tokens."""
 
     def counted(sets):
         tokens, n = np.unique(np.concatenate(sets), return_counts=True)
-        keep = n > 2
+        keep = n > 1
         return pa.RecordBatch.from_arrays([pa.array(tokens[keep].view(np.int64)), pa.array(n[keep])], names=["token", "cnt"])
 
     sets, seen, size = [], set(), 0
@@ -244,7 +244,7 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     base = docs.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64("text"), 3)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     texts = base.select("id", "text")
     top = texts.mapInArrow(heavy, "token long, cnt long").groupBy("token").agg(F.sum("cnt").alias("cnt")).where(F.col("cnt") >= FREQUENT).orderBy(F.desc("cnt"), "token").limit(MOST_FREQUENT)
-    found = np.sort(np.array([r[0] for r in top.select("token").collect()], np.int64).view(np.uint64))
+    found = np.sort(top.select("token").toArrow().column(0).to_numpy().view(np.uint64))
     shared = spark.sparkContext.broadcast(found)
     members = materialize(texts.mapInArrow(prefixes(lambda: shared.value), PREFIXES))
     packed = materialize(members.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "rare", "single", "mode", "bits"))))
