@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import gc
 import tempfile
 import uuid
@@ -60,6 +61,17 @@ def docs_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def least_hashes(docs: DataFrame, count: int) -> list:
+    """Of docs (doc_id, text and more columns), `count` rows at most: those with the least hashes of doc_id and text.
+
+    Only hashes are sorted; the texts of the chosen rows alone come to the driver.
+    """
+    hashed = docs.withColumn("_u", F.xxhash64("doc_id")).withColumn("_v", F.xxhash64("text"))
+    keys = hashed.select("_u", "_v").orderBy("_u", "_v").limit(count)
+    rows = hashed.join(F.broadcast(keys.distinct()), ["_u", "_v"]).dropDuplicates(["_u", "_v"]).collect()  # count rows at most
+    return sorted(rows, key=lambda r: (r["_u"], r["_v"]))
+
+
 # ---- batches ----------------------------------------------------------------
 
 CHUNK_BYTES = 2 << 20
@@ -99,16 +111,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class RollingHash:
+class _Rolling:
     """Polynomial hash of any byte range of a buffer in constant time, modulo 2**64 with random byte values."""
 
     def __init__(self, seed: int):
+        self.seed = seed
         with np.errstate(over="ignore"):
             self.values = mix(np.arange(1, 257, dtype=np.uint64) * _G + np.uint64(seed))
             self.base = mix(np.array([seed + 77], np.uint64))[0] | np.uint64(1)
         self.inverse = np.uint64(pow(int(self.base), -1, 1 << 64))
         self.pow = self.inv = np.ones(1, np.uint64)
 
+    def __reduce__(self):
+        return RollingHash, (self.seed,)
+
     def _powers(self, n: int) -> None:
         if len(self.pow) < n:
             n = max(n, CHUNK_BYTES)
@@ -127,6 +143,8 @@ class RollingHash:
         return mix((prefix[end] - prefix[start]) * self.inv[start] + (end - start).astype(np.uint64) * _G)
 
 
+RollingHash = functools.cache(_Rolling)  # one for each seed, so that powers are computed once in a process
+
 _SPACES = np.zeros(256, bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)

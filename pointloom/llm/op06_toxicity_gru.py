@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import RollingHash, WordBatch, fold, mix, text_chunks
+from pointloom.llm.common import RollingHash, WordBatch, fold, least_hashes, mix, row_chunks, text_chunks
 
 TRAIN_DOCS = 1500  # labelled documents of either class that the model is fitted on, at most; those with the least hashes of doc_id
 WINDOW, STRIDE = 32, 16
@@ -173,17 +173,23 @@ def fit(texts: list[str], toxic: list[int], seed: int = 5) -> Net:
         net.p["out"][:] = 0
         return net
     raw = [t.encode() for t in texts]
-    words = inputs(raw)
-    w, h = words[0], words[1]
+    pieces = [inputs(raw[lo:hi]) for lo, hi in row_chunks(np.fromiter(map(len, raw), np.int64, len(raw)), 1 << 18)]
+    # what training needs of all words, without the bytes
+    h = np.concatenate([p[1] for p in pieces])
+    tris = np.concatenate([p[2].astype(np.int16) for p in pieces])
+    sizes = np.concatenate([(p[0].end - p[0].start).astype(np.int32) for p in pieces])
+    count = np.concatenate([p[0].count for p in pieces])
+    del pieces
+    tri_first, of = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(raw)), count)
     slot = (h >> np.uint64(46)).astype(np.int64)
-    pairs = np.unique(np.stack([w.doc, slot], 1), axis=0)
+    pairs = np.unique(np.stack([of, slot], 1), axis=0)
     pos = np.bincount(pairs[y[pairs[:, 0]] == 1, 1], minlength=ODDS_SLOTS)
     neg = np.bincount(pairs[y[pairs[:, 0]] == 0, 1], minlength=ODDS_SLOTS)
     n1, n0 = (y == 1).sum(), (y == 0).sum()
     odds = np.log((pos + 0.5) / (n1 + 1)) - np.log((neg + 0.5) / (n0 + 1))
     df = pos + neg
     net.odds = np.where(df >= 4, np.clip(odds, -4, 4) * df / (df + 10), 0).astype(np.float32)
-    doc, start, length = windows(w.first[:-1], w.count)
+    doc, start, length = windows(np.cumsum(count) - count, count)
     peak = np.array([net.odds[slot[s : s + n]].max() for s, n in zip(start, length, strict=True)])
     order = np.lexsort((-peak, doc))
     top = order[np.append(True, doc[order][1:] != doc[order][:-1])]
@@ -194,18 +200,17 @@ def fit(texts: list[str], toxic: list[int], seed: int = 5) -> Net:
         # the lot's own words only, laid end to end
         parts = [np.arange(s, s + n) for s, n in zip(start[pick], length[pick], strict=True)]
         take = np.concatenate(parts)
-        count = length[pick]
-        tl = (w.end - w.start)[take]
-        tri = words[2][np.arange(int(tl.sum())) + np.repeat(words[3][take] - (np.cumsum(tl) - tl), tl)]
+        n, tl = length[pick], sizes[take].astype(np.int64)
+        tri = tris[np.arange(int(tl.sum())) + np.repeat(tri_first[take] - (np.cumsum(tl) - tl), tl)].astype(np.int64)
         sub = (None, h[take], tri, np.cumsum(tl) - tl)
-        g, _ = net.gradients(sub, np.cumsum(count) - count, count, y[doc[pick]].astype(np.float32))
+        g, _ = net.gradients(sub, np.cumsum(n) - n, n, y[doc[pick]].astype(np.float32))
         rate = 0.02 * min(1, 2 * (1 - step / (STEPS + 1)))
         for k, v in net.p.items():
             a, b = m[k]
             a += 0.1 * (g[k] - a)
             b += 0.01 * (g[k] * g[k] - b)
             v -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-6)
-    logit = np.clip(net.documents(raw), -20, 20)
+    logit = np.clip(np.concatenate([net.documents(raw[lo:hi]) for lo, hi in row_chunks(np.fromiter(map(len, raw), np.int64, len(raw)), 1 << 18)]), -20, 20)
     s = np.array([1.0, 0.0])
     x = np.stack([logit, np.ones_like(logit)], 1)
     for _ in range(50):  # Newton steps of the logistic fit, classes weighted alike
@@ -221,8 +226,7 @@ def fit(texts: list[str], toxic: list[int], seed: int = 5) -> Net:
 def training_rows(docs: DataFrame, labels: DataFrame) -> list:
     """At most TRAIN_DOCS labelled documents of either class outside the held-out fold."""
     known = docs.select("doc_id", "text").where((fold() != 0) & F.col("text").isNotNull()).join(labels.where(F.col("toxic").isNotNull()).select("doc_id", "toxic").dropDuplicates(["doc_id"]), "doc_id")
-    least = lambda k: known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(TRAIN_DOCS)
-    return least(1).union(least(0)).select("text", "toxic").collect()
+    return [(r["text"], r["toxic"]) for k in (1, 0) for r in least_hashes(known.where(F.col("toxic") == k), TRAIN_DOCS)]
 
 
 def score_batches(net_of):

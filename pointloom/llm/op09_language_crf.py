@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import RollingHash, WordBatch, fold, mix, text_chunks
+from pointloom.llm.common import RollingHash, WordBatch, fold, least_hashes, mix, text_chunks
 
 TRAIN_DOCS = 2000  # labelled documents that the model is fitted on, at most; those with the least hashes of doc_id
 LONGEST = 128
@@ -186,7 +186,8 @@ def predict(model_of):
 
 def training_rows(docs: DataFrame) -> list:
     """At most TRAIN_DOCS labelled documents outside the held-out fold."""
-    return docs.where((fold() != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull()).orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(TRAIN_DOCS).select("text", "lang").collect()
+    known = docs.where((fold() != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    return [(r["text"], r["lang"]) for r in least_hashes(known.select("doc_id", "text", "lang"), TRAIN_DOCS)]
 
 
 def identify(docs: DataFrame, columns: list[str], model: Crf | None = None) -> DataFrame:
