@@ -18,8 +18,8 @@ SURE = 0.4  # share of the likeliest language below which a document is rejected
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, and those in which no language has a fair share, go."""
-    found = op09_language_crf.identify(docs, docs.columns + ([] if "text" in docs.columns else ["text"]))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).select(*docs.columns)
+    found = op09_language_crf.identify(docs, docs.columns, names=("_lang_pred", "_score"))
+    return found.where((F.col("_lang_pred") != "und") & (F.col("_score") >= SURE)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -61,15 +61,20 @@ def docs_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def least_hashes(docs: DataFrame, count: int) -> list:
-    """Of docs (doc_id, text and more columns), `count` rows at most: those with the least hashes of doc_id and text.
+def hashed(docs: DataFrame) -> DataFrame:
+    """docs with _u and _v, the hashes of doc_id and text."""
+    return docs.withColumn("_u", F.xxhash64("doc_id")).withColumn("_v", F.xxhash64("text"))
 
-    Only hashes are sorted; the texts of the chosen rows alone come to the driver.
+
+def least_hashes(docs: DataFrame, known: DataFrame, count: int, columns: list[str]) -> list[tuple]:
+    """(text, *columns) of `count` documents at most: those of `known` (_u, _v, columns) with the least hashes.
+
+    Only hashes are joined and sorted; the texts of the chosen rows alone come to the driver.
     """
-    hashed = docs.withColumn("_u", F.xxhash64("doc_id")).withColumn("_v", F.xxhash64("text"))
-    keys = hashed.select("_u", "_v").orderBy("_u", "_v").limit(count)
-    rows = hashed.join(F.broadcast(keys.distinct()), ["_u", "_v"]).dropDuplicates(["_u", "_v"]).collect()  # count rows at most
-    return sorted(rows, key=lambda r: (r["_u"], r["_v"]))
+    keys = known.select("_u", "_v", *columns).orderBy("_u", "_v").limit(count).dropDuplicates(["_u", "_v"])
+    rows = hashed(docs.select("doc_id", "text")).join(F.broadcast(keys), ["_u", "_v"]).select("_u", "_v", "text", *columns)  # keys: count rows at most
+    found = {(r["_u"], r["_v"]): r for r in rows.toLocalIterator()}
+    return [tuple(found[k])[2:] for k in sorted(found)]
 
 
 # ---- batches ----------------------------------------------------------------
@@ -143,7 +148,12 @@ class _Rolling:
         return mix((prefix[end] - prefix[start]) * self.inv[start] + (end - start).astype(np.uint64) * _G)
 
 
-RollingHash = functools.cache(_Rolling)  # one for each seed, so that powers are computed once in a process
+
+@functools.cache
+def RollingHash(seed: int) -> _Rolling:  # noqa: N802
+    """One for each seed, so that powers are computed once in a process."""
+    return _Rolling(seed)
+
 
 _SPACES = np.zeros(256, bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True

@@ -153,6 +153,8 @@ def shard_windows(parts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray,
 def _runs(places: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(part, first, last): maximal runs of places within a part."""
     places = np.sort(places)
+    if not len(places):
+        return places, places, places
     part = np.searchsorted(starts, places, "right") - 1
     cut = np.ones(len(places), bool)
     cut[1:] = (np.diff(places) != 1) | (part[1:] != part[:-1])

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import RollingHash, WordBatch, fold, least_hashes, mix, row_chunks, text_chunks
+from pointloom.llm.common import RollingHash, WordBatch, fold, hashed, least_hashes, mix, row_chunks, text_chunks
 
 TRAIN_DOCS = 1500  # labelled documents of either class that the model is fitted on, at most; those with the least hashes of doc_id
 WINDOW, STRIDE = 32, 16
@@ -225,8 +225,9 @@ def fit(texts: list[str], toxic: list[int], seed: int = 5) -> Net:
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> list:
     """At most TRAIN_DOCS labelled documents of either class outside the held-out fold."""
-    known = docs.select("doc_id", "text").where((fold() != 0) & F.col("text").isNotNull()).join(labels.where(F.col("toxic").isNotNull()).select("doc_id", "toxic").dropDuplicates(["doc_id"]), "doc_id")
-    return [(r["text"], r["toxic"]) for k in (1, 0) for r in least_hashes(known.where(F.col("toxic") == k), TRAIN_DOCS)]
+    marked = labels.where(F.col("toxic").isNotNull()).select("doc_id", "toxic").dropDuplicates(["doc_id"])
+    known = hashed(docs.where((fold() != 0) & F.col("text").isNotNull())).select("doc_id", "_u", "_v").join(marked, "doc_id")
+    return [row for k in (1, 0) for row in least_hashes(docs, known.where(F.col("toxic") == k), TRAIN_DOCS, ["toxic"])]
 
 
 def score_batches(net_of):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import RollingHash, WordBatch, fold, least_hashes, mix, text_chunks
+from pointloom.llm.common import RollingHash, WordBatch, fold, hashed, least_hashes, mix, text_chunks
 
 TRAIN_DOCS = 2000  # labelled documents that the model is fitted on, at most; those with the least hashes of doc_id
 LONGEST = 128
@@ -187,18 +187,18 @@ def predict(model_of):
 def training_rows(docs: DataFrame) -> list:
     """At most TRAIN_DOCS labelled documents outside the held-out fold."""
     known = docs.where((fold() != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    return [(r["text"], r["lang"]) for r in least_hashes(known.select("doc_id", "text", "lang"), TRAIN_DOCS)]
+    return least_hashes(docs, hashed(known), TRAIN_DOCS, ["lang"])
 
 
-def identify(docs: DataFrame, columns: list[str], model: Crf | None = None) -> DataFrame:
-    """The named columns of docs, with lang_pred and score. The model is fitted on docs where none is given."""
+def identify(docs: DataFrame, columns: list[str], model: Crf | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The named columns of docs, with the language and its score under the given names. The model is fitted on docs where none is given."""
     if model is None:
         rows = training_rows(docs)
         model = fit([r[0] for r in rows], [r[1] for r in rows])
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.select(F.struct(*columns).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     kind = docs.select(F.struct(*columns).alias("row")).schema["row"].dataType.simpleString()
-    return kept.mapInArrow(predict(lambda: shared.value), f"row {kind}, lang_pred string, score double").select("row.*", "lang_pred", "score")
+    return kept.mapInArrow(predict(lambda: shared.value), f"row {kind}, lang_pred string, score double").select("row.*", F.col("lang_pred").alias(names[0]), F.col("score").alias(names[1]))
 
 
 def language_of_documents(docs: DataFrame) -> DataFrame:
