@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 def read_ascii(spark: SparkSession, path: str) -> DataFrame:
     """(row, col, value) of white-space separated rows of one file, in order."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")).alias("row", "line"))
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")).alias("row", "line"))
     return rows.select("row", F.posexplode(F.split(F.trim("line"), r"\s+")).alias("col", "value")).select("row", "col", F.col("value").cast("double").alias("value"))
 
 
