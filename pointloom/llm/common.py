@@ -51,6 +51,13 @@ def release(*frames: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df; from now on its session sends texts to Python in batches of 1000 rows and a few MB at most, so that a worker's memory is bounded."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    return df
+
+
 def fold(doc_id: str = "doc_id"):
     """crc32(doc_id as text) mod 5; 0 is the held-out fold."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5))

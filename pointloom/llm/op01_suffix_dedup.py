@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import RollingHash, materialize, mix, release, text_chunks
+from pointloom.llm.common import RollingHash, materialize, mix, release, small_batches, text_chunks
 
 LENGTH, GRAM = 400, 64
 SHARD_BYTES = 1 << 20  # aimed at
@@ -227,7 +227,7 @@ def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (start, end, start, end ... in bytes) of each document."""
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", F.octet_length("text").cast("long").alias("n_bytes"), F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(7), "text").alias("k2"))
+    keyed = small_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", F.octet_length("text").cast("long").alias("n_bytes"), F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(7), "text").alias("k2"))
     long = keyed.where(F.col("n_bytes") >= LENGTH)
     texts = materialize(long.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count("*").alias("cnt")))
     every = materialize(texts.mapInArrow(segments, SEGMENTS))

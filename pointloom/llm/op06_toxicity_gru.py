@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import RollingHash, WordBatch, fold, hashed, least_hashes, mix, row_chunks, text_chunks
+from pointloom.llm.common import RollingHash, WordBatch, fold, hashed, least_hashes, mix, row_chunks, small_batches, text_chunks
 
 TRAIN_DOCS = 1500  # labelled documents of either class that the model is fitted on, at most; those with the least hashes of doc_id
 WINDOW, STRIDE = 32, 16
@@ -246,5 +246,5 @@ def toxicity_of_documents(docs: DataFrame, labels: DataFrame, net: Net | None =
         net = fit([r[0] for r in rows], [r[1] for r in rows])
     shared = docs.sparkSession.sparkContext.broadcast(net)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(score_batches(lambda: shared.value), f"doc_id {kind}, score double")
+    out = small_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(score_batches(lambda: shared.value), f"doc_id {kind}, score double")
     return out.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
