@@ -1,7 +1,8 @@
 """Exact Jaccard join of word-shingle sets with token-combination prefixes, and the classes it links.
 
 Tokens are hashes of `SHINGLE` consecutive words. One global order holds for all documents: rare tokens before
-frequent ones (heavy hitters found over the whole corpus), by hash within each class. Two sets with
+frequent ones (heavy hitters found over the whole corpus), rare ones by hash, frequent ones by their count, the
+least frequent first, so that a passage many documents share fills a prefix only if little else is left. Two sets with
 100 |x & y| >= 75 |x | y| share at least k of their first n - ceil(3n/4) + k tokens. The index holds
 - the rare tokens of that prefix (k = 1) as single tokens;
 - if frequent tokens are needed to fill the prefix, and few: the prefix extended to k = 3, and each combination of
@@ -32,7 +33,7 @@ from pointloom.llm.common import RollingHash, WordBatch, _G, materialize, mix, n
 
 SHINGLE, K = 5, 3
 FREQUENT = 12  # documents, from which a token is of the frequent class
-MOST_FREQUENT = 500_000  # at most so many tokens are of that class: 4 MB to each executor; the class only orders tokens
+MOST_FREQUENT = 500_000  # at most so many tokens are of that class: 6 MB to each executor; the class only orders tokens
 DEFICIT = 2  # at most so many frequent tokens beyond k in an extended prefix that is indexed by combinations
 SMALL = 4  # lists up to this length are expanded into pairs at once
 NO_ID = 1 << 62  # documents without an id get larger ones, by text
@@ -115,7 +116,7 @@ PREFIXES = "id long, n long, s1 long, s2 long, rare array<long>, single array<lo
 
 def prefixes(frequent_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = frequent_of()
+        frequent, rank = frequent_of()
         for rows, raw in text_chunks(batches):
             cols: list[list] = [[], [], [], [], [], [], []]
             for s in shingle_sets(raw):
@@ -124,7 +125,7 @@ def prefixes(frequent_of):
                 if len(frequent) and n:
                     at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
                     often = frequent[at] == s
-                    rare, common = s[~often], s[often]
+                    rare, common = s[~often], s[often][np.argsort(rank[at[often]])]
                 else:
                     rare, common = s, s[:0]
                 single, mode = common[: max(0, p - len(rare))], 0
@@ -244,8 +245,9 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     base = small_batches(docs).select("doc_id", F.coalesce("doc_id", F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64("text"), 3)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     texts = base.select("id", "text")
     top = texts.mapInArrow(heavy, "token long, cnt long").groupBy("token").agg(F.sum("cnt").alias("cnt")).where(F.col("cnt") >= FREQUENT).orderBy(F.desc("cnt"), "token").limit(MOST_FREQUENT)
-    found = np.sort(top.select("token").toArrow().column(0).to_numpy().view(np.uint64))
-    shared = spark.sparkContext.broadcast(found)
+    found = top.orderBy("cnt", F.desc("token")).select("token").toArrow().column(0).to_numpy().view(np.uint64)
+    order = np.argsort(found)
+    shared = spark.sparkContext.broadcast((found[order], order.astype(np.int32)))
     members = materialize(texts.mapInArrow(prefixes(lambda: shared.value), PREFIXES))
     packed = materialize(members.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "rare", "single", "mode", "bits"))))
     slim = materialize(members.select("id", "n", "s1", "s2"))
