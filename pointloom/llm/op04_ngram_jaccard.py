@@ -9,7 +9,10 @@ least frequent first, so that a passage many documents share fills a prefix only
   three of its frequent tokens, for documents of this kind among each other; single frequent tokens only for
   meeting documents of the next kind;
 - if many: single frequent tokens.
-Equal sets are one member. Lists of five or more members are not expanded into pairs: each member is verified
+An entry of an index also bounds what its set can share if this token (for a combination: these three) comes first among
+the common ones: no more than what follows in the global order. Two entries whose lesser bound falls short of a link
+are not compared, since the pair's first common tokens are another entry of both. (Single rare tokens have the size as
+their bound, so that lists of the same members stay equal.) Equal sets are one member. Lists of five or more members are not expanded into pairs: each member is verified
 against a centre; what is linked forms a class, and only members of one list in different classes are verified
 in later rounds, the last of which takes every such pair. So no link between classes is lost. Pairs are verified
 in two steps: bit maps of a byte for each token give an upper bound of the common tokens, and what passes
@@ -111,14 +114,14 @@ def heavy(batches: Iterator[pa.RecordBatch], flush: int = 8_000_000) -> Iterator
         yield counted(sets)
 
 
-PREFIXES = "id long, n long, s1 long, s2 long, rare array<long>, single array<long>, mode int, bits binary"
+PREFIXES = "id long, n long, s1 long, s2 long, rare array<long>, rest array<long>, single array<long>, mode int, bits binary"
 
 
 def prefixes(frequent_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, rank = frequent_of()
         for rows, raw in text_chunks(batches):
-            cols: list[list] = [[], [], [], [], [], [], []]
+            cols: list[list] = [[], [], [], [], [], [], [], []]
             for s in shingle_sets(raw):
                 n = len(s)
                 p = n - (3 * n + 3) // 4 + 1 if n else 0
@@ -130,22 +133,24 @@ def prefixes(frequent_of):
                     rare, common = s, s[:0]
                 single, mode = common[: max(0, p - len(rare))], 0
                 index = rare[:p]
+                rest = [n] * len(index)
                 if len(single):
                     f = p - 1 + K - len(rare)
                     mode = 2 if f - K <= DEFICIT and f <= len(common) else 1
                     if mode == 2:
                         few = common[:f]
                         index = np.concatenate([index, [mix(mix(mix(few[[a]]) + few[b]) + few[c])[0] for a, b, c in combinations(range(f), K)]]).astype(np.uint64)
-                for col, v in zip(cols, (n, *set_hash(s), index.view(np.int64), single.view(np.int64), mode, bit_map(s)), strict=True):
+                        rest += [n - len(rare) - c + K - 1 for _, _, c in combinations(range(f), K)]
+                for col, v in zip(cols, (n, *set_hash(s), index.view(np.int64), np.array(rest, np.int64), single.view(np.int64), mode, bit_map(s)), strict=True):
                     col.append(v)
-            lists = [pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in c])]).astype(np.int32), np.concatenate([*c, np.empty(0, np.int64)])) for c in cols[3:5]]
-            yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), *lists, pa.array(cols[5], pa.int32()), pa.array(cols[6], pa.binary())], names=["id", "n", "s1", "s2", "rare", "single", "mode", "bits"])
+            lists = [pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in c])]).astype(np.int32), np.concatenate([*c, np.empty(0, np.int64)])) for c in cols[3:6]]
+            yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), *lists, pa.array(cols[6], pa.int32()), pa.array(cols[7], pa.binary())], names=["id", "n", "s1", "s2", "rare", "rest", "single", "mode", "bits"])
 
     return run
 
 
 def deal(buckets: int):
-    """Pack (token, member, size) by bucket of the token."""
+    """Pack (token, member, size, bound) by bucket of the token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -154,38 +159,39 @@ def deal(buckets: int):
             length = np.diff(lists.offsets.to_numpy())
             member, n = (np.repeat(b.column(c).to_numpy(), length) for c in ("rep", "n"))
             bucket = (mix(token.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            rest = b.column("rest").flatten().to_numpy()
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            out = [(k, *(x[order[lo:hi]].tobytes() for x in (token, member, n.astype(np.int32)))) for k, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if hi > lo]
+            out = [(k, *(x[order[lo:hi]].tobytes() for x in (token, member, n.astype(np.int32), rest.astype(np.int32)))) for k, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if hi > lo]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "token", "member", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "token", "member", "n", "rest"])
 
     return run
 
 
 def gather(group: pa.Table) -> pa.Table:
     """Pairs of the short lists of a bucket (list null), members of the long ones, each different list once."""
-    token, member, n = (np.concatenate([np.frombuffer(x, t) for x in group.column(c).to_pylist()]) for c, t in (("token", np.int64), ("member", np.int64), ("n", np.int32)))
+    token, member, n, rest = (np.concatenate([np.frombuffer(x, t) for x in group.column(c).to_pylist()]) for c, t in (("token", np.int64), ("member", np.int64), ("n", np.int32), ("rest", np.int32)))
     order = np.lexsort((member, token))
-    token, member, n = token[order], member[order], n[order]
+    token, member, n, rest = token[order], member[order], n[order].astype(np.int64), rest[order].astype(np.int64)
     start = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
     length = np.diff(np.append(start, len(token)))
     a, b, rows = [], [], []
     for size in range(2, SMALL + 1):
         s = start[length == size]
         for i, j in combinations(range(size), 2):
-            fits = 4 * np.minimum(n[s + i], n[s + j]) >= 3 * np.maximum(n[s + i], n[s + j])
+            fits = 7 * np.minimum(rest[s + i], rest[s + j]) >= 3 * (n[s + i] + n[s + j])
             a.append(member[s + i][fits])
             b.append(member[s + j][fits])
     big = length > SMALL
-    sums = np.add.reduceat(mix(member.view(np.uint64) + _G), start) if len(start) else np.empty(0, np.uint64)
+    sums = np.add.reduceat(mix(mix(member.view(np.uint64) + _G) + (n - rest).view(np.uint64)), start) if len(start) else np.empty(0, np.uint64)
     _, first = np.unique(sums[big], return_index=True)
     which = np.flatnonzero(big)[first]
     rows = np.concatenate([np.arange(start[i], start[i] + length[i]) for i in which] or [np.empty(0, np.int64)]).astype(np.int64)
     pairs = np.unique(np.stack([np.concatenate([*a, member[:0]]), np.concatenate([*b, member[:0]])], 1), axis=0)
     listed = np.repeat(sums[which].view(np.int64), length[which])
     k = len(pairs)
-    return pa.table([pa.array(np.concatenate([listed, np.zeros(k, np.int64)]), mask=np.arange(len(rows) + k) >= len(rows)), pa.array(np.concatenate([member[rows], pairs[:, 0]])), pa.array(np.concatenate([n[rows].astype(np.int64), pairs[:, 1]]))], names=["list", "a", "b"])
+    return pa.table([pa.array(np.concatenate([listed, np.zeros(k, np.int64)]), mask=np.arange(len(rows) + k) >= len(rows)), pa.array(np.concatenate([member[rows], pairs[:, 0]])), pa.array(np.concatenate([n[rows], pairs[:, 1]])), pa.array(np.concatenate([rest[rows], np.zeros(k, np.int64)]))], names=["list", "a", "b", "rest"])
 
 
 def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,39 +255,41 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     order = np.argsort(found)
     shared = spark.sparkContext.broadcast((found[order], order.astype(np.int32)))
     members = materialize(texts.mapInArrow(prefixes(lambda: shared.value), PREFIXES))
-    packed = materialize(members.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "rare", "single", "mode", "bits"))))
+    packed = materialize(members.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "rare", "rest", "single", "mode", "bits"))))
     slim = materialize(members.select("id", "n", "s1", "s2"))
     release(members)
     members = slim
     sets = materialize(packed.select("s1", "s2", "rep", "n", "single", "mode"))
     maps = materialize(packed.select("rep", "n", "bits"))
     total = packed.agg(F.sum(F.size("rare").cast("long"))).first()[0] or 0
-    lists = materialize(packed.select("rep", "n", "rare").mapInArrow(deal(max(1, int(total // 300_000))), "bucket long, token binary, member binary, n binary").groupBy("bucket").applyInArrow(gather, "list long, a long, b long"))
+    lists = materialize(packed.select("rep", "n", "rare", "rest").mapInArrow(deal(max(1, int(total // 300_000))), "bucket long, token binary, member binary, n binary, rest binary").groupBy("bucket").applyInArrow(gather, "list long, a long, b long, rest long"))
     release(packed)
-    often = sets.where("mode > 0").select(F.explode("single").alias("list"), F.col("rep").alias("a"), F.col("n").alias("b"), "mode")
-    entries = lists.where("list IS NOT NULL").select("list", "a", "b", F.lit(0).alias("mode")).distinct().union(often).toDF("list", "member", "n", "mode")
+    # the single tokens of a set end its prefix: what follows the last one is three quarters of the set, itself included
+    often = sets.where("mode > 0").select("rep", "n", "mode", F.size("single").alias("k"), F.posexplode("single").alias("at", "list"))
+    often = often.select("list", F.col("rep").alias("a"), F.col("n").alias("b"), (F.expr("(3 * n + 3) div 4 + k - 1 - at")).alias("rest"), "mode")
+    entries = lists.where("list IS NOT NULL").select("list", "a", "b", "rest", F.lit(0).alias("mode")).distinct().union(often).toDF("list", "member", "n", "rest", "mode")
     # a list of frequent tokens whose members are all indexed by combinations is not needed
     sized = entries.groupBy("list").agg(F.count("*").alias("size"), F.min("mode").alias("kind")).where("size > 1 AND kind < 2").select("list")
     entries = materialize(entries.join(sized, "list"))
     def star(salt: int, pool: DataFrame) -> DataFrame:
-        best = pool.groupBy("list").agg(F.min(F.struct("mode", F.xxhash64(F.lit(salt), "member").alias("u"), F.col("member").alias("centre"), F.col("n").alias("cn"))).alias("c")).select("list", "c.centre", "c.cn")
-        return pool.join(best, "list").where("member <> centre AND 4 * least(n, cn) >= 3 * greatest(n, cn)").select(F.least("member", "centre").alias("x"), F.greatest("member", "centre").alias("y"), F.col("centre").alias("a"), F.col("member").alias("b")).dropDuplicates(["x", "y"]).select("a", "b")
+        best = pool.groupBy("list").agg(F.min(F.struct("mode", ((F.col("n") - F.col("rest")) / F.col("n")).alias("behind"), F.xxhash64(F.lit(salt), "member").alias("u"), F.col("member").alias("centre"), F.col("n").alias("cn"), F.col("rest").alias("cr"))).alias("c")).select("list", "c.centre", "c.cn", "c.cr")
+        return pool.join(best, "list").where("member <> centre AND 7 * least(rest, cr) >= 3 * (n + cn)").select(F.least("member", "centre").alias("x"), F.greatest("member", "centre").alias("y"), F.col("centre").alias("a"), F.col("member").alias("b")).dropDuplicates(["x", "y"]).select("a", "b")
 
     edges = linked(lists.where("list IS NULL").select("a", "b").union(star(0, entries)), maps, texts)
     for step in range(1, 4):
         comp = components(edges)
-        named = entries.join(comp, F.col("member") == F.col("id"), "left").select("list", "member", "n", "mode", F.coalesce("comp", "member").alias("comp"))
+        named = entries.join(comp, F.col("member") == F.col("id"), "left").select("list", "member", "n", "rest", "mode", F.coalesce("comp", "member").alias("comp"))
         several = named.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("list")
         entries = materialize(named.join(several, "list"))
         if step < 3:
             # verify against another centre, across classes only
-            best = entries.groupBy("list").agg(F.min(F.struct("mode", F.xxhash64(F.lit(step), "member").alias("u"), F.col("member").alias("centre"), F.col("n").alias("cn"), F.col("comp").alias("cc"))).alias("c")).select("list", "c.centre", "c.cn", "c.cc")
-            pairs = entries.join(best, "list").where("comp <> cc AND 4 * least(n, cn) >= 3 * greatest(n, cn)").select(F.col("centre").alias("a"), F.col("member").alias("b"))
+            best = entries.groupBy("list").agg(F.min(F.struct("mode", F.xxhash64(F.lit(step), "member").alias("u"), F.col("member").alias("centre"), F.col("n").alias("cn"), F.col("rest").alias("cr"), F.col("comp").alias("cc"))).alias("c")).select("list", "c.centre", "c.cn", "c.cr", "c.cc")
+            pairs = entries.join(best, "list").where("comp <> cc AND 7 * least(rest, cr) >= 3 * (n + cn)").select(F.col("centre").alias("a"), F.col("member").alias("b"))
         else:
             main = entries.groupBy("list", "comp").agg(F.count("*").alias("size")).groupBy("list").agg(F.max(F.struct("size", "comp"))["comp"].alias("main"))
             flagged = entries.join(main, "list")
-            some = flagged.where("comp <> main").select("list", F.col("member").alias("a"), F.col("n").alias("cn"), F.col("mode").alias("am"), F.col("comp").alias("ac"))
-            pairs = some.join(flagged, "list").where("comp <> ac AND (comp = main OR a < member) AND 4 * least(n, cn) >= 3 * greatest(n, cn) AND NOT (am = 2 AND mode = 2)").select(F.col("a"), F.col("member").alias("b"))
+            some = flagged.where("comp <> main").select("list", F.col("member").alias("a"), F.col("n").alias("cn"), F.col("rest").alias("cr"), F.col("mode").alias("am"), F.col("comp").alias("ac"))
+            pairs = some.join(flagged, "list").where("comp <> ac AND (comp = main OR a < member) AND 7 * least(rest, cr) >= 3 * (n + cn) AND NOT (am = 2 AND mode = 2)").select(F.col("a"), F.col("member").alias("b"))
         entries = entries.drop("comp")
         if entries.limit(1).count() == 0:
             break
