@@ -15,7 +15,7 @@ are not compared, since the pair's first common tokens are another entry of both
 their bound, so that lists of the same members stay equal.) Equal sets are one member. Lists of five or more members are not expanded into pairs: each member is verified
 against a centre; what is linked forms a class, and only members of one list in different classes are verified
 in later rounds, the last of which takes every such pair. So no link between classes is lost. Pairs are verified
-in two steps: bit maps of a byte for each token give an upper bound of the common tokens, and what passes
+in two steps: bit maps of four bits for each token give an upper bound of the common tokens, and what passes
 is compared by the whole sets.
 
 Null and empty texts, and texts of blanks: empty set, linked with nothing. Repeated rows fall into one class. A null
@@ -65,8 +65,8 @@ def set_hash(tokens: np.ndarray) -> tuple[int, int]:
 
 
 def bit_map(tokens: np.ndarray) -> bytes:
-    """A bit for each token, by its low bits; as many bytes as tokens, rounded up to a power of two (8 at least)."""
-    size = 8 << max(3, (len(tokens) - 1).bit_length())
+    """A bit for each token, by its low bits; four times as many bits as tokens, rounded up to a power of two (64 at least)."""
+    size = 4 << max(4, (len(tokens) - 1).bit_length())
     return np.packbits(np.bincount((tokens & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(bool)).tobytes()
 
 
