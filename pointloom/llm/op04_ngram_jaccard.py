@@ -24,7 +24,8 @@ doc_id links like any other, but never names a class that holds an id (a class w
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import RollingHash, WordBatch, _G, materialize, mix, ngram_hashes, release, small_batches, text_chunks
+from pointloom.llm.common import RollingHash, WordBatch, _G, materialize, mix, ngram_hashes, release, shared_dir, small_batches, text_chunks
 
 SHINGLE, K = 5, 3
 FREQUENT = 12  # documents, from which a token is of the frequent class
@@ -213,6 +214,24 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def by_rep(maps: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """maps as a table bucketed by rep in the shared folder, so that the rounds move pairs to it and never maps again; and what deletes it."""
+    spark = maps.sparkSession
+    name = f"pointloom_maps_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{shared_dir(spark)}/{name}"
+    rows = maps.repartition(buckets, "rep")
+    rows.write.bucketBy(buckets, "rep").sortBy("rep").option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
+    out = spark.table(name)
+    out._pointloom_path = path
+
+    def drop() -> None:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        release(out)
+
+    return out, drop
+
+
 def linked(pairs: DataFrame, maps: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets reach the similarity. A centre's members are dealt in parts of about 128."""
     near = pairs.distinct().join(maps.toDF("a", "nx", "x"), "a").join(maps.toDF("b", "ny", "y"), "b")
@@ -260,7 +279,7 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     release(members)
     members = slim
     sets = materialize(packed.select("s1", "s2", "rep", "n", "single", "mode"))
-    maps = materialize(packed.select("rep", "n", "bits"))
+    maps, drop_maps = by_rep(packed.select("rep", "n", "bits"))
     total = packed.agg(F.sum(F.size("rare").cast("long"))).first()[0] or 0
     lists = materialize(packed.select("rep", "n", "rare", "rest").mapInArrow(deal(max(1, int(total // 300_000))), "bucket long, token binary, member binary, n binary, rest binary").groupBy("bucket").applyInArrow(gather, "list long, a long, b long, rest long"))
     release(packed)
@@ -296,6 +315,7 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
         edges = materialize(edges.union(linked(pairs, maps, texts)))
     else:
         comp = components(edges)
+    drop_maps()
     reps = sets.select("s1", "s2", "rep").join(comp, F.col("rep") == F.col("id"), "left").select("s1", "s2", F.coalesce("comp", "rep").alias("comp"))
     # the least id of a class: the representative is the least of its set, and components() takes the least of those
     out = members.join(reps, ["s1", "s2"], "left").select("id", "n", F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("id")).alias("comp"))
