@@ -3,11 +3,14 @@
 Samples (16-bit, mono) become overlapping frames; the energy of each of twelve pitch classes makes a chroma frame, scaled to
 length one. Filters of rectangles over `SPAN` frames, summed by integral images, give two bits each (four levels in Gray
 code), packed to one 32-bit integer for every frame a span begins at. A recording is aligned to a query by the
-histogram of offsets at which their integers are equal; of the fullest offsets the share of differing bits decides.
+histogram of offsets at which their integers are equal; of the fullest offsets the one with the most agreeing bits beyond
+half of those that overlap counts. It is a match where at least `LEAST_OVERLAP` integers overlap and at most
+`MOST_ERROR` of their bits differ.
 
-Queries are read in blocks of bounded size, each searched in all recordings. Equal fingerprints are one class, searched once.
+Queries are read in blocks of bounded size, each searched in all recordings. Equal fingerprints are one class, searched once,
+and every query but the class's own that matches is given; rows of one class_id are copies of each other.
 Null, empty and too short audio: an empty fingerprint, its class, and no match. Repeated rows fall into one class. Ties: the
-query with the least id, then the least offset. Other columns are ignored.
+least offset. Other columns are ignored. `match_recordings` gives the best query alone, the class's own too.
 """
 
 from __future__ import annotations
@@ -25,6 +28,9 @@ RATE, FRAME, HOP, SPAN = 4000, 512, 128, 12
 LEVEL = 0.15  # of a filter's difference, relative to the rectangle's sum, between levels
 BLOCK = 2048  # queries at once
 TOP_OFFSETS = 3
+LEAST_OVERLAP = 2 * SPAN  # integers: two spans without a common frame
+MOST_ERROR = 0.25  # share of differing bits
+PIECE = 1 << 22  # integers compared at once
 
 
 def chroma_map(rate: int = RATE, frame: int = FRAME) -> np.ndarray:
@@ -100,17 +106,22 @@ def bit_error(a: np.ndarray, b: np.ndarray) -> float:
     return float((_BITS_SET[x & 0xFFFF].astype(int) + _BITS_SET[x >> 16]).sum()) / (32 * max(1, len(x)))
 
 
-def align(fp: np.ndarray, ids: np.ndarray, queries: list[np.ndarray], postings: tuple) -> tuple | None:
-    """(bit error, query id, offset, hits) of the best query: offset is the recording's place less the query's."""
+def offsets(fp: np.ndarray, postings: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, offset, hits) of each query and offset at which an integer is equal."""
     value, owner, place = postings
     lo, hi = np.searchsorted(value, fp, "left"), np.searchsorted(value, fp, "right")
     n = hi - lo
-    if not n.sum():
-        return None
     at = np.arange(int(n.sum())) + np.repeat(lo - (np.cumsum(n) - n), n)
     offset = np.repeat(np.arange(len(fp)), n) - place[at]
     key, hits = np.unique(owner[at] * (1 << 32) + offset + (1 << 31), return_counts=True)
-    q, off = key >> 32, (key & 0xFFFFFFFF) - (1 << 31)
+    return key >> 32, (key & 0xFFFFFFFF) - (1 << 31), hits
+
+
+def align(fp: np.ndarray, ids: np.ndarray, queries: list[np.ndarray], postings: tuple) -> tuple | None:
+    """(bit error, query id, offset, hits) of the best query: offset is the recording's place less the query's."""
+    q, off, hits = offsets(fp, postings)
+    if not len(q):
+        return None
     order = np.lexsort((off, -hits, q))
     rank = np.arange(len(q)) - np.searchsorted(q[order], q[order], "left")
     best = None
@@ -123,15 +134,61 @@ def align(fp: np.ndarray, ids: np.ndarray, queries: list[np.ndarray], postings:
     return best
 
 
+def align_all(fp: np.ndarray, own: int | None, ids: np.ndarray, postings: tuple, spelled: np.ndarray, first: np.ndarray) -> list[tuple]:
+    """(query id, offset, overlap, hits, bit error) of each query but `own` that matches; `spelled` holds the queries in a row, query i from first[i] on."""
+    q, off, hits = offsets(fp, postings)
+    x0, x1 = np.maximum(0, off), np.minimum(len(fp), off + first[q + 1] - first[q])
+    order = np.lexsort((off, -hits, q))
+    rank = np.arange(len(q)) - np.searchsorted(q[order], q[order], "left")
+    fullest = np.zeros(len(q), bool)
+    fullest[order[rank < TOP_OFFSETS]] = True
+    keep = fullest & (x1 - x0 >= LEAST_OVERLAP) & (own is None or ids[q] != own)
+    q, off, hits, x0, size = q[keep], off[keep], hits[keep], x0[keep], (x1 - x0)[keep]
+    differ = np.zeros(len(q), np.int64)
+    piece = np.cumsum(size) // PIECE
+    for k in np.unique(piece):
+        i = np.flatnonzero(piece == k)
+        n, ends = size[i], np.cumsum(size[i])
+        step = np.arange(ends[-1]) - np.repeat(ends - n, n)
+        a, b = np.repeat(x0[i], n) + step, np.repeat(first[q[i]] + x0[i] - off[i], n) + step
+        differ[i] = np.add.reduceat(np.bitwise_count(fp[a] ^ spelled[b]).astype(np.int64), ends - n)
+    i = np.flatnonzero(differ <= MOST_ERROR * 32 * size)
+    i = i[np.lexsort((off[i], differ[i] - 16 * size[i], q[i]))]
+    i = i[np.unique(q[i], return_index=True)[1]]
+    return list(zip(ids[q[i]].tolist(), off[i].tolist(), size[i].tolist(), hits[i].tolist(), (differ[i] / (32 * size[i])).tolist(), strict=True))
+
+
+def _postings(queries: list[np.ndarray]) -> tuple:
+    """(value, query, place) of all integers of the queries, sorted by value."""
+    size = np.array([len(x) for x in queries])
+    value = np.concatenate(queries)
+    owner, place = np.repeat(np.arange(len(queries)), size), np.arange(len(value)) - np.repeat(np.cumsum(size) - size, size)
+    order = np.argsort(value, kind="stable")
+    return value[order], owner[order].astype(np.int64), place[order]
+
+
+PAIRS = pa.schema([("class_id", pa.int64()), ("query_id", pa.int64()), ("offset", pa.int64()), ("overlap", pa.int64()), ("hits", pa.int64()), ("bit_error", pa.float64())])
+
+
+def search_all(block_of):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, raw = block_of()
+        queries = [np.frombuffer(x, np.uint32) for x in raw]
+        postings, spelled, first = _postings(queries), np.concatenate(queries), np.cumsum([0, *map(len, queries)])
+        for b in batches:
+            for c, own, x in zip(b.column("class_id").to_pylist(), b.column("query").to_pylist(), b.column("fp").to_pylist(), strict=True):
+                found = align_all(np.frombuffer(x, np.uint32), own, ids, postings, spelled, first)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(([c] * len(found), *zip(*found, strict=True)), PAIRS.types, strict=True)], schema=PAIRS)
+
+    return run
+
+
 def search(block_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, raw = block_of()
         queries = [np.frombuffer(x, np.uint32) for x in raw]
-        size = np.array([len(x) for x in queries])
-        value = np.concatenate(queries)
-        owner, place = np.repeat(np.arange(len(queries)), size), np.arange(len(value)) - np.repeat(np.cumsum(size) - size, size)
-        order = np.argsort(value, kind="stable")
-        postings = (value[order], owner[order].astype(np.int64), place[order])
+        postings = _postings(queries)
         for b in batches:
             out = [align(np.frombuffer(x, np.uint32), ids, queries, postings) for x in b.column("fp").to_pylist()]
             keep = [i for i, x in enumerate(out) if x is not None]
@@ -142,31 +199,53 @@ def search(block_of):
     return run
 
 
-def match_recordings(media: DataFrame, id_: str = "id", audio: str = "audio", is_query: str = "id % 100 = 0") -> DataFrame:
-    """id, n_ints, class_id (least id with the same fingerprint), and of the best query: query_id, offset, hits, bit_error (null without one).
-
-    Queries (is_query, over id) are represented by the least of their ids in each class.
-    """
+def _classes(media: DataFrame, id_: str, audio: str, is_query: str) -> tuple[DataFrame, DataFrame]:
+    """(id, fp, n_ints of each row; fp, class_id, query of each class: the least id and the least query's)."""
     prints = materialize(media.select(F.col(id_).cast("long").alias("id"), F.col(audio).alias("audio")).mapInArrow(fingerprints, "id long, fp binary, n_ints long"))
-    classes = materialize(prints.groupBy("fp").agg(F.min("id").alias("class_id"), F.min(F.when(F.expr(is_query), F.col("id"))).alias("query")))
+    return prints, materialize(prints.groupBy("fp").agg(F.min("id").alias("class_id"), F.min(F.when(F.expr(is_query), F.col("id"))).alias("query")))
+
+
+def _searched(classes: DataFrame, run, schema: str) -> DataFrame:
+    """Union of the rows that run(block of queries) gives of the classes, for each block."""
     queries = classes.where("query IS NOT NULL AND length(fp) > 0").select("query", "fp").orderBy("query")
     found, block = None, []
 
     def searched(rows):
-        shared = media.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), [bytes(r[1]) for r in rows]))
-        return classes.select("class_id", "fp").mapInArrow(search(lambda: shared.value), "class_id long, bit_error double, query_id long, offset long, hits long")
+        shared = classes.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), [bytes(r[1]) for r in rows]))
+        return classes.select("class_id", "query", "fp").mapInArrow(run(lambda: shared.value), schema)
 
     for row in queries.toLocalIterator():  # a block at a time
         block.append(row)
         if len(block) == BLOCK:
             found = searched(block) if found is None else found.union(searched(block))
             block = []
-    if block or found is None:
-        found = searched(block) if block and found is None else found.union(searched(block)) if block else classes.select("class_id", F.lit(0.0).alias("bit_error"), F.col("class_id").alias("query_id"), F.col("class_id").alias("offset"), F.col("class_id").alias("hits")).where("false")
+    if block:
+        found = searched(block) if found is None else found.union(searched(block))
+    return classes.sparkSession.createDataFrame([], schema) if found is None else found
+
+
+def match_recordings(media: DataFrame, id_: str = "id", audio: str = "audio", is_query: str = "id % 100 = 0") -> DataFrame:
+    """id, n_ints, class_id (least id with the same fingerprint), and of the best query: query_id, offset, hits, bit_error (null without one).
+
+    Queries (is_query, over id) are represented by the least of their ids in each class.
+    """
+    prints, classes = _classes(media, id_, audio, is_query)
+    found = _searched(classes, search, "class_id long, bit_error double, query_id long, offset long, hits long")
     best = found.groupBy("class_id").agg(F.min(F.struct("bit_error", "query_id", "offset", "hits")).alias("b"))
     return prints.join(classes.select("fp", "class_id"), "fp").join(best, "class_id", "left").select("id", "n_ints", "class_id", "b.query_id", "b.offset", "b.hits", "b.bit_error")
 
 
+def match_pairs(media: DataFrame, id_: str = "id", audio: str = "audio", is_query: str = "id % 100 = 0") -> DataFrame:
+    """id, n_ints, class_id (least id with the same fingerprint), query_id, offset, overlap, hits, bit_error: a row for each query
+    of another class that the recording matches, or one with nulls.
+
+    Queries (is_query, over id) are represented by the least of their ids in each class.
+    """
+    prints, classes = _classes(media, id_, audio, is_query)
+    found = _searched(classes, search_all, "class_id long, query_id long, offset long, overlap long, hits long, bit_error double")
+    return prints.join(classes.select("fp", "class_id"), "fp").join(found, "class_id", "left").select("id", "n_ints", "class_id", "query_id", "offset", "overlap", "hits", "bit_error")
+
+
 def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Recordings of vectors: each number is a note, its pitch by the number's place between the vector's least and largest."""
     t = np.arange(HOP) / RATE

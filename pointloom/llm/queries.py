@@ -39,7 +39,7 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = op05_chroma_fingerprint.recordings(table(spark, sf_dir, "embeddings"))
-    return op05_chroma_fingerprint.match_recordings(media, "vec_id", "audio").withColumnRenamed("id", "vec_id")
+    return op05_chroma_fingerprint.match_pairs(media, "vec_id", "audio").withColumnRenamed("id", "vec_id")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

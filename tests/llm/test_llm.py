@@ -175,6 +175,37 @@ def test_recordings(spark):
     assert {r.id: r.offset for r in op5.match_recordings(shifted).collect()} == {100: 0, 101: -5}
 
 
+def clip(seed, notes=64):
+    """Samples of random notes."""
+    rng = np.random.default_rng(seed)
+    t = np.arange(notes * op5.HOP) / op5.RATE
+    return 4000 * np.sin(2 * np.pi * np.repeat(220 * 2 ** (rng.integers(0, 25, notes) / 12), op5.HOP) * t)
+
+
+def media_of(spark, clips):
+    return spark.createDataFrame([(i, bytearray(x.astype("<i2").tobytes())) for i, x in clips.items()], "id long, audio binary")
+
+
+def test_recordings_give_every_query_that_matches(spark, monkeypatch):
+    noise = lambda seed, n: np.random.default_rng(seed).normal(0, 250, n)
+    base, other = clip(1), clip(2)
+    n = len(base)
+    clips = {100: base, 200: base + noise(3, n), 300: other, 400: clip(4), 7: base.copy(), 8: np.concatenate([base + noise(5, n), other + noise(6, n)]), 9: clip(7), 10: np.zeros(3)}
+    prints = {i: op5.fingerprint(x.astype("<i2").astype(np.float32)) for i, x in clips.items()}
+    want = {100: {200}, 200: {100}, 7: {200}, 8: {100, 200, 300}, 300: set(), 400: set(), 9: set(), 10: set()}
+    for block in (op5.BLOCK, 1):
+        monkeypatch.setattr(op5, "BLOCK", block)
+        got = op5.match_pairs(media_of(spark, clips)).collect()
+        assert {i: {r.query_id for r in got if r.id == i} - {None} for i in clips} == want
+        assert {r.class_id for r in got if r.id in (7, 100)} == {7}
+        for r in got:
+            if r.query_id is not None:
+                a, x0 = prints[r.query_id], max(0, r.offset)
+                x1 = min(len(prints[r.id]), r.offset + len(a))
+                assert x1 - x0 == r.overlap >= op5.LEAST_OVERLAP
+                assert r.bit_error == op5.bit_error(prints[r.id][x0:x1], a[x0 - r.offset : x1 - r.offset]) <= op5.MOST_ERROR
+
+
 def test_toxicity(spark, odd, none):
     rng = np.random.default_rng(11)
     rows = []
