@@ -3,14 +3,15 @@
 Samples (16-bit, mono) become overlapping frames; the energy of each of twelve pitch classes makes a chroma frame, scaled to
 length one. Filters of rectangles over `SPAN` frames, summed by integral images, give two bits each (four levels in Gray
 code), packed to one 32-bit integer for every frame a span begins at. A recording is aligned to a query by the
-histogram of offsets at which their integers are equal; of the fullest offsets the one with the most agreeing bits beyond
-half of those that overlap counts. It is a match where at least `LEAST_OVERLAP` integers overlap and at most
+histogram of offsets at which their integers are equal; of all these offsets the one with the most agreeing bits beyond
+half of those that overlap counts, among those that match. It is a match where at least `LEAST_OVERLAP` integers overlap and at most
 `MOST_ERROR` of their bits differ.
 
 Queries are read in blocks of bounded size, each searched in all recordings. Equal fingerprints are one class, searched once,
 and every query but the class's own that matches is given; rows of one class_id are copies of each other.
 Null, empty and too short audio: an empty fingerprint, its class, and no match. Repeated rows fall into one class. Ties: the
-least offset. Other columns are ignored. `match_recordings` gives the best query alone, the class's own too.
+least offset. Other columns are ignored. `match_recordings` gives the best query alone, the class's own too,
+by the bit error of the `TOP_OFFSETS` fullest offsets.
 """
 
 from __future__ import annotations
@@ -138,11 +139,7 @@ def align_all(fp: np.ndarray, own: int | None, ids: np.ndarray, postings: tuple,
     """(query id, offset, overlap, hits, bit error) of each query but `own` that matches; `spelled` holds the queries in a row, query i from first[i] on."""
     q, off, hits = offsets(fp, postings)
     x0, x1 = np.maximum(0, off), np.minimum(len(fp), off + first[q + 1] - first[q])
-    order = np.lexsort((off, -hits, q))
-    rank = np.arange(len(q)) - np.searchsorted(q[order], q[order], "left")
-    fullest = np.zeros(len(q), bool)
-    fullest[order[rank < TOP_OFFSETS]] = True
-    keep = fullest & (x1 - x0 >= LEAST_OVERLAP) & (own is None or ids[q] != own)
+    keep = (x1 - x0 >= LEAST_OVERLAP) & (own is None or ids[q] != own)
     q, off, hits, x0, size = q[keep], off[keep], hits[keep], x0[keep], (x1 - x0)[keep]
     differ = np.zeros(len(q), np.int64)
     piece = np.cumsum(size) // PIECE

@@ -206,6 +206,32 @@ def test_recordings_give_every_query_that_matches(spark, monkeypatch):
                 assert r.bit_error == op5.bit_error(prints[r.id][x0:x1], a[x0 - r.offset : x1 - r.offset]) <= op5.MOST_ERROR
 
 
+def test_every_offset_is_scored():
+    rng = np.random.default_rng(8)
+    q = rng.integers(0, 1 << 32, 100, dtype=np.uint32)
+    flip = lambda x, n: x ^ np.bitwise_or.reduce([np.uint32(1) << rng.integers(0, 32, len(x)).astype(np.uint32) for _ in range(n)])
+    fp = flip(q, 3)  # noisy over the whole length, equal in one place
+    fp[50] = q[50]
+    # more hits at five wrong offsets, and an equal integer at the edge
+    for k, o in enumerate((7, -9, 13, -17, 21)):
+        for i in range(3):
+            fp[30 + 3 * k + i + 20 * (30 + 3 * k + i >= 50)] = q[30 + 3 * k + i + 20 * (30 + 3 * k + i >= 50) - o]
+    fp[99] = q[0]
+    ids, first = np.array([100]), np.array([0, 100])
+    q_, off, hits = op5.offsets(fp, op5._postings([q]))
+    rank = {o: sorted(zip(-hits, off)).index((-h, o)) for h, o in zip(hits, off)}
+    assert rank[0] >= op5.TOP_OFFSETS and 99 in rank
+    want = []
+    for o, h in zip(off.tolist(), hits.tolist()):
+        x0, x1 = max(0, o), min(100, o + 100)
+        e = op5.bit_error(fp[x0:x1], q[x0 - o : x1 - o])
+        if x1 - x0 >= op5.LEAST_OVERLAP and e <= op5.MOST_ERROR:
+            want.append((100, o, x1 - x0, h, e))
+    got = op5.align_all(fp, None, ids, op5._postings([q]), q, first)
+    assert got == want and [g[1] for g in got] == [0]
+    assert op5.align_all(fp, 100, ids, op5._postings([q]), q, first) == []
+
+
 def test_toxicity(spark, odd, none):
     rng = np.random.default_rng(11)
     rows = []
