@@ -3,8 +3,11 @@
 Base spans are pattern matches that pass a check (parts of an address, Luhn sum, number of digits). High-recall
 generators propose further, overlapping spans. Boosted trees score each proposal by its format (length,
 digits, separators, checks) and context (what stands before and behind it); proposals of a score above a
-calibrated threshold are added. Base spans always stay. The trees are fitted on the driver on a bounded sample of proposals
-of the input, labelled by whether a base span covers them, and run as SQL expressions.
+calibrated threshold are added. Base spans always stay. The trees are fitted on the driver and run as SQL expressions. They
+learn from what the base patterns miss: a bounded sample of the input's base spans, each rewritten so that no base pattern
+finds it (the '@' and dots spelled, the plus or country code gone, another number beside a card's), and of proposals inside
+base spans of another kind, which are none; and a fixed set of made-up examples, so that an input without base
+spans has a model too. Addresses (ip) have no such form: all valid ones are base spans, and none is added.
 
 Positions are code points, end exclusive: the pieces between matches and the matches alternate, so starts are sums of their lengths,
 built in blocks so that a text with many matches takes time in proportion.
@@ -14,6 +17,9 @@ Null and empty texts: no spans. Repeated rows get equal results. Other columns a
 
 from __future__ import annotations
 
+import json
+import random
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
-TRAIN_ROWS = 5000  # proposals that the trees are fitted on, at most; those of documents with the least hashes
+TRAIN_ROWS = 5000  # spans of the input that the trees are fitted on, at most; those of documents with the least hashes
+MADE_UP = 600  # examples of each kind besides
 TREES, RATE, PRECISION = 20, 0.3, 0.9
 BLOCK = 64
 
@@ -41,6 +48,7 @@ PROPOSED = {
 }
 PROPOSED_GUARD = {"email": r"[(\[]\x20?(?:at|AT)\x20?[)\]]", "ip": GUARD["ip"], "card": r"[0-9]{4}[\x20-]?[0-9]{4}", "phone": r"[0-9][\x20().-]{1,2}[0-9]{2}"}
 PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+DOT = r"[(\[]\x20?(?:dot|DOT)\x20?[)\]]"
 IP_OK = rf"^{PART}(?:\.{PART}){{3}}$"
 
 
@@ -96,6 +104,11 @@ FEATURES = {
     "dots": "length(regexp_replace(c.m, '[^.]', ''))",
     "luhn": f"int(length({_digits('c.m')}) > 0 and {_luhn('c.m')})",
     "parts": f"int(c.m rlike {_quoted(IP_OK)})",
+    "spelled": f"int(c.m rlike {_quoted(DOT)})",
+    "tight": "int(c.m rlike '[A-Za-z0-9-]\\\\.[A-Za-z]')",
+    "four_last": "int(c.m rlike '[^0-9][0-9]{4}$')",
+    "zero_first": "int(c.m rlike '^[(]?0')",
+    "year": "int(c.m rlike '^(?:19|20)[0-9]{2}[^0-9]|[^0-9](?:19|20)[0-9]{2}$')",
     "letters": "length(regexp_replace(c.m, '[^A-Za-z]', ''))",
     "runs_on": "int(substring(t, greatest(c.s, 1), if(c.s = 0, 0, 1)) rlike '[A-Za-z0-9_.,+-]') + int(substring(t, c.e + 1, 1) rlike '[A-Za-z0-9_@+-]')",
     "digit_near": "int(substring(t, greatest(c.s - 2, 1), least(c.s, 3)) rlike '[0-9]') + int(substring(t, c.e + 1, 3) rlike '[0-9]')",
@@ -185,20 +198,84 @@ def proposals(df: DataFrame, text: str = "text") -> DataFrame:
     return df
 
 
-def train(df: DataFrame) -> dict[str, Trees]:
-    """One model for each kind, of a bounded sample of the proposals; df has the columns of proposals() and doc_id."""
-    rows = df.select(F.xxhash64("doc_id").alias("u"), F.explode(F.concat(*(F.expr(f"transform(cand_{k}, c -> struct('{k}' as kind, c.s as s, c.known as known, c.f as f))") for k in KINDS))).alias("c")).orderBy("u", "c.kind", "c.s").limit(TRAIN_ROWS).select("c.kind", "c.known", "c.f").collect()
+def _rewritten(kind: str, m: str, i: int) -> list[tuple[str, str, str, int]]:
+    """(before, span, behind, label) of a base span, or of one like it, as the base patterns miss it; i picks the form."""
+    if kind == "email":
+        user, host = m.rsplit("@", 1)
+        at, dot = ((" (at) ", "."), (" (at) ", " (dot) "), ("[at]", "[dot]"), (" [AT] ", " [DOT] "), ("(at)", "."))[i % 5]
+        return [("", user + at + host.replace(".", dot), "", 1)]
+    if kind == "phone":
+        local = re.sub(r"^\+[0-9]+[ .-]*", "", m)
+        return [("", (m[1:], local, "-".join(re.findall("[0-9]+", local)), "00" + m[1:], " ".join(re.findall("[0-9]+", local)))[i % 5], "", 1)]
+    if kind == "card":
+        wrong = m[:-1] + str((int(m[-1]) + 1 + i % 9) % 10)
+        number = str(10 + 7 * i % 900)
+        return [(number + " ", x, "", y) if i % 2 else ("", x, " " + number, y) for x, y in ((m, 1), (wrong, 0))]
+    return []
+
+
+def _made_up() -> list[tuple[str, str, str, str, int]]:
+    """(kind, before, span, behind, label): spans of each kind as the base patterns miss them, and numbers, codes and sentences that are none."""
+    rng = random.Random(0)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randint(2, 9)))
+    part = lambda: str(rng.randint(10, 99))
+    plain = lambda: " ".join(word() for _ in range(rng.randint(0, 4)))
+    out = []
+    for i in range(MADE_UP):
+        cue = lambda words: f"{plain()} {rng.choice(words) if rng.random() < 0.4 else word()}{rng.choice((' ', ': '))}"
+        behind = rng.choice(("", ".", ", ", " ")) + rng.choice(("", " " + plain()))
+        host = ".".join(word() for _ in range(rng.randint(1, 2))) + "." + rng.choice(("org", "com", "net", "de", "fr", "es", "co.uk", "io"))
+        for before, m, after, y in _rewritten("email", rng.choice((word(), f"{word()}.{part()}", f"{word()}.{word()}")) + "@" + host, i):
+            out.append(("email", cue(("mail", "contact", "write to")) + before, m, after + behind, y))
+        none = rng.choice((f"{word()} (at) {word()}. {word().capitalize()}", f"{word()} (at) {digits(2)}.{part()}", f"{word()} [at] {word()}. {word()}", f"{word()} (at) {word()} {word()}. {word()}"))
+        out.append(("email", f"{plain()} ", none, f" {plain()}", 0))
+        area, mid, last = digits(3), digits(3), digits(4)
+        phone = rng.choice((f"+{rng.randint(1, 99)} ({area}) {mid}-{last}", f"+{rng.randint(1, 99)} {area} {mid} {last}", f"+{rng.randint(1, 99)} {area}-{mid}-{last}", f"+1 {area}.{mid}.{last}", f"+44 0{part()} {digits(4)} {last}"))
+        for before, m, after, y in _rewritten("phone", phone, i):
+            out.append(("phone", cue(("phone", "call", "tel.", "mobile")) + before, m, after + behind, y))
+        day = (rng.choice(("19", "20")) + part(), f"{rng.randint(1, 12):02d}", f"{rng.randint(1, 28):02d}")
+        sep = rng.choice("-.")
+        for none in (sep.join(day), sep.join(day[::-1]), f"{'-'.join(day)} {part()}", f"{part()}.{part()}.{part()}", f"{digits(3)}.{digits(3)}.{part()}.{digits(3)}", f"{rng.randint(1, 99)} {digits(3)} {digits(3)}", f"{digits(4)}-{digits(4)}-{digits(4)}", f"{digits(3)}-{part()}-{digits(4)}", f"{part()}-{part()}-{part()}", f"{digits(4)} {digits(4)} {digits(4)} {digits(4)}")[i % 2 :: 2]:
+            out.append(("phone", cue(("order no.", "version", "dated", "isbn", "part", "code", "from", "serial")), none, behind, 0))
+        body = rng.choice("3456") + digits(14)
+        total = sum(sum(divmod(2 * int(c), 10)) if k % 2 == 0 else int(c) for k, c in enumerate(body))
+        card = body + str(-total % 10)
+        if i % 4 > 1:
+            card = rng.choice(" -").join(card[k : k + 4] for k in range(0, 16, 4))
+        for before, m, after, y in _rewritten("card", card, i):
+            out.append(("card", cue(("card", "visa", "paid by")) + before, m, after + behind, y))
+    return out
+
+
+def train(df: DataFrame, text: str = "text") -> dict[str, Trees]:
+    """One model for each kind; df has the text and the columns of proposals() and doc_id."""
+    around = lambda x: f"substring({text}, greatest({x}.s - 19, 1), least({x}.s, 20)) as before, substring({text}, {x}.s + 1, {x}.e - {x}.s) as m, substring({text}, {x}.e + 1, 12) as behind"
+    base = [F.expr(f"transform(base_{k}, b -> struct('{k}' as kind, b.s as s, true as own, {around('b')}))") for k in KINDS]
+    other = lambda k: "concat(" + ", ".join(f"base_{o}" for o in KINDS if o != k) + ")"
+    none = [F.expr(f"transform(filter(cand_{k}, c -> not c.known and exists({other(k)}, b -> b.s <= c.s and c.e <= b.e)), c -> struct('{k}' as kind, c.s as s, false as own, {around('c')}))") for k in KINDS]
+    rows = df.select(F.xxhash64("doc_id").alias("u"), F.explode(F.concat(*base, *none)).alias("c")).orderBy("u", "c.kind", "c.s", "c.own", "c.m").limit(TRAIN_ROWS).select("c.kind", "c.own", "c.before", "c.m", "c.behind").collect()
+    made = _made_up()
+    for i, (kind, own, before, m, behind) in enumerate(rows):
+        made += [(kind, before + b, x, a + behind, y) for b, x, a, y in _rewritten(kind, m, i)] if own else [(kind, before, m, behind, 0)]
+    made = [(i, *x) for i, x in enumerate(random.Random(1).sample(made, len(made)))]
+    # as a literal: rows of the driver would pass through Python workers
+    literal = json.dumps([{"i": i, "kind": k, "s": len(b), "e": len(b) + len(m), "y": y, "t": b + m + a} for i, k, b, m, a, y in made])
+    shown = df.sparkSession.range(0, 1, 1, 1).select(F.inline(F.from_json(F.lit(literal), "array<struct<i:int,kind:string,s:int,e:int,y:int,t:string>>")))
+    shown = proposals(base_spans(shown, "t"), "t")
+    hits = F.concat(*(F.expr(f"transform(filter(cand_{k}, c -> kind = '{k}' and not c.known and c.s = s and c.e >= e), c -> c.f)") for k in KINDS))
+    found = shown.select("i", "kind", "y", F.explode(hits).alias("f")).collect()
     out = {}
     for kind in KINDS:
-        mine = [r for r in rows if r[0] == kind]
-        out[kind] = fit(np.array([list(r[2]) for r in mine], float).reshape(len(mine), len(FEATURES)), np.array([int(r[1]) for r in mine]))
+        mine = sorted((r[0], r[2], tuple(r[3])) for r in found if r[1] == kind)
+        out[kind] = fit(np.array([f for _, _, f in mine], float).reshape(len(mine), len(FEATURES)), np.array([y for _, y, _ in mine]))
     return out
 
 
 def find_spans(df: DataFrame, text: str = "text", models: dict[str, Trees] | None = None) -> DataFrame:
     """Adds base_<kind> (s, e, m) and added_<kind> (s, e, score) arrays to df."""
     df = proposals(base_spans(df, text), text)
-    models = models or train(df)
+    models = models or train(df, text)
     for kind in KINDS:
         df = df.withColumn(f"added_{kind}", F.expr(f"filter(transform(filter(cand_{kind}, c -> not c.known), c -> struct(c.s as s, c.e as e, aggregate(array(c.f), 0D, (a, f) -> {_sql(models[kind])}) as score)), c -> c.score >= {models[kind].threshold!r}D)")).drop(f"cand_{kind}")
     return df

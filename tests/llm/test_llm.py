@@ -104,6 +104,26 @@ def test_personal_data(spark, odd, none):
     assert text[7] == "mail [EMAIL] or [CARD] at [IP], [PHONE]" and text[0] is None
 
 
+def test_what_base_patterns_miss_is_added(spark):
+    hidden = {
+        0: ("write to jane (at) example (dot) org today", "jane (at) example (dot) org"),
+        1: ("or joe.b [at] mail.example.com, he said", "joe.b [at] mail.example.com"),
+        2: ("call (555) 123-4567 now", "(555) 123-4567"),
+        3: ("the people there said 555-123-4567, twice", "555-123-4567"),
+        4: ("paid by 4111111111111111 12345 then", "4111111111111111"),
+    }
+    plain = {10: "we meet (at) noon. Then we go", 11: "it was 2024-01-02 10 and dated 02.01.2024", 12: "version 10.20.30 of the code", 13: "from 43.21.141.162 on", 14: "paid by 4111111111111112 12345 then", 15: "order no. 1234-5678-9012"}
+    noise = [(100 + i, prose(500 + i, 40)) for i in range(20)]
+    base = [(200 + i, f"{prose(600 + i, 10)} a{i}.b@c{i}.com +1 (555) 555-{1000 + i} 10.0.0.{i} {prose(700 + i, 10)}") for i in range(40)]
+    for more in (noise, noise + base):  # with and without spans to learn from
+        docs = spark.createDataFrame([*((i, t) for i, (t, _) in hidden.items()), *plain.items(), *more], "doc_id long, text string")
+        text = {r.doc_id: r.text for r in docs.collect()}
+        got = {r.doc_id: r for r in op3.personal_data(docs).collect()}
+        spans = {i: [text[i][int(s) : int(e)] for _, s, e in (x.split(":") for x in r.spans.split(",") if x)] for i, r in got.items()}
+        assert {i: spans[i] for i in hidden} == {i: [m] for i, (_, m) in hidden.items()}
+        assert all(got[i].n_added == 1 for i in hidden) and all(r.n_added == 0 for i, r in got.items() if i not in hidden)
+
+
 def test_many_matches_keep_their_places(spark):
     text = " ".join(f"u{i}@h{i}.org" for i in range(1000))
     df = op3.base_spans(spark.createDataFrame([(text,)], "text string"))
