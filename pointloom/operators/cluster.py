@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pointloom.functions.vectors import METRICS
 from pointloom.operators.neighbors import radius_join
 from pointloom.operators.session import cut
+from pointloom.operators.stats import canonical_axes, covariance
 
 
 def assign(df: DataFrame, centroids: np.ndarray, metric: str = "l2") -> DataFrame:
@@ -87,7 +88,7 @@ DENSE_LIMIT = 5000
 def laplacian_embedding(entries: DataFrame, n: int, k: int, kind: str = "normalized_symmetric") -> tuple[np.ndarray, np.ndarray]:
     """(eigenvalues ascending, n x k vectors) of the graph with COO entries (row, col, value), row and col from 0 to n - 1.
 
-    Up to DENSE_LIMIT nodes by a dense solver on the driver, beyond by Lanczos steps whose products are aggregations.
+    Up to DENSE_LIMIT nodes by a dense solver on the driver, beyond by block Lanczos steps whose products are aggregations.
     """
     if n <= DENSE_LIMIT:
         a = np.zeros((n, n))
@@ -105,16 +106,18 @@ def laplacian_embedding(entries: DataFrame, n: int, k: int, kind: str = "normali
             deg[c] = v
         s = np.where(deg > 0, 1 / np.sqrt(np.where(deg > 0, deg, 1)), 0)
 
+        entries = cut(entries.select("row", "col", "value"))
+
         def product(x: np.ndarray) -> np.ndarray:
-            spark = entries.sparkSession
-            y = (x if kind == "unnormalized" else s * x).tolist()
-            shared = spark.createDataFrame(list(enumerate(y)), "col long, x double")
-            out = np.zeros(n)
-            for r, v in entries.join(shared, "col").groupBy("row").agg(F.sum(F.col("value") * F.col("x"))).toLocalIterator():
+            spark, width = entries.sparkSession, x.shape[1]
+            y = x if kind == "unnormalized" else s[:, None] * x
+            shared = spark.createDataFrame(list(zip(range(n), y.tolist(), strict=True)), "col long, x array<double>")
+            out = np.zeros((n, width))
+            for r, *v in entries.join(shared, "col").groupBy("row").agg(*(F.sum(F.col("value") * F.col("x")[i]) for i in range(width))).toLocalIterator():
                 out[r] = v
-            return deg * x - out if kind == "unnormalized" else x - s * out
+            return deg[:, None] * x - out if kind == "unnormalized" else x - s[:, None] * out
 
-        values, vectors = lanczos(product, n, k)
+        values, vectors = block_lanczos(product, n, k)
     values, vectors = np.maximum(values[:k], 0), vectors[:, :k]
     if kind == "normalized_symmetric":
         size = np.linalg.norm(vectors, axis=1, keepdims=True)
@@ -147,6 +150,30 @@ def lanczos(product, n: int, k: int, steps: int | None = None, seed: int = 0) ->
     return values[:k], q[:, :m] @ y[:, :k]
 
 
+def block_lanczos(product, n: int, k: int, seed: int = 0, tol: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
+    """The k smallest eigenpairs of a symmetric operator of columns, each with a residual below tol; equal eigenvalues are found up to k + 2 times."""
+    width = min(n, k + 2)
+    q = np.linalg.qr(np.random.default_rng(seed).standard_normal((n, width)))[0]
+    basis, image = q, product(q)
+    while True:
+        h = basis.T @ image
+        values, y = np.linalg.eigh((h + h.T) / 2)
+        vectors = basis @ y[:, :k]
+        residual = np.linalg.norm(image @ y[:, :k] - vectors * values[:k], axis=0)
+        room = n - basis.shape[1]
+        if residual.max() < tol or room == 0:
+            return values[:k], vectors
+        w = image[:, -q.shape[1] :]
+        for _ in range(2):
+            w = w - basis @ (basis.T @ w)
+        u, size, _ = np.linalg.svd(w, full_matrices=False)
+        q = u[:, size > 1e-10][:, :room]
+        if not q.shape[1]:
+            return values[:k], vectors
+        q = np.linalg.qr(q - basis @ (basis.T @ q))[0]
+        basis, image = np.hstack([basis, q]), np.hstack([image, product(q)])
+
+
 def eigengap(values: np.ndarray) -> int:
     """Number of clusters: where the gap between ascending eigenvalues is largest, the first compared with the least value itself."""
     gaps = np.diff(values)
@@ -193,3 +220,17 @@ def scaling(pairs: DataFrame, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(-np.abs(values), kind="stable")[:k]
     values = np.maximum(values[order], 0)
     return values, vectors[:, order] * np.sqrt(values)
+
+
+def scaling_of_points(df: DataFrame, dim: int, k: int) -> tuple[np.ndarray, DataFrame]:
+    """Classical multidimensional scaling of the l2 distances of the points (id, p): (eigenvalues, (id, x) with k coordinates).
+
+    The double-centered matrix is that of the products of the centered points, so its eigenpairs follow from their
+    covariance, and no distance is computed. Axes have the signs of canonical_axes.
+    """
+    mean, c, n = covariance(df, dim)
+    values, vectors = canonical_axes(c)
+    # the covariance divides by n - 1
+    values, k = np.maximum(values[:k], 0) * (n - 1), min(k, dim)
+    x = [sum(((F.col("p")[i] - float(mean[i])) * float(vectors[i, j]) for i in range(dim)), F.lit(0.0)) for j in range(k)]
+    return values, df.select("id", F.array(*x).alias("x"))

@@ -517,10 +517,14 @@ def meanshift_modes(spark, d):
 
 @query()
 def spectral(spark, d):
-    e = embeddings64(spark, d).where("id < 200")
-    edges = graph.matrix(neighbors.neighbors(e, e, neighbors.KNN(10)), ev.rbf(1.0), "dense")
-    labels = cluster.spectral_clusters(edges, 200, 3)
-    return spark.createDataFrame([(i, int(k)) for i, k in enumerate(labels)], "id long, cluster int")
+    e = embeddings64(spark, d)
+    ids = [r[0] for r in e.select("id").orderBy("id").collect()]
+    edges = neighbors.neighbors(e, e, neighbors.KNN(10))
+    for c in ("q", "r"):  # nodes are numbered in the order of their ids
+        edges = edges.join(spark.createDataFrame(list(enumerate(ids)), f"at long, {c} long"), c).drop(c).withColumnRenamed("at", c)
+    edges = graph.matrix(edges, ev.rbf(1.0), "dense")
+    labels = cluster.spectral_clusters(edges, len(ids), 3)
+    return spark.createDataFrame([(i, int(k)) for i, k in zip(ids, labels, strict=True)], "id long, cluster int")
 
 
 SMALL = f"WITH {EMB}, s AS (SELECT * FROM e WHERE id < 60), d AS (SELECT a.id AS i, b.id AS j, {D2} AS d2 FROM s a, s b)"
@@ -535,10 +539,8 @@ def mds_double_center(spark, d):
 
 @query()
 def mds(spark, d):
-    e = embeddings64(spark, d).where("id < 60")
-    pairs = neighbors.block_knn(e, e, 60).select(F.col("q").alias("i"), F.col("r").alias("j"), F.col("value").alias("d2"))
-    values, x = cluster.scaling(pairs, 60, 2)
-    return spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "id long, x double, y double")
+    _, x = cluster.scaling_of_points(embeddings64(spark, d), 64, 2)
+    return x.select("id", F.col("x")[0].alias("x"), F.col("x")[1].alias("y"))
 
 
 @query(f"WITH g AS ({KNN3}), b AS (SELECT r AS row, q AS col FROM g UNION SELECT q, r FROM g) SELECT col, count(*)::DOUBLE AS degree FROM b GROUP BY col")
