@@ -68,8 +68,8 @@ def top_k(edges: DataFrame, k: int) -> DataFrame:
     return edges.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
 
 
-def block_knn(q: DataFrame, r: DataFrame, k: int, metric: str = "l2") -> DataFrame:
-    """All pairs of blocks of bounded size, each giving its best k; the best of those follow."""
+def block_knn(q: DataFrame, r: DataFrame, k: int, metric: str = "l2", digits: int | None = None) -> DataFrame:
+    """All pairs of blocks of bounded size, each giving its best k; the best of those follow. digits: values are rounded before they are compared."""
     _check(k)
     nq, nr = (max(1, -(-df.count() // BLOCK_ROWS)) for df in (q, r))
     deal = lambda df, mine, others, a, b: df.select("id", "p", F.pmod(F.xxhash64("id"), F.lit(mine)).alias(a), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))).alias(b))
@@ -90,6 +90,7 @@ def block_knn(q: DataFrame, r: DataFrame, k: int, metric: str = "l2") -> DataFra
                 d = np.where(d > np.pi, d - 2 * np.pi, np.where(d < -np.pi, d + 2 * np.pi, d))
             else:
                 d = (d * d).sum(1)
+            d = d if digits is None else np.round(d, digits)
             top = np.argsort(d, kind="stable")[:k]
             out[0].append(np.full(len(top), i))
             out[1].append(ri[top])

@@ -242,6 +242,18 @@ def knn_grid(spark, d):
     return _hits(neighbors.neighbors(p.where("id % 10 = 0"), p, neighbors.KNN(6)))
 
 
+@query()
+def knn_so2_all(spark, d):
+    p = part2(spark, d)
+    return _hits(neighbors.block_knn(p, p, 4, "so2", 9))
+
+
+@query()
+def knn_grid_all(spark, d):
+    p = part2(spark, d)
+    return _hits(neighbors.neighbors(p, p, neighbors.KNN(6)))
+
+
 EDGES = f"WITH RECURSIVE {PART}, c AS (SELECT a.id AS q, b.id AS r, (a.x0 - b.x0) * (a.x0 - b.x0) + (a.x1 - b.x1) * (a.x1 - b.x1) AS v FROM p a JOIN p b ON abs(a.x0 - b.x0) <= 0.03 AND abs(a.x1 - b.x1) <= 0.03)"
 
 
@@ -511,7 +523,7 @@ def meanshift_1_step(spark, d):
 @query()
 def meanshift_modes(spark, d):
     p = part2(spark, d)
-    modes, label = cluster.mean_shift(p.where("id % 20 = 0"), p, 0.2, 0.1, max_iter=20, tol=1e-4, dim=2)
+    modes, label = cluster.mean_shift(p, p, 0.2, 0.1, max_iter=20, tol=1e-4, dim=2)
     return spark.createDataFrame([(int(i), int(k), *map(float, modes[k])) for i, k in label.items()], "id long, cluster int, m0 double, m1 double")
 
 
@@ -696,7 +708,7 @@ def rigid_point_to_point(spark, d):
 
 @query()
 def icp_point(spark, d):
-    o = orders3(spark, d).where("id % 8 = 0").select("id", "p")
+    o = orders3(spark, d).select("id", "p")
     src = cloud.transform(o, [[0.9998, -0.02, 0.0], [0.02, 0.9998, 0.0], [0.0, 0.0, 1.0]], [0.002, -0.003, 0.001])
     reg = registration.Registration(o, src, max_distance=0.01, max_iter=5)
     r, t, rounds, _ = reg.run()

@@ -160,6 +160,27 @@ def test_spectral_and_scaling_cover_all_rows(spark, tmp_path, monkeypatch):
     assert np.allclose(cluster.scaling_of_points(frame(spark, x), 64, 2)[0], values[:-3:-1])
 
 
+def test_searches_and_modes_cover_all_parts(spark, tmp_path):
+    rng = np.random.default_rng(14)
+    size, price = rng.integers(1, 51, 70), 900 + rng.integers(0, 800, 70) / 8
+    spark.createDataFrame([(i + 1, int(a), float(b)) for i, (a, b) in enumerate(zip(size, price))], "p_partkey long, p_size int, p_retailprice double").write.parquet(str(tmp_path / "part.parquet"))
+    x = np.stack([size / 50, (price - 900) / 100], 1)
+    gap = x[None] - x[:, None]
+    for name, v, k in (("knn_so2_all", np.round(gap[:, :, 1], 9), 4), ("knn_grid_all", (gap**2).sum(2), 6)):
+        got = {(r.q, r["rank"]): r.value for r in QUERIES[name](spark, str(tmp_path)).collect()}
+        assert len(got) == 70 * k
+        assert all(abs(got[i + 1, n] - w) < 1e-8 for i in range(70) for n, w in enumerate(np.sort(v[i])[:k]))
+    got = {r.id: (r.m0, r.m1) for r in QUERIES["meanshift_modes"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == list(range(1, 71))
+
+
+def test_icp_takes_all_orders(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(registration.Registration, "run", lambda self: seen.extend((self.dst.count(), self.src.count())) or (np.eye(3), np.zeros(3), 1, True))
+    QUERIES["icp_point"](spark, SF)
+    assert seen == [spark.read.parquet(f"{SF}/orders.parquet").count()] * 2
+
+
 def test_smallest_eigenpairs_with_repeats():
     a = np.diag([0.0, 0, 0, *np.linspace(0.05, 2, 397)])
     u = np.linalg.qr(np.random.default_rng(13).standard_normal((400, 400)))[0]
