@@ -144,18 +144,18 @@ def test_ply_round_trip(spark, tmp_path):
 def test_spectral_and_scaling_cover_all_rows(spark, tmp_path, monkeypatch):
     rng = np.random.default_rng(12)
     centers = rng.standard_normal((3, 64)) * 20
-    x = np.array([centers[i % 3] + 0.05 * rng.standard_normal(64) for i in range(90)])
+    x = np.array([centers[i % 3] + 0.05 * rng.standard_normal(64) for i in range(270)])
     spark.createDataFrame([(i + 7, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
-    for limit in (5000, 50):  # dense and by products
+    for limit in (5000, 100):  # dense and by products
         monkeypatch.setattr(cluster, "DENSE_LIMIT", limit)
         got = {r.id: r.cluster for r in QUERIES["spectral"](spark, str(tmp_path)).collect()}
-        assert sorted(got) == list(range(7, 97)) and len({(i % 3, got[i + 7]) for i in range(90)}) == len(set(got.values())) == 3
+        assert sorted(got) == list(range(7, 277)) and len({(i % 3, got[i + 7]) for i in range(270)}) == len(set(got.values())) == 3
     got = {r.id: (r.x, r.y) for r in QUERIES["mds"](spark, str(tmp_path)).collect()}
     d2 = ((x[:, None] - x[None]) ** 2).sum(2)
-    j = np.eye(90) - 1 / 90
+    j = np.eye(270) - 1 / 270
     values, vectors = np.linalg.eigh(-0.5 * j @ d2 @ j)
     want = vectors[:, -2:] * np.sqrt(values[-2:])
-    mine = np.array([got[i + 7] for i in range(90)])
+    mine = np.array([got[i + 7] for i in range(270)])
     assert np.allclose(mine @ mine.T, want @ want.T, atol=1e-6 * values[-1])
     assert np.allclose(cluster.scaling_of_points(frame(spark, x), 64, 2)[0], values[:-3:-1])
 
