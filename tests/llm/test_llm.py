@@ -94,6 +94,24 @@ def test_backoff(spark, odd, none):
     assert op2.backoff_scores(none).count() == 0
 
 
+def test_backoff_of_trigrams(spark, odd, tmp_path):
+    from pointloom.llm.queries import QUERIES
+
+    odd.write.parquet(str(tmp_path / "documents.parquet"))
+    words = [[w.lower() for w in re.findall(r"[^\x20\x09-\x0D]+", r.text or "")] for r in odd.collect()]
+    c = Counter(tuple(x[i : i + n]) for x in words for n in (1, 2, 3) for i in range(len(x) - n + 1))
+    total = sum(map(len, words))
+
+    def score(g):
+        if len(g) == 1:
+            return np.log(c[g] / total)
+        return np.log(c[g] / c[g[:-1]]) if c[g] >= op2.MIN_COUNT else np.log(op2.BACKOFF) + score(g[1:])
+
+    want = [(len(x), round(sum(score(tuple(x[max(0, i - 2) : i + 1])) for i in range(len(x))), 3)) for x in words]
+    got = QUERIES["op2_lm_scoring_trigrams"](spark, str(tmp_path)).collect()
+    assert np.allclose(sorted((r.n_words, r.log_score) for r in got), sorted(want), atol=2e-3)
+
+
 def test_personal_data(spark, odd, none):
     got = {r.doc_id: r for r in op3.personal_data(odd).collect()}
     r = got[7]
