@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
-import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -18,29 +19,66 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session, or a temporary one where unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session. In local mode alone, where all run in one machine, a temporary one if unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="pointloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write df as Parquet in the shared folder and read it again.
+# A step's settings: texts go to Python in small batches, and shuffle files go once the step's table is written.
+STEP = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+}
 
-    Unreferenced shuffle files of the finished job are given back at once.
-    """
+
+@contextlib.contextmanager
+def step_settings(spark: SparkSession):
+    """STEP within, the session's own settings afterwards."""
+    before = {k: spark.conf.get(k, None) for k in STEP}
+    for k, v in STEP.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage: write df as Parquet in the shared folder, under STEP, and read it again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with step_settings(spark):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._pointloom_path = path
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
     return out
 
 
+def bucketed(df: DataFrame, key: str, buckets: int) -> tuple[DataFrame, Callable[[], None]]:
+    """df as a table in the shared folder, bucketed by key, so that steps which group or join by it exchange only the other side; and what deletes it."""
+    spark = df.sparkSession
+    name = f"pointloom_{uuid.uuid4().hex}"
+    buckets = min(buckets, 50_000)
+    path = f"{shared_dir(spark)}/{name}"
+    with step_settings(spark):
+        df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
+    out = spark.table(name)
+    out._pointloom_path = path
+
+    def drop() -> None:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        release(out)
+
+    return out, drop
+
+
 def release(*frames: DataFrame) -> None:
     """Delete tables that materialize() wrote, once nothing reads them any more."""
     for df in frames:
@@ -51,11 +89,23 @@ def release(*frames: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """df; from now on its session sends texts to Python in batches of 1000 rows and a few MB at most, so that a worker's memory is bounded."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
-    return df
+HOT = 1000  # keys with more than this part of the rows are hot, so there are fewer than HOT of them
+
+
+def hot_keys(counts: DataFrame, rows: str, keys: list[str]) -> DataFrame:
+    """(keys, ways): those of `counts` that hold more than 1/HOT of the sum of `rows`, fewer than HOT by that, and into how many parts to deal each."""
+    total = counts.agg(F.sum(rows)).first()[0] or 0
+    return counts.where(F.col(rows) > max(HOT, total / HOT)).select(*keys, F.ceil(F.col(rows) * HOT / F.lit(float(max(1, total)))).cast("int").alias("ways"))
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame, spread: str) -> DataFrame:
+    """Inner join of left and right by keys; a hot key (see hot_keys) of left is dealt by the column `spread`, its rows of right are repeated for each part."""
+    hot = F.broadcast(hot)  # fewer than HOT rows
+    ways = F.coalesce("ways_", F.lit(1))
+    hot = hot.withColumnRenamed("ways", "ways_")
+    many = left.join(hot, keys, "left").withColumn("salt_", F.pmod(F.xxhash64(spread), ways).cast("int")).drop("ways_")
+    each = right.join(hot, keys, "left").withColumn("salt_", F.explode(F.sequence(F.lit(0), ways - 1))).drop("ways_")
+    return many.join(each, [*keys, "salt_"]).drop("salt_")
 
 
 def fold(doc_id: str = "doc_id"):

@@ -14,8 +14,12 @@ neighbours, so a text falls into segments; equal windows lie in segments with th
 5. Split anchors are merged: each shard sends the sorted fingerprints of its windows, and the sorted runs are
    searched in each other by binary search.
 
-Null and empty texts: no spans. Texts shorter than `length` have none. Repeated rows are copies. Other columns
-are ignored.
+Hot anchors and contents (copies of one passage) never meet in one task: rows are counted before any join, and the few
+keys with more than a thousandth of the rows are salted.
+
+Null and empty texts: no spans (an empty list). Texts shorter than `length` have none. Repeated rows are copies of each other, the id
+included. Ties do not arise: every covered byte goes. Very long texts are read in overlapping pieces. An empty table gives an
+empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import RollingHash, materialize, mix, release, small_batches, text_chunks
+from pointloom.llm.common import CHUNK_BYTES, RollingHash, hot_keys, materialize, mix, release, salted_join, text_chunks
 
 LENGTH, GRAM = 400, 64
 SHARD_BYTES = 1 << 20  # aimed at
@@ -47,9 +51,12 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def segments(batches: Iterator[pa.RecordBatch], length: int = LENGTH, gram: int = GRAM) -> Iterator[pa.RecordBatch]:
-    """Rows (k1, k2, cnt, s, slen, akey, h): the windows that begin in s..s+slen-length share an anchor."""
+    """Rows (k1, k2, cnt, s, slen, akey, h): the windows that begin in s..s+slen-length share an anchor.
+
+    Long texts are read in pieces that overlap by length - 1 bytes, so that every window begins in one piece.
+    """
     one = RollingHash(11)
-    for rows, raw in text_chunks(batches):
+    for rows, row, offset, raw in pieces(batches, length - 1):
         lens = np.fromiter(map(len, raw), np.int64, len(raw))
         ends = np.cumsum(lens)
         buf = np.frombuffer(b"".join(raw), np.uint8)
@@ -71,18 +78,29 @@ def segments(batches: Iterator[pa.RecordBatch], length: int = LENGTH, gram: int
         last = stops[np.searchsorted(stops, first, "right")]
         end = last - 1 + length
         d = doc[first]
-        pick = pa.array(d)
+        pick = pa.array(row[d])
         yield pa.RecordBatch.from_arrays(
-            [rows.column("k1").take(pick), rows.column("k2").take(pick), rows.column("cnt").take(pick), pa.array((first - (ends - lens)[d]).astype(np.int32)), pa.array((end - first).astype(np.int32)), pa.array(grams[anchor[first]].view(np.int64)), pa.array(one.ranges(p1, first, end).view(np.int64))],
+            [rows.column("k1").take(pick), rows.column("k2").take(pick), rows.column("cnt").take(pick), pa.array((first - (ends - lens)[d] + offset[d]).astype(np.int32)), pa.array((end - first).astype(np.int32)), pa.array(grams[anchor[first]].view(np.int64)), pa.array(one.ranges(p1, first, end).view(np.int64))],
             names=["k1", "k2", "cnt", "s", "slen", "akey", "h"],
         )
 
 
+def pieces(batches: Iterator[pa.RecordBatch], overlap: int, limit: int = CHUNK_BYTES) -> Iterator[tuple]:
+    """(rows, row of each piece, its first byte, its bytes): about `limit` bytes at a time, long texts in overlapping pieces."""
+    for rows, raw in text_chunks(batches, limit):
+        if sum(map(len, raw)) <= 2 * limit:
+            yield rows, np.arange(len(raw)), np.zeros(len(raw), np.int64), raw
+            continue
+        for i, text in enumerate(raw):
+            for lo in range(0, max(1, len(text) - overlap), limit):
+                yield rows, np.array([i]), np.array([lo]), [text[lo : lo + limit + overlap]]
+
+
 SEGMENTS = "k1 long, k2 long, cnt long, s int, slen int, akey long, h long"  # akey and h are 128 bits of a segment's content
 
 
-def suffix_array(buf: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in the order of their first `depth` bytes (a zero ends the buffer): groups that are not yet sorted are refined by the rank of what follows, with doubled steps."""
+def suffix_array(buf: np.ndarray) -> np.ndarray:
+    """The suffixes in full order (a zero ends the buffer): groups that are not yet sorted are refined by the rank of what follows, with doubled steps, until none is left."""
     n = len(buf)
     padded = np.concatenate([buf, np.zeros(8, np.uint8)]).astype(np.uint64)
     key = np.zeros(n, np.uint64)
@@ -96,7 +114,7 @@ def suffix_array(buf: np.ndarray, depth: int) -> np.ndarray:
     rank[sa] = np.maximum.accumulate(np.where(head[:n], np.arange(n), 0))
     rank[n] = -1
     h = 8
-    while h < depth:
+    while True:
         open_ = np.flatnonzero(~(head[:n] & head[1:]))
         if not len(open_):
             break
@@ -111,7 +129,7 @@ def suffix_array(buf: np.ndarray, depth: int) -> np.ndarray:
 
 
 def common_prefixes(buf: np.ndarray, sa: np.ndarray, cap: int, lane: int = 256) -> np.ndarray:
-    """lcp[r]: bytes, at most cap, that suffix sa[r] shares with sa[r-1]. Kasai's order of text places, where the value falls by one at most, in lanes of consecutive places that advance together."""
+    """lcp[r]: bytes, at most cap, that suffix sa[r] shares with sa[r-1], sa being in full order. Kasai's order of text places, where the value falls by one at most, in lanes of consecutive places that advance together."""
     n = len(buf)
     before = np.empty(n, np.int64)
     before[sa[1:]], before[sa[0]] = sa[:-1], -1
@@ -141,7 +159,7 @@ def shard_windows(parts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray,
     """(place, class, size): the windows of the parts laid end to end, with a class for each content and the class's size."""
     lens = np.fromiter(map(len, parts), np.int64, len(parts))
     buf = np.frombuffer(b"".join(parts), np.uint8)
-    sa = suffix_array(buf, length)
+    sa = suffix_array(buf)
     lcp = common_prefixes(buf, sa, length)
     ends = np.repeat(np.cumsum(lens), lens)
     kind = np.cumsum(lcp < length)
@@ -227,32 +245,38 @@ def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (start, end, start, end ... in bytes) of each document."""
-    keyed = small_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", F.octet_length("text").cast("long").alias("n_bytes"), F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(7), "text").alias("k2"))
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select("doc_id", text.alias("text")).select("doc_id", "text", F.octet_length("text").cast("long").alias("n_bytes"), F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(7), "text").alias("k2"))
     long = keyed.where(F.col("n_bytes") >= LENGTH)
     texts = materialize(long.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count("*").alias("cnt")))
     every = materialize(texts.mapInArrow(segments, SEGMENTS))
-    anchors = every.groupBy("akey").agg(F.sum("cnt").alias("n")).where("n > 1").select("akey")
-    segs = materialize(every.join(anchors, "akey", "left_semi"))
-    release(every)
-    kinds = materialize(segs.groupBy("akey", "h").agg(F.sum("cnt").alias("c"), F.min(F.struct("k1", "k2", "s", "slen")).alias("at")))
+    # anchors that occur again; the hot ones are few by their share of the rows, and no row of theirs is exchanged by its anchor
+    anchors = materialize(every.groupBy("akey").agg(F.sum("cnt").alias("n"), F.count("*").alias("rows")).where("n > 1"))
+    hot = hot_keys(anchors, "rows", ["akey"])
+    cold = every.join(F.broadcast(hot), "akey", "left_anti").join(anchors.select("akey"), "akey", "left_semi")
+    segs = materialize(every.join(F.broadcast(hot), "akey", "left_semi").unionByName(cold))
+    release(every, anchors)
+    kinds = materialize(segs.groupBy("akey", "h").agg(F.sum("cnt").alias("c"), F.count("*").alias("rows"), F.min(F.struct("k1", "k2", "s", "slen")).alias("at")))
     # one segment of a group of copies stands for all of them
-    groups = kinds.groupBy("akey").agg(F.count("*").alias("n"), F.min("c").alias("least"), F.sum(F.col("at.slen").cast("long")).alias("bytes")).where("n > 1 AND least = 1")
+    groups = materialize(kinds.groupBy("akey").agg(F.count("*").alias("n"), F.min("c").alias("least"), F.sum(F.col("at.slen").cast("long")).alias("bytes")).where("n > 1 AND least = 1"))
     total = groups.agg(F.sum("bytes")).first()[0] or 0
     shards = max(1, int(total // SHARD_BYTES))
     ways = F.when(F.col("bytes") > SPLIT_BYTES, F.ceil(F.col("bytes") / F.lit(SPLIT_BYTES / 2))).otherwise(F.lit(1))
-    open_ = kinds.join(groups.select("akey", ways.cast("long").alias("ways")), "akey").select(
-        "akey", "h", "at.*", (F.col("ways") > 1).alias("split"), F.when(F.col("ways") > 1, F.xxhash64("akey", F.pmod("h", "ways"))).otherwise(F.pmod("akey", F.lit(shards))).alias("shard")
-    )
+    dealt = salted_join(kinds, groups.select("akey", ways.cast("long").alias("ways"), "n"), ["akey"], hot_keys(groups, "n", ["akey"]), "h")
+    open_ = dealt.select("akey", "h", "at.*", (F.col("ways") > 1).alias("split"), F.when(F.col("ways") > 1, F.xxhash64("akey", F.pmod("h", "ways"))).otherwise(F.pmod("akey", F.lit(shards))).alias("shard"))
     wanted = open_.groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "slen", "akey", "h", "split", "shard")).alias("w"))
-    parts = wanted.join(texts.select("k1", "k2", "text"), ["k1", "k2"]).select("text", F.explode("w").alias("w")).select("w.shard", "w.split", "w.akey", "w.h", F.expr("substring(cast(text as binary), w.s + 1, w.slen)").alias("bytes"))
+    raw = wanted.join(texts.select("k1", "k2", "text"), ["k1", "k2"]).select(F.col("text").cast("binary").alias("raw"), "w")
+    parts = raw.select("raw", F.explode("w").alias("w")).select("w.shard", "w.split", "w.akey", "w.h", F.expr("substring(raw, w.s + 1, w.slen)").alias("bytes"))
     found = materialize(parts.groupBy("shard", "split").applyInArrow(search_shard, FOUND))
     merged = found.where("f1 IS NOT NULL").groupBy("akey", F.pmod("f1", F.lit(64)).alias("part")).applyInArrow(merge_runs, "akey long, h long, lo int, hi int")
     partial = found.where("f1 IS NULL").select("akey", "h", "lo", "hi").union(merged)
     answers = materialize(kinds.where("c > 1").select("akey", "h", F.lit(0).alias("lo"), F.expr(f"at.slen - {LENGTH}").alias("hi")).union(partial))
-    release(kinds, found)
-    spans = materialize(segs.join(answers, ["akey", "h"]).select("k1", "k2", F.expr("s + lo").alias("lo"), F.expr(f"s + hi + {LENGTH}").alias("hi")).groupBy("k1", "k2").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi")))
-    release(segs, answers)
+    hot = hot_keys(kinds, "rows", ["akey", "h"])
+    spans = salted_join(segs, answers, ["akey", "h"], hot, "k1").select("k1", "k2", F.expr("s + lo").alias("lo"), F.expr(f"s + hi + {LENGTH}").alias("hi"))
+    spans = materialize(spans.groupBy("k1", "k2").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi")))
+    release(kinds, groups, found, segs, answers)
     cut = materialize(spans.join(texts.select("k1", "k2", "text"), ["k1", "k2"]).mapInArrow(cut_texts, "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string, spans array<long>"))
     release(texts, spans)
     rest = keyed.select("doc_id", "n_bytes", "k1", "k2", F.sha2(F.col("text").cast("binary"), 256).alias("whole"))
-    return rest.join(cut, ["k1", "k2"], "left").select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"), "spans")
+    out = rest.join(cut.withColumnsRenamed({"k1": "c1", "k2": "c2"}), F.expr("k1 = c1 AND k2 = c2"), "left")
+    return out.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"), F.coalesce("spans", F.array().cast("array<long>")).alias("spans"))

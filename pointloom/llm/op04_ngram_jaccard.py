@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import RollingHash, WordBatch, _G, materialize, mix, ngram_hashes, release, shared_dir, small_batches, text_chunks
+from pointloom.llm.common import RollingHash, WordBatch, _G, materialize, mix, ngram_hashes, release, shared_dir, text_chunks
 
 SHINGLE, K = 5, 3
 FREQUENT = 12  # documents, from which a token is of the frequent class
@@ -267,7 +267,7 @@ def components(edges: DataFrame) -> DataFrame:
 def jaccard_classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of each document."""
     spark = docs.sparkSession
-    base = small_batches(docs).select("doc_id", F.coalesce("doc_id", F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64("text"), 3)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    base = docs.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64("text"), 3)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     texts = base.select("id", "text")
     top = texts.mapInArrow(heavy, "token long, cnt long").groupBy("token").agg(F.sum("cnt").alias("cnt")).where(F.col("cnt") >= FREQUENT).orderBy(F.desc("cnt"), "token").limit(MOST_FREQUENT)
     found = top.orderBy("cnt", F.desc("token")).select("token").toArrow().column(0).to_numpy().view(np.uint64)

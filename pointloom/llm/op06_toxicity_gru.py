@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import RollingHash, WordBatch, fold, hashed, least_hashes, mix, row_chunks, small_batches, text_chunks
+from pointloom.llm.common import RollingHash, WordBatch, fold, hashed, least_hashes, materialize, mix, row_chunks, text_chunks
 
 TRAIN_DOCS = 1500  # labelled documents of either class that the model is fitted on, at most; those with the least hashes of doc_id
 WINDOW, STRIDE = 32, 16
@@ -225,7 +225,7 @@ def fit(texts: list[str], toxic: list[int], seed: int = 5) -> Net:
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> list:
     """At most TRAIN_DOCS labelled documents of either class outside the held-out fold."""
-    marked = labels.where(F.col("toxic").isNotNull()).select("doc_id", "toxic").dropDuplicates(["doc_id"])
+    marked = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))  # toxic, if labels of one id disagree
     known = hashed(docs.where((fold() != 0) & F.col("text").isNotNull())).select("doc_id", "_u", "_v").join(marked, "doc_id")
     return [row for k in (1, 0) for row in least_hashes(docs, known.where(F.col("toxic") == k), TRAIN_DOCS, ["toxic"])]
 
@@ -246,5 +246,6 @@ def toxicity_of_documents(docs: DataFrame, labels: DataFrame, net: Net | None =
         net = fit([r[0] for r in rows], [r[1] for r in rows])
     shared = docs.sparkSession.sparkContext.broadcast(net)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = small_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(score_batches(lambda: shared.value), f"doc_id {kind}, score double")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    out = materialize(texts.mapInArrow(score_batches(lambda: shared.value), f"doc_id {kind}, score double"))
     return out.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import RollingHash, small_batches, text_chunks
+from pointloom.llm.common import RollingHash, materialize, text_chunks
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 GIANT = 1 << 16  # bytes from which a text is cut
@@ -393,14 +393,14 @@ def giant_documents(rows: DataFrame, shared, ids_too: bool, kind: str) -> DataFr
 def encode_documents(docs: DataFrame, columns: list[str], model: str = MODEL, ids_too: bool = False) -> DataFrame:
     """The named columns with ids, or with n_tokens, ids_sha256 (of little-endian 32-bit ids) and round_trip (decoding gives the text)."""
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
-    rows = small_batches(docs).select(F.struct(*columns).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.struct(*columns).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
     big = F.octet_length("text") >= GIANT
     extra = "ids array<int>" if ids_too else DIGEST
     small = rows.where(~big).mapInArrow(encode_rows(lambda: shared.value, ids_too), f"row {kind}, {extra}")
     giants = giant_documents(rows.where(big).withColumn("k", F.sha2(F.col("text").cast("binary"), 256)), shared, ids_too, kind)
     names = [x.split()[0] for x in extra.split(", ")]
-    return small.select("row", *names).union(giants.select("row", *names)).select("row.*", *names)
+    return materialize(small.select("row", *names).union(giants.select("row", *names))).select("row.*", *names)
 
 
 def decode_ids(df: DataFrame, ids: str = "ids", text: str = "text", model: str = MODEL) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import RollingHash, WordBatch, fold, hashed, least_hashes, mix, small_batches, text_chunks
+from pointloom.llm.common import RollingHash, WordBatch, fold, hashed, least_hashes, materialize, mix, text_chunks
 
 TRAIN_DOCS = 2000  # labelled documents that the model is fitted on, at most; those with the least hashes of doc_id
 LONGEST = 128
@@ -196,9 +196,10 @@ def identify(docs: DataFrame, columns: list[str], model: Crf | None = None, name
         rows = training_rows(docs)
         model = fit([r[0] for r in rows], [r[1] for r in rows])
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = small_batches(docs).select(F.struct(*columns).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    kept = docs.select(F.struct(*columns).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     kind = docs.select(F.struct(*columns).alias("row")).schema["row"].dataType.simpleString()
-    return kept.mapInArrow(predict(lambda: shared.value), f"row {kind}, lang_pred string, score double").select("row.*", F.col("lang_pred").alias(names[0]), F.col("score").alias(names[1]))
+    found = materialize(kept.mapInArrow(predict(lambda: shared.value), f"row {kind}, lang_pred string, score double"))
+    return found.select("row.*", F.col("lang_pred").alias(names[0]), F.col("score").alias(names[1]))
 
 
 def language_of_documents(docs: DataFrame) -> DataFrame:
