@@ -21,7 +21,7 @@ from pointloom.llm.common import table
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op01_suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents")).drop("spans")
+    return op01_suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,11 +29,6 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
 
 
-def op2_lm_scoring_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = op02_backoff_scoring.backoff_scores(table(spark, sf_dir, "documents"), 3)
-    return out.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
-
-
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op03_pii_boosting.personal_data(table(spark, sf_dir, "documents"))
 
@@ -87,5 +82,5 @@ reach(a, b) AS (SELECT doc_id, doc_id FROM s UNION SELECT reach.a, links.y FROM
 SELECT doc_id, len(g) AS n_shingles, (SELECT min(b) FROM reach WHERE a = doc_id) AS component_id FROM s
 """
 
-QUERIES = {f.__name__.rstrip("_"): f for f in (op1_suffix_dedup, op2_lm_scoring, op2_lm_scoring_trigrams, op3_pii, op4_ngram_jaccard, op5_chroma_fingerprints, op6_toxicity, op7_sentencepiece, op8_sharding, op9_language_id, op10_decontamination_)}
+QUERIES = {f.__name__.rstrip("_"): f for f in (op1_suffix_dedup, op2_lm_scoring, op3_pii, op4_ngram_jaccard, op5_chroma_fingerprints, op6_toxicity, op7_sentencepiece, op8_sharding, op9_language_id, op10_decontamination_)}
 ORACLES = {"op2_lm_scoring": op02_backoff_scoring.ORACLE, "op4_ngram_jaccard": ORACLE_4, "op10_decontamination": op10_decontamination.ORACLE}

@@ -67,9 +67,54 @@ def test_split_anchors_are_merged(spark, monkeypatch):
     assert key(op1.suffix_dedup(docs)) == whole
 
 
+def test_passages_longer_than_the_first_refinements():
+    """Parts that share 520 to 700 bytes, with no window of 400 more than brute force finds."""
+    rng = np.random.default_rng(9)
+    for _ in range(60):
+        base = rng.integers(97, 100, 700).astype(np.uint8).tobytes()
+        parts = [rng.integers(97, 100, rng.integers(0, 300)).astype(np.uint8).tobytes() + base[: rng.integers(520, 700)] + rng.integers(97, 100, rng.integers(0, 500)).astype(np.uint8).tobytes() for _ in range(4)]
+        place, _, size = op1.shard_windows(parts)
+        buf, ends = b"".join(parts), np.cumsum([len(x) for x in parts])
+        whole = [i for i in range(len(buf) - 399) if np.searchsorted(ends, i, "right") == np.searchsorted(ends, i + 399, "right")]
+        seen = Counter(buf[i : i + 400] for i in whole)
+        assert sorted(place[size > 1].tolist()) == [i for i in whole if seen[buf[i : i + 400]] > 1]
+
+
+def test_passages_over_fifty_words_in_many_documents(spark, monkeypatch):
+    """A passage that most documents share, one that two share, and texts read in pieces: all of it goes, clean texts stay whole."""
+    from pointloom.llm import common
+
+    words = lambda seed, n: " ".join("".join(chr(97 + c) for c in w) for w in np.random.default_rng(seed).integers(0, 26, (n, 8)))
+    shared, pair = words(1, 60), words(2, 70)
+    texts = [words(100 + i, 300) + " " + shared + " " + words(500 + i, 200) for i in range(60)] + [words(10 + i, 30) + pair + words(20 + i, 5000) for i in range(2)] + [words(900 + i, 200) for i in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def removed():
+        return {r.doc_id: (r.n_removed, r.n_spans, r.spans) for r in op1.suffix_dedup(docs).collect()}
+
+    got = removed()
+    for i, text in enumerate(texts):
+        n, spans, places = got[i]
+        inside = shared if i < 60 else pair
+        if i < 62:
+            at = text.index(inside)
+            assert n >= len(inside) and spans == 1 and places[0] <= at and places[1] >= at + len(inside)
+        else:
+            assert (n, spans, places) == (0, 0, [])
+    monkeypatch.setattr(common, "HOT", 20)
+    assert removed() == got
+    monkeypatch.setattr(op1.pieces, "__defaults__", (3000,))
+    raw = [texts[60].encode()]
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"k1": [1], "k2": [2], "cnt": [1], "text": [texts[60]]})
+    starts = sorted(x for b in op1.segments(iter([batch])) for s, n in zip(b.column("s").to_pylist(), b.column("slen").to_pylist()) for x in range(s, s + n - 399))
+    assert starts == list(range(len(raw[0]) - 399))
+
+
 def test_suffix_array_and_prefixes():
     buf = np.frombuffer((prose(4, 60) * 3).encode(), np.uint8)
-    sa = op1.suffix_array(buf, len(buf))
+    sa = op1.suffix_array(buf)
     raw = buf.tobytes()
     assert sa.tolist() == sorted(range(len(raw)), key=lambda i: raw[i:])
     lcp = op1.common_prefixes(buf, sa, 50, lane=7)
@@ -79,27 +124,15 @@ def test_suffix_array_and_prefixes():
         assert lcp[r] == min(k, 50)
 
 
-def test_backoff(spark, odd, none):
-    words = [[w.lower() for w in re.findall(r"[^\x20\x09-\x0D]+", r.text or "")] for r in odd.collect()]
-    one, two = Counter(w for x in words for w in x), Counter(p for x in words for p in zip(x, x[1:]))
-    n = sum(one.values())
-    want = []
-    for x in words:
-        s = 0.0
-        for i, w in enumerate(x):
-            c = two[(x[i - 1], w)] if i else 0
-            s += np.log(one[w] / n) if not i else np.log(c / one[x[i - 1]]) if c >= 2 else np.log(0.4 * one[w] / n)
-        want.append((len(x), round(s, 4)))
-    assert sorted((r.n_words, round(r.log_score, 4)) for r in op2.backoff_scores(odd).collect()) == sorted(want)
-    assert op2.backoff_scores(none).count() == 0
-
-
-def test_backoff_of_trigrams(spark, odd, tmp_path):
-    from pointloom.llm.queries import QUERIES
-
-    odd.write.parquet(str(tmp_path / "documents.parquet"))
+@pytest.mark.parametrize(("order", "small"), [(1, False), (2, True), (3, False), (3, True), (4, True)])
+def test_backoff(spark, odd, none, monkeypatch, order, small):
+    """Against plain counts; small: with several batches, several hash partitions and long texts in pieces."""
+    if small:
+        monkeypatch.setattr(op2, "BATCH_BYTES", 12_000)
+        monkeypatch.setattr(op2, "BUCKET_BYTES", 15_000)
+        monkeypatch.setattr(op2, "GIANT", 7_000)
     words = [[w.lower() for w in re.findall(r"[^\x20\x09-\x0D]+", r.text or "")] for r in odd.collect()]
-    c = Counter(tuple(x[i : i + n]) for x in words for n in (1, 2, 3) for i in range(len(x) - n + 1))
+    c = Counter(tuple(x[i : i + n]) for x in words for n in range(1, order + 1) for i in range(len(x) - n + 1))
     total = sum(map(len, words))
 
     def score(g):
@@ -107,9 +140,21 @@ def test_backoff_of_trigrams(spark, odd, tmp_path):
             return np.log(c[g] / total)
         return np.log(c[g] / c[g[:-1]]) if c[g] >= op2.MIN_COUNT else np.log(op2.BACKOFF) + score(g[1:])
 
-    want = [(len(x), round(sum(score(tuple(x[max(0, i - 2) : i + 1])) for i in range(len(x))), 3)) for x in words]
-    got = QUERIES["op2_lm_scoring_trigrams"](spark, str(tmp_path)).collect()
-    assert np.allclose(sorted((r.n_words, r.log_score) for r in got), sorted(want), atol=2e-3)
+    want = [(len(x), sum(score(tuple(x[max(0, i - order + 1) : i + 1])) for i in range(len(x)))) for x in words]
+    got = op2.backoff_scores(odd, order).collect()
+    assert np.allclose(sorted((r.n_words, r.log_score) for r in got), sorted(want), atol=1e-6)
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(r.doc_id) for r in odd.collect())
+    if small:
+        assert op2.backoff_scores(none, order).count() == 0
+
+
+def test_packed_keys_and_counts():
+    rng = np.random.default_rng(31)
+    for n in (0, 1, 5000):
+        keys = np.unique(rng.integers(0, 2**64, n, np.uint64))
+        assert np.array_equal(op2.unpack_keys(op2.pack_keys(keys)), keys)
+        x = rng.integers(0, 400, n)
+        assert np.array_equal(op2.unpack_counts(b"ab" + op2.pack_counts(x), 2)[0], x)
 
 
 def test_personal_data(spark, odd, none):
