@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,40 +96,46 @@ def compose_transforms(transforms: DataFrame, r, t, before: bool = False) -> Dat
 
 
 def nearest_rotation(m: np.ndarray) -> np.ndarray:
-    """The rotation closest to m; a reflection is avoided in the least singular direction."""
+    """The rotation closest to m, or to each of a stack of matrices; a reflection is avoided in the least singular direction."""
     u, _, vt = np.linalg.svd(m)
-    d = np.ones(len(m))
-    d[-1] = np.sign(np.linalg.det(u @ vt))
-    return u @ np.diag(d) @ vt
+    d = np.ones(m.shape[:-1])
+    d[..., -1] = np.sign(np.linalg.det(u @ vt))
+    return (u * d[..., None, :]) @ vt
 
 
 def rigid_transforms(transforms: DataFrame, dim: int) -> DataFrame:
     """Transforms with their nearest rotations."""
-    import pandas as pd
-
     @F.pandas_udf("array<double>")
     def fix(r: pd.Series) -> pd.Series:
-        return r.map(lambda x: nearest_rotation(np.array(x).reshape(dim, dim)).ravel().tolist())
+        return pd.Series(list(nearest_rotation(np.stack(r).reshape(-1, dim, dim)).reshape(-1, dim * dim))) if len(r) else r
 
     return transforms.withColumn("r", fix("r"))
 
 
-def colormap(df: DataFrame, value: str, kind: str = "jet") -> DataFrame:
-    """Adds r, g, b of the value between its least and largest over all finite rows (a range of one where they are equal); zeros where the value is not finite."""
-    ok = ~F.isnan(value) & (F.abs(F.col(value)) < F.lit(float("inf")))
-    ends = df.agg(F.min(F.when(ok, F.col(value))).alias("_lo"), F.max(F.when(ok, F.col(value))).alias("_hi"))
+def colormap(df: DataFrame, value: str, kind: str = "jet", low: float | None = None, high: float | None = None) -> DataFrame:
+    """Adds r, g, b of the value between two ends, low and high or else the least and the largest of all rows.
+
+    kind: "jet", "gray" or "blue2red" (through white). Equal ends count as a range of one. Every color is zero where an end is not
+    finite, so also where an end is missing and a value is NaN, infinite or null.
+    """
+    x = F.coalesce(F.col(value).cast("double"), F.lit(float("nan")))
+    given = lambda v: v is not None and np.isfinite(v)
+    ends = df.agg(*((F.lit(float(v)) if given(v) else f(x)).alias(n) for v, f, n in ((low, F.min, "_lo"), (high, F.max, "_hi"))))
     j = df.crossJoin(F.broadcast(ends))  # one row
-    v = (F.col(value) - F.col("_lo")) / F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo")).otherwise(1.0)
+    finite = lambda c: ~F.isnan(c) & (F.abs(F.col(c)) < F.lit(float("inf")))
+    ok = finite("_lo") & finite("_hi")
+    v = (x - F.col("_lo")) / F.when(F.col("_hi") != F.col("_lo"), F.col("_hi") - F.col("_lo")).otherwise(1.0)
+    unit = lambda c: F.greatest(F.least(c, F.lit(1.0)), F.lit(0.0))
     if kind == "jet":
-        r = F.when(v < 0.5, 0.0).when(v < 0.75, 4 * (v - 0.5)).otherwise(1.0)
-        g = F.when(v < 0.25, 4 * v).when(v < 0.75, 1.0).otherwise(1 - 4 * (v - 0.75))
-        b = F.when(v < 0.25, 1.0).when(v < 0.5, 1 - 4 * (v - 0.25)).otherwise(0.0)
+        # a tent of slope 4 for each color, one up to its turn and down after it: (turn, rise, fall)
+        r, g, b = (unit(F.when(v < turn, 4 * v + rise).otherwise(fall - 4 * v)) for turn, rise, fall in ((0.7, -1.5, 4.5), (0.5, -0.5, 3.5), (0.3, 0.5, 2.5)))
     elif kind == "gray":
-        r = g = b = v
+        r = g = b = unit(v)
+    elif kind == "blue2red":
+        r, g, b = unit(2 * v), unit(1 - F.abs(2 * v - 1)), unit(2 - 2 * v)
     else:
-        r, g, b = v, F.lit(0.0), 1 - v
-    zero = lambda x: F.when(ok, x).otherwise(0.0)
-    return j.select(*df.columns, zero(r).alias("r"), zero(g).alias("g"), zero(b).alias("b"))
+        raise ValueError(f"no colormap {kind!r}")
+    return j.select(*(j[c] for c in df.columns), *(F.when(ok, c).otherwise(0.0).alias(n) for c, n in ((r, "r"), (g, "g"), (b, "b"))))
 
 
 def rank_fraction(df: DataFrame, order: list, fraction: float) -> DataFrame:

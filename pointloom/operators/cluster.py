@@ -28,19 +28,26 @@ def random_centroids(df: DataFrame, k: int, seed: int = 0) -> np.ndarray:
 
 
 def kmeans(df: DataFrame, centroids: np.ndarray, max_iter: int = 100, tol: float = 1e-9, metric: str = "l2") -> tuple[np.ndarray, DataFrame, int]:
-    """(centroids, df with cluster, rounds). An empty cluster takes the farthest point of the largest one."""
+    """(centroids, df with cluster, rounds). Each empty cluster, in order, takes the point that is farthest from the centroid of the then largest cluster, which loses it."""
     centroids = np.array(centroids, float)
     dim, before = centroids.shape[1], None
     for rounds in range(1, max_iter + 1):
         a = assign(df, centroids, metric)
         stat = {r["cluster"]: r for r in centroids_of(a, dim).collect()}
+        count = np.array([stat[k]["count"] if k in stat else 0 for k in range(len(centroids))])
         new = np.array([[stat[k][f"m{i}"] for i in range(dim)] if k in stat else centroids[k] for k in range(len(centroids))])
-        for k in range(len(centroids)):
-            if k not in stat and stat:
-                big = max(stat, key=lambda c: (stat[c]["count"], -c))
-                far = a.where(F.col("cluster") == big).withColumn("d", METRICS[metric]("p", F.array(*(F.lit(float(v)) for v in new[big])))).orderBy(F.desc("d"), "id").select("p").first()
-                new[k] = far[0]
-        sizes = tuple(sorted((k, r["count"]) for k, r in stat.items()))
+        sizes = tuple(count)
+        moved_ids: list = []
+        for k in np.flatnonzero(count == 0):
+            big = int(count.argmax())
+            if count[big] < 2:
+                break
+            mine = a.where((F.col("cluster") == big) & ~F.col("id").isin(moved_ids))
+            far = mine.withColumn("d", METRICS[metric]("p", F.array(*(F.lit(float(v)) for v in new[big])))).orderBy(F.desc("d"), "id").select("id", "p").first()
+            moved_ids.append(far["id"])
+            new[k] = far["p"]
+            new[big] = (new[big] * count[big] - new[k]) / (count[big] - 1)
+            count[big], count[k] = count[big] - 1, 1
         moved = ((new - centroids) ** 2).sum(1).max()
         centroids = new
         if moved < tol * tol or (moved == 0 and sizes == before):
@@ -58,28 +65,37 @@ def shift_once(seeds: DataFrame, cloud: DataFrame, radius: float, kernel: Column
 
 
 def mean_shift(seeds: DataFrame, cloud: DataFrame, radius: float, merge: float, max_iter: int = 100, tol: float = 1e-7, dim: int = 3) -> tuple[np.ndarray, dict[int, int]]:
-    """(modes, cluster of each seed): seeds move until none moves by tol, then join the first cluster whose first member is nearer than merge."""
+    """(modes, cluster of each seed): each seed moves until a step is shorter than tol, then joins the first cluster whose first member is nearer than merge.
+
+    A seed without neighbors stays where it is, as a mode of its own.
+    """
+    done: list[DataFrame] = []
     now = cut(seeds.select("id", "p"))
     for _ in range(max_iter):
-        new = cut(shift_once(now, cloud, radius, dim=dim))
-        gap = new.join(now.select("id", F.col("p").alias("old")), "id").agg(F.max(METRICS["l2"]("p", "old"))).first()[0]
-        now = new
-        if gap is None or not gap >= tol * tol:
+        step = shift_once(now, cloud, radius, dim=dim).join(now.select("id", F.col("p").alias("old")), "id")
+        alone = F.isnan(F.col("p")[0])
+        step = cut(step.select("id", F.when(alone, F.col("old")).otherwise(F.col("p")).alias("p"), (alone | (METRICS["l2"]("p", "old") < tol * tol)).alias("rests")))
+        done.append(step.where("rests").select("id", "p"))
+        now = step.where("NOT rests").select("id", "p")
+        if now.limit(1).count() == 0:
             break
-    rows = now.orderBy("id").collect()
-    firsts: list[np.ndarray] = []
-    members: list[list[np.ndarray]] = []
-    label = {}
-    for r in rows:
-        p = np.array(r["p"])
-        near = [k for k, f in enumerate(firsts) if ((p - f) ** 2).sum() < merge * merge]
-        k = near[0] if near else len(firsts)
-        if not near:
-            firsts.append(p)
-            members.append([])
-        members[k].append(p)
-        label[r["id"]] = k
-    return np.array([np.mean(m, 0) for m in members]), label
+    for d in done:
+        now = now.union(d)
+    # the modes are few, seeds may be many: seeds that ended in one place are one point
+    points = now.groupBy("p").agg(F.min("id").alias("id"), F.count("*").alias("n")).orderBy("id").collect()
+    places = np.array([r["p"] for r in points]).reshape(len(points), dim)
+    label = np.full(len(points), -1)
+    left = np.arange(len(points))
+    k = 0
+    while len(left):
+        near = ((places[left] - places[left[0]]) ** 2).sum(1) < merge * merge
+        near[0] = True
+        label[left[near]] = k
+        left, k = left[~near], k + 1
+    n = np.array([r["n"] for r in points], float)
+    modes = np.array([np.average(places[label == c], axis=0, weights=n[label == c]) for c in range(k)])
+    of = {tuple(r["p"]): int(c) for r, c in zip(points, label, strict=True)}
+    return modes, {r["id"]: of[tuple(r["p"])] for r in now.select("id", "p").toLocalIterator()}
 
 
 DENSE_LIMIT = 5000

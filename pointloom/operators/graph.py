@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,19 +27,80 @@ def degrees(edges: DataFrame, without_self: bool = False) -> DataFrame:
     return (edges.where("q <> r") if without_self else edges).groupBy("q").agg(F.count("*").alias("degree"))
 
 
-def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(id, comp): comp the least id that id reaches over the edges (q, r) in either direction. Labels fall to the least around, then to that label's label."""
-    e = edges.where("q <> r").select("q", "r")
-    both = cut(e.union(e.select("r", "q")).distinct())
-    labels = cut(nodes.select("id", F.col("id").alias("comp")))
+ONE_TASK = 2_000_000  # edges, 32 MB; so few are joined up in a single task
+
+
+def least_reached(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, least id that each reaches) of the edges a-b: roots hook onto lesser roots, then paths are halved until flat."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    root, x, y = np.arange(len(ids)), at[: len(a)], at[len(a) :]
+    while len(x):
+        x, y = root[x], root[y]
+        open_ = x != y
+        x, y = x[open_], y[open_]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(root, root[root]):
+            root = root[root]
+    return ids, ids[root]
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of a partition, a few million at a time, as (id, least id that it reaches there)."""
+    held, size = [], 0
+
+    def flush():
+        t = pa.Table.from_batches(held)
+        ids, root = least_reached(t.column("u").to_numpy(), t.column("v").to_numpy())
+        keep = ids != root
+        return pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(root[keep])], names=["u", "v"])
+
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= ONE_TASK:
+            yield flush()
+            held, size = [], 0
+    if held:
+        yield flush()
+
+
+def _lowered(e: DataFrame, larger: bool) -> DataFrame:
+    """Each edge moved to the least neighbor: of its lesser end (larger), or of its greater end, which keeps an edge to it as well. No component changes."""
+    if larger:
+        both = e.union(e.select("v", "u")).toDF("u", "v")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = e.groupBy("u").agg(F.min("v").alias("m"))
+    moved = e.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
+
+
+def linked_ids(edges: DataFrame, save=cut) -> DataFrame:
+    """(id, comp) of the ids that the edges (q, r: long) hold, both directions counting: comp is the least id reached.
+
+    Each round joins up the edges of every partition by themselves, then moves edges to least neighbors from either
+    side, so that paths shrink to stars in a number of rounds that grows with the logarithm of the longest path.
+    Once ONE_TASK edges or fewer are left, one task ends the work. `save` cuts the lineage.
+    """
+    e = save(edges.where("q <> r").select(F.greatest("q", "r").alias("u"), F.least("q", "r").alias("v")).distinct())
     while True:
-        near = both.join(labels, both["r"] == labels["id"]).groupBy("q").agg(F.min("comp").alias("near"))
-        low = labels.join(near, labels["id"] == near["q"], "left").select("id", F.col("comp").alias("old"), F.least("comp", F.coalesce("near", "comp")).alias("low"))
-        jump = labels.select(F.col("id").alias("low"), F.col("comp").alias("far"))
-        new = cut(low.join(jump, "low").select("id", F.least("low", "far").alias("comp"), "old"))
-        labels = new.select("id", "comp")
-        if new.where("comp < old").limit(1).count() == 0:
-            return labels
+        n = e.count()
+        if n <= ONE_TASK:
+            done = save(e.coalesce(1).mapInArrow(_stars, "u long, v long"))
+            break
+        near = e.mapInArrow(_stars, "u long, v long").distinct()
+        done = save(_lowered(save(_lowered(near, True)), False))
+        if done.join(done.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count() == 0 and done.groupBy("u").count().where("count > 1").limit(1).count() == 0:
+            break
+        e = done
+    roots = done.select("v").distinct()
+    return done.select(F.col("u").alias("id"), F.col("v").alias("comp")).union(roots.select(F.col("v").alias("id"), F.col("v").alias("comp")))
+
+
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, comp): comp the least id that id reaches over the edges (q, r) in either direction."""
+    found = linked_ids(edges.select(F.col("q").cast("long").alias("q"), F.col("r").cast("long").alias("r")))
+    return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
 
 
 def reachable(edges: DataFrame, nodes: DataFrame, seeds: DataFrame) -> DataFrame:

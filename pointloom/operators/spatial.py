@@ -28,8 +28,9 @@ class Hull:
     def halfspaces(self) -> np.ndarray:
         """Distinct [n, d] with n x + d <= 0 inside."""
         rows: list[np.ndarray] = []
+        scale = np.abs(self.points - self.points.mean(0)).max() + 1e-8 * np.abs(self.points).max()
         for h in np.column_stack([self.normals, self.offsets]):
-            if not any(np.allclose(h, r, atol=1e-7) for r in rows):
+            if not any(np.abs(h[:-1] - r[:-1]).max() <= 1e-7 and abs(h[-1] - r[-1]) <= 1e-7 * scale for r in rows):
                 rows.append(h)
         return np.array(rows)
 
@@ -117,28 +118,114 @@ def hull_of(df: DataFrame, dim: int) -> tuple[Hull | None, list[int]]:
     return convex_hull(np.array([r["p"] for r in rows])) if rows else None, [r["id"] for r in rows]
 
 
-def vertices_of(halfspaces: np.ndarray) -> np.ndarray:
-    """Corners of a bounded intersection: those solutions of d planes that satisfy all half-spaces."""
-    h = np.asarray(halfspaces, float)
-    d = h.shape[1] - 1
-    found: list[np.ndarray] = []
-    for c in combinations(range(len(h)), d):
-        a = h[list(c), :d]
-        if abs(np.linalg.det(a)) < 1e-12:
-            continue
-        p = np.linalg.solve(a, -h[list(c), d])
-        if (h[:, :d] @ p + h[:, d] <= 1e-7 * (1 + np.abs(p).max())).all() and not any(np.allclose(p, q, atol=1e-7) for q in found):
-            found.append(p)
-    return np.array(found).reshape(-1, d)
-
-
-FAR = 1e6
-
-
-def _boxed(h: np.ndarray) -> np.ndarray:
-    d = h.shape[1] - 1
-    eye = np.eye(d)
-    return np.vstack([h, np.column_stack([eye, -np.full(d, FAR)]), np.column_stack([-eye, -np.full(d, FAR)])])
+def maximize(c: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, bool]:
+    """(x, bounded): the x that maximizes c x under a x <= b, where b >= 0 so that x = 0 is allowed. Simplex steps with the least index first, which cannot cycle."""
+    m, d = a.shape
+    t = np.zeros((m + 1, 2 * d + m + 1))  # x = x+ - x-, then slacks
+    t[:m, :d], t[:m, d : 2 * d], t[:m, 2 * d : -1], t[:m, -1] = a, -a, np.eye(m), b
+    t[m, :d], t[m, d : 2 * d] = -c, c
+    basis = np.arange(2 * d, 2 * d + m)
+    bounded = True
+    while True:
+        enter = np.flatnonzero(t[m, :-1] < -TINY)
+        if not len(enter):
+            break
+        j = enter[0]
+        rows = np.flatnonzero(t[:m, j] > TINY)
+        if not len(rows):
+            bounded = False
+            break
+        ratio = t[rows, -1] / t[rows, j]
+        best = rows[ratio <= ratio.min() + TINY]
+        i = best[basis[best].argmin()]
+        t[i] /= t[i, j]
+        others = np.arange(m + 1) != i
+        t[others] -= np.outer(t[others, j], t[i])
+        basis[i] = j
+    full = np.zeros(2 * d + m)
+    full[basis] = t[:m, -1]
+    return full[:d] - full[d : 2 * d], bounded
+
+
+TINY, THIN = 1e-12, 1e-9  # of numbers scaled to about one: zero in a simplex step; a distance that counts as none
+
+
+class _Scaled:
+    """Half-spaces with unit normals, moved to the point that is nearest to all planes and scaled so that these are within one of it."""
+
+    def __init__(self, halfspaces: np.ndarray):
+        h = np.asarray(halfspaces, float)
+        h = h / np.linalg.norm(h[:, :-1], axis=1, keepdims=True)
+        self.n = h[:, :-1]
+        self.at = -np.linalg.lstsq(self.n, h[:, -1], rcond=None)[0]
+        self.d = h[:, -1] + self.n @ self.at
+        self.size = max(np.abs(self.d).max(initial=0.0), np.finfo(float).tiny)
+        if self.size <= 1e-13 * np.abs(self.at).max(initial=0.0):  # planes through one point
+            self.size = 1.0
+        self.d = self.d / self.size
+        self.dim = self.n.shape[1]
+
+    def deepest(self) -> tuple[np.ndarray, float]:
+        """(point, its least distance to the planes, one at most); a negative distance if no point is inside of all."""
+        low = (-self.d).min(initial=1.0)
+        a = np.column_stack([self.n, np.ones(len(self.n))])
+        a = np.vstack([a, np.append(np.zeros(self.dim), 1.0)])
+        x, _ = maximize(np.append(np.zeros(self.dim), 1.0), a, np.append(-self.d - low, 1.0 - low))
+        return x[:-1], x[-1] + low
+
+    def slack(self, i: int, p: np.ndarray, others: np.ndarray) -> float:
+        """The farthest that a point of `others` lies beyond plane i (infinite: no end), p being inside of all of them."""
+        far, bounded = maximize(self.n[i], self.n[others], np.maximum(0.0, -(self.n[others] @ p + self.d[others])))
+        return float(self.n[i] @ (p + far) + self.d[i]) if bounded else np.inf
+
+
+def corners(halfspaces: np.ndarray) -> tuple[np.ndarray, bool, np.ndarray | None]:
+    """(corners, bounded, a point inside or None if the set is empty). At any scale and place.
+
+    An inner point turns half-spaces into points of the polar set, whose facets are the corners; facets through
+    the origin are directions without an end. Flat sets are solved in the span that their opposed planes leave.
+    """
+    s = _Scaled(halfspaces)
+    p, depth = s.deepest()
+    if depth < -THIN:
+        return np.empty((0, s.dim)), True, None
+    if depth <= THIN:  # planes that every inner point lies on
+        tight = np.flatnonzero(np.abs(s.n @ p + s.d) <= 10 * THIN)
+        every = np.arange(len(s.n))
+        flat = []
+        for i in tight:
+            away, bounded = maximize(-s.n[i], s.n[every], np.maximum(0.0, -(s.n @ p + s.d)))
+            if bounded and -(s.n[i] @ away) <= 100 * THIN:
+                flat.append(i)
+        _, w, vt = np.linalg.svd(s.n[flat])
+        span = vt[int((w > 1e-9).sum()) :]
+        if not len(span):
+            inside = p * s.size + s.at
+            return inside[None], True, inside
+        rest = np.setdiff1d(every, flat)
+        low = s.n[rest] @ span.T
+        keep = np.linalg.norm(low, axis=1) > 1e-9
+        if not keep.any():
+            return np.empty((0, s.dim)), False, p * s.size + s.at
+        v, bounded, inside = corners(np.column_stack([low[keep], (s.n[rest] @ p + s.d[rest])[keep]]))
+        back = lambda y: (p + y @ span) * s.size + s.at
+        return back(v), bounded, back(inside) if inside is not None else p * s.size + s.at
+    inside = p * s.size + s.at
+    polar = s.n / -(s.n @ p + s.d)[:, None]
+    hull = convex_hull(np.vstack([polar, np.zeros(s.dim)])) if s.dim > 1 else None
+    if s.dim == 1:
+        ends = [f(polar[sign * polar[:, 0] > 0, 0]) for f, sign in ((max, 1), (min, -1)) if (sign * polar[:, 0] > 0).any()]
+        return np.array([[1 / e + p[0]] for e in ends]) * s.size + s.at, len(ends) == 2, inside
+    if hull is None:
+        return np.empty((0, s.dim)), False, inside
+    ends = hull.offsets < -THIN * np.abs(polar).max()
+    v = (p - hull.normals[ends] / hull.offsets[ends, None]) * s.size + s.at
+    kept: list[np.ndarray] = []
+    reach = 1e-7 * np.abs(v - inside).max(initial=0.0)
+    for x in v:
+        if not any(np.abs(x - y).max() <= reach for y in kept):
+            kept.append(x)
+    return np.array(kept).reshape(-1, s.dim), bool(ends.all()), inside
 
 
 @dataclass
@@ -179,42 +266,61 @@ class Polytope:
         return self.halfspaces.shape[1] - 1
 
     def vertices(self) -> np.ndarray:
-        v = vertices_of(_boxed(self.halfspaces))
-        return v[(np.abs(v) < FAR * 0.999).all(1)] if len(v) else v
+        return corners(self.halfspaces)[0]
 
     def is_empty(self) -> bool:
-        return len(vertices_of(_boxed(self.halfspaces))) == 0
+        return corners(self.halfspaces)[2] is None
 
     def is_bounded(self) -> bool:
-        v = vertices_of(_boxed(self.halfspaces))
-        return bool(len(v) == 0 or (np.abs(v) < FAR * 0.999).all())
+        return corners(self.halfspaces)[1]
 
     def hull(self) -> Hull | None:
-        return convex_hull(self.vertices()) if self.is_bounded() else None
+        v, bounded, _ = corners(self.halfspaces)
+        return convex_hull(v) if bounded else None
 
     def volume(self) -> float:
-        if not self.is_bounded():
-            return float("inf")
-        h = convex_hull(self.vertices())
-        return h.volume() if h else 0.0
+        v, bounded, _ = corners(self.halfspaces)
+        h = convex_hull(v) if bounded else None
+        return float("inf") if not bounded else h.volume() if h else 0.0
 
     def area(self) -> float:
-        if not self.is_bounded():
-            return float("inf")
-        h = convex_hull(self.vertices())
-        return h.area() if h else 0.0
+        v, bounded, _ = corners(self.halfspaces)
+        h = convex_hull(v) if bounded else None
+        return float("inf") if not bounded else h.area() if h else 0.0
 
     def interior_point(self) -> np.ndarray:
-        v = vertices_of(_boxed(self.halfspaces))
-        return v.mean(0) if len(v) else np.full(self.dim, np.nan)
+        inside = corners(self.halfspaces)[2]
+        return np.full(self.dim, np.nan) if inside is None else inside
 
     def redundant(self) -> np.ndarray:
-        """Half-spaces that can go without changing the set: no corner of the others violates them."""
-        out = []
-        for i, h in enumerate(self.halfspaces):
-            v = vertices_of(_boxed(np.delete(self.halfspaces, i, 0)))
-            out.append(bool(len(v) == 0 or (v @ h[:-1] + h[-1] <= 1e-9).all()))
-        return np.array(out)
+        """Half-spaces that can go, each by itself, without changing the set: what the others allow does not go beyond them."""
+        return np.array([self._can_go(i) for i in range(len(self.halfspaces))])
+
+    def _can_go(self, i: int) -> bool:
+        s = _Scaled(self.halfspaces)
+        others = np.delete(np.arange(len(s.n)), i)
+        if not len(others):
+            return False
+        rest = _Scaled(np.column_stack([s.n[others], s.d[others]]))
+        p, depth = rest.deepest()
+        return bool(depth < -THIN or s.slack(i, p * rest.size + rest.at, others) <= THIN)
+
+    def is_solid(self) -> bool:
+        """Whether it has inner points, away from all planes."""
+        return _Scaled(self.halfspaces).deepest()[1] > THIN
+
+    def without(self, other: Polytope) -> list[Polytope]:
+        """The part outside of other in solid pieces that share no inner point: beyond its first facet, within that and beyond the second, and so on."""
+        if not Polytope(np.vstack([self.halfspaces, other.halfspaces])).is_solid():
+            return [self]
+        out, kept = [], self.halfspaces
+        for h in other.halfspaces:
+            piece = Polytope(np.vstack([kept, -h]))
+            if piece.is_solid():
+                piece = Polytope(piece.halfspaces[~_repeated(piece)])
+                out.append(piece)
+                kept = np.vstack([kept, h])
+        return out
 
     def intersect(self, other: Polytope) -> Polytope:
         out = Polytope(np.vstack([self.halfspaces, other.halfspaces]))
@@ -240,6 +346,15 @@ class Polytope:
         return df.select("id", F.posexplode(values).alias("facet_id", "value"))
 
 
+def _repeated(p: Polytope) -> np.ndarray:
+    """Half-spaces to drop, one after the other, so that the set stays the same."""
+    drop = np.zeros(len(p.halfspaces), bool)
+    for i in range(len(drop)):
+        left = np.flatnonzero(~drop)
+        drop[i] = len(left) > 1 and Polytope(p.halfspaces[left])._can_go(int(np.searchsorted(left, i)))
+    return drop
+
+
 @dataclass
 class Region:
     """Union of polytopes, which may overlap."""
@@ -273,14 +388,15 @@ class Region:
         return all(p.is_bounded() for p in self.polytopes)
 
     def volume(self) -> float:
-        """By inclusion and exclusion over all sets of polytopes."""
+        """The sum over what each polytope has outside of those before it."""
         if not self.is_bounded():
             return float("inf")
         total = 0.0
-        for k in range(1, len(self.polytopes) + 1):
-            for c in combinations(self.polytopes, k):
-                p = Polytope(np.vstack([x.halfspaces for x in c]))
-                total += (-1) ** (k + 1) * (0.0 if p.is_empty() else p.volume())
+        for i, p in enumerate(self.polytopes):
+            parts = [p] if p.is_solid() else []
+            for q in self.polytopes[:i]:
+                parts = [r for x in parts for r in x.without(q)]
+            total += sum(x.volume() for x in parts)
         return total
 
     def interior_point(self) -> np.ndarray:

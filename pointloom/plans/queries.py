@@ -187,10 +187,29 @@ def feature_concat(spark, d):
     return correspond.features(orders3(spark, d), 0.5, 2.0).select("id", *(r9(F.col("p")[i]).alias(f"f{i}") for i in (0, 3, 4, 6, 8)))
 
 
-@query("""WITH e AS (SELECT event_id, (value - min(value) OVER ()) / (max(value) OVER () - min(value) OVER ()) AS v FROM events)
-SELECT event_id, round(CASE WHEN v < 0.5 THEN 0 WHEN v < 0.75 THEN 4 * (v - 0.5) ELSE 1 END, 9) AS r, round(CASE WHEN v < 0.25 THEN 4 * v WHEN v < 0.75 THEN 1 ELSE 1 - 4 * (v - 0.75) END, 9) + 0.0 AS g, round(CASE WHEN v < 0.25 THEN 1 WHEN v < 0.5 THEN 1 - 4 * (v - 0.25) ELSE 0 END, 9) AS b FROM e""")
+def colormap_sql(r: str, g: str, b: str) -> str:
+    cols = ", ".join(f"round(greatest(least({c}, 1.0), 0.0), 9) + 0.0 AS {n}" for c, n in ((r, "r"), (g, "g"), (b, "b")))
+    return f"WITH e AS (SELECT event_id, (value - min(value) OVER ()) / (max(value) OVER () - min(value) OVER ()) AS v FROM events) SELECT event_id, {cols} FROM e"
+
+
+def _colored(spark, d, kind):
+    c = cloud.colormap(table(spark, d, "events").select("event_id", "value"), "value", kind)
+    return c.select("event_id", *((r9(x) + 0.0).alias(x) for x in "rgb"))
+
+
+@query(colormap_sql("CASE WHEN v < 0.7 THEN 4 * v - 1.5 ELSE -4 * v + 4.5 END", "CASE WHEN v < 0.5 THEN 4 * v - 0.5 ELSE -4 * v + 3.5 END", "CASE WHEN v < 0.3 THEN 4 * v + 0.5 ELSE -4 * v + 2.5 END"))
 def colormap_jet(spark, d):
-    return cloud.colormap(table(spark, d, "events").select("event_id", "value"), "value").select("event_id", r9("r").alias("r"), r9("g").alias("g"), r9("b").alias("b"))
+    return _colored(spark, d, "jet")
+
+
+@query(colormap_sql("CASE WHEN v < 0.5 THEN 2 * v ELSE 1 END", "CASE WHEN v < 0.5 THEN 2 * v ELSE 2 * (1 - v) END", "CASE WHEN v < 0.5 THEN 1 ELSE 2 * (1 - v) END"))
+def colormap_blue2red(spark, d):
+    return _colored(spark, d, "blue2red")
+
+
+@query(colormap_sql("v", "v", "v"))
+def colormap_gray(spark, d):
+    return _colored(spark, d, "gray")
 
 
 @query(f"WITH {PIX} SELECT y, x, round(CASE WHEN depth / 1000 < 1.8 THEN depth / 1000 ELSE 0 END, 9) AS z FROM x")
@@ -693,7 +712,7 @@ def kabsch_sums(spark, d):
 ROWS = "[-0.8 * s * (x2 + y2), 0.6 * s * (x2 + y2), 0.8 * s * (x0 + y0) - 0.6 * s * (x1 + y1), 0.6 * s, 0.8 * s, 0.0]"
 
 
-@query(f"{MOVED}, r AS (SELECT {ROWS} AS a, 0.6 * s * (x0 - y0) + 0.8 * s * (x1 - y1) AS b FROM m) SELECT " + ", ".join(f"round(sum(a[{i + 1}] * a[{j + 1}]), 4) + 0.0 AS a{i}_{j}" for i in range(6) for j in range(i, 9)) + ", " + ", ".join(f"round(sum(a[{i + 1}] * b), 4) + 0.0 AS b{i}" for i in range(6)) + " FROM r")
+@query(f"{MOVED}, r AS (SELECT {ROWS} AS a, 0.6 * s * (x0 - y0) + 0.8 * s * (x1 - y1) AS b FROM m) SELECT " + ", ".join(f"round(sum(a[{i + 1}] * a[{j + 1}]), 4) + 0.0 AS a{i}_{j}" for i in range(6) for j in range(i, 6)) + ", " + ", ".join(f"round(sum(a[{i + 1}] * b), 4) + 0.0 AS b{i}" for i in range(6)) + " FROM r")
 def icp_normal_equations(spark, d):
     rows = registration.combined_rows_3d(F.col("p1"), F.col("p2"), F.col("n1"), 0.0, 1.0)
     out = _moved(spark, d).agg(*registration.normal_equations(rows))
