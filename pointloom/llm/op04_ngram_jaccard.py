@@ -9,38 +9,48 @@ least frequent first, so that a passage many documents share fills a prefix only
   three of its frequent tokens, for documents of this kind among each other; single frequent tokens only for
   meeting documents of the next kind;
 - if many: single frequent tokens.
-An entry of an index also bounds what its set can share if this token (for a combination: these three) comes first among
-the common ones: no more than what follows in the global order. Two entries whose lesser bound falls short of a link
-are not compared, since the pair's first common tokens are another entry of both. (Single rare tokens have the size as
-their bound, so that lists of the same members stay equal.) Equal sets are one member. Lists of five or more members are not expanded into pairs: each member is verified
-against a centre; what is linked forms a class, and only members of one list in different classes are verified
-in later rounds, the last of which takes every such pair. So no link between classes is lost. Pairs are verified
-in two steps: bit maps of four bits for each token give an upper bound of the common tokens, and what passes
-is compared by the whole sets.
-
-Null and empty texts, and texts of blanks: empty set, linked with nothing. Repeated rows fall into one class. A null
-doc_id links like any other, but never names a class that holds an id (a class without ids has a null one). Other columns are ignored.
+
+1. Every row gets a key of its own. Equal sets are one member, named by the least key of its rows.
+2. Rare tokens are dealt to hash buckets, seven bytes an entry. There the lists of a token with up to SMALL members become
+   pairs, longer ones go on as rows (each different list once).
+3. Pairs are verified in two steps: bit maps of four bits for each token give an upper bound of the common tokens, and what passes
+   is compared by the whole sets. Longer lists are not expanded: each member is verified against a centre. What is linked forms a class.
+   The first round takes the FIRST least frequent of a document's frequent tokens, which joins up groups of copies;
+   later rounds take every list, but only members of one list in different classes, and the last one every such pair, so no
+   link between classes is lost.
+4. Entries of frequent tokens and of combinations also bound what a set can share if this token (for a combination: these three)
+   comes first among the common ones: no more than what follows in the global order. Two entries whose lesser bound falls short of a
+   link are not compared, since the pair's first common tokens are another entry of both.
+
+Null and empty texts, and texts of blanks: empty set, linked with nothing, named by their own id. Each row is a document of its own:
+repeated rows fall into one class, and of rows that share an id but not a text each links by its own text. A null
+doc_id links like any other, but never names a class that holds an id (a class without ids has a null one). Ids may be of any type
+that has an order. Ties do not arise: a class is named by its least id. A text is read whole by one task, its words as eight bytes each.
+An empty table gives an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import RollingHash, WordBatch, _G, materialize, mix, ngram_hashes, release, shared_dir, text_chunks
+from pointloom.llm.common import RollingHash, WordBatch, _G, bucketed, hot_keys, materialize, mix, ngram_hashes, release, salted_join, step_settings, text_chunks
+from pointloom.operators.graph import linked_ids
 
 SHINGLE, K = 5, 3
 FREQUENT = 12  # documents, from which a token is of the frequent class
 MOST_FREQUENT = 500_000  # at most so many tokens are of that class: 6 MB to each executor; the class only orders tokens
 DEFICIT = 2  # at most so many frequent tokens beyond k in an extended prefix that is indexed by combinations
 SMALL = 4  # lists up to this length are expanded into pairs at once
-NO_ID = 1 << 62  # documents without an id get larger ones, by text
+FIRST = 3  # frequent tokens of a document that the first round takes
+GONE = 2_000_000  # at most so many row keys, 16 MB, are broadcast
+BASE = 1.08  # set sizes are kept as powers of this in one byte
 
 
 def shingle_sets(raw: list[bytes]) -> list[np.ndarray]:
@@ -93,7 +103,7 @@ def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
 
-def heavy(batches: Iterator[pa.RecordBatch], flush: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def heavy(batches: Iterator[pa.RecordBatch], flush: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """(token, cnt) for tokens of two or more different sets among each few million tokens."""
 
     def counted(sets):
@@ -115,14 +125,22 @@ def heavy(batches: Iterator[pa.RecordBatch], flush: int = 8_000_000) -> Iterator
         yield counted(sets)
 
 
-PREFIXES = "id long, n long, s1 long, s2 long, rare array<long>, rest array<long>, single array<long>, mode int, bits binary"
+PREFIXES = "u long, k1 long, k2 long, n long, s1 long, s2 long, rare binary, single array<long>, combined array<long>, rest array<int>, mode int, bits binary"
+
+
+def _lists(parts: list[np.ndarray], kind) -> pa.ListArray:
+    at = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(at, pa.array(np.concatenate([*parts, np.empty(0, np.int64)]).astype(np.int64), pa.int64()).cast(kind))
 
 
 def prefixes(frequent_of):
+    """A row's key u, its set's size and hashes, and its index entries: rare tokens, single frequent ones, combinations with their bounds."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, rank = frequent_of()
+        u = TaskContext.get().partitionId() << 40
         for rows, raw in text_chunks(batches):
-            cols: list[list] = [[], [], [], [], [], [], [], []]
+            cols: list[list] = [[], [], [], [], [], [], [], [], []]
             for s in shingle_sets(raw):
                 n = len(s)
                 p = n - (3 * n + 3) // 4 + 1 if n else 0
@@ -133,66 +151,96 @@ def prefixes(frequent_of):
                 else:
                     rare, common = s, s[:0]
                 single, mode = common[: max(0, p - len(rare))], 0
-                index = rare[:p]
-                rest = [n] * len(index)
+                combined, rest = s[:0], []
                 if len(single):
                     f = p - 1 + K - len(rare)
                     mode = 2 if f - K <= DEFICIT and f <= len(common) else 1
                     if mode == 2:
-                        few = common[:f]
-                        index = np.concatenate([index, [mix(mix(mix(few[[a]]) + few[b]) + few[c])[0] for a, b, c in combinations(range(f), K)]]).astype(np.uint64)
-                        rest += [n - len(rare) - c + K - 1 for _, _, c in combinations(range(f), K)]
-                for col, v in zip(cols, (n, *set_hash(s), index.view(np.int64), np.array(rest, np.int64), single.view(np.int64), mode, bit_map(s)), strict=True):
+                        few, triples = common[:f], list(combinations(range(f), K))
+                        combined = np.array([mix(mix(mix(few[[a]]) + few[b]) + few[c])[0] for a, b, c in triples], np.uint64)
+                        rest = [n - len(rare) - c + K - 1 for _, _, c in triples]
+                for col, v in zip(cols, (n, *set_hash(s), rare[:p].tobytes(), single.view(np.int64), combined.view(np.int64), np.array(rest, np.int64), mode, bit_map(s)), strict=True):
                     col.append(v)
-            lists = [pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in c])]).astype(np.int32), np.concatenate([*c, np.empty(0, np.int64)])) for c in cols[3:6]]
-            yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), *lists, pa.array(cols[6], pa.int32()), pa.array(cols[7], pa.binary())], names=["id", "n", "s1", "s2", "rare", "rest", "single", "mode", "bits"])
+            k = len(raw)
+            yield pa.RecordBatch.from_arrays(
+                [rows.column("doc_id"), pa.array(np.arange(u, u + k)), rows.column("k1"), rows.column("k2"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary()), _lists(cols[4], pa.int64()), _lists(cols[5], pa.int64()), _lists(cols[6], pa.int32()), pa.array(cols[7], pa.int32()), pa.array(cols[8], pa.binary())],
+                names=["doc_id", "u", "k1", "k2", "n", "s1", "s2", "rare", "single", "combined", "rest", "mode", "bits"],
+            )
+            u += k
 
     return run
 
 
-def deal(buckets: int):
-    """Pack (token, member, size, bound) by bucket of the token."""
+def deal(buckets: int, flush: int = 1_500_000):
+    """Pack (token, member, size) by bucket of the token: 32 bits of the token beyond its bucket, the member's key as a distance of 16 bits from `base`, the size's power of BASE.
+
+    Two tokens that agree in these bits only add pairs to verify.
+    """
+
+    def packed(base: int, held: list[tuple]):
+        token, member, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        token = mix(token)
+        bucket = (token % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        cols = ((token // np.uint64(buckets)).astype(np.uint32)[order], (member - base).astype(np.uint16)[order], np.minimum(255, np.log(n) / np.log(BASE)).astype(np.uint8)[order])
+        out = [(k, base, *(x[lo:hi].tobytes() for x in cols)) for k, (lo, hi) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if hi > lo]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "base", "token", "member", "size"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, lo, hi = [], 0, 0, 0
         for b in batches:
-            lists = b.column("rare")
-            token = lists.flatten().to_numpy(zero_copy_only=False)
-            length = np.diff(lists.offsets.to_numpy())
-            member, n = (np.repeat(b.column(c).to_numpy(), length) for c in ("rep", "n"))
-            bucket = (mix(token.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-            rest = b.column("rest").flatten().to_numpy()
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            out = [(k, *(x[order[lo:hi]].tobytes() for x in (token, member, n.astype(np.int32), rest.astype(np.int32)))) for k, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if hi > lo]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "token", "member", "n", "rest"])
+            u, n = b.column("u").to_numpy(), b.column("n").to_numpy()
+            raw = b.column("rare").to_pylist()
+            count = np.fromiter(map(len, raw), np.int64, len(raw)) // 8
+            token = np.frombuffer(b"".join(raw), np.uint64)
+            at = 0
+            while at < len(u):  # rows whose keys lie within 16 bits of each other
+                first = u[at] if not held else lo
+                fits = (u[at:] >= first) & (u[at:] < first + 65536)
+                take = len(fits) if fits.all() else int(fits.argmin())
+                if take and count[at : at + take].sum():
+                    c = count[at : at + take]
+                    skip = int(count[:at].sum())
+                    if not held:
+                        lo = int(first)
+                    held.append((token[skip : skip + int(c.sum())], np.repeat(u[at : at + take], c), np.repeat(n[at : at + take], c)))
+                    size += int(c.sum())
+                at += take
+                if held and (size > flush or at < len(u)):
+                    yield packed(lo, held)
+                    held, size = [], 0
+        if held:
+            yield packed(lo, held)
 
     return run
 
 
 def gather(group: pa.Table) -> pa.Table:
-    """Pairs of the short lists of a bucket (list null), members of the long ones, each different list once."""
-    token, member, n, rest = (np.concatenate([np.frombuffer(x, t) for x in group.column(c).to_pylist()]) for c, t in (("token", np.int64), ("member", np.int64), ("n", np.int32), ("rest", np.int32)))
+    """Pairs of the short lists of a bucket (list null); members of the long ones with bounds of their sizes, each different list once."""
+    token, size = (np.concatenate([np.frombuffer(x, t) for x in group.column(c).to_pylist()]) for c, t in (("token", np.uint32), ("size", np.uint8)))
+    member = np.concatenate([np.frombuffer(x, np.uint16).astype(np.int64) + base for x, base in zip(group.column("member").to_pylist(), group.column("base").to_pylist(), strict=True)])
     order = np.lexsort((member, token))
-    token, member, n, rest = token[order], member[order], n[order].astype(np.int64), rest[order].astype(np.int64)
+    token, member, size = token[order], member[order], size[order]
+    low, high = np.floor(BASE ** size.astype(float)).astype(np.int64), np.ceil(BASE ** (size + 1.0)).astype(np.int64)
     start = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
     length = np.diff(np.append(start, len(token)))
-    a, b, rows = [], [], []
-    for size in range(2, SMALL + 1):
-        s = start[length == size]
-        for i, j in combinations(range(size), 2):
-            fits = 7 * np.minimum(rest[s + i], rest[s + j]) >= 3 * (n[s + i] + n[s + j])
+    a, b = [], []
+    for many in range(2, SMALL + 1):
+        s = start[length == many]
+        for i, j in combinations(range(many), 2):
+            fits = 7 * np.minimum(high[s + i], high[s + j]) >= 3 * (low[s + i] + low[s + j])
             a.append(member[s + i][fits])
             b.append(member[s + j][fits])
     big = length > SMALL
-    sums = np.add.reduceat(mix(mix(member.view(np.uint64) + _G) + (n - rest).view(np.uint64)), start) if len(start) else np.empty(0, np.uint64)
+    sums = np.add.reduceat(mix(member.view(np.uint64) + _G), start)
     _, first = np.unique(sums[big], return_index=True)
     which = np.flatnonzero(big)[first]
     rows = np.concatenate([np.arange(start[i], start[i] + length[i]) for i in which] or [np.empty(0, np.int64)]).astype(np.int64)
     pairs = np.unique(np.stack([np.concatenate([*a, member[:0]]), np.concatenate([*b, member[:0]])], 1), axis=0)
-    listed = np.repeat(sums[which].view(np.int64), length[which])
-    k = len(pairs)
-    return pa.table([pa.array(np.concatenate([listed, np.zeros(k, np.int64)]), mask=np.arange(len(rows) + k) >= len(rows)), pa.array(np.concatenate([member[rows], pairs[:, 0]])), pa.array(np.concatenate([n[rows], pairs[:, 1]])), pa.array(np.concatenate([rest[rows], np.zeros(k, np.int64)]))], names=["list", "a", "b", "rest"])
+    listed, k = np.repeat(sums[which].view(np.int64), length[which]), len(pairs)
+    none = np.zeros(k, np.int64)
+    return pa.table([pa.array(np.concatenate([listed, none]), mask=np.arange(len(rows) + k) >= len(rows)), pa.array(np.concatenate([member[rows], pairs[:, 0]])), pa.array(np.concatenate([member[rows], pairs[:, 1]])), pa.array(np.concatenate([low[rows], none])), pa.array(np.concatenate([high[rows], none]))], names=["list", "a", "b", "n", "rest"])
 
 
 def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,110 +262,142 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def by_rep(maps: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
-    """maps as a table bucketed by rep in the shared folder, so that the rounds move pairs to it and never maps again; and what deletes it."""
-    spark = maps.sparkSession
-    name = f"pointloom_maps_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    path = f"{shared_dir(spark)}/{name}"
-    rows = maps.repartition(buckets, "rep")
-    rows.write.bucketBy(buckets, "rep").sortBy("rep").option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
-    out = spark.table(name)
-    out._pointloom_path = path
-
-    def drop() -> None:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
-        release(out)
-
-    return out, drop
-
-
-def linked(pairs: DataFrame, maps: DataFrame, texts: DataFrame) -> DataFrame:
+def linked(pairs: DataFrame, maps: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets reach the similarity. A centre's members are dealt in parts of about 128."""
     near = pairs.distinct().join(maps.toDF("a", "nx", "x"), "a").join(maps.toDF("b", "ny", "y"), "b")
     pairs = materialize(near.select("a", "b", "nx", "ny", "x", "y").mapInArrow(bounded, "a long, b long"))
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / 128).alias("ways"))
     dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "ways").alias("part"))
     dealt = materialize(dealt)
-    wanted = dealt.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = dealt.select(F.explode(F.array("a", "b")).alias("u")).distinct()
+    keys = materialize(sets.select("u", "k1", "k2").join(wanted, "u"))
     # one text for each set; a text on the way to its pairs is moved once for each part of a centre
-    texts = texts.join(wanted, "id", "left_semi").dropDuplicates(["id"])
-    rows = dealt.union(dealt.select("a", F.col("a").alias("b"), "part").distinct()).join(texts.withColumnRenamed("id", "b"), "b")
+    texts = texts.join(keys, ["k1", "k2"]).select("u", "text").dropDuplicates(["u"])
+    rows = dealt.union(dealt.select("a", F.col("a").alias("b"), "part").distinct()).join(texts.withColumnRenamed("u", "b"), "b")
     rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("a") != F.col("b"))
     out = materialize(rows.select("a", "part", "b", "text").mapInArrow(verify, "a long, b long"))
-    release(pairs, dealt)
+    release(pairs, dealt, keys)
     return out
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, comp): the smallest id that each end of the edges reaches. Labels fall to the least label around, then jump to that label's label."""
-    both = materialize(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("comp")))
-    while True:
-        around = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("comp").alias("near"))
-        low = labels.join(around, labels["id"] == around["a"]).select("id", F.least("comp", "near").alias("low"), F.col("comp").alias("old"))
-        jump = labels.select(F.col("id").alias("low"), F.col("comp").alias("far"))
-        new = materialize(low.join(jump, "low").select("id", F.least("low", "far").alias("comp"), "old"))
-        changed = new.where("comp < old").limit(1).count()
-        labels = new.select("id", "comp")
-        if not changed:
-            return labels
+def hidden_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the 128 bits k1, k2 of the text."""
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("k1", F.xxhash64("text")).withColumn("k2", F.xxhash64(F.lit(7), "text"))
 
 
-def jaccard_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of each document."""
-    spark = docs.sparkSession
-    base = docs.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64("text"), 3)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = base.select("id", "text")
-    top = texts.mapInArrow(heavy, "token long, cnt long").groupBy("token").agg(F.sum("cnt").alias("cnt")).where(F.col("cnt") >= FREQUENT).orderBy(F.desc("cnt"), "token").limit(MOST_FREQUENT)
-    found = top.orderBy("cnt", F.desc("token")).select("token").toArrow().column(0).to_numpy().view(np.uint64)
-    order = np.argsort(found)
-    shared = spark.sparkContext.broadcast((found[order], order.astype(np.int32)))
-    members = materialize(texts.mapInArrow(prefixes(lambda: shared.value), PREFIXES))
-    packed = materialize(members.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "rare", "rest", "single", "mode", "bits"))))
-    slim = materialize(members.select("id", "n", "s1", "s2"))
-    release(members)
-    members = slim
-    sets = materialize(packed.select("s1", "s2", "rep", "n", "single", "mode"))
-    maps, drop_maps = by_rep(packed.select("rep", "n", "bits"))
-    total = packed.agg(F.sum(F.size("rare").cast("long"))).first()[0] or 0
-    lists = materialize(packed.select("rep", "n", "rare", "rest").mapInArrow(deal(max(1, int(total // 300_000))), "bucket long, token binary, member binary, n binary, rest binary").groupBy("bucket").applyInArrow(gather, "list long, a long, b long, rest long"))
-    release(packed)
-    # the single tokens of a set end its prefix: what follows the last one is three quarters of the set, itself included
-    often = sets.where("mode > 0").select("rep", "n", "mode", F.size("single").alias("k"), F.posexplode("single").alias("at", "list"))
-    often = often.select("list", F.col("rep").alias("a"), F.col("n").alias("b"), (F.expr("(3 * n + 3) div 4 + k - 1 - at")).alias("rest"), "mode")
-    entries = lists.where("list IS NOT NULL").select("list", "a", "b", "rest", F.lit(0).alias("mode")).distinct().union(often).toDF("list", "member", "n", "rest", "mode")
+def _fits(n: str = "n", rest: str = "rest") -> str:
+    return f"7 * least({rest}, cr) >= 3 * ({n} + cn)"
+
+
+def link_sets(sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, comp) of the sets (u, n, k1, k2, rare, single, combined, rest, mode, bits) that link: comp is the least key of a class."""
+    maps, drop_maps = bucketed(sets.select("u", "n", "bits"), "u", int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    total = sets.agg(F.sum(F.octet_length("rare").cast("long"))).first()[0] or 0
+    packed = sets.select("u", "n", "rare").mapInArrow(deal(max(1, int(total // 2_400_000))), "bucket long, base long, token binary, member binary, size binary")
+    lists = materialize(packed.groupBy("bucket").applyInArrow(gather, "list long, a long, b long, n long, rest long"))
+    often = materialize(sets.where("mode > 0").select("u", "n", "mode", "single", F.size("single").alias("k"), "combined", "rest"))
+    rare = lists.where("list IS NOT NULL").select("list", F.col("a").alias("member"), "n", "rest", F.lit(0).alias("mode")).distinct()
+    triples = often.where("mode = 2").select(F.explode(F.arrays_zip("combined", "rest")).alias("e"), "u", "n").select(F.col("e.combined").alias("list"), F.col("u").alias("member"), "n", F.col("e.rest").cast("long").alias("rest"), F.lit(0).alias("mode"))
+    fixed = materialize(rare.union(triples))
+
+    def singles(rows: DataFrame, *more: str) -> DataFrame:
+        # the single tokens of a set end its prefix: what follows the last one is three quarters of the set, itself included
+        e = rows.select("u", "n", "mode", *more, F.col("k"), F.posexplode("single").alias("at", "list"))
+        return e.select("list", F.col("u").alias("member"), "n", F.expr("(3 * n + 3) div 4 + k - 1 - at").alias("rest"), "mode", *more)
+
+    def star(pool: DataFrame, least, where: str) -> DataFrame:
+        """Each member of a list with the list's centre."""
+        centre = F.struct(*least, F.col("member").alias("centre"), F.col("n").alias("cn"), F.col("rest").alias("cr"), *([F.col("comp").alias("cc")] if "comp" in pool.columns else []))
+        best = materialize(pool.groupBy("list").agg(F.min(centre).alias("c"), F.count("*").alias("size")))
+        joined = salted_join(pool, best.select("list", "c.*").drop("u"), ["list"], hot_keys(best, "size", ["list"]), "member")
+        return joined.where(f"member <> centre AND {where}").select(F.col("centre").alias("a"), F.col("member").alias("b"))
+
+    some = singles(often.withColumn("single", F.slice("single", 1, FIRST)))
+    entries = fixed.union(some)
     # a list of frequent tokens whose members are all indexed by combinations is not needed
     sized = entries.groupBy("list").agg(F.count("*").alias("size"), F.min("mode").alias("kind")).where("size > 1 AND kind < 2").select("list")
     entries = materialize(entries.join(sized, "list"))
-    def star(salt: int, pool: DataFrame) -> DataFrame:
-        best = pool.groupBy("list").agg(F.min(F.struct("mode", ((F.col("n") - F.col("rest")) / F.col("n")).alias("behind"), F.xxhash64(F.lit(salt), "member").alias("u"), F.col("member").alias("centre"), F.col("n").alias("cn"), F.col("rest").alias("cr"))).alias("c")).select("list", "c.centre", "c.cn", "c.cr")
-        return pool.join(best, "list").where("member <> centre AND 7 * least(rest, cr) >= 3 * (n + cn)").select(F.least("member", "centre").alias("x"), F.greatest("member", "centre").alias("y"), F.col("centre").alias("a"), F.col("member").alias("b")).dropDuplicates(["x", "y"]).select("a", "b")
-
-    edges = linked(lists.where("list IS NULL").select("a", "b").union(star(0, entries)), maps, texts)
-    for step in range(1, 4):
-        comp = components(edges)
-        named = entries.join(comp, F.col("member") == F.col("id"), "left").select("list", "member", "n", "rest", "mode", F.coalesce("comp", "member").alias("comp"))
-        several = named.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("list")
-        entries = materialize(named.join(several, "list"))
+    behind = ((F.col("n") - F.col("rest")) / F.col("n")).alias("behind")
+    pairs = star(entries, ["mode", behind, F.xxhash64(F.lit(0), "member").alias("u")], _fits())
+    edges = linked(lists.where("list IS NULL").select("a", "b").union(pairs), maps, sets, texts)
+    every, step = True, 0
+    while True:
+        comp = materialize(linked_ids(edges.toDF("q", "r"), materialize))
+        if every:  # all lists, with the class of each member; those within one class are done
+            label = F.coalesce("comp", "u").alias("comp")
+            all_ = singles(often.join(comp.withColumnRenamed("id", "u"), "u", "left").select("u", "n", "mode", "single", "k", label), "comp")
+            named = fixed.withColumnRenamed("member", "u").join(comp.withColumnRenamed("id", "u"), "u", "left").select("list", F.col("u").alias("member"), "n", "rest", "mode", label).union(all_)
+        else:
+            named = entries.join(comp, F.col("member") == F.col("id"), "left").select("list", "member", "n", "rest", "mode", F.coalesce("comp", "member").alias("comp"))
+        several = named.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("mode").alias("kind")).where("lo < hi AND kind < 2").select("list")
+        entries, every, step = materialize(named.join(several, "list")), False, step + 1
+        if step > 3 or entries.limit(1).count() == 0:
+            break
         if step < 3:
             # verify against another centre, across classes only
-            best = entries.groupBy("list").agg(F.min(F.struct("mode", F.xxhash64(F.lit(step), "member").alias("u"), F.col("member").alias("centre"), F.col("n").alias("cn"), F.col("rest").alias("cr"), F.col("comp").alias("cc"))).alias("c")).select("list", "c.centre", "c.cn", "c.cr", "c.cc")
-            pairs = entries.join(best, "list").where("comp <> cc AND 7 * least(rest, cr) >= 3 * (n + cn)").select(F.col("centre").alias("a"), F.col("member").alias("b"))
+            pairs = star(entries, ["mode", F.xxhash64(F.lit(step), "member").alias("u")], f"comp <> cc AND {_fits()}")
         else:
             main = entries.groupBy("list", "comp").agg(F.count("*").alias("size")).groupBy("list").agg(F.max(F.struct("size", "comp"))["comp"].alias("main"))
             flagged = entries.join(main, "list")
-            some = flagged.where("comp <> main").select("list", F.col("member").alias("a"), F.col("n").alias("cn"), F.col("rest").alias("cr"), F.col("mode").alias("am"), F.col("comp").alias("ac"))
-            pairs = some.join(flagged, "list").where("comp <> ac AND (comp = main OR a < member) AND 7 * least(rest, cr) >= 3 * (n + cn) AND NOT (am = 2 AND mode = 2)").select(F.col("a"), F.col("member").alias("b"))
+            outside = flagged.where("comp <> main").select("list", F.col("member").alias("a"), F.col("n").alias("cn"), F.col("rest").alias("cr"), F.col("mode").alias("am"), F.col("comp").alias("ac"))
+            pairs = outside.join(flagged, "list").where(f"comp <> ac AND (comp = main OR a < member) AND {_fits()} AND NOT (am = 2 AND mode = 2)").select("a", F.col("member").alias("b"))
+        edges = materialize(edges.union(linked(pairs, maps, sets, texts)))
         entries = entries.drop("comp")
-        if entries.limit(1).count() == 0:
-            break
-        edges = materialize(edges.union(linked(pairs, maps, texts)))
-    else:
-        comp = components(edges)
     drop_maps()
-    reps = sets.select("s1", "s2", "rep").join(comp, F.col("rep") == F.col("id"), "left").select("s1", "s2", F.coalesce("comp", "rep").alias("comp"))
-    # the least id of a class: the representative is the least of its set, and components() takes the least of those
-    out = members.join(reps, ["s1", "s2"], "left").select("id", "n", F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("id")).alias("comp"))
-    real = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
-    return out.select(real("id").alias("doc_id"), F.col("n").alias("n_shingles"), real("comp").alias("component_id"))
+    release(lists, often, fixed, entries)
+    return comp
+
+
+def jaccard_rows(docs: DataFrame) -> DataFrame:
+    """For each row doc_id, k1, k2 (of its text), n_shingles, component_id and kept: whether it is the one of its class that stays (the least by id, then by text; its equals stay too)."""
+    spark = docs.sparkSession
+    base = hidden_rows(docs)
+    top = base.select("text").mapInArrow(heavy, "token long, cnt long").groupBy("token").agg(F.sum("cnt").alias("cnt")).where(F.col("cnt") >= FREQUENT).orderBy(F.desc("cnt"), "token").limit(MOST_FREQUENT)
+    with step_settings(spark):
+        found = top.orderBy("cnt", F.desc("token")).select("token").toArrow().column(0).to_numpy().view(np.uint64)
+    order = np.argsort(found)
+    shared = spark.sparkContext.broadcast((found[order], order.astype(np.int32)))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    members = materialize(base.mapInArrow(prefixes(lambda: shared.value), f"doc_id {kind}, {PREFIXES}"))
+    slim = members.select("doc_id", "u", "k1", "k2", "n", "s1", "s2")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
+    equal = materialize(slim.where("n > 0").groupBy("s1", "s2").agg(F.min("u").alias("rep"), F.count("*").alias("rows"), F.min(first).alias("first")))
+    rows = materialize(salted_join(slim.where("n > 0"), equal.select("s1", "s2", "rep"), ["s1", "s2"], hot_keys(equal, "rows", ["s1", "s2"]), "u").select("doc_id", "u", "k1", "k2", "n", "rep"))
+    gone = rows.where("u <> rep").select("u")
+    if gone.count() <= GONE:
+        sets = members.where("n > 0").join(F.broadcast(gone), "u", "left_anti")  # GONE keys at most
+    else:
+        sets = materialize(members.where("n > 0").join(gone, "u", "left_anti"))
+    comp = link_sets(sets, base.select("k1", "k2", "text"))
+    named = materialize(equal.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "rows", "first", F.coalesce("comp", "rep").alias("comp")))
+    least = materialize(named.groupBy("comp").agg(F.min("first").alias("first"), F.count("*").alias("size")))
+    of_rep = materialize(salted_join(named.select("comp", "rep", "rows"), least.select("comp", "first"), ["comp"], hot_keys(least, "size", ["comp"]), "rep"))
+    known = salted_join(rows, of_rep.select("rep", "first"), ["rep"], hot_keys(of_rep, "rows", ["rep"]), "u")
+    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("k1") == F.col("first.k1")) & (F.col("k2") == F.col("first.k2"))
+    known = known.select("doc_id", "k1", "k2", F.col("n").alias("n_shingles"), F.col("first.doc_id").alias("component_id"), kept.alias("kept"))
+    empty = slim.where("n = 0").select("doc_id", "k1", "k2", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    out = materialize(known.union(empty))
+    release(members, equal, rows, sets, comp, named, least, of_rep)
+    return out
+
+
+def jaccard_classes(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of each document."""
+    return jaccard_rows(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each_class(docs: DataFrame) -> DataFrame:
+    """docs without the rows that are not kept, and with equal rows (by id and text) once. Texts are not exchanged for it while the keys of what goes fit a broadcast."""
+    rows = jaccard_rows(docs)
+    keys = materialize(rows.groupBy("doc_id", "k1", "k2").agg(F.count("*").alias("times"), F.max("kept").alias("kept")).where("times > 1 OR NOT kept"))
+    names = docs.columns
+    row = docs.select(F.struct(*names).alias("row"), F.coalesce(docs["text"], F.lit("")).alias("text"), docs["doc_id"].alias("id"))
+    row = row.select("row", "id", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(7), "text").alias("k2"))
+    other = keys.select(F.col("doc_id").alias("id_"), F.col("k1").alias("k1_"), F.col("k2").alias("k2_"), "kept")
+    same = F.col("id").eqNullSafe(F.col("id_")) & (F.col("k1") == F.col("k1_")) & (F.col("k2") == F.col("k2_"))
+    # most rows are in neither group
+    once = row.join(other, same, "left_anti").select("row.*")
+    if keys.where("kept").limit(1).count() == 0:
+        return once
+    again = row.join(other.where("kept"), same, "left_semi").dropDuplicates(["id", "k1", "k2"]).select("row.*")
+    return once.union(again)

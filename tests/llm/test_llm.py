@@ -223,14 +223,34 @@ def test_jaccard(spark, odd, none):
     assert op4.jaccard_classes(odd).count() == 12 and op4.jaccard_classes(none).count() == 0
 
 
-def test_jaccard_with_frequent_tokens(spark, monkeypatch):
+@pytest.mark.parametrize("most", [op4.MOST_FREQUENT, 40])
+def test_jaccard_with_frequent_tokens(spark, monkeypatch, most):
+    """Every token that repeats is of the frequent class, or only the 40 most frequent ones; keys of repeated sets are joined and not broadcast; every key with more than one row in twenty counts as hot."""
+    from pointloom.llm import common
+
     monkeypatch.setattr(op4, "FREQUENT", 2)
+    monkeypatch.setattr(op4, "MOST_FREQUENT", most)
+    monkeypatch.setattr(op4, "GONE", 0)
+    monkeypatch.setattr(common, "HOT", 20)
     rows = [(i, " ".join(w if (j * 7 + i * 13) % 41 else f"v{i}" for j, w in enumerate(prose(8, 150).split()))) for i in range(20)]
     rows += [(50 + i, prose(9, 30) + " " + prose(400 + i, 20)) for i in range(20)]
     got = op4.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_classes(rows)
 
 
+def test_jaccard_of_rows_that_share_an_id(spark):
+    a, b = prose(50, 80), prose(51, 80)
+    rows = [(5, a), (5, b), (6, b + " alpha"), (7, a + " beta"), (8, b), (9, b), (9, b), (None, a), (None, "x y")]
+    got = op4.jaccard_rows(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in got) == sorted([("5", "5"), ("5", "5"), ("6", "5"), ("7", "5"), ("8", "5"), ("9", "5"), ("9", "5"), ("None", "5"), ("None", "None")])
+    named = spark.createDataFrame([("d" + str(i), t) for i, t in rows], "doc_id string, text string")
+    assert {r.doc_id: r.component_id for r in op4.jaccard_classes(named).collect()}["d6"] == "d5"
+    wide = spark.createDataFrame([(i, t, 1, 2, "q") for i, t in rows + [(5, a)]], "doc_id long, text string, k1 long, kept int, id string")
+    left = op4.one_of_each_class(wide)
+    assert left.columns == wide.columns
+    assert sorted((str(r.doc_id), r.text) for r in left.collect()) == sorted([("5", a), ("5", b), ("None", "x y")])
+
+
 def test_recordings(spark):
     rng = np.random.default_rng(10)
     rows = [(i, rng.random(64).tolist()) for i in range(1, 230)] + [(300, None), (301, [])]
@@ -401,20 +421,45 @@ def test_containment(spark, odd, none):
     assert op10.contained_items(none, bench).count() == 0 and op10.contained_items(odd, bench.where("false")).count() == 0
 
 
-def test_pipeline(spark, odd):
+def test_pipeline(spark, odd, none):
+    """Each stage against what it must do with its own input, decided by brute force, and the edge cases."""
     import corpus_pipeline as p
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    kept = docs
+    items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    kept, inputs = docs, {}
     for name, stage in p.STAGES[:-1]:
-        before = kept
+        inputs[name] = {r.doc_id: r.text for r in kept.collect()}
         kept = p.materialize(stage(spark, kept, SF))
-        assert kept.columns == docs.columns and kept.count() <= before.count(), name
+        assert kept.columns == docs.columns, name
+    inputs["tokens"] = {r.doc_id: r.text for r in kept.collect()}
+    # language: clean prose stays, texts without letters go
+    lang = {r.doc_id: (r.lang_pred, r.score) for r in op9.identify(docs, ["doc_id"]).collect()}
+    assert set(inputs["near_duplicates"]) == {d for d, (x, score) in lang.items() if x != "und" and score >= p.SURE}
+    # near duplicates: the least id of each class
+    classes = brute_classes(list(inputs["near_duplicates"].items()))
+    assert set(inputs["decontamination"]) == {c for _, _, c in classes}
+    # decontamination: documents that hold three quarters of an item's shingles go
+    shingles = lambda t: {tuple(w[i : i + 5]) for w in [re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))] for i in range(len(w) - 4)}
+    sets = [s for s in map(shingles, items) if s]
+    hit = {d for d, t in inputs["decontamination"].items() if any(len(s & shingles(t)) >= 0.75 * len(s) for s in sets)}
+    assert set(inputs["personal_data"]) == set(inputs["decontamination"]) - hit
+    # personal data: no base span is left, and what is around spans is unchanged
+    found = {r.doc_id: r.spans for r in op3.personal_data(spark.createDataFrame(list(inputs["personal_data"].items()), "doc_id long, text string")).collect()}
+    for d, text in inputs["tokens"].items():
+        spans = sorted((int(a), int(b), k) for k, a, b in (x.split(":") for x in found[d].split(",") if x))
+        want, at = "", 0
+        for a, b, k in spans:
+            if a >= at:
+                want += inputs["personal_data"][d][at:a] + f"[{k.upper()}]"
+            at = max(at, b)
+        assert text == want + inputs["personal_data"][d][at:]
     out = p.STAGES[-1][1](spark, kept, SF).collect()
     v = op7.Vocabulary.load()
-    text = {r.doc_id: r.text for r in kept.collect()}
-    assert {r.doc_id: v.decode(r.ids).decode() for r in out} == text
+    assert {r.doc_id: v.decode(r.ids).decode() for r in out} == inputs["tokens"]
     for _, stage in p.STAGES[:-1]:
         odd_out = stage(spark, odd, SF)
         assert odd_out.columns == odd.columns
         odd_out.count()
+        assert stage(spark, none, SF).count() == 0
+    assert p.STAGES[-1][1](spark, none, SF).count() == 0
