@@ -23,11 +23,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of linked documents the one with the smallest id stays; so do documents without an id whose class has none."""
-    classes = materialize(op04_ngram_jaccard.jaccard_classes(docs).select("doc_id", "component_id").distinct())
-    gone = classes.where(F.col("doc_id").isNotNull() & F.col("component_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct()
-    # exact copies of one id are one document
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    """Of each class of linked documents the one with the smallest id stays (documents without an id come last; of equal ids the least text hash). Rows equal in id and text are one document."""
+    return op04_ngram_jaccard.one_of_each_class(docs).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
