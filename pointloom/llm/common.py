@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -89,6 +89,14 @@ def release(*frames: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
+SMALL_ROWS = 1_000_000  # rows of a few numbers each: 8 to 40 MB
+
+
+def sent(table: DataFrame) -> DataFrame:
+    """A written table of few numbers a row, marked to be broadcast while it has at most SMALL_ROWS rows; beyond that the join exchanges both sides."""
+    return F.broadcast(table) if table.count() <= SMALL_ROWS else table
+
+
 HOT = 1000  # keys with more than this part of the rows are hot, so there are fewer than HOT of them
 
 
@@ -123,15 +131,17 @@ def hashed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_u", F.xxhash64("doc_id")).withColumn("_v", F.xxhash64("text"))
 
 
-def least_hashes(docs: DataFrame, known: DataFrame, count: int, columns: list[str]) -> list[tuple]:
-    """(text, *columns) of `count` documents at most: those of `known` (_u, _v, columns) with the least hashes.
+def least_hashes(docs: DataFrame, known: DataFrame, count: int, label: str) -> list[tuple]:
+    """(text, label) of `count` distinct texts at most for each value of the label: those of `known` (_u, _v, label) with the least hashes.
 
-    Only hashes are joined and sorted; the texts of the chosen rows alone come to the driver.
+    Only hashes are sorted and joined, and each task keeps no more than `count` of a value; the texts of the chosen rows alone come to the driver.
     """
-    keys = known.select("_u", "_v", *columns).orderBy("_u", "_v").limit(count).dropDuplicates(["_u", "_v"])
-    rows = hashed(docs.select("doc_id", "text")).join(F.broadcast(keys), ["_u", "_v"]).select("_u", "_v", "text", *columns)  # keys: count rows at most
-    found = {(r["_u"], r["_v"]): r for r in rows.toLocalIterator()}
-    return [tuple(found[k])[2:] for k in sorted(found)]
+    rank = F.row_number().over(Window.partitionBy(label).orderBy("_v", "_u"))
+    first = known.groupBy("_v", label).agg(F.min("_u").alias("_u"))
+    keys = first.withColumn("_rank", rank).where(F.col("_rank") <= count).select("_u", "_v", label)
+    rows = hashed(docs.select("doc_id", "text")).join(F.broadcast(keys), ["_u", "_v"]).select("_u", "_v", "text", label)  # keys: count rows at most for each value
+    found = {(r["_v"], r[label]): r for r in rows.toLocalIterator()}
+    return [(found[k]["text"], found[k][label]) for k in sorted(found)]
 
 
 # ---- batches ----------------------------------------------------------------

@@ -13,7 +13,7 @@ least frequent first, so that a passage many documents share fills a prefix only
 1. Every row gets a key of its own. Equal sets are one member, named by the least key of its rows.
 2. Rare tokens are dealt to hash buckets, seven bytes an entry. There the lists of a token with up to SMALL members become
    pairs, longer ones go on as rows (each different list once).
-3. Pairs are verified in two steps: bit maps of four bits for each token give an upper bound of the common tokens, and what passes
+3. Pairs are verified in two steps: bit maps of two bits or more for each token give an upper bound of the common tokens, and what passes
    is compared by the whole sets. Longer lists are not expanded: each member is verified against a centre. What is linked forms a class.
    The first round takes the FIRST least frequent of a document's frequent tokens, which joins up groups of copies;
    later rounds take every list, but only members of one list in different classes, and the last one every such pair, so no
@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import RollingHash, WordBatch, _G, bucketed, hot_keys, materialize, mix, ngram_hashes, release, salted_join, step_settings, text_chunks
+from pointloom.llm.common import RollingHash, WordBatch, _G, bucketed, hot_keys, materialize, mix, ngram_hashes, release, salted_join, sent, step_settings, text_chunks
 from pointloom.operators.graph import linked_ids
 
 SHINGLE, K = 5, 3
@@ -76,8 +76,8 @@ def set_hash(tokens: np.ndarray) -> tuple[int, int]:
 
 
 def bit_map(tokens: np.ndarray) -> bytes:
-    """A bit for each token, by its low bits; four times as many bits as tokens, rounded up to a power of two (64 at least)."""
-    size = 4 << max(4, (len(tokens) - 1).bit_length())
+    """A bit for each token, by its low bits; twice as many bits as tokens, rounded up to a power of two (64 at least)."""
+    size = 2 << max(5, (len(tokens) - 1).bit_length())
     return np.packbits(np.bincount((tokens & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(bool)).tobytes()
 
 
@@ -272,7 +272,7 @@ def linked(pairs: DataFrame, maps: DataFrame, sets: DataFrame, texts: DataFrame)
     wanted = dealt.select(F.explode(F.array("a", "b")).alias("u")).distinct()
     keys = materialize(sets.select("u", "k1", "k2").join(wanted, "u"))
     # one text for each set; a text on the way to its pairs is moved once for each part of a centre
-    texts = texts.join(keys, ["k1", "k2"]).select("u", "text").dropDuplicates(["u"])
+    texts = texts.join(sent(keys), ["k1", "k2"]).select("u", "text").dropDuplicates(["u"])
     rows = dealt.union(dealt.select("a", F.col("a").alias("b"), "part").distinct()).join(texts.withColumnRenamed("u", "b"), "b")
     rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("a") != F.col("b"))
     out = materialize(rows.select("a", "part", "b", "text").mapInArrow(verify, "a long, b long"))
@@ -323,12 +323,13 @@ def link_sets(sets: DataFrame, texts: DataFrame) -> DataFrame:
     every, step = True, 0
     while True:
         comp = materialize(linked_ids(edges.toDF("q", "r"), materialize))
+        comp_ = sent(comp)
         if every:  # all lists, with the class of each member; those within one class are done
             label = F.coalesce("comp", "u").alias("comp")
-            all_ = singles(often.join(comp.withColumnRenamed("id", "u"), "u", "left").select("u", "n", "mode", "single", "k", label), "comp")
-            named = fixed.withColumnRenamed("member", "u").join(comp.withColumnRenamed("id", "u"), "u", "left").select("list", F.col("u").alias("member"), "n", "rest", "mode", label).union(all_)
+            all_ = singles(often.join(comp_.withColumnRenamed("id", "u"), "u", "left").select("u", "n", "mode", "single", "k", label), "comp")
+            named = fixed.withColumnRenamed("member", "u").join(comp_.withColumnRenamed("id", "u"), "u", "left").select("list", F.col("u").alias("member"), "n", "rest", "mode", label).union(all_)
         else:
-            named = entries.join(comp, F.col("member") == F.col("id"), "left").select("list", "member", "n", "rest", "mode", F.coalesce("comp", "member").alias("comp"))
+            named = entries.join(comp_, F.col("member") == F.col("id"), "left").select("list", "member", "n", "rest", "mode", F.coalesce("comp", "member").alias("comp"))
         several = named.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("mode").alias("kind")).where("lo < hi AND kind < 2").select("list")
         entries, every, step = materialize(named.join(several, "list")), False, step + 1
         if step > 3 or entries.limit(1).count() == 0:

@@ -11,6 +11,8 @@ are never read (training reads labels.toxic).
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +27,8 @@ WINDOW, STRIDE = 32, 16
 WORD_SLOTS, TRI_SLOTS, ODDS_SLOTS = 1 << 14, 1 << 12, 1 << 18
 DW, DC, H = 8, 4, 8
 STEPS, LOT = 400, 192
+LONG = 4 << 20  # bytes, beyond which a text is read in pieces
+_NO_LETTER = re.compile(rb"[^A-Za-z\x80-\xff]")
 
 
 def inputs(raw: list[bytes]) -> tuple[WordBatch, np.ndarray, np.ndarray, np.ndarray]:
@@ -49,6 +53,30 @@ def windows(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return doc, start, np.minimum(WINDOW, first[doc] + count[doc] - start)
 
 
+def long_windows(text: bytes, size: int | None = None) -> Iterator[tuple]:
+    """(words, start, length) of the windows of a long text, from pieces of about `size` bytes that begin at a window's first word: the same windows as of the whole text."""
+    size = size or LONG
+    pos = 0
+    while pos < len(text):
+        end = _NO_LETTER.search(text, pos + size)
+        hi = end.start() if end else len(text)
+        words = inputs([text[pos:hi]])
+        w, n = words[0], len(words[1])
+        _, start, length = windows(np.array([0]), np.array([n]))
+        if hi < len(text):  # a window that ends with the piece may go on in the next one
+            keep = start + WINDOW <= n
+            if not keep.any():
+                size *= 2
+                continue
+            start, length = start[keep], length[keep]
+        if len(start):
+            yield words, start, length
+        if hi == len(text):
+            return
+        following = int(start[-1]) + STRIDE
+        pos = pos + int(w.start[following]) if following < n else hi
+
+
 def _sigmoid(x):
     return 0.5 * (np.tanh(0.5 * x) + 1)
 
@@ -95,28 +123,37 @@ class Net:
         return pooled @ self.p["out"] + self.p["bias"]
 
     def logits(self, words: tuple, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Of windows in the order of their first words; only the inputs of a few thousand windows exist at a time."""
         _, h, tri, first = words
-        x = self.embed(h, tri, first) @ self.p["wx"] + self.p["bx"]
+        bound = np.append(first, len(tri))
         out = np.empty(len(start), np.float32)
-        order = np.argsort(-length, kind="stable")  # whole windows need no mask
-        for lo in range(0, len(order), 4096):
-            pick = order[lo : lo + 4096]
-            t = np.arange(length[pick].max())[:, None]
-            mask = t < length[pick]
-            at = np.minimum(start[pick] + t, len(x) - 1)
-            out[pick] = self.run(x[at], mask)
+        for b in range(0, len(start), 4096):
+            s, n = start[b : b + 4096], length[b : b + 4096]
+            lo, hi = int(s.min()), int((s + n).max())
+            x = self.embed(h[lo:hi], tri[bound[lo] : bound[hi]], first[lo:hi] - bound[lo]) @ self.p["wx"] + self.p["bx"]
+            order = np.argsort(-n, kind="stable")  # whole windows need no mask
+            whole = int((n == WINDOW).sum())
+            cuts = [c for c in (0, whole, *range(whole + 512, len(n), 512), len(n))]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if j > i:
+                    pick = order[i:j]
+                    t = np.arange(n[pick].max())[:, None]
+                    at = np.minimum(s[pick] - lo + t, hi - lo - 1)
+                    out[b + pick] = self.run(x[at], t < n[pick])
         return out
 
     def documents(self, raw: list[bytes]) -> np.ndarray:
         """The highest logit of each document's windows."""
-        words = inputs(raw)
+        words = inputs([x if len(x) <= LONG else b"" for x in raw])
         doc, start, length = windows(words[0].first[:-1], words[0].count)
         out = np.full(len(raw), float(self.p["bias"][0]))
+        top = np.full(len(raw), -np.inf)
         if len(doc):
-            top = np.full(len(raw), -np.inf)
             np.maximum.at(top, doc, self.logits(words, start, length))
-            out = np.where(np.isfinite(top), top, out)
-        return out
+        for i, x in enumerate(raw):
+            if len(x) > LONG:
+                top[i] = max((float(self.logits(*part).max()) for part in long_windows(x)), default=-np.inf)
+        return np.where(np.isfinite(top), top, out)
 
     def probability(self, raw: list[bytes]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.scale[0] * np.clip(self.documents(raw), -20, 20) + self.scale[1], -30, 30)))
@@ -227,7 +264,7 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> list:
     """At most TRAIN_DOCS labelled documents of either class outside the held-out fold."""
     marked = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))  # toxic, if labels of one id disagree
     known = hashed(docs.where((fold() != 0) & F.col("text").isNotNull())).select("doc_id", "_u", "_v").join(marked, "doc_id")
-    return [row for k in (1, 0) for row in least_hashes(docs, known.where(F.col("toxic") == k), TRAIN_DOCS, ["toxic"])]
+    return least_hashes(docs, known, TRAIN_DOCS, "toxic")
 
 
 def score_batches(net_of):

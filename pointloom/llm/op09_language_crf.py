@@ -2,12 +2,17 @@
 
 Each word (letters in lower case) gets emission scores from hashed features: the word itself (lexicon), its first two and
 three bytes and last two, three and four bytes (affixes), and its byte trigrams. Learned transitions join the
-words of a sentence (at most `LONGEST` words); forward-backward gives the marginal probability of each language for each
+words of a sentence, however long; forward-backward gives the marginal probability of each language for each
 word. A document's language has the largest sum of marginals, each weighted by the word's bytes; the score is its
 share. Training sentences are partly spliced from two languages, so that transitions see switches.
 
+Long sentences are cut into parts whose transfer matrices are combined first, so that all parts then run side by side with
+the messages that reach them: the marginals are those of the whole chain.
+
 Null and empty texts, and texts without a letter: `und`, score 0. Ties: the first language by name. Repeated rows get
-equal results; other columns are never read (training reads lang).
+equal results, and equal texts count once in training. A very long text is held by one task, about 60 bytes for each of its bytes. An empty
+table gives an empty result, and without labels all texts are `und`. Other columns are never read (training reads lang) and carried by
+identify() as they are.
 """
 
 from __future__ import annotations
@@ -22,8 +27,8 @@ from pyspark.sql import functions as F
 
 from pointloom.llm.common import RollingHash, WordBatch, fold, hashed, least_hashes, materialize, mix, text_chunks
 
-TRAIN_DOCS = 2000  # labelled documents that the model is fitted on, at most; those with the least hashes of doc_id
-LONGEST = 128
+TRAIN_DOCS = 500  # labelled texts of each language that the model is fitted on, at most; those with the least hashes
+PART = 128  # words of a long sentence that advance together with its other parts
 SLOTS = 1 << 17
 EPOCHS = 4
 
@@ -53,8 +58,6 @@ def sentences(w: WordBatch) -> tuple[np.ndarray, np.ndarray]:
     marks = np.concatenate([[0], np.cumsum(np.isin(w.buf, np.frombuffer(b".!?\n", np.uint8)))])
     new = np.ones(n, bool)
     new[1:] = (marks[w.start[1:]] > marks[w.end[:-1]]) | (w.doc[1:] != w.doc[:-1])
-    head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    new |= (np.arange(n) - head) % LONGEST == 0
     first = np.flatnonzero(new)
     return first, np.diff(np.append(first, n))
 
@@ -76,21 +79,24 @@ class Crf:
 
     def marginals(self, emit: np.ndarray, first: np.ndarray, length: np.ndarray, counts: np.ndarray | None = None) -> np.ndarray:
         """Marginals of each word by forward-backward, all sentences side by side. counts: gets the expected transitions added."""
-        order = np.argsort(-length, kind="stable")
-        first, length = first[order], length[order]
-        live = np.searchsorted(-length, -np.arange(int(length[0]) if len(length) else 0), "left")  # sentences longer than t
         e = np.exp(emit - emit.max(1, keepdims=True))
         step = np.exp(self.trans).astype(np.float32)
+        begin, end = np.tile(np.exp(self.start), (len(first), 1)), np.ones((len(first), len(self.langs)), np.float32)
+        if counts is None and len(length) and length.max() > PART:
+            first, length, begin, end = self._parts(e, step, first, length)
+        order = np.argsort(-length, kind="stable")
+        first, length, begin, end = first[order], length[order], begin[order], end[order]
+        live = np.searchsorted(-length, -np.arange(int(length[0]) if len(length) else 0), "left")  # sentences longer than t
         alpha, beta = np.empty_like(e), np.empty_like(e)
         a = None
         for t, m in enumerate(live):
             at = first[:m] + t
-            a = (np.exp(self.start) if t == 0 else a[:m] @ step) * e[at]
+            a = (begin if t == 0 else a[:m] @ step) * e[at]
             a /= a.sum(1, keepdims=True)
             alpha[at] = a
         for t in range(len(live) - 1, -1, -1):
             m, longer = live[t], live[t + 1] if t + 1 < len(live) else 0
-            b = np.ones((m, len(self.langs)), np.float32)
+            b = end[:m].copy()
             if longer:
                 after = first[:longer] + t + 1
                 ahead = beta[after] * e[after]
@@ -103,6 +109,33 @@ class Crf:
         out = alpha * beta
         return out / out.sum(1, keepdims=True)
 
+    def _parts(self, e: np.ndarray, step: np.ndarray, first: np.ndarray, length: np.ndarray):
+        """(first, length, message from before, message from behind) of the parts of all sentences."""
+        k = len(self.langs)
+        many = -(-length // PART)
+        whose = np.repeat(np.arange(len(first)), many)
+        nth = np.arange(len(whose)) - np.repeat(np.cumsum(many) - many, many)
+        at, size = first[whose] + PART * nth, np.minimum(PART, length[whose] - PART * nth)
+        begin, end = np.tile(np.exp(self.start), (len(at), 1)), np.ones((len(at), k), np.float32)
+        cut = np.flatnonzero(many[whose] > 1)
+        n = np.zeros((len(at), k, k), np.float32)  # of each part: emissions and transitions from its first word to its last
+        n[cut] = np.eye(k, dtype=np.float32) * e[at[cut]][:, None, :]
+        for t in range(1, PART):
+            on = cut[size[cut] > t]
+            m = (n[on] @ step) * e[at[on] + t][:, None, :]
+            n[on] = m / m.sum((1, 2), keepdims=True)
+        head = np.cumsum(many) - many
+        for j in range(1, int(many.max())):
+            on = head[many > j] + j
+            v = (begin[on - 1][:, None, :] @ n[on - 1])[:, 0] @ step
+            begin[on] = v / v.sum(1, keepdims=True)
+        last = np.cumsum(many) - 1
+        for j in range(1, int(many.max())):
+            on = last[many > j] - j
+            w = ((n[on + 1] @ end[on + 1][:, :, None])[:, :, 0]) @ step.T
+            end[on] = w / w.sum(1, keepdims=True)
+        return at, size, begin.astype(np.float32), end
+
 
 def fit(texts: list[str], langs: list[str], seed: int = 1) -> Crf:
     """Gradient ascent on the likelihood, with adaptive steps."""
@@ -185,9 +218,9 @@ def predict(model_of):
 
 
 def training_rows(docs: DataFrame) -> list:
-    """At most TRAIN_DOCS labelled documents outside the held-out fold."""
+    """At most TRAIN_DOCS labelled texts of each language outside the held-out fold."""
     known = docs.where((fold() != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    return least_hashes(docs, hashed(known), TRAIN_DOCS, ["lang"])
+    return least_hashes(docs, hashed(known), TRAIN_DOCS, "lang")
 
 
 def identify(docs: DataFrame, columns: list[str], model: Crf | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
