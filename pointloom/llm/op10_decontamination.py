@@ -3,12 +3,14 @@
 Text is lower-cased and cut into runs of letters and digits; a shingle is the hash of five words. Items are
 partitioned by the power of two of their number m of distinct shingles. An item's sketch holds its smallest hashes, as
 many as its partition's largest member may miss and one more; a document that contains at least `CONTAINED` of an item's
-shingles must hold one of them. Documents are long, so they are not sketched: their shingles are searched in the
-sketches, and a candidate pair is verified by the exact share of the item's distinct shingles that the document holds.
+shingles must hold one of them. Documents are long, so they are not sketched: every shingle of theirs is looked up in the
+sketches, which gives the candidate pairs. Only these are verified, by the exact share of the item's distinct shingles that the document holds.
 
 Items or documents of fewer than five words use shingles of all their length: an item of m < 5 words is found where its
-words occur in a row. Null, empty and wordless texts, and such items, match nothing. Repeated rows give one pair.
-Null ids are kept. Other columns are ignored.
+words occur in a row. Null, empty and wordless texts, and such items, match nothing. Repeated rows give one pair; of rows
+that share an id the text that holds most counts. Null ids are kept. A document that holds several items, or ties, gives every pair. A
+very long text stays in the JVM, as an array of eight bytes a word. Empty tables give an empty result. Other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,8 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pointloom.llm.common import materialize
+
 SHINGLE, CONTAINED = 5, 0.75
 BROADCAST_ROWS = 1_000_000  # shingles of all items up to which they are sent to every executor (16 to 60 MB)
+PAIRS = 500_000  # candidate pairs up to which the keys of their documents are sent (8 to 30 MB)
 
 
 def words_of(text: str) -> Column:
@@ -47,13 +52,21 @@ def contained_items(docs: DataFrame, bench: DataFrame) -> DataFrame:
     sizes = {r[0]: r[1] for r in items.groupBy("n").count().collect()}
     if not sizes:
         return items.select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "item_id", F.col("m").cast("long").alias("n_item"), F.lit(0).cast("long").alias("n_found"), F.lit(0.0).alias("containment")).where("false")
-    hashed = docs.select("doc_id", F.xxhash64("text").alias("body"), F.transform(words_of("text"), lambda x: F.xxhash64(x)).alias("w"))
+    small = sum(sizes.values()) <= BROADCAST_ROWS
+    sent = F.broadcast if small else lambda df: df
     wanted = F.expr("concat(" + ", ".join(_grams("w", n) for n in sorted(sizes)) + ")")
-    grams = hashed.select("doc_id", "body", F.explode(wanted).alias("gram"))
-    items = items.drop("n")
-    hits = grams.join(F.broadcast(items) if sum(sizes.values()) <= BROADCAST_ROWS else items, "gram").groupBy("doc_id", "body", "item_id", "m", "gram").agg(F.max("is_key").alias("is_key"))
-    pairs = hits.groupBy("doc_id", "body", "item_id", "m").agg(F.count("*").alias("n_found"), F.max("is_key").alias("candidate")).where("candidate").where(F.col("n_found") >= F.col("m") * CONTAINED)
-    return pairs.groupBy("doc_id", "item_id", "m").agg(F.max("n_found").alias("n_found")).select("doc_id", "item_id", F.col("m").cast("long").alias("n_item"), "n_found", (F.col("n_found") / F.col("m")).alias("containment"))
+    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("u"), F.xxhash64(F.lit(7), "text").alias("v"), "text")
+
+    def grams(of: DataFrame) -> DataFrame:
+        return of.select("doc_id", "u", "v", F.transform(words_of("text"), lambda x: F.xxhash64(x)).alias("w")).select("doc_id", "u", "v", F.explode(wanted).alias("gram"))
+
+    keys = items.where("is_key").select("gram", "item_id")
+    pairs = materialize(grams(rows).join(sent(keys), "gram").select("u", "v", "item_id").distinct())
+    found = pairs.select("u", "v").distinct()
+    held = grams(rows.join(F.broadcast(found) if pairs.limit(PAIRS + 1).count() <= PAIRS else found, ["u", "v"], "left_semi")).distinct()
+    hits = held.join(sent(items.select("gram", "item_id", "m")), "gram").join(pairs, ["u", "v", "item_id"], "left_semi")
+    shares = hits.groupBy("doc_id", "u", "v", "item_id", "m").agg(F.count("*").alias("n_found")).where(F.col("n_found") >= F.col("m") * CONTAINED)
+    return shares.groupBy("doc_id", "item_id", "m").agg(F.max("n_found").alias("n_found")).select("doc_id", "item_id", F.col("m").cast("long").alias("n_item"), "n_found", (F.col("n_found") / F.col("m")).alias("containment"))
 
 
 ORACLE = """
