@@ -12,7 +12,10 @@ spans has a model too. Addresses (ip) have no such form: all valid ones are base
 Positions are code points, end exclusive: the pieces between matches and the matches alternate, so starts are sums of their lengths,
 built in blocks so that a text with many matches takes time in proportion.
 
-Null and empty texts: no spans. Repeated rows get equal results. Other columns are ignored.
+Null and empty texts: no spans. Repeated rows get equal results. Matches of one kind never overlap, the leftmost and longest counts; spans of
+different kinds may, and spans that begin together are told apart by kind. Very long texts are read whole, in time in proportion to their
+length and matches. An empty table gives an empty result, and trees fitted on the made-up examples alone. Other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -26,8 +29,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pointloom.llm.common import materialize
+
 KINDS = ("email", "ip", "card", "phone")
-TRAIN_ROWS = 5000  # spans of the input that the trees are fitted on, at most; those of documents with the least hashes
+TRAIN_DOCS = 20_000  # distinct texts, about, in which spans to learn from are sought; those with the least hashes
+TRAIN_ROWS = 5000  # spans of these texts that the trees are fitted on, at most
 MADE_UP = 600  # examples of each kind besides
 TREES, RATE, PRECISION = 20, 0.3, 0.9
 BLOCK = 64
@@ -248,13 +254,22 @@ def _made_up() -> list[tuple[str, str, str, str, int]]:
     return out
 
 
+def sample_texts(df: DataFrame, text: str = "text") -> DataFrame:
+    """The texts whose hashes are least, about TRAIN_DOCS of them, equal ones once; chosen before any pattern runs."""
+    n = df.count()
+    u = F.xxhash64(F.col(text))
+    low = (2 * min(1.0, TRAIN_DOCS / max(1, n)) - 1) * 2.0**63
+    return materialize(df.where(u.cast("double") <= F.lit(low)).select(F.col(text).alias(text), u.alias("u")).dropDuplicates(["u"]))
+
+
 def train(df: DataFrame, text: str = "text") -> dict[str, Trees]:
-    """One model for each kind; df has the text and the columns of proposals() and doc_id."""
+    """One model for each kind, fitted on at most TRAIN_ROWS spans of the texts that sample_texts() chooses."""
+    df = proposals(base_spans(sample_texts(df, text), text), text)
     around = lambda x: f"substring({text}, greatest({x}.s - 19, 1), least({x}.s, 20)) as before, substring({text}, {x}.s + 1, {x}.e - {x}.s) as m, substring({text}, {x}.e + 1, 12) as behind"
     base = [F.expr(f"transform(base_{k}, b -> struct('{k}' as kind, b.s as s, true as own, {around('b')}))") for k in KINDS]
     other = lambda k: "concat(" + ", ".join(f"base_{o}" for o in KINDS if o != k) + ")"
     none = [F.expr(f"transform(filter(cand_{k}, c -> not c.known and exists({other(k)}, b -> b.s <= c.s and c.e <= b.e)), c -> struct('{k}' as kind, c.s as s, false as own, {around('c')}))") for k in KINDS]
-    rows = df.select(F.xxhash64("doc_id").alias("u"), F.explode(F.concat(*base, *none)).alias("c")).orderBy("u", "c.kind", "c.s", "c.own", "c.m").limit(TRAIN_ROWS).select("c.kind", "c.own", "c.before", "c.m", "c.behind").collect()
+    rows = df.select("u", F.explode(F.concat(*base, *none)).alias("c")).orderBy("u", "c.kind", "c.s", "c.own", "c.m").limit(TRAIN_ROWS).select("c.kind", "c.own", "c.before", "c.m", "c.behind").collect()
     made = _made_up()
     for i, (kind, own, before, m, behind) in enumerate(rows):
         made += [(kind, before + b, x, a + behind, y) for b, x, a, y in _rewritten(kind, m, i)] if own else [(kind, before, m, behind, 0)]
@@ -274,8 +289,8 @@ def train(df: DataFrame, text: str = "text") -> dict[str, Trees]:
 
 def find_spans(df: DataFrame, text: str = "text", models: dict[str, Trees] | None = None) -> DataFrame:
     """Adds base_<kind> (s, e, m) and added_<kind> (s, e, score) arrays to df."""
-    df = proposals(base_spans(df, text), text)
     models = models or train(df, text)
+    df = proposals(base_spans(df, text), text)
     for kind in KINDS:
         df = df.withColumn(f"added_{kind}", F.expr(f"filter(transform(filter(cand_{kind}, c -> not c.known), c -> struct(c.s as s, c.e as e, aggregate(array(c.f), 0D, (a, f) -> {_sql(models[kind])}) as score)), c -> c.score >= {models[kind].threshold!r}D)")).drop(f"cand_{kind}")
     return df
@@ -301,15 +316,17 @@ def personal_data(docs: DataFrame, models: dict[str, Trees] | None = None) -> Da
 
 
 def redact(docs: DataFrame, text: str = "text", models: dict[str, Trees] | None = None) -> DataFrame:
-    """docs with each span replaced by its kind in brackets; overlapping spans become one, named after the first. Null texts stay null."""
-    columns = docs.columns
-    df = docs.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
-    df = find_spans(df, "_t", models)
+    """docs with each span replaced by its kind in brackets; overlapping spans become one, named after the first. Null texts stay null.
+
+    All other columns come back as they were, whatever their names: they travel as one struct.
+    """
+    df = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.coalesce(docs[text], F.lit("")).alias("text"))
+    df = find_spans(df, "text", models)
     df = df.withColumn("_all", F.expr("array_sort(transform(" + "concat(" + ", ".join(f"transform({s}_{k}, x -> struct(x.s as s, x.e as e, {i} as k))" for i, k in enumerate(KINDS) for s in ("base", "added")) + "), x -> x))"))
     # merged: (s, e, k); a span that begins before the last one's end widens it
     merged = "aggregate(_all, cast(array() as array<struct<s:int,e:int,k:int>>), (a, x) -> if(size(a) > 0 and x.s < element_at(a, -1).e, concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).s as s, greatest(element_at(a, -1).e, x.e) as e, element_at(a, -1).k as k))), concat(a, array(struct(x.s as s, x.e as e, x.k as k)))))"
     df = df.withColumn("_all", F.expr(merged))
     tags = ", ".join(f"'[{k.upper()}]'" for k in KINDS)
-    body = f"concat(array_join(transform(_all, (x, i) -> concat(substring(_t, if(i = 0, 0, _all[i - 1].e) + 1, x.s - if(i = 0, 0, _all[i - 1].e)), array({tags})[x.k])), ''), substring(_t, element_at(_all, -1).e + 1, char_length(_t)))"
-    df = df.withColumn(text, F.expr(f"if(size(_all) = 0, {text}, {body})"))
-    return df.select(*columns)
+    body = F.expr(f"concat(array_join(transform(_all, (x, i) -> concat(substring(text, if(i = 0, 0, _all[i - 1].e) + 1, x.s - if(i = 0, 0, _all[i - 1].e)), array({tags})[x.k])), ''), substring(text, element_at(_all, -1).e + 1, char_length(text)))")
+    new = F.when(F.size("_all") == 0, F.col("row")[text]).otherwise(body)
+    return df.select(*(new.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns))
