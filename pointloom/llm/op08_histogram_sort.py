@@ -5,8 +5,12 @@ bytes and rows below every probe over all partitions; the probes around each wan
 every splitter is within the tolerance. Then rows are exchanged once: to cells, which are parts of a shard that
 one task can sort, and numbered there; a cell's first slot follows from the counts of the cells before it.
 
-Null text: size 1. Empty text: size 1. Null key: sorted first. Rows with equal keys are not divided. Repeated rows keep
-a slot each. Other columns of the documents are ignored by the query, and carried by shard_by_bytes().
+Null text: size 1. Empty text: size 1. Null key: sorted first. Rows with equal keys are not divided, so a key with more bytes than a
+shard holds makes its shard larger. The law concerns bytes alone: equal texts under different keys may lie in different shards, since a
+group of copies may be larger than a shard; they are told apart by key. Repeated rows keep a slot each, ties being ordered by the text's
+checksum. Keys that are no integers are ordered by their hash. An empty table gives an empty result. Texts are only measured, however
+long. Other columns of the documents are ignored by the query, and carried by shard_by_bytes(); a carried `shard` or `slot` comes back as
+`shard_in` or `slot_in`.
 """
 
 from __future__ import annotations
@@ -35,6 +39,12 @@ def _below(key: str, bounds: np.ndarray):
     return place(F.col(key))
 
 
+def _integer(rows: DataFrame, key: str):
+    """The key as a long: itself, or its hash where it is no integer; the least one for null."""
+    whole = rows.schema[key].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    return F.coalesce(rows[key].cast("long"), F.lit(LEAST)) if whole else F.when(rows[key].isNull(), F.lit(LEAST)).otherwise(F.xxhash64(rows[key]))
+
+
 def splitters(keys: DataFrame, key: str, measure: str, wanted: np.ndarray, tolerance: float) -> np.ndarray:
     """For each wanted sum of `measure`, a key below which lie about so much; keys ascend."""
     lo0, hi0 = keys.agg(F.min(key), F.max(key)).first()
@@ -62,8 +72,9 @@ def splitters(keys: DataFrame, key: str, measure: str, wanted: np.ndarray, toler
 
 def shard_by_bytes(rows: DataFrame, key: str, size: str, shards: int = SHARDS, order: tuple[str, ...] = ()) -> DataFrame:
     """The rows with `shard` (0 to shards - 1, in the order of key) and `slot` (from 0 in each shard, by key, then order)."""
-    keyed = rows.withColumn("_key", F.coalesce(F.col(key), F.lit(LEAST)))
-    small = keyed.select("_key", F.col(size).alias("_size"), F.lit(1).cast("long").alias("_one"))
+    carried = F.struct(*(rows[c].alias(f"{c}_in" if c in ("shard", "slot") else c) for c in rows.columns))
+    keyed = rows.select(_integer(rows, key).alias("_key"), rows[size].alias("_size"), F.struct(*(rows[c] for c in order)).alias("_order") if order else F.lit(0).alias("_order"), carried.alias("row"))
+    small = keyed.select("_key", "_size", F.lit(1).cast("long").alias("_one"))
     total, count = small.agg(F.sum("_size"), F.count("*")).first()
     total = total or 0
     bounds = splitters(small, "_key", "_size", np.arange(1, shards) * total / shards, TOLERANCE * total / shards)
@@ -72,8 +83,8 @@ def shard_by_bytes(rows: DataFrame, key: str, size: str, shards: int = SHARDS, o
     placed = keyed.withColumn("shard", _below("_key", bounds)).withColumn("_cell", _below("_key", every))
     counts = placed.groupBy("shard", "_cell").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_from", F.coalesce(F.sum("_n").over(Window.partitionBy("shard").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_cell", "shard", "_from")
-    numbered = placed.withColumn("_row", F.row_number().over(Window.partitionBy("shard", "_cell").orderBy("_key", *order)))
-    return numbered.join(before, ["shard", "_cell"]).withColumn("slot", (F.col("_from") + F.col("_row") - 1).cast("long")).drop("_key", "_cell", "_row", "_from")
+    numbered = placed.withColumn("_row", F.row_number().over(Window.partitionBy("shard", "_cell").orderBy("_key", "_order")))
+    return numbered.join(before, ["shard", "_cell"]).select("row.*", "shard", (F.col("_from") + F.col("_row") - 1).cast("long").alias("slot"))
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:

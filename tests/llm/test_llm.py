@@ -167,6 +167,39 @@ def test_personal_data(spark, odd, none):
     assert text[7] == "mail [EMAIL] or [CARD] at [IP], [PHONE]" and text[0] is None
 
 
+def plain_base_spans(text):
+    """The base spans of one text, by Python's own patterns."""
+    digits = lambda m: re.sub("[^0-9]", "", m)
+    luhn = lambda m: sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(digits(m)))) % 10 == 0
+    kinds = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda m: 13 <= len(digits(m)) <= 19 and luhn(m)),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(digits(m)) <= 15),
+    }
+    return [(k, m.start(), m.end()) for k, (p, ok) in kinds.items() for m in re.finditer(p, text) if ok(m[0])]
+
+
+def test_base_spans_equal_plain_patterns(spark):
+    tricky = ["a@b..c@d.ef a@b-.c", "1.2.3.4.5.6.7.8 999.1.1.1 1.2.3.256 01.02.003.0004", "4111-1111 1111 1111 4111111111111111 5", "++1 (2) 3..4- 5678901 +49 (0)30 1234567", "x@y +1 22", "é" * 70 + " a@é.b a.b@c.de😀+44 20 7946 0958"]
+    docs = spark.createDataFrame(list(enumerate(tricky)), "doc_id long, text string").union(spark.read.parquet(f"{SF}/documents.parquet").select(F.col("doc_id") + 100, "text"))
+    got = {r.doc_id: r for r in op3.personal_data(docs).collect()}
+    for r in docs.collect():
+        want = plain_base_spans(r.text or "")
+        mine = got[r.doc_id]
+        assert mine.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest(), r.text[:200]
+        assert (mine.n_email, mine.n_ip, mine.n_card, mine.n_phone) == tuple(sum(k == x for x, _, _ in want) for k in op3.KINDS)
+        assert {f"{k}:{a}:{b}" for k, a, b in want} <= set(mine.spans.split(",")) | {""}
+
+
+def test_redaction_keeps_other_columns(spark):
+    names = ["_t", "_all", "base_email", "added_phone", "cand_ip", "_m", "_e", "_c", "_b", "_p", "row", "a b"]
+    docs = spark.createDataFrame([(1, "to a@b.cd, or 1.2.3.4", *range(len(names)))], "doc_id long, text string, " + ", ".join(f"`{n}` long" for n in names))
+    out = op3.redact(docs)
+    assert out.columns == docs.columns
+    assert tuple(out.first()) == (1, "to [EMAIL], or [IP]", *range(len(names)))
+
+
 def test_what_base_patterns_miss_is_added(spark):
     hidden = {
         0: ("write to jane (at) example (dot) org today", "jane (at) example (dot) org"),
@@ -352,6 +385,37 @@ def test_toxicity(spark, odd, none):
     assert op6.toxicity_of_documents(none, docs.select("doc_id", "toxic")).count() == 0
 
 
+def test_windows_of_the_network_one_by_one():
+    """Scores of batches against a plain recurrence over each window's words, and long texts in pieces against the whole."""
+    rng = np.random.default_rng(51)
+    net = op6.Net()
+    net.odds = rng.normal(size=net.odds.shape).astype(np.float32)
+    texts = [prose(60 + i, n).encode() for i, n in enumerate((0, 1, 7, 31, 32, 33, 100, 333))] + [b"12 34", b"ab"]
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    want = []
+    for t in texts:
+        w, h, tri, first = op6.inputs([t])
+        n, best = len(h), -np.inf
+        e = net.embed(h, tri, first) if n else None
+        for start in range(0, max(1, -(-(n - op6.WINDOW) // op6.STRIDE) * op6.STRIDE + 1), op6.STRIDE) if n else ():
+            x = e[start : start + op6.WINDOW] @ net.p["wx"] + net.p["bx"]
+            states = np.zeros((len(x), 2 * op6.H))
+            for d, u in ((0, net.p["uf"]), (1, net.p["ub"])):
+                s = np.zeros(op6.H)
+                for i in range(len(x)) if d == 0 else reversed(range(len(x))):
+                    own, hu = x[i, 3 * op6.H * d : 3 * op6.H * (d + 1)], s @ u
+                    z, r = sig(own[: op6.H] + hu[: op6.H]), sig(own[op6.H : 2 * op6.H] + hu[op6.H : 2 * op6.H])
+                    s = z * s + (1 - z) * np.tanh(own[2 * op6.H :] + r * hu[2 * op6.H :])
+                    states[i, op6.H * d : op6.H * (d + 1)] = s
+            a = np.exp(states @ net.p["att"])
+            best = max(best, float((a / a.sum()) @ states @ net.p["out"] + net.p["bias"][0]))
+        want.append(best if n else float(net.p["bias"][0]))
+    assert np.allclose(net.documents(texts), want, atol=1e-4)
+    for size in (300, 1000):
+        got = [max((float(net.logits(*p).max()) for p in op6.long_windows(t, size)), default=float(net.p["bias"][0])) for t in texts]
+        assert np.allclose(got, want, atol=1e-4)
+
+
 def test_gradients_of_the_network():
     net = op6.Net()
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
@@ -396,11 +460,23 @@ def test_pieces(spark, odd, none, monkeypatch):
 
 def test_shards(spark, odd, none):
     docs = spark.createDataFrame([(i * i, prose(i, 5 + i % 90)) for i in range(2000)], "doc_id long, text string")
-    got = op8.shard_documents(docs).toPandas()
-    size = got.groupby("shard")["size"].sum()
-    assert len(size) == 16 and size.max() - size.min() <= 2 * got["size"].max() + 0.01 * size.mean()
-    assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
+    got = op8.shard_documents(docs).toPandas().sort_values("doc_id")
+    # by one sort: shards follow the order of ids, each border lies where its share of the bytes ends, and slots count up
+    size, shard = got["size"].to_numpy(), got["shard"].to_numpy()
+    assert (np.diff(shard) >= 0).all() and set(shard) == set(range(16))
+    border = np.cumsum(np.bincount(shard, size))[:-1]
+    assert (np.abs(border - size.sum() * np.arange(1, 16) / 16) <= max(op8.TOLERANCE * size.sum() / 16, size.max())).all()
+    assert all(g.slot.tolist() == list(range(len(g))) for _, g in got.groupby("shard"))
+    import zlib
+
+    text = {r.doc_id: r.text for r in docs.collect()}
+    assert [zlib.crc32(text[i].encode()) for i in got.doc_id] == got.text_crc32.tolist() and [len(text[i]) + 1 for i in got.doc_id] == size.tolist()
     assert op8.shard_documents(odd).count() == 12 and op8.shard_documents(none).count() == 0
+    named = op8.shard_documents(docs.withColumn("doc_id", F.col("doc_id").cast("string"))).toPandas()
+    assert named.groupby("shard")["size"].sum().max() <= 1.1 * size.sum() / 16 and len(named) == 2000
+    wide = docs.selectExpr("doc_id", "length(text) as n", "'x' as shard", "7 as slot", "1 as _key", "2 as row")
+    out = op8.shard_by_bytes(wide, "doc_id", "n", 4)
+    assert out.columns == ["doc_id", "n", "shard_in", "slot_in", "_key", "row", "shard", "slot"] and out.where("shard_in <> 'x' or slot_in <> 7").count() == 0
 
 
 def test_language(spark, odd, none):
@@ -412,6 +488,58 @@ def test_language(spark, odd, none):
     assert op9.language_of_documents(none).count() == 0
 
 
+def test_marginals_equal_all_paths(monkeypatch):
+    """Against every path of a short chain; and long chains in parts against the chain as a whole."""
+    from itertools import product
+
+    rng = np.random.default_rng(41)
+    model = op9.Crf(["a", "b", "c"], np.zeros((1, 3)), rng.normal(size=3).astype(np.float32), rng.normal(size=(3, 3)).astype(np.float32))
+    emit = rng.normal(size=(5, 3)).astype(np.float32)
+    want = np.zeros((5, 3))
+    for path in product(range(3), repeat=5):
+        p = np.exp(model.start[path[0]] + sum(emit[i, y] for i, y in enumerate(path)) + sum(model.trans[x, y] for x, y in zip(path, path[1:])))
+        want[range(5), path] += p
+    assert np.allclose(model.marginals(emit, np.array([0]), np.array([5])), want / want.sum(1, keepdims=True), atol=1e-5)
+    length = np.array([700, 3, 128, 129, 1, 400])
+    first, emit = np.cumsum(length) - length, rng.normal(size=(length.sum(), 3)).astype(np.float32)
+    monkeypatch.setattr(op9, "PART", 10**6)
+    whole = model.marginals(emit, first, length)
+    for part in (7, 128):
+        monkeypatch.setattr(op9, "PART", part)
+        assert np.allclose(model.marginals(emit, first, length), whole, atol=1e-4)
+
+
+def test_rare_languages_are_learned(spark):
+    rows = [(i, prose(i, 20), "xx") for i in range(1200)] + [(5000 + i, " ".join(f"zqo{c}v" for c in "abcdefgh"), "yy") for i in range(6)] + [(6000 + i, f"zqoav zqobv zqocv {c}{c}", "yy") for i, c in enumerate("klmnoprst")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in op9.language_of_documents(docs).collect()}
+    assert all(got[i] == "yy" for i in range(5000, 5006)) and got[7] == "xx"
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_containment_equals_plain_sets(spark, monkeypatch, small):
+    """small: items and candidate pairs are joined without a broadcast."""
+    if small:
+        monkeypatch.setattr(op10, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(op10, "PAIRS", 0)
+    docs, items = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "benchmark"))
+    part = items.select("item_id", F.expr("substring(text, 1, cast(length(text) * 0.8 as int))").alias("text"))
+    docs = docs.select("doc_id", "text").union(part.select(F.col("item_id") + 10_000, "text"))
+    words = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+    sets = {r.item_id: words(r.text) for r in items.collect()}
+    grams = lambda w, n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+    want = set()
+    for r in docs.collect():
+        w = words(r.text)
+        held = {n: grams(w, n) for n in range(1, 6)}
+        for i, x in sets.items():
+            n = min(5, len(x))
+            if n and len(g := grams(x, n)) * 0.75 <= len(g & held[n]):
+                want.add((r.doc_id, i, len(g), len(g & held[n])))
+    got = {(r.doc_id, r.item_id, r.n_item, r.n_found) for r in op10.contained_items(docs, items).collect()}
+    assert got == want and len(want) > 20
+
+
 def test_containment(spark, odd, none):
     bench = spark.createDataFrame([(0, prose(20, 40)), (1, "tiny item"), (2, None), (3, prose(21, 6)), (4, prose(20, 40))], "item_id long, text string")
     part = " ".join(prose(20, 40).split()[:33])
