@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pointloom.functions.vectors import vdot
 from pointloom.operators.neighbors import neighbors
+from pointloom.operators.stats import grouped_mcd
 
 
 def neighborhood_covariance(edges: DataFrame, cloud: DataFrame, dim: int) -> DataFrame:
@@ -24,14 +25,30 @@ def neighborhood_covariance(edges: DataFrame, cloud: DataFrame, dim: int) -> Dat
     return sums.join(own, "q").select("q", "qp", "count", *((F.col(f"t{i}") / n + F.col("qp")[i]).alias(f"m{i}") for i in range(dim)), *cov)
 
 
-def normals(cloud: DataFrame, spec, dim: int = 3, viewpoint=None, reference: str | None = None) -> DataFrame:
-    """(id, n, curvature). NaN with fewer than dim neighbors. Turned to the viewpoint, or to a reference normal column of the cloud, which goes first."""
-    cov = neighborhood_covariance(neighbors(cloud, cloud, spec), cloud, dim)
-    flat = [F.col(f"s{min(i, k)}{max(i, k)}") for i in range(dim) for k in range(dim)]
+def robust_covariance(edges: DataFrame, cloud: DataFrame, dim: int, **options) -> DataFrame:
+    """(q, qp, c, count): the minimum covariance determinant of the points around each query, nearest first; count 0 where the query's own point is an outlier."""
+    points = cloud.select(F.col("id").alias("r"), "p")
+    found = grouped_mcd(edges.join(points, "r").select("q", F.col("value").alias("id"), "p"), "q", dim, **options)
+    size = edges.groupBy("q").agg(F.count("*").alias("size"))
+    own = cloud.select(F.col("id").alias("q"), F.col("p").alias("qp"))
+    return found.join(size, "q").join(own, "q").select("q", "qp", F.col("cov").alias("c"), F.when(F.col("valid"), F.col("size")).otherwise(0).alias("count"))
+
+
+def normals(cloud: DataFrame, spec, dim: int = 3, viewpoint=None, reference: str | None = None, covariance=None) -> DataFrame:
+    """(id, n, curvature). NaN with fewer than dim neighbors. Turned to the viewpoint, or to a reference normal column of the cloud, which goes first.
+
+    covariance: None for the sample covariance, options of robust_covariance, or any function (edges, cloud, dim) that gives its columns.
+    """
+    edges = neighbors(cloud, cloud, spec)
+    if covariance is None:
+        sums = neighborhood_covariance(edges, cloud, dim)
+        cov = sums.select("q", "qp", F.array(*(F.col(f"s{min(i, k)}{max(i, k)}") for i in range(dim) for k in range(dim))).alias("c"), "count")
+    else:
+        cov = covariance(edges, cloud, dim) if callable(covariance) else robust_covariance(edges, cloud, dim, **covariance)
 
     @F.pandas_udf("n array<double>, curvature double")
     def smallest(c: pd.Series, count: pd.Series) -> pd.DataFrame:
-        ok = (count >= dim).to_numpy()
+        ok = (count >= dim).to_numpy() & np.array([bool(np.isfinite(np.asarray(x, float)).all()) for x in c], bool)
         m = np.array([x if good else np.eye(dim).ravel() for x, good in zip(c, ok, strict=True)], float).reshape(-1, dim, dim)
         values, vectors = np.linalg.eigh(m)
         v = vectors[:, :, 0]
@@ -40,7 +57,7 @@ def normals(cloud: DataFrame, spec, dim: int = 3, viewpoint=None, reference: str
         total = values.sum(1)
         return pd.DataFrame({"n": list(v.tolist()), "curvature": np.where(ok, values[:, 0] / np.where(total > 0, total, 1), np.nan)})
 
-    out = cov.select(F.col("q").alias("id"), "qp", F.array(*flat).alias("_c"), "count").withColumn("_e", smallest("_c", "count")).select("id", "qp", F.col("_e.n").alias("n"), F.col("_e.curvature").alias("curvature"))
+    out = cov.select(F.col("q").alias("id"), "qp", "c", "count").withColumn("_e", smallest("c", "count")).select("id", "qp", F.transform("_e.n", lambda x: F.coalesce(x, F.lit(float("nan")))).alias("n"), F.coalesce("_e.curvature", F.lit(float("nan"))).alias("curvature"))  # NaN is null on the way from Python
     flip = lambda cond: F.when(cond, F.transform("n", lambda x: -x)).otherwise(F.col("n"))
     if reference is not None:
         out = out.join(cloud.select("id", F.col(reference).alias("_ref")), "id").withColumn("n", flip(vdot("n", "_ref") < 0)).drop("_ref")

@@ -12,7 +12,7 @@ from pointloom.functions.vectors import affine, vnorm, vsub
 from pointloom.operators.registration import fit_affine, fit_rigid
 from pointloom.operators.stats import canonical_axes, covariance
 
-SAMPLE_POOL = 5000  # points that candidate models are drawn from, those with the least hashes
+BLOCK = 50  # candidate models that one pass scores
 
 
 @dataclass
@@ -44,57 +44,57 @@ def score(df: DataFrame, residuals: list[Column], limit: float) -> list[int]:
     return list(df.agg(*(F.coalesce(F.sum((r <= limit).cast("long")), F.lit(0)).alias(f"m{i}") for i, r in enumerate(residuals))).first())
 
 
-def _best(df: DataFrame, models: list, residual, limit: float, target: int, block: int = 50):
-    best, seen = (None, 0), 0
-    for at in range(0, len(models), block):
-        part = models[at : at + block]
-        for m, n in zip(part, score(df, [residual(m) for m in part], limit), strict=True):
-            seen += 1
-            if n > best[1]:
-                best = (m, n)
-        if best[1] >= target:
+def draw(df: DataFrame, columns: list[str], count: int, seed: int) -> list:
+    """About four times `count` rows, and all of a small table: every row has the same chance, by a hash of its id and the seed. In the order of that hash."""
+    keys = [c for c in ("id", "first", "second") if c in df.columns] or columns
+    n = df.count()
+    u = F.xxhash64(F.lit(seed), *keys)
+    low = (2 * min(1.0, 4 * count / max(1, n)) - 1) * 2.0**63
+    return df.select(u.alias("u"), *columns).where(F.col("u").cast("double") <= F.lit(low)).orderBy("u").limit(16 * count).drop("u").collect()
+
+
+def fit_model(df: DataFrame, k: int, columns: list[str], fit, residual, refit, limit: float, iterations: int = 100, target: int | None = None, seed: int = 0) -> Fit | None:
+    """The best of `iterations` models, each fit(sample of k rows), by the rows with residual(model) <= limit; it ends early at `target` rows (half of all if None). refit(inliers) gives the final model."""
+    target = target if target is not None else -(-df.count() // 2)
+    best, inliers, seen = None, 0, 0
+    for at in range(0, iterations, BLOCK):
+        some = min(BLOCK, iterations - at)
+        rows = draw(df, columns, some * k, seed + at)
+        if len(rows) < k:
+            return None
+        rng = np.random.default_rng(seed + at)
+        models = [m for m in (fit([rows[i] for i in rng.permutation(len(rows))[:k]]) for _ in range(some)) if m is not None]
+        if models:
+            for m, n in zip(models, score(df, [residual(m) for m in models], limit), strict=True):
+                if n > inliers:
+                    best, inliers = m, n
+        seen += some
+        if inliers >= target:
             break
-    return best, seen
+    if best is None:
+        return None
+    if refit is not None:
+        best = refit(df.where(residual(best) <= limit)) or best
+        inliers = score(df, [residual(best)], limit)[0]
+    return Fit(best, inliers, seen)
 
 
 def fit_plane(df: DataFrame, dim: int = 3, limit: float = 0.1, iterations: int = 100, target: int | None = None, refit: bool = True, seed: int = 0) -> Fit | None:
     """Plane with the most points within the limit; None if none has any."""
-    pool = np.array([r[0] for r in df.orderBy(F.xxhash64("id", F.lit(seed))).limit(SAMPLE_POOL).select("p").collect()], float)
-    if len(pool) < dim:
-        return None
-    rng = np.random.default_rng(seed)
-    models = [plane_of(pool[rng.permutation(len(pool))[:dim]]) for _ in range(iterations)]
-    (model, n), seen = _best(df, models, plane_residual, limit, target if target is not None else -(-df.count() // 2))
-    if model is None:
-        return None
-    if refit:
-        mean, c, _ = covariance(df.where(plane_residual(model) <= limit), dim)
+
+    def least_squares(inside: DataFrame):
+        mean, c, _ = covariance(inside, dim)
         axis = canonical_axes(c)[1][:, -1]
-        model = (axis, -float(axis @ mean))
-        n = score(df, [plane_residual(model)], limit)[0]
-    return Fit(model, n, seen)
+        return axis, -float(axis @ mean)
+
+    return fit_model(df, dim, ["p"], lambda rows: plane_of(np.array([r[0] for r in rows], float)), plane_residual, least_squares if refit else None, limit, iterations, target, seed)
 
 
 def fit_transform(pairs: DataFrame, dim: int = 3, rigid: bool = True, limit: float = 0.01, iterations: int = 100, target: int | None = None, refit: bool = True, seed: int = 0) -> Fit | None:
     """Transform of source points p2 to p1 with the most correspondences within the limit."""
-    pool = pairs.orderBy(F.xxhash64("first", "second", F.lit(seed))).limit(SAMPLE_POOL).select("p1", "p2").collect()
-    d, s = (np.array([r[i] for r in pool], float) for i in (0, 1))
-    k = dim if rigid else dim + 1
-    if len(pool) < k:
-        return None
-    rng, solve = np.random.default_rng(seed), (fit_rigid if rigid else fit_affine)
-    models = []
-    for _ in range(iterations):
-        at = rng.permutation(len(pool))[:k]
-        m = solve(d[at], s[at])
-        if m is not None:
-            models.append(m)
-    (model, n), seen = _best(pairs, models, transform_residual, limit, target if target is not None else -(-pairs.count() // 2))
-    if model is None:
-        return None
-    if refit:
-        from pointloom.operators.registration import estimate_point_to_point
+    from pointloom.operators.registration import estimate_point_to_point
 
-        model = estimate_point_to_point(pairs.where(transform_residual(model) <= limit), dim, rigid) or model
-        n = score(pairs, [transform_residual(model)], limit)[0]
-    return Fit(model, n, seen)
+    solve = fit_rigid if rigid else fit_affine
+    of = lambda rows: solve(*(np.array([r[i] for r in rows], float) for i in (0, 1)))
+    again = (lambda inside: estimate_point_to_point(inside, dim, rigid)) if refit else None
+    return fit_model(pairs, dim if rigid else dim + 1, ["p1", "p2"], of, transform_residual, again, limit, iterations, target, seed)

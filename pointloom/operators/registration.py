@@ -71,28 +71,36 @@ def _solve(row, k: int) -> np.ndarray:
     return np.linalg.lstsq(a, np.array([row[f"b{i}"] or 0.0 for i in range(k)]), rcond=None)[0]
 
 
-def combined_rows_3d(d: Column, s: Column, n: Column, w_point: float, w_plane: float) -> list:
+def _used(w) -> bool:
+    return isinstance(w, Column) or w > 0
+
+
+def _weight(w) -> Column:
+    return w if isinstance(w, Column) else F.lit(float(w))
+
+
+def combined_rows_3d(d: Column, s: Column, n: Column, w_point, w_plane) -> list:
     """Point rows [(d + s) x, I], plane row [(d + s) x n, n], right side d - s."""
     b, c = vadd(d, s), vsub(d, s)
     z, one = F.lit(0.0), F.lit(1.0)
     skew = [[z, b[2], -b[1]], [-b[2], z, b[0]], [b[1], -b[0], z]]
     rows = []
-    if w_point > 0:
-        rows += [([*skew[i], *(one if i == j else z for j in range(3))], c[i], F.lit(float(w_point))) for i in range(3)]
-    if w_plane > 0:
+    if _used(w_point):
+        rows += [([*skew[i], *(one if i == j else z for j in range(3))], c[i], _weight(w_point)) for i in range(3)]
+    if _used(w_plane):
         x = cross3(b, n)
-        rows.append(([x[0], x[1], x[2], n[0], n[1], n[2]], vdot(n, c), F.lit(float(w_plane))))
+        rows.append(([x[0], x[1], x[2], n[0], n[1], n[2]], vdot(n, c), _weight(w_plane)))
     return rows
 
 
-def combined_rows_2d(d: Column, s: Column, n: Column, w_point: float, w_plane: float) -> list:
+def combined_rows_2d(d: Column, s: Column, n: Column, w_point, w_plane) -> list:
     b, c = vadd(d, s), vsub(d, s)
     z, one = F.lit(0.0), F.lit(1.0)
     rows = []
-    if w_point > 0:
-        rows += [([-b[1], one, z], c[0], F.lit(float(w_point))), ([b[0], z, one], c[1], F.lit(float(w_point)))]
-    if w_plane > 0:
-        rows.append(([-b[1] * n[0] + b[0] * n[1], n[0], n[1]], vdot(n, c), F.lit(float(w_plane))))
+    if _used(w_point):
+        rows += [([-b[1], one, z], c[0], _weight(w_point)), ([b[0], z, one], c[1], _weight(w_point))]
+    if _used(w_plane):
+        rows.append(([-b[1] * n[0] + b[0] * n[1], n[0], n[1]], vdot(n, c), _weight(w_plane)))
     return rows
 
 
@@ -110,8 +118,8 @@ def _rotation(a: np.ndarray) -> tuple[np.ndarray, float]:
     return np.eye(3) + np.sin(t) * k + (1 - np.cos(t)) * k @ k, t
 
 
-def estimate_combined(pairs: DataFrame, dim: int = 3, w_point: float = 0.0, w_plane: float = 1.0, symmetric: bool = False, rigid: bool = True, max_iter: int = 1, tol: float = 1e-5, start=None):
-    """(R, t) minimizing weighted point-to-point and point-to-plane terms of pairs (p1, n1, p2[, n2]); symmetric adds the source's turned normals."""
+def estimate_combined(pairs: DataFrame, dim: int = 3, w_point=0.0, w_plane=1.0, symmetric: bool = False, rigid: bool = True, max_iter: int = 1, tol: float = 1e-5, start=None):
+    """(R, t) minimizing weighted point-to-point and point-to-plane terms of pairs (p1, n1, p2[, n2]); symmetric adds the source's turned normals. Weights are numbers or columns of the pairs."""
     r, t = start if start is not None else (np.eye(dim), np.zeros(dim))
     means = pairs.agg(*(F.avg(F.col(c)[i]) for c in ("p1", "p2") for i in range(dim))).first()
     if means[0] is None:
@@ -120,9 +128,9 @@ def estimate_combined(pairs: DataFrame, dim: int = 3, w_point: float = 0.0, w_pl
     if not rigid:
         d, s, n = affine(np.eye(dim), -md, "p1"), affine(np.eye(dim), -ms, "p2"), F.col("n1")
         z = F.lit(0.0)
-        rows = [([n[i] * s[j] for i in range(dim) for j in range(dim)] + [n[i] for i in range(dim)], vdot(n, d), F.lit(float(w_plane)))] if w_plane > 0 else []
-        if w_point > 0:
-            rows += [([s[j] if i == k else z for k in range(dim) for j in range(dim)] + [F.lit(float(i == k)) for k in range(dim)], d[i], F.lit(float(w_point))) for i in range(dim)]
+        rows = [([n[i] * s[j] for i in range(dim) for j in range(dim)] + [n[i] for i in range(dim)], vdot(n, d), _weight(w_plane))] if _used(w_plane) else []
+        if _used(w_point):
+            rows += [([s[j] if i == k else z for k in range(dim) for j in range(dim)] + [F.lit(float(i == k)) for k in range(dim)], d[i], _weight(w_point)) for i in range(dim)]
         x = _solve(pairs.agg(*normal_equations(rows)).first(), dim * dim + dim)
         a = x[: dim * dim].reshape(dim, dim)
         return a, x[dim * dim :] + md - a @ ms
@@ -159,8 +167,13 @@ class Registration:
     direction: str = "second_to_first"
     fraction: float = 1.0
     one_to_one: bool = False
+    engine: object = None  # see engines.Engine and engines.CombinedMetric; None: nearest neighbors by the settings above
 
     def pairs(self, r, t) -> DataFrame:
+        if hasattr(self.engine, "pairs") and not hasattr(self.engine, "find"):
+            return self.engine.pairs(self.dst, self.src, r, t, self.w_point, self.w_plane)
+        if self.engine is not None:
+            return gather(self.engine.find(self.dst, self.src, r, t), self.dst, self.src)
         moved = transform(self.src.select("id", "p"), r, t)
         c = correspondences(self.dst.select("id", "p"), moved, self.max_distance, self.direction, fraction=self.fraction, one_to_one=self.one_to_one)
         return gather(c, self.dst, self.src)
@@ -169,7 +182,8 @@ class Registration:
         pairs = self.pairs(r, t)
         if self.metric == "point":
             return estimate_point_to_point(pairs, self.dim, self.rigid)
-        return estimate_combined(pairs, self.dim, self.w_point, self.w_plane, self.metric == "symmetric", self.rigid, 1, self.tol, (r, t))
+        each = "wp" in pairs.columns
+        return estimate_combined(pairs, self.dim, F.col("wp") if each else self.w_point, F.col("wl") if each else self.w_plane, self.metric == "symmetric", self.rigid, 1, self.tol, (r, t))
 
     def run(self, start=None) -> tuple[np.ndarray, np.ndarray, int, bool]:
         """(R, t, rounds, converged)."""

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pointloom.functions.vectors import vdot
 from pointloom.operators.cloud import nearest_rotation, rigid_transforms
+from pointloom.operators.correspond import gather
+from pointloom.operators.session import cut
 
 
 def resample_transforms(edges: DataFrame, transforms: DataFrame, dim: int, rigid: bool = True) -> DataFrame:
@@ -160,3 +165,199 @@ def _blend(r, t, nodes, weights, kind, dim, p):
     w = w / w.sum()
     m = np.einsum("k,kij->ij", w, r[np.asarray(nodes)])
     return (m if kind == "affine" else nearest_rotation(m)) @ p + w @ t[np.asarray(nodes)]
+
+
+MAX_NODES = 1_000_000  # the unknowns of all nodes live on the driver: 48 MB at six each
+
+
+def _turn(axis: int, c: Column, s: Column, v: Column, slope: bool = False) -> Column:
+    """v turned about an axis by the angle with cosine c and sine s; or its derivative by that angle."""
+    i, j = ((1, 2), (2, 0), (0, 1))[axis]
+    if slope:
+        turned = {i: -s * v[i] - c * v[j], j: c * v[i] - s * v[j], axis: F.lit(0.0)}
+    else:
+        turned = {i: c * v[i] - s * v[j], j: s * v[i] + c * v[j], axis: v[axis]}
+    return F.array(*(turned[k] for k in range(3)))
+
+
+def _moved_and_slopes(rows: DataFrame, kind: str, dim: int) -> tuple[DataFrame, list]:
+    """rows (x: blended unknowns, p2) with y, the warped point, and its derivative by each unknown as arrays."""
+    x = F.col("x")
+    eye = np.eye(dim)
+    if kind == "affine":
+        y = F.array(*(sum((x[i * dim + j] * F.col("p2")[j] for j in range(dim)), x[dim * dim + i]) for i in range(dim)))
+        slopes = [F.array(*(F.col("p2")[j] if k == i else F.lit(0.0) for k in range(dim))) for i in range(dim) for j in range(dim)]
+        rows = rows.withColumn("y", y)
+    elif dim == 2:
+        c, s, p = F.cos(x[0]), F.sin(x[0]), F.col("p2")
+        rows = rows.withColumn("y", F.array(c * p[0] - s * p[1] + x[1], s * p[0] + c * p[1] + x[2])).withColumn("g0", F.array(-s * p[0] - c * p[1], c * p[0] - s * p[1]))
+        slopes = [F.col("g0")]
+    else:
+        for i in range(3):
+            rows = rows.withColumn(f"c{i}", F.cos(x[i])).withColumn(f"s{i}", F.sin(x[i]))
+        turn = lambda axis, v, slope=False: _turn(axis, F.col(f"c{axis}"), F.col(f"s{axis}"), F.col(v), slope)
+        rows = rows.withColumn("u", turn(0, "p2")).withColumn("v", turn(1, "u")).withColumn("w", turn(2, "v"))
+        rows = rows.withColumn("du", turn(0, "p2", True)).withColumn("dv", turn(1, "u", True))
+        rows = rows.withColumn("duv", turn(1, "du")).withColumn("g0", turn(2, "duv")).withColumn("g1", turn(2, "dv")).withColumn("g2", turn(2, "v", True))
+        rows = rows.withColumn("y", F.array(*(F.col("w")[i] + x[3 + i] for i in range(3))))
+        slopes = [F.col(f"g{i}") for i in range(3)]
+    return rows, slopes + [F.array(*(F.lit(float(v)) for v in eye[i])) for i in range(dim)]
+
+
+@dataclass
+class WarpRegistration:
+    """Closest-point loop of a warp field: each node has a transform, source points blend those of their nodes.
+
+    control (q: source id, r: node id, weight) and arcs (q, r: node ids, weight) are DataFrames; so are clouds and matches. Each Gauss-Newton
+    step is one aggregation of the matches to blocks between nodes; the driver holds the nodes' unknowns (MAX_NODES at most) and solves by
+    conjugate gradients. Arcs are tied by the Huber loss.
+    """
+
+    dst: DataFrame
+    src: DataFrame
+    control: DataFrame
+    arcs: DataFrame
+    engine: object
+    dim: int = 3
+    kind: str = "rigid"  # or affine
+    w_point: float = 0.0
+    w_plane: float = 1.0
+    stiffness: float = 1.0
+    huber: float = 1e-4
+    max_iter: int = 15
+    tol: float = 1e-5
+    steps: int = 10
+    step_tol: float = 1e-5
+    cg_iter: int = 1000
+
+    def __post_init__(self):
+        both = self.control.select(F.col("r").alias("id")).union(self.arcs.select(F.col("q").alias("id"))).union(self.arcs.select(F.col("r").alias("id"))).distinct()
+        ids = both.orderBy("id").limit(MAX_NODES + 1).toPandas()["id"].to_numpy()
+        if len(ids) > MAX_NODES:
+            raise ValueError(f"more than {MAX_NODES} nodes; use a sparse field")
+        self.ids = ids
+        share = self.control.where("weight > 0").groupBy("q").agg(F.sum("weight").alias("total"))
+        self.shares = cut(self.control.where("weight > 0").join(share, "q").select("q", "r", (F.col("weight") / F.col("total")).alias("share")))
+        a = self.arcs.where("q <> r").toPandas()
+        self.ai, self.aj = np.searchsorted(ids, a["q"]), np.searchsorted(ids, a["r"])
+        self.aw = a["weight"].to_numpy(float)
+        self.angles = 0 if self.kind == "affine" else 1 if self.dim == 2 else 3
+        self.size = self.dim**2 + self.dim if self.kind == "affine" else self.angles + self.dim
+
+    def _blended(self, x: np.ndarray) -> DataFrame:
+        """(second, x, nodes): the unknowns of each source point and its nodes with their shares."""
+        import pandas as pd
+
+        spark = self.src.sparkSession
+        known = spark.createDataFrame(pd.DataFrame({"r": self.ids, "x": list(x.tolist())}), "r long, x array<double>")
+        j = self.shares.join(known, "r")
+        sums = [F.sum(F.col("share") * F.col("x")[i]) for i in range(self.size)]
+        return j.groupBy("q").agg(F.array(*sums).alias("x"), F.collect_list(F.struct("r", "share")).alias("nodes")).withColumnRenamed("q", "second")
+
+    def _equations(self, pairs: DataFrame, x: np.ndarray):
+        """Blocks (i, j, H) with i <= j, and the right side, of the matches."""
+        rows, slopes = _moved_and_slopes(pairs.join(self._blended(x), "second"), self.kind, self.dim)
+        rows = rows.withColumn("gap", F.zip_with("p1", "y", lambda a, b: a - b))
+        terms = [([g[i] for g in slopes], F.col("gap")[i], self.w_point) for i in range(self.dim)] if self.w_point > 0 else []
+        if self.w_plane > 0:
+            terms.append(([vdot("n1", g) for g in slopes], vdot("n1", "gap"), self.w_plane))
+        for k, (g, b, _) in enumerate(terms):
+            rows = rows.withColumn(f"t{k}", F.array(*g)).withColumn(f"b{k}", b)
+        upper = [(i, j) for i in range(self.size) for j in range(i, self.size)]
+        h = F.array(*(sum((w * F.col(f"t{k}")[i] * F.col(f"t{k}")[j] for k, (_, _, w) in enumerate(terms)), F.lit(0.0)) for i, j in upper))
+        v = F.array(*(sum((w * F.col(f"t{k}")[i] * F.col(f"b{k}") for k, (_, _, w) in enumerate(terms)), F.lit(0.0)) for i in range(self.size)))
+        rows = rows.select("nodes", h.alias("h"), v.alias("v")).select(F.explode("nodes").alias("a"), "nodes", "h", "v").select("a", F.explode("nodes").alias("b"), "h", "v").where("a.r <= b.r")
+        both = F.col("a.share") * F.col("b.share")
+        own = F.when(F.col("a.r") == F.col("b.r"), F.col("a.share")).otherwise(0.0)
+        found = rows.groupBy(F.col("a.r").alias("i"), F.col("b.r").alias("j")).agg(F.array(*(F.sum(both * F.col("h")[k]) for k in range(len(upper)))).alias("h"), F.array(*(F.sum(own * F.col("v")[k]) for k in range(self.size))).alias("v")).toPandas()
+        i, j = np.searchsorted(self.ids, found["i"]), np.searchsorted(self.ids, found["j"])
+        blocks = np.zeros((len(found), self.size, self.size))
+        if len(found):
+            flat = np.array(found["h"].tolist())
+            for k, (p, q) in enumerate(upper):
+                blocks[:, p, q] = blocks[:, q, p] = flat[:, k]
+        rhs = np.zeros((len(self.ids), self.size))
+        same = i == j
+        if same.any():
+            np.add.at(rhs, i[same], np.array(found["v"].tolist())[same])
+        return i, j, blocks, rhs
+
+    def _step(self, pairs: DataFrame, x: np.ndarray) -> np.ndarray:
+        i, j, blocks, rhs = self._equations(pairs, x)
+        off = i != j
+        gap = x[self.ai] - x[self.aj]
+        k = np.sqrt(self.stiffness * self.aw)[:, None]
+        flat = np.abs(gap) < 1e-12  # where the loss has its kink the arc still ties both ends
+        slope = np.where(flat, k / np.sqrt(2), k * sqrt_huber_slope(gap, self.huber))
+        pull = slope * np.where(flat, 0, k * sqrt_huber(gap, self.huber))
+        np.add.at(rhs, self.ai, -pull)
+        np.add.at(rhs, self.aj, pull)
+        diag = np.zeros_like(x)
+        np.add.at(diag, i[~off], np.einsum("nii->ni", blocks[~off]))
+        np.add.at(diag, self.ai, slope**2)
+        np.add.at(diag, self.aj, slope**2)
+
+        def mul(y: np.ndarray) -> np.ndarray:
+            out = np.zeros_like(y)
+            np.add.at(out, i, np.einsum("nij,nj->ni", blocks, y[j]))
+            np.add.at(out, j[off], np.einsum("nij,nj->ni", blocks[off], y[i[off]]))
+            tie = slope**2 * (y[self.ai] - y[self.aj])
+            np.add.at(out, self.ai, tie)
+            np.add.at(out, self.aj, -tie)
+            return out
+
+        scale = np.where(diag > 0, 1 / np.where(diag > 0, diag, 1), 1)
+        step, r = np.zeros_like(x), rhs
+        z = scale * r
+        p, rz = z, float((r * z).sum())
+        stop = 1e-10 * max(rz, 1e-300)
+        for _ in range(self.cg_iter):
+            if rz <= stop:
+                break
+            ap = mul(p)
+            a = rz / max(float((p * ap).sum()), 1e-300)
+            step, r = step + a * p, r - a * ap
+            z = scale * r
+            rz, old = float((r * z).sum()), rz
+            p = z + rz / old * p
+        return step
+
+    def transforms(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(R, t) of each node, in the order of ids."""
+        r = x[:, : self.dim**2].reshape(-1, self.dim, self.dim) if self.kind == "affine" else euler(x[:, : self.angles], self.dim)[0]
+        return r, x[:, -self.dim :]
+
+    def field(self, x: np.ndarray) -> DataFrame:
+        """(id, r, t) of each source point: the blend of its nodes' transforms."""
+        import pandas as pd
+
+        r, t = self.transforms(x)
+        nodes = self.src.sparkSession.createDataFrame(pd.DataFrame({"id": self.ids, "r": list(r.reshape(len(r), -1).tolist()), "t": list(t.tolist())}), "id long, r array<double>, t array<double>")
+        return resample_transforms(self.shares.withColumnRenamed("share", "weight"), nodes, self.dim, self.kind == "rigid")
+
+    def moved(self, x: np.ndarray) -> DataFrame:
+        """The source under the field; points without a node stay."""
+        j = self.src.join(self.field(x).withColumnsRenamed({"r": "_r", "t": "_t"}), "id", "left")
+        at = F.array(*(sum((F.col("_r")[i * self.dim + k] * F.col("p")[k] for k in range(self.dim)), F.col("_t")[i]) for i in range(self.dim)))
+        return j.withColumn("p", F.when(F.col("_r").isNull(), F.col("p")).otherwise(at)).select(*self.src.columns)
+
+    def run(self) -> tuple[np.ndarray, int, bool]:
+        """(unknowns of each node, rounds, converged)."""
+        x = np.zeros((len(self.ids), self.size))
+        if self.kind == "affine":
+            x[:, : self.dim**2] = np.eye(self.dim).ravel()
+        eye, zero = np.eye(self.dim), np.zeros(self.dim)
+        for rounds in range(1, self.max_iter + 1):
+            moved = self.src if rounds == 1 else cut(self.moved(x))
+            pairs = cut(gather(self.engine.find(self.dst, moved, eye, zero), self.dst, self.src))
+            r, t = self.transforms(x)
+            for _ in range(self.steps):
+                step = self._step(pairs, x)
+                x = x + step
+                if np.sqrt((step**2).sum(1)).max(initial=0.0) < self.step_tol:
+                    break
+            new_r, new_t = self.transforms(x)
+            delta = np.sqrt(((new_r - r) ** 2).sum((1, 2)) + ((new_t - t) ** 2).sum(1)).max(initial=0.0)
+            if delta < self.tol:
+                return x, rounds, True
+        return x, self.max_iter, False

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pointloom.functions import evaluators as ev
 from pointloom.functions.vectors import cross3, so2, unit, vadd, vdot, vsub
-from pointloom.operators import cloud, cluster, correspond, graph, grid, neighbors, normals, ransac, registration, rgbd, spatial, stats, warp
+from pointloom.operators import cloud, cluster, correspond, engines, graph, grid, neighbors, normals, ransac, registration, rgbd, spatial, stats, warp
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -719,6 +719,35 @@ def icp_normal_equations(spark, d):
     return out.select(*((F.round(c, 4) + 0.0).alias(c) for c in out.columns))
 
 
+@query(f"WITH {ORDERS} SELECT 0.8::DOUBLE AS r00, 0.6::DOUBLE AS r01, 0.0::DOUBLE AS r02, count(*) FILTER (id % 2 = 0) AS inliers FROM o")
+def ransac_transform(spark, d):
+    """Half of the matches are wrong, each by another shift."""
+    m = _moved(spark, d)
+    wrong = F.array(*(F.col("p1")[i] + 2 + F.pmod(F.col("id") * k, F.lit(1009)) / 100 for i, k in enumerate((7919, 104729, 1299709))))
+    pairs = m.select(F.col("id").alias("first"), F.col("id").alias("second"), F.when(F.col("id") % 2 == 0, F.col("p1")).otherwise(wrong).alias("p1"), "p2")
+    fit = ransac.fit_transform(pairs, 3, True, 0.001, 100)
+    return spark.createDataFrame([(*(round(float(v), 6) + 0.0 for v in fit.model[0][0]), fit.inliers)], "r00 double, r01 double, r02 double, inliers long")
+
+
+@query(f"WITH {ORDERS} SELECT count(*) AS n, count(*) AS unit, count(*) AS flat FROM o")
+def normals_invariants(spark, d):
+    """All normals have length one, and curvatures lie between zero and a third."""
+    n = normals.normals(orders3(spark, d).select("id", "p"), neighbors.KNN(8))
+    size = F.sqrt(sum(F.col("n")[i] * F.col("n")[i] for i in range(3)))
+    return n.agg(F.count("*").alias("n"), F.sum((F.abs(size - 1) < 1e-9).cast("long")).alias("unit"), F.sum(F.col("curvature").between(-1e-9, 1 / 3 + 1e-9).cast("long")).alias("flat"))
+
+
+@query(f"WITH {ORDERS} SELECT count(DISTINCT (floor(x0 * 4.0), floor(x1 * 4.0), floor(x2 * 4.0))) AS nodes, 0::BIGINT AS moved FROM o")
+def warp_of_equal_clouds(spark, d):
+    """A sparse field between a cloud and itself has the identity at every node."""
+    o = orders3(spark, d)
+    nodes = engines.control_nodes(o, 0.25).cache()
+    same = engines.GivenEngine(o.select(F.col("id").alias("first"), F.col("id").alias("second"), F.lit(0.0).alias("value")))
+    field = engines.sparse_warp_icp(o.select("id", "p", "n"), o.select("id", "p"), engines.control_edges(o, nodes, 4), engines.stiffness_arcs(nodes, 6), same, w_point=1.0, max_iter=1, steps=1)
+    x, _, _ = field.run()
+    return spark.createDataFrame([(len(x), int((np.abs(x) > 1e-6).any(1).sum()))], "nodes long, moved long")
+
+
 @query("SELECT 0.8::DOUBLE AS r00, 0.6::DOUBLE AS r01, 0.0::DOUBLE AS r02")
 def rigid_point_to_point(spark, d):
     r, _ = registration.estimate_point_to_point(_moved(spark, d), 3)

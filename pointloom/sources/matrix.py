@@ -2,44 +2,51 @@
 
 from __future__ import annotations
 
-import os
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pointloom.sources import files
+
 
 def read_ascii(spark: SparkSession, path: str) -> DataFrame:
-    """(row, col, value) of white-space separated rows of one file, in order."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")).alias("row", "line"))
-    return rows.select("row", F.posexplode(F.split(F.trim("line"), r"\s+")).alias("col", "value")).select("row", "col", F.col("value").cast("double").alias("value"))
+    """(row, col, value) of white-space separated rows of one file, in order. Lines are split among tasks; a line's row is its place in its part of the file and the lines of the parts before."""
+    part = F.struct(F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("at"))
+    lines = spark.read.text(path).select(part.alias("k"), "value").where(F.trim("value") != "").select("k.part", "k.at", "value")
+    sizes = lines.groupBy("part").agg(F.count("*").alias("n"), F.min("at").alias("first")).orderBy("part").collect()  # one row for each block of the file
+    before = np.concatenate([[0], np.cumsum([r["n"] for r in sizes])]).astype(int).tolist()
+    start = spark.createDataFrame([(r["part"], b) for r, b in zip(sizes, before, strict=False)], "part long, before long")
+    rank = F.row_number().over(Window.partitionBy("part").orderBy("at")) - 1
+    rows = lines.withColumn("rank", rank).join(F.broadcast(start), "part").select((F.col("before") + F.col("rank")).alias("row"), "value")
+    return rows.select("row", F.posexplode(F.split(F.trim("value"), r"\s+")).alias("col", "value")).select("row", "col", F.col("value").cast("double").alias("value"))
+
+
+ENTRIES = 1 << 20  # of a binary file that one task reads
 
 
 def read_binary(spark: SparkSession, path: str, scalar: str = "f8") -> DataFrame:
-    def parse(batches):
-        import pandas as pd
+    """(row, col, value) of one file, which the tasks read by ranges of columns."""
+    rows, cols = np.frombuffer(files.read_raw(path, 0, 16), "<i8").tolist()
+    step, width = max(1, ENTRIES // max(1, rows)), np.dtype(scalar).itemsize
 
+    def parse(batches):
         for pdf in batches:
-            for data in pdf["content"]:
-                rows, cols = np.frombuffer(data, "<i8", 2)
-                m = np.frombuffer(data, "<" + scalar, int(rows * cols), 16).reshape(int(cols), int(rows)).T
-                i, j = np.indices(m.shape)
-                yield pd.DataFrame({"row": i.ravel(), "col": j.ravel(), "value": m.ravel().astype(float)})
+            for lo in pdf["id"] * step:
+                n = min(step, cols - lo)
+                m = np.frombuffer(files.read_raw(path, 16 + lo * rows * width, n * rows * width), "<" + scalar).reshape(n, rows)
+                j, i = np.indices(m.shape)
+                yield pd.DataFrame({"row": i.ravel(), "col": j.ravel() + lo, "value": m.ravel().astype(float)})
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, "row long, col long, value double")
+    parts = -(-cols // step)
+    return spark.range(0, parts, 1, max(1, parts)).mapInPandas(parse, "row long, col long, value double")
 
 
 def write(m: np.ndarray, path: str, binary: bool = True) -> None:
     if binary:
-        with open(path, "wb") as f:
-            f.write(np.array(m.shape, "<i8").tobytes() + np.asarray(m).astype("<f8").T.tobytes())
+        files.write_raw(path, np.array(m.shape, "<i8").tobytes() + np.asarray(m).astype("<f8").T.tobytes())
     else:
-        np.savetxt(path, m)
-
-
-def file_size(path: str) -> int | None:
-    """Bytes of a file; None where it does not exist."""
-    return os.path.getsize(path) if os.path.exists(path) else None
+        files.write_raw(path, "".join(" ".join(map(repr, r)) + "\n" for r in np.asarray(m, float).tolist()).encode())
 
 
 def points_of(entries: DataFrame) -> DataFrame:

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+
+from pointloom.sources import files
 
 # Fixed names and sizes of the format.
 TYPES = {"char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "i2", "int16": "i2", "ushort": "u2", "uint16": "u2", "int": "i4", "int32": "i4", "uint": "u4", "uint32": "u4", "float": "f4", "float32": "f4", "double": "f8", "float64": "f8"}
@@ -106,6 +111,39 @@ def _pick(columns: dict[str, list], wanted: list[str] | None) -> dict[str, list]
     return {k: columns[k] for k in (wanted or columns)}
 
 
+def file_header(path: str) -> tuple[str, list[Element], int]:
+    """header() of a file, of which only the first pieces are read."""
+    size, data = 1 << 14, b""
+    whole = files.file_size(path)
+    while b"end_header" not in data or b"\n" not in data[data.index(b"end_header") :]:
+        if len(data) == whole:
+            raise ValueError("no end of the PLY header")
+        data = files.read_raw(path, 0, size)
+        size *= 4
+    return header(data)
+
+
+def read_rows(path: str, name: str, wanted: list[str] | None, lo: int, hi: int) -> dict[str, list]:
+    """Rows lo to hi of an element. Binary rows of fixed size are read by their bytes alone, text line by line; elements with lists, or behind such, from the whole file."""
+    kind, elements, at = file_header(path)
+    if kind == "ascii":
+        skip = sum(e.count for e in elements[: next(i for i, e in enumerate(elements) if e.name == name)])
+        element = next(e for e in elements if e.name == name)
+        rows = islice(files.lines(path, at), skip + lo, skip + min(hi, element.count))
+        return _pick(_ascii(element, [x.decode("ascii").split() for x in rows]), wanted)
+    order = "<" if kind == "binary_little_endian" else ">"
+    for e in elements:
+        if any(p[2] is not None for p in e.properties):
+            break
+        dtype = np.dtype([(p[0], order + p[1]) for p in e.properties])
+        if e.name == name:
+            hi = min(hi, e.count)
+            rows = np.frombuffer(files.read_raw(path, at + lo * dtype.itemsize, max(0, hi - lo) * dtype.itemsize), dtype)
+            return _pick({p[0]: rows[p[0]].tolist() for p in e.properties}, wanted)
+        at += dtype.itemsize * e.count
+    return read_element(files.read_raw(path), name, wanted, lo, hi)
+
+
 class _Part(InputPartition):
     def __init__(self, lo: int, hi: int):
         self.lo, self.hi = lo, hi
@@ -117,32 +155,84 @@ class _Reader(DataSourceReader):
         self.ids = "id" in schema.names
 
     def partitions(self):
-        with open(self.path, "rb") as f:
-            count = next(e.count for e in header(f.read())[1] if e.name == self.element)
-        return [_Part(lo, min(count, lo + ROWS)) for lo in range(0, max(count, 1), ROWS)]
+        _, elements, _ = file_header(self.path)
+        count = next(e.count for e in elements if e.name == self.element)
+        listed = any(p[2] is not None for e in elements[: [e.name for e in elements].index(self.element) + 1] for p in e.properties)
+        step = max(count, 1) if listed else ROWS
+        return [_Part(lo, min(count, lo + step)) for lo in range(0, max(count, 1), step)]
 
     def read(self, part) -> Iterator[tuple]:
-        with open(self.path, "rb") as f:
-            columns = read_element(f.read(), self.element, self.wanted, part.lo, part.hi)
+        columns = read_rows(self.path, self.element, self.wanted, part.lo, part.hi)
         for i, row in enumerate(zip(*columns.values(), strict=True)):
             yield (part.lo + i, *row) if self.ids else row
 
 
+@dataclass
+class _Written(WriterCommitMessage):
+    partition: int
+    rows: int
+    path: str
+
+
+class _Writer(DataSourceWriter):
+    """Each task writes its rows beside the target; the commit joins them behind the header, in the order of partitions."""
+
+    def __init__(self, schema, options, overwrite: bool):
+        self.path, self.names = options["path"], [f.name for f in schema]
+        self.kind, self.scalar = options.get("kind", "binary_little_endian"), options.get("scalar", "f4")
+        self.types = ["u1" if n in ("red", "green", "blue") else self.scalar for n in self.names]
+        if not overwrite and files.exists(self.path):
+            raise FileExistsError(self.path)
+
+    def write(self, rows) -> _Written:
+        part = TaskContext.get().partitionId()
+        name = f"{self.path}.part-{part}-{uuid.uuid4().hex}"
+        mark = (">" if self.kind == "binary_big_endian" else "<") + "".join({"f4": "f", "f8": "d", "u1": "B"}[t] for t in self.types)
+        where, at = files.locate(name)
+        count = 0
+        with where.open_output_stream(at) as out:
+            for r in rows:
+                v = [int(x) if t == "u1" else float(x) for x, t in zip(r, self.types, strict=True)]
+                if self.kind == "ascii":
+                    v = [repr(np.float32(x).item()) if t == "f4" else repr(x) for x, t in zip(v, self.types, strict=True)]
+                    out.write((" ".join(v) + "\n").encode())
+                else:
+                    out.write(struct.pack(mark, *v))
+                count += 1
+        return _Written(part, count, name)
+
+    def commit(self, messages) -> None:
+        done = sorted((m for m in messages if m is not None), key=lambda m: m.partition)
+        lines = ["ply", f"format {self.kind} 1.0", f"element vertex {sum(m.rows for m in done)}", *(f"property {NAMES[t]} {n}" for n, t in zip(self.names, self.types, strict=True)), "end_header", ""]
+        files.join_files(self.path, "\n".join(lines).encode(), [m.path for m in done])
+
+    def abort(self, messages) -> None:
+        for m in messages:
+            if m is not None:
+                where, at = files.locate(m.path)
+                where.delete_file(at)
+
+
 class PlySource(DataSource):
-    """spark.read.format("ply").option("element", "vertex").load(path); id is the row's place in the file. The path must be readable on every executor."""
+    """spark.read.format("ply").option("element", "vertex").load(path), id being the row's place in the file; df.write.format("ply").save(path).
+
+    Any path or URI that driver and executors can open.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "ply"
 
     def schema(self) -> str:
-        with open(self.options["path"], "rb") as f:
-            e = next(e for e in header(f.read())[1] if e.name == self.options.get("element", "vertex"))
+        e = next(e for e in file_header(self.options["path"])[1] if e.name == self.options.get("element", "vertex"))
         return "id bigint, " + ", ".join(f"{n} " + (f"array<{SQL[t]}>" if size else SQL[t]) for n, t, size in e.properties)
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(schema, self.options)
 
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return _Writer(schema, self.options, overwrite)
+
 
 def read_cloud(spark: SparkSession, path: str) -> DataFrame:
     """(id, p[, n][, c]) of the vertices; colors as parts of 255."""
@@ -158,19 +248,10 @@ def read_cloud(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_cloud(df: DataFrame, path: str, binary: bool = True, big_endian: bool = False, scalar: str = "f4") -> None:
-    """One file, rows in the order of id, streamed through the driver a partition at a time; colors are cut to bytes, not rounded."""
-    has_n, has_c = "n" in df.columns, "c" in df.columns
-    names = ["x", "y", "z", *(["nx", "ny", "nz"] if has_n else [])]
-    count = df.count()
+    """One file, rows in the order of id, written by all tasks and joined; colors are cut to bytes, not rounded."""
+    df.sparkSession.dataSource.register(PlySource)
+    cols = [F.col("p")[i].cast("double").alias(n) for i, n in enumerate("xyz")]
+    cols += [F.col("n")[i].cast("double").alias(n) for i, n in enumerate(("nx", "ny", "nz"))] if "n" in df.columns else []
+    cols += [F.floor(F.col("c")[i] * 255).cast("int").alias(n) for i, n in enumerate(("red", "green", "blue"))] if "c" in df.columns else []
     kind = "ascii" if not binary else "binary_big_endian" if big_endian else "binary_little_endian"
-    lines = ["ply", f"format {kind} 1.0", f"element vertex {count}", *(f"property {NAMES[scalar]} {n}" for n in names), *(f"property uchar {n}" for n in (("red", "green", "blue") if has_c else ())), "end_header", ""]
-    mark = (">" if big_endian else "<") + ("f" if scalar == "f4" else "d") * len(names) + ("BBB" if has_c else "")
-    with open(path, "wb") as f:
-        f.write("\n".join(lines).encode())
-        for r in df.orderBy("id").toLocalIterator():
-            v = [float(x) for x in r["p"]] + ([float(x) for x in r["n"]] if has_n else [])
-            c = [int(255 * x) for x in r["c"]] if has_c else []
-            if binary:
-                f.write(struct.pack(mark, *v, *c))
-            else:
-                f.write((" ".join([repr(np.float32(x).item() if scalar == "f4" else x) for x in v] + [str(x) for x in c]) + "\n").encode())
+    df.orderBy("id").select(*cols).write.format("ply").option("kind", kind).option("scalar", scalar).mode("overwrite").save(path)

@@ -5,9 +5,10 @@ import os
 import numpy as np
 import pytest
 
-from pointloom.operators import cloud, cluster, graph, neighbors, normals, ransac, registration, spatial, stats, warp
+from pointloom.operators import cloud, cluster, engines, graph, neighbors, normals, ransac, registration, spatial, stats, warp
 from pointloom.plans.queries import ORACLES, QUERIES
-from pointloom.sources import matrix, ply
+from pointloom.operators import pointcloud, rgbd
+from pointloom.sources import files, matrix, ply
 
 SF = "/root/testdata/sf0.001"
 CUBE = np.array([[0, 0, 0], [1, 0, 0], [0, 1, 0], [0, 0, 1], [0, 1, 1], [1, 0, 1], [1, 1, 0], [1, 1, 1]], float)
@@ -195,6 +196,158 @@ def test_ring_scaling_and_gap(spark):
     assert cluster.eigengap(np.array([0, 0, 0, 0.9, 1.0])) == 3
 
 
+def surface(n, seed=17):
+    """A wavy surface with its normals."""
+    rng = np.random.default_rng(seed)
+    u, v = rng.uniform(-1, 1, (2, n))
+    p = np.column_stack([u, v, 3 + 0.2 * np.sin(3 * u) + 0.2 * np.cos(2 * v)])
+    g = np.column_stack([-0.6 * np.cos(3 * u), 0.4 * np.sin(2 * v), np.ones(n)])
+    return p, -g / np.linalg.norm(g, axis=1, keepdims=True)
+
+
+def with_normals(spark, p, n):
+    return spark.createDataFrame([(i, a.tolist(), b.tolist()) for i, (a, b) in enumerate(zip(p, n))], "id long, p array<double>, n array<double>")
+
+
+def test_registration_instances(spark):
+    """Every ready-made instance recovers a small move, with engines of each kind."""
+    p, n = surface(300)
+    r, _ = registration._rotation(np.array([0.01, -0.008, 0.012]))
+    t = np.array([0.01, -0.012, 0.008])
+    dst, src = with_normals(spark, p, n).cache(), with_normals(spark, (p - t) @ r, n @ r).cache()
+    near = engines.NearestEngine(0.02)
+    given = engines.GivenEngine(spark.createDataFrame([(i, i, 0.0) for i in range(300)], "first long, second long, value double"))
+    both = engines.NearestEngine(0.02, "both", reciprocal=True, one_to_one=True, search=engines.FeatureAdaptor(0.1), evaluate=engines.FeatureAdaptor())
+    found = {
+        "given": engines.point_icp(dst, src, given, max_iter=1).run(),
+        "affine": engines.point_icp(dst, src, given, rigid=False, max_iter=1).run(),
+        "both ways": engines.combined_icp(dst, src, both, max_iter=2, w_point=0.1).run(),
+        "two engines": engines.combined_icp(dst, src, engines.CombinedMetric(given, near), max_iter=2, w_point=0.1).run(),
+        "one engine": engines.combined_icp(dst, src, engines.CombinedMetric(given), max_iter=2, w_point=0.1).run(),
+        "symmetric": engines.symmetric_icp(dst, src, given, max_iter=2).run(),
+    }
+    for name, (a, b, _, _) in found.items():
+        assert np.allclose(a, r, atol=2e-3) and np.allclose(b, t, atol=3e-3), name
+    # a fine grid of pixels: each point has its own
+    k = np.array([[3000.0, 0, 1500], [0, 3000.0, 1500], [0, 0, 1]])
+    coarse = np.array([[60.0, 0, 30], [0, 60.0, 30], [0, 0, 1]])
+    for metric in ("combined", "symmetric"):
+        a, b, _, _ = engines.projective_icp(dst, src, coarse, 61, 61, metric, limit=0.02, max_iter=3, w_point=0.05).run()
+        assert np.allclose(a, r, atol=2e-2) and np.allclose(b, t, atol=2e-2), metric
+    seen = engines.ProjectiveEngine(k, 3001, 3001, 1e-9).find(dst, dst, np.eye(3), np.zeros(3))
+    assert seen.where("first <> second").count() == 0 and seen.count() > 280
+
+
+def test_transform_ransac_and_protocol(spark):
+    rng = np.random.default_rng(18)
+    s = rng.uniform(-1, 1, (300, 3))
+    r, _ = registration._rotation(np.array([0.3, -0.5, 0.2]))
+    d = s @ r.T + [1, 2, 3]
+    d[100:] = rng.uniform(-3, 3, (200, 3))
+    pairs = spark.createDataFrame([(i, i, a.tolist(), b.tolist()) for i, (a, b) in enumerate(zip(d, s))], "first long, second long, p1 array<double>, p2 array<double>").cache()
+    fit = ransac.fit_transform(pairs, 3, True, 0.01, 300, 95)
+    assert np.allclose(fit.model[0], r, atol=1e-6) and np.allclose(fit.model[1], [1, 2, 3], atol=1e-6) and 100 <= fit.inliers <= 101
+    fit = ransac.fit_transform(pairs.where("first < 130"), 3, False, 0.01, 100, 95)
+    assert np.allclose(fit.model[0], r, atol=1e-6)
+
+    class Level:
+        """A height that most points have."""
+
+        sample_size = 1
+
+        def fit(self, rows):
+            return (rows[0]["p1"][2],)
+
+        def residual(self, m):
+            from pyspark.sql import functions as F
+
+            return F.abs(F.col("p1")[2] - m[0])
+
+        def refit(self, inliers):
+            from pyspark.sql import functions as F
+
+            return (inliers.agg(F.avg(F.col("p1")[2])).first()[0],)
+
+    flat = spark.createDataFrame([(i, [float(i), 0.0, 5.0 + (i % 3) * 0.001 if i % 4 else float(i)]) for i in range(200)], "id long, p1 array<double>")
+    got = engines.ransac_fit(flat, Level(), ["p1"], 0.01, 20)
+    assert abs(got.model[0] - 5.001) < 1e-3 and got.inliers >= 150
+
+
+def test_samples_come_from_all_rows(spark):
+    df = spark.range(20000)
+    rows = [r[0] for seed in range(3) for r in ransac.draw(df, ["id"], 100, seed)]
+    assert len(set(rows)) > 0.9 * len(rows) and 250 < len(rows) / 3 < 600 and min(rows) < 400 and max(rows) > 19600
+
+
+def test_warp_fields_on_frames(spark):
+    p, n = surface(120)
+    same = with_normals(spark, p, n)
+    nodes = spark.createDataFrame([(j, p[i].tolist()) for j, i in enumerate(range(0, 120, 8))], "id long, p array<double>")
+    edges, arcs = engines.control_edges(same, nodes, 4), engines.stiffness_arcs(nodes, 4)
+    given = engines.GivenEngine(spark.createDataFrame([(i, i, 0.0) for i in range(120)], "first long, second long, value double"))
+    field = engines.sparse_warp_icp(same, same, edges, arcs, given, w_point=1.0, max_iter=1, steps=1)
+    x, _, done = field.run()
+    assert done and np.allclose(x, 0, atol=1e-6)
+    bend = p + np.column_stack([0 * p[:, 0], 0 * p[:, 0], 0.05 * p[:, 0] ** 2])
+    field = engines.sparse_warp_icp(with_normals(spark, bend, n), same, edges, arcs, given, w_point=1.0, w_plane=0.0, stiffness=1e-4, max_iter=1, steps=3)
+    got = {r.id: np.array(r.p) for r in field.moved(field.run()[0]).collect()}
+    assert sum(((got[i] - bend[i]) ** 2).sum() for i in range(120)) < 0.2 * ((bend - p) ** 2).sum()
+    # the same equations as the plain solver
+    src, dst = p[:40], bend[:40]
+    own = [([i], [1.0]) for i in range(40)]
+    d = ((src[:, None] - src) ** 2).sum(2)
+    pairs = [(i, int(j), 1.0) for i in range(40) for j in np.argsort(d[i])[1:4]]
+    r0, t0 = warp.estimate_warp(src, dst, n[:40], [(i, i) for i in range(40)], own, pairs, 40, w_point=0.5, w_plane=1.0, max_iter=1)
+    ties = spark.createDataFrame(pairs, "q long, r long, weight double")
+    a, b = with_normals(spark, dst, n[:40]), with_normals(spark, src, n[:40])
+    field = engines.dense_warp_icp(a, b, ties, engines.GivenEngine(given.pairs.where("first < 40")), w_point=0.5, w_plane=1.0, max_iter=1, steps=1)
+    r1, t1 = field.transforms(field.run()[0])
+    assert np.allclose(r0, r1, atol=1e-4) and np.allclose(t0, t1, atol=1e-4)
+    # affine fields and the plane, one step each
+    for kind, dim in (("affine", 3), ("rigid", 2), ("affine", 2)):
+        s2, d2, n2 = src[:20, :dim], dst[:20, :dim] + 0.01, n[:20, :dim]
+        few = [q for q in pairs if max(q[:2]) < 20]
+        r0, t0 = warp.estimate_warp(s2, d2, n2, [(i, i) for i in range(20)], own[:20], few, 20, kind, w_point=0.5, w_plane=1.0, max_iter=1)
+        match = engines.GivenEngine(given.pairs.where("first < 20"))
+        field = engines.dense_warp_icp(with_normals(spark, d2, n2), with_normals(spark, s2, n2), spark.createDataFrame(few, "q long, r long, weight double"), match, dim=dim, kind=kind, w_point=0.5, w_plane=1.0, max_iter=1, steps=1)
+        r1, t1 = field.transforms(field.run()[0])
+        assert np.allclose(r0, r1, atol=1e-3) and np.allclose(t0, t1, atol=1e-3), (kind, dim)
+
+
+def test_cloud_of_images_and_fusion(spark):
+    k = np.array([[40.0, 0, 20], [0, 40.0, 15], [0, 0, 1]])
+    pixels = spark.createDataFrame([(y, x, int(1000 + 3 * x + 2 * y), 10, 20, 30) for y in range(30) for x in range(40)], "y int, x int, depth int, r int, g int, b int")
+    c = pointcloud.PointCloud.from_rgbd_images(pixels, k, with_normals=True)
+    assert c.has("n") and c.has("c") and c.df.count() == 28 * 38
+    assert pointcloud.PointCloud.from_depth_image(pixels, k).df.count() == 1200
+    plain = pointcloud.PointCloud(c.df.select("id", "p"))
+    n = {r.id: np.array(r.n) for r in plain.estimate_normals_knn(8).df.collect()}
+    given = {r.id: np.array(r.n) for r in c.df.collect()}
+    assert np.mean([abs(n[i] @ given[i]) > 0.99 for i in given]) > 0.95
+    kept = {r.id: np.array(r.n) for r in c.estimate_normals_radius(0.1, use_current=True).df.collect()}
+    assert all(kept[i] @ given[i] > 0 for i in kept if np.isfinite(kept[i]).all())
+    model = pointcloud.Fusion(None, k, 40, 30, limit=1e-3)
+    model.add(c.df)
+    first = model.model.count()
+    r, t = model.add(c.df, 2)
+    assert np.allclose(r, np.eye(3), atol=1e-6) and np.allclose(t, 0, atol=1e-6)
+    assert model.model.count() == first and model.model.where("confidence = 2").count() > 0.9 * first
+    with pointcloud.Timer() as timer:
+        pass
+    assert timer.stop() >= 0 and pointcloud.random_ids(c.df, 5, 1).count() == 5
+
+
+def test_robust_normals(spark):
+    rng = np.random.default_rng(19)
+    x = np.column_stack([rng.random((80, 2)), np.zeros(80)])
+    x[:10, 2] = rng.uniform(0.05, 0.12, 10)
+    df = frame(spark, x)
+    plain = {r.id: r.n for r in normals.normals(df, neighbors.KNN(12), viewpoint=[0, 0, 5]).collect()}
+    robust = {r.id: r.n for r in normals.normals(df, neighbors.KNN(12), viewpoint=[0, 0, 5], covariance={"trials": 6, "steps": 3, "chi2": 6.25}).collect()}
+    good = lambda n: sum(abs(n[i][2]) > 0.999 for i in range(10, 80))
+    assert good(robust) > good(plain) + 8 and good(robust) > 50
+
+
 def test_normals_of_a_plane(spark):
     rng = np.random.default_rng(5)
     x = np.column_stack([rng.random((100, 2)), np.zeros(100)])
@@ -279,6 +432,27 @@ def test_smallest_eigenpairs_with_repeats():
     assert np.allclose(values, [0, 0, 0, 0.05], atol=1e-6) and np.allclose(vectors.T @ vectors, np.eye(4))
 
 
+def test_file_helpers(tmp_path):
+    path = str(tmp_path / "raw")
+    assert not files.exists(path) and files.file_size(path) is None
+    files.write_raw(path, b"one\ntwo\nthree")
+    assert files.file_size(path) == 13 and files.read_raw(path, 4, 3) == b"two" and files.read_raw("file://" + path) == b"one\ntwo\nthree"
+    assert list(files.lines(path)) == [b"one", b"two", b"three"]
+
+
+def test_ply_by_ranges(spark, tmp_path, monkeypatch):
+    """Many partitions written to one file; rows read by ranges; refusal to overwrite."""
+    df = spark.range(1000).selectExpr("id", "array(cast(id as double), 2.0, 3.0) as p").repartition(5)
+    path = "file://" + str(tmp_path / "big.ply")
+    ply.write_cloud(df, path)
+    monkeypatch.setattr(ply, "ROWS", 150)
+    got = ply.read_cloud(spark, path).orderBy("id").collect()
+    assert [r.p[0] for r in got] == [float(i) for i in range(1000)]
+    assert sorted(os.listdir(tmp_path)) == ["big.ply"]
+    with pytest.raises(Exception, match="big.ply"):
+        df.selectExpr("p[0] as x").write.format("ply").mode("append").save(path)
+
+
 def test_matrix_round_trip(spark, tmp_path):
     m = np.arange(1, 13, dtype=float).reshape(3, 4)
     for binary, read in ((True, matrix.read_binary), (False, matrix.read_ascii)):
