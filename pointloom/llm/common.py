@@ -29,8 +29,9 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-# A step's settings: texts go to Python in small batches, and shuffle files go once the step's table is written.
+# A step's settings: texts go to Python in small batches, shuffle files go once the step's table is written, and tasks keep no more than a rank limit's rows of a group.
 STEP = {
+    "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
@@ -138,7 +139,7 @@ def least_hashes(docs: DataFrame, known: DataFrame, count: int, label: str) -> l
     """
     rank = F.row_number().over(Window.partitionBy(label).orderBy("_v", "_u"))
     first = known.groupBy("_v", label).agg(F.min("_u").alias("_u"))
-    keys = first.withColumn("_rank", rank).where(F.col("_rank") <= count).select("_u", "_v", label)
+    keys = materialize(first.withColumn("_rank", rank).where(F.col("_rank") <= count).select("_u", "_v", label))
     rows = hashed(docs.select("doc_id", "text")).join(F.broadcast(keys), ["_u", "_v"]).select("_u", "_v", "text", label)  # keys: count rows at most for each value
     found = {(r["_v"], r[label]): r for r in rows.toLocalIterator()}
     return [(found[k]["text"], found[k][label]) for k in sorted(found)]
