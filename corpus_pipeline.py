@@ -1,7 +1,10 @@
 """A training-data pipeline: language, near duplicates, benchmark passages, personal data, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns what the next one reads; all but the last keep the columns of
-documents. Null texts are carried as nulls until a stage's rule drops them.
+documents. Null texts are carried as nulls until a stage's rule drops them: the language stage drops texts without a letter, so
+null and empty ones. Repeated rows (equal in id and text) become one, of rows that share an id but not a text each is judged by
+its own. Ties: of a class of near duplicates the least id stays, of equal ids the least text hash. Very long texts pass whole. Empty tables
+give empty results. Columns beside those of documents are carried, whatever their names.
 """
 
 from __future__ import annotations
@@ -12,7 +15,6 @@ from pyspark.sql import functions as F
 from pointloom.llm import op03_pii_boosting, op04_ngram_jaccard, op07_piece_scan, op09_language_crf, op10_decontamination
 from pointloom.llm.common import materialize, table
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 SURE = 0.4  # share of the likeliest language below which a document is rejected
 
 
@@ -45,7 +47,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("personal_data", personal_data), ("tokens", tokens)]
-ORACLE_SQL = None  # fitted models and tokens are not expressible; tests/llm has a brute-force version
+ORACLE_SQL = None  # fitted models and tokens are not expressible; tests/llm compares each stage with a brute-force version
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
