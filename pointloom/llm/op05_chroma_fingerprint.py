@@ -10,7 +10,7 @@ half of those that overlap counts, among those that match. It is a match where a
 Queries are read in blocks of bounded size, each searched in all recordings. Equal fingerprints are one class, searched once,
 and every query but the class's own that matches is given; rows of one class_id are copies of each other.
 Null, empty and too short audio: an empty fingerprint, its class, and no match. Repeated rows fall into one class. Ties: the
-least offset. Other columns are ignored. `match_recordings` gives the best query alone, the class's own too,
+least offset. A very long recording is held whole by one task. An empty table gives an empty result. Other columns are ignored, whatever their names. `match_recordings` gives the best query alone, the class's own too,
 by the bit error of the `TOP_OFFSETS` fullest offsets.
 """
 

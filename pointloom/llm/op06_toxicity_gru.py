@@ -5,14 +5,14 @@ of its character trigrams. Windows of `WINDOW` words that overlap by half run th
 directions; attention weights pool the states. A document's score is that of its highest window, calibrated
 by a logistic fit on the training documents. All windows of the whole text are scored.
 
-Null and empty texts, and texts without a word: the score of an empty window. Repeated rows get equal scores. Other columns
-are never read (training reads labels.toxic).
+Null and empty texts, and texts without a word: the score of an empty window. Repeated rows and ties get equal scores; an id whose
+labels disagree counts as toxic. Texts of more than LONG bytes are read in pieces that begin at a window's first word. An empty table
+gives an empty result, and labels of one kind alone a constant score. Other columns are never read (training reads labels.toxic).
 """
 
 from __future__ import annotations
 
 import re
-
 from collections.abc import Iterator
 
 import numpy as np

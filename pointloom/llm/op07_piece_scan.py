@@ -10,7 +10,8 @@ state at its left boundary (bytes of it that a piece from before takes) to each
 max-plus algebra to the best score from every boundary state to the end; with these, each chunk is traced back on its own, for
 every state it may be entered in, and the states are then followed from chunk to chunk.
 
-The vocabulary's path is a parameter. Null and empty texts: no pieces. Repeated rows get equal results; other columns are ignored.
+The vocabulary's path is a parameter. Null and empty texts: no pieces. Repeated rows get equal results. An empty table gives an empty result. Other
+columns are ignored, or carried where they are named.
 """
 
 from __future__ import annotations

@@ -62,7 +62,7 @@ def op10_decontamination_(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_decontamination.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-# Base spans by SQL: positions are not expressible in one statement, so op3 has none; see tests/llm for brute force.
+# op3 has no SQL, since positions of matches are not expressible in one statement; tests/llm compares base spans with Python's patterns.
 ORACLE_4 = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
