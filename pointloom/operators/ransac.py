@@ -8,7 +8,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.functions.vectors import affine, vnorm, vsub
 from pointloom.operators.registration import fit_affine, fit_rigid
 from pointloom.operators.stats import canonical_axes, covariance
 
@@ -36,7 +35,9 @@ def plane_residual(model) -> Column:
 
 def transform_residual(model) -> Column:
     """Of correspondences with columns p1 (destination) and p2 (source)."""
-    return vnorm(vsub("p1", affine(*model, "p2")))
+    r, t = np.asarray(model[0]).tolist(), np.asarray(model[1]).tolist()
+    at = [sum((v * F.col("p2")[j] for j, v in enumerate(row)), F.lit(float(b))) for row, b in zip(r, t, strict=True)]
+    return F.sqrt(sum(((F.col("p1")[i] - y) * (F.col("p1")[i] - y) for i, y in enumerate(at)), F.lit(0.0)))
 
 
 def score(df: DataFrame, residuals: list[Column], limit: float) -> list[int]:
