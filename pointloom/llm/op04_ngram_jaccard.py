@@ -16,8 +16,8 @@ least frequent first, so that a passage many documents share fills a prefix only
 3. Pairs are verified in two steps: bit maps of two bits or more for each token give an upper bound of the common tokens, and what passes
    is compared by the whole sets. Longer lists are not expanded: each member is verified against a centre. What is linked forms a class.
    The first round takes the FIRST least frequent of a document's frequent tokens, which joins up groups of copies;
-   later rounds take every list, but only members of one list in different classes, and the last one every such pair, so no
-   link between classes is lost.
+   later rounds take every list, but only members of one list in different classes, and the last one, which comes at once where they are few,
+   every such pair, so no link between classes is lost.
 4. Entries of frequent tokens and of combinations also bound what a set can share if this token (for a combination: these three)
    comes first among the common ones: no more than what follows in the global order. Two entries whose lesser bound falls short of a
    link are not compared, since the pair's first common tokens are another entry of both.
@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import RollingHash, WordBatch, _G, bucketed, hot_keys, materialize, mix, ngram_hashes, release, salted_join, sent, step_settings, text_chunks
+from pointloom.llm.common import RollingHash, WordBatch, _G, bucketed, hot_keys, key_join, materialize, mix, ngram_hashes, release, salted_join, sent, step_settings, text_chunks
 from pointloom.operators.graph import linked_ids
 
 SHINGLE, K = 5, 3
@@ -49,6 +49,7 @@ MOST_FREQUENT = 500_000  # at most so many tokens are of that class: 6 MB to eac
 DEFICIT = 2  # at most so many frequent tokens beyond k in an extended prefix that is indexed by combinations
 SMALL = 4  # lists up to this length are expanded into pairs at once
 FIRST = 3  # frequent tokens of a document that the first round takes
+FEW_PAIRS = 100_000  # so few pairs of one list and different classes are compared at once, without the rounds that would make them fewer
 GONE = 2_000_000  # at most so many row keys, 16 MB, are broadcast
 BASE = 1.08  # set sizes are kept as powers of this in one byte
 
@@ -323,6 +324,8 @@ def link_sets(sets: DataFrame, texts: DataFrame) -> DataFrame:
     every, step = True, 0
     while True:
         comp = materialize(linked_ids(edges.toDF("q", "r"), materialize))
+        if step == 3:
+            break
         comp_ = sent(comp)
         if every:  # all lists, with the class of each member; those within one class are done
             label = F.coalesce("comp", "u").alias("comp")
@@ -331,15 +334,18 @@ def link_sets(sets: DataFrame, texts: DataFrame) -> DataFrame:
         else:
             named = entries.join(comp_, F.col("member") == F.col("id"), "left").select("list", "member", "n", "rest", "mode", F.coalesce("comp", "member").alias("comp"))
         several = named.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("mode").alias("kind")).where("lo < hi AND kind < 2").select("list")
-        entries, every, step = materialize(named.join(several, "list")), False, step + 1
-        if step > 3 or entries.limit(1).count() == 0:
+        entries, every = materialize(named.join(several, "list")), False
+        main = entries.groupBy("list", "comp").agg(F.count("*").alias("size")).groupBy("list").agg(F.max(F.struct("size", "comp")).alias("main"), F.sum("size").alias("all"))
+        main = materialize(main.select("list", "main.comp", ((F.col("all") - F.col("main.size")) * F.col("all")).alias("pairs")).withColumnRenamed("comp", "main"))
+        left = main.agg(F.sum("pairs")).first()[0]
+        if not left:
             break
+        step = 3 if left <= FEW_PAIRS else step + 1
         if step < 3:
             # verify against another centre, across classes only
             pairs = star(entries, ["mode", F.xxhash64(F.lit(step), "member").alias("u")], f"comp <> cc AND {_fits()}")
         else:
-            main = entries.groupBy("list", "comp").agg(F.count("*").alias("size")).groupBy("list").agg(F.max(F.struct("size", "comp"))["comp"].alias("main"))
-            flagged = entries.join(main, "list")
+            flagged = entries.join(main.select("list", "main"), "list")
             outside = flagged.where("comp <> main").select("list", F.col("member").alias("a"), F.col("n").alias("cn"), F.col("rest").alias("cr"), F.col("mode").alias("am"), F.col("comp").alias("ac"))
             pairs = outside.join(flagged, "list").where(f"comp <> ac AND (comp = main OR a < member) AND {_fits()} AND NOT (am = 2 AND mode = 2)").select("a", F.col("member").alias("b"))
         edges = materialize(edges.union(linked(pairs, maps, sets, texts)))
@@ -388,17 +394,16 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each_class(docs: DataFrame) -> DataFrame:
-    """docs without the rows that are not kept, and with equal rows (by id and text) once. Texts are not exchanged for it while the keys of what goes fit a broadcast."""
+    """docs without the rows that are not kept, and with equal rows (by id and text) once. Texts are not exchanged for it while the keys of what goes fit a broadcast; beyond, few but those that go are."""
     rows = jaccard_rows(docs)
-    keys = materialize(rows.groupBy("doc_id", "k1", "k2").agg(F.count("*").alias("times"), F.max("kept").alias("kept")).where("times > 1 OR NOT kept"))
+    keys = materialize(rows.groupBy(F.col("doc_id").alias("id"), "k1", "k2").agg(F.count("*").alias("times"), F.max("kept").alias("kept")).where("times > 1 OR NOT kept"))
+    again = materialize(keys.where("kept"))
+    release(rows)
     names = docs.columns
     row = docs.select(F.struct(*names).alias("row"), F.coalesce(docs["text"], F.lit("")).alias("text"), docs["doc_id"].alias("id"))
     row = row.select("row", "id", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(7), "text").alias("k2"))
-    other = keys.select(F.col("doc_id").alias("id_"), F.col("k1").alias("k1_"), F.col("k2").alias("k2_"), "kept")
-    same = F.col("id").eqNullSafe(F.col("id_")) & (F.col("k1") == F.col("k1_")) & (F.col("k2") == F.col("k2_"))
     # most rows are in neither group
-    once = row.join(other, same, "left_anti").select("row.*")
-    if keys.where("kept").limit(1).count() == 0:
+    once = key_join(row, keys, ["id", "k1", "k2"], "left_anti").select("row.*")
+    if again.limit(1).count() == 0:
         return once
-    again = row.join(other.where("kept"), same, "left_semi").dropDuplicates(["id", "k1", "k2"]).select("row.*")
-    return once.union(again)
+    return once.union(key_join(row, again, ["id", "k1", "k2"], "left_semi").dropDuplicates(["id", "k1", "k2"]).select("row.*"))

@@ -228,6 +228,7 @@ def identify(docs: DataFrame, columns: list[str], model: Crf | None = None, name
     if model is None:
         rows = training_rows(docs)
         model = fit([r[0] for r in rows], [r[1] for r in rows])
+        RollingHash.cache_clear()  # the driver needs its tables for the fit alone
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.select(F.struct(*columns).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     kind = docs.select(F.struct(*columns).alias("row")).schema["row"].dataType.simpleString()

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import materialize
+from pointloom.llm.common import key_join, materialize
 
 SHINGLE, CONTAINED = 5, 0.75
 BROADCAST_ROWS = 1_000_000  # shingles of all items up to which they are sent to every executor (16 to 60 MB)
@@ -46,16 +46,21 @@ def item_shingles(bench: DataFrame) -> DataFrame:
     return g.select("item_id", "n", "m", "part", "keys", F.posexplode("g").alias("at", "gram")).withColumn("is_key", F.col("at") < F.col("keys")).drop("at", "keys")
 
 
-def contained_items(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    """doc_id, item_id, n_item, n_found, containment of every pair with containment of at least CONTAINED."""
+def row_bits() -> list[Column]:
+    """u and v, 128 bits of a row's id and text."""
+    return [F.xxhash64("doc_id", "text").alias("u"), F.xxhash64(F.lit(7), "text").alias("v")]
+
+
+def found_items(docs: DataFrame, bench: DataFrame) -> DataFrame:
+    """doc_id, u and v (the row's 128 bits), item_id, m, n_found of every row and item with containment of at least CONTAINED."""
     items = item_shingles(bench)
     sizes = {r[0]: r[1] for r in items.groupBy("n").count().collect()}
     if not sizes:
-        return items.select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "item_id", F.col("m").cast("long").alias("n_item"), F.lit(0).cast("long").alias("n_found"), F.lit(0.0).alias("containment")).where("false")
+        return items.select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.lit(0).cast("long").alias("u"), F.lit(0).cast("long").alias("v"), "item_id", "m", F.lit(0).cast("long").alias("n_found")).where("false")
     small = sum(sizes.values()) <= BROADCAST_ROWS
     sent = F.broadcast if small else lambda df: df
     wanted = F.expr("concat(" + ", ".join(_grams("w", n) for n in sorted(sizes)) + ")")
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("u"), F.xxhash64(F.lit(7), "text").alias("v"), "text")
+    rows = docs.select("doc_id", *row_bits(), "text")
 
     def grams(of: DataFrame) -> DataFrame:
         return of.select("doc_id", "u", "v", F.transform(words_of("text"), lambda x: F.xxhash64(x)).alias("w")).select("doc_id", "u", "v", F.explode(wanted).alias("gram"))
@@ -65,10 +70,21 @@ def contained_items(docs: DataFrame, bench: DataFrame) -> DataFrame:
     found = pairs.select("u", "v").distinct()
     held = grams(rows.join(F.broadcast(found) if pairs.limit(PAIRS + 1).count() <= PAIRS else found, ["u", "v"], "left_semi")).distinct()
     hits = held.join(sent(items.select("gram", "item_id", "m")), "gram").join(pairs, ["u", "v", "item_id"], "left_semi")
-    shares = hits.groupBy("doc_id", "u", "v", "item_id", "m").agg(F.count("*").alias("n_found")).where(F.col("n_found") >= F.col("m") * CONTAINED)
+    return hits.groupBy("doc_id", "u", "v", "item_id", "m").agg(F.count("*").alias("n_found")).where(F.col("n_found") >= F.col("m") * CONTAINED)
+
+
+def contained_items(docs: DataFrame, bench: DataFrame) -> DataFrame:
+    """doc_id, item_id, n_item, n_found, containment of every pair with containment of at least CONTAINED."""
+    shares = found_items(docs, bench)
     return shares.groupBy("doc_id", "item_id", "m").agg(F.max("n_found").alias("n_found")).select("doc_id", "item_id", F.col("m").cast("long").alias("n_item"), "n_found", (F.col("n_found") / F.col("m")).alias("containment"))
 
 
+def without_items(docs: DataFrame, bench: DataFrame) -> DataFrame:
+    """docs without the rows whose text contains an item, whatever rows share their id. Texts are not exchanged for it while the keys of what goes fit a broadcast."""
+    keys = materialize(found_items(docs, bench).select("u", "v").distinct())
+    return key_join(docs.select(F.struct(*docs.columns).alias("row"), *row_bits()), keys, ["u", "v"], "left_anti").select("row.*")
+
+
 ORACLE = """
 WITH w(kind, id, ws) AS (
   SELECT kind, id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')

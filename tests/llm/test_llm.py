@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pointloom.llm import common
 from pointloom.llm import op01_suffix_dedup as op1
 from pointloom.llm import op02_backoff_scoring as op2
 from pointloom.llm import op03_pii_boosting as op3
@@ -271,6 +272,21 @@ def test_jaccard_with_frequent_tokens(spark, monkeypatch, most):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_classes(rows)
 
 
+@pytest.mark.parametrize("few", [op4.FEW_PAIRS, 0])
+def test_jaccard_in_one_round_or_many(spark, monkeypatch, few):
+    """Where few pairs are left after the first round, the last one comes at once: each round's jobs cost the driver memory."""
+    rounds = []
+    linked = op4.linked
+    monkeypatch.setattr(op4, "linked", lambda *a: rounds.append(1) or linked(*a))
+    monkeypatch.setattr(op4, "FEW_PAIRS", few)
+    monkeypatch.setattr(op4, "FREQUENT", 2)
+    rows = [(i, " ".join(w if (j * 7 + i * 13) % 41 else f"v{i}" for j, w in enumerate(prose(8, 150).split()))) for i in range(20)]
+    rows += [(50 + i, prose(9, 30) + " " + prose(400 + i, 20)) for i in range(20)]
+    got = op4.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_classes(rows)
+    assert len(rounds) == (2 if few else 4)
+
+
 def test_jaccard_of_rows_that_share_an_id(spark):
     a, b = prose(50, 80), prose(51, 80)
     rows = [(5, a), (5, b), (6, b + " alpha"), (7, a + " beta"), (8, b), (9, b), (9, b), (None, a), (None, "x y")]
@@ -549,6 +565,44 @@ def test_containment(spark, odd, none):
     assert op10.contained_items(none, bench).count() == 0 and op10.contained_items(odd, bench.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_rows_with_and_without_a_key(spark, monkeypatch, limit):
+    """limit: keys up to which they are sent to the rows; beyond, rows pass a map of the keys first, here a small one."""
+    monkeypatch.setattr(common, "SMALL_ROWS", limit)
+    monkeypatch.setattr(common, "MAP_WORDS", 4)
+    rows = spark.createDataFrame([(i % 400 if i % 7 else None, i % 3) for i in range(900)], "id long, k long")
+    keys = common.materialize(spark.createDataFrame([(i, i % 2) for i in range(0, 60, 5)] + [(None, 1)], "id long, k long"))
+    wanted = {tuple(r) for r in keys.collect()}
+    for how, held in (("left_semi", True), ("left_anti", False)):
+        got = sorted(map(str, common.key_join(rows, keys, ["id", "k"], how).collect()))
+        assert got == sorted(str(r) for r in rows.collect() if (tuple(r) in wanted) == held)
+
+
+def test_texts_are_not_exchanged_to_take_rows_out(spark):
+    """Nor with keys that Spark by itself would not broadcast."""
+    import corpus_pipeline as p
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = spark.read.parquet(f"{SF}/documents.parquet")
+        for stage in (p.near_duplicates, p.decontamination):
+            plan = stage(spark, docs, SF)._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan, stage
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_decontamination_judges_each_row_by_its_text(spark, tmp_path):
+    """Rows that share an id, and rows without one."""
+    import corpus_pipeline as p
+
+    item, clean = prose(20, 40), prose(23, 60)
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(1, "so " + item), (1, clean), (None, item + " end"), (None, clean), (2, None)], "doc_id long, text string")
+    assert sorted(map(str, p.decontamination(spark, docs, str(tmp_path)).collect())) == sorted(str(r) for r in docs.collect() if not r.text or item not in r.text)
+
+
 def test_pipeline(spark, odd, none):
     """Each stage against what it must do with its own input, decided by brute force, and the edge cases."""
     import corpus_pipeline as p
