@@ -16,6 +16,9 @@ from pointloom.llm import (
     op08_histogram_sort,
     op09_language_crf,
     op10_decontamination,
+    op11_fill_in_middle,
+    op12_va_negatives,
+    op13_secret_scan,
 )
 from pointloom.llm.common import table
 
@@ -62,6 +65,19 @@ def op10_decontamination_(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_decontamination.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_fill_in_middle_(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_fill_in_middle.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_va_negatives.negatives_of_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_secret_scan.secrets_of_documents(table(spark, sf_dir, "documents"))
+
+
+# op13 has no SQL, since checksums are not expressible; tests/llm compares it with Python's patterns.
 # op3 has no SQL, since positions of matches are not expressible in one statement; tests/llm compares base spans with Python's patterns.
 ORACLE_4 = r"""
 WITH RECURSIVE w AS (
@@ -82,5 +98,5 @@ reach(a, b) AS (SELECT doc_id, doc_id FROM s UNION SELECT reach.a, links.y FROM
 SELECT doc_id, len(g) AS n_shingles, (SELECT min(b) FROM reach WHERE a = doc_id) AS component_id FROM s
 """
 
-QUERIES = {f.__name__.rstrip("_"): f for f in (op1_suffix_dedup, op2_lm_scoring, op3_pii, op4_ngram_jaccard, op5_chroma_fingerprints, op6_toxicity, op7_sentencepiece, op8_sharding, op9_language_id, op10_decontamination_)}
-ORACLES = {"op2_lm_scoring": op02_backoff_scoring.ORACLE, "op4_ngram_jaccard": ORACLE_4, "op10_decontamination": op10_decontamination.ORACLE}
+QUERIES = {f.__name__.rstrip("_"): f for f in (op1_suffix_dedup, op2_lm_scoring, op3_pii, op4_ngram_jaccard, op5_chroma_fingerprints, op6_toxicity, op7_sentencepiece, op8_sharding, op9_language_id, op10_decontamination_, op11_fill_in_middle_, op12_hard_negatives, op13_secrets)}
+ORACLES = {"op2_lm_scoring": op02_backoff_scoring.ORACLE, "op4_ngram_jaccard": ORACLE_4, "op10_decontamination": op10_decontamination.ORACLE, "op11_fill_in_middle": op11_fill_in_middle.ORACLE, "op12_hard_negatives": op12_va_negatives.ORACLE}
