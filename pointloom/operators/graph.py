@@ -75,13 +75,22 @@ def _lowered(e: DataFrame, larger: bool) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def linked_ids(edges: DataFrame, save=cut) -> DataFrame:
-    """(id, comp) of the ids that the edges (q, r: long) hold, both directions counting: comp is the least id reached.
+def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, comp) of every id of the edges (q, r), all in one partition of bounded size."""
+    t = pa.Table.from_batches(batches, pa.schema([("q", pa.int64()), ("r", pa.int64())]))
+    ids, root = least_reached(t.column("q").to_numpy(), t.column("r").to_numpy())
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(root)], names=["id", "comp"])
+
+
+def linked_ids(edges: DataFrame, save=cut, most: int | None = None) -> DataFrame:
+    """(id, comp) of the ids that the edges (q, r: long) hold, both directions counting: comp is the least id reached. most: a bound of the number of edges, if known.
 
     Each round joins up the edges of every partition by themselves, then moves edges to least neighbors from either
     side, so that paths shrink to stars in a number of rounds that grows with the logarithm of the longest path.
     Once ONE_TASK edges or fewer are left, one task ends the work. `save` cuts the lineage.
     """
+    if most is not None and most <= ONE_TASK:
+        return save(edges.where("q <> r").coalesce(1).mapInArrow(_labels, "id long, comp long"))
     e = save(edges.where("q <> r").select(F.greatest("q", "r").alias("u"), F.least("q", "r").alias("v")).distinct())
     while True:
         n = e.count()
@@ -94,7 +103,8 @@ def linked_ids(edges: DataFrame, save=cut) -> DataFrame:
             break
         e = done
     roots = done.select("v").distinct()
-    return done.select(F.col("u").alias("id"), F.col("v").alias("comp")).union(roots.select(F.col("v").alias("id"), F.col("v").alias("comp")))
+    found = done.select(F.col("u").alias("id"), F.col("v").alias("comp")).union(roots.select(F.col("v").alias("id"), F.col("v").alias("comp")))
+    return found if most is None else save(found)
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
