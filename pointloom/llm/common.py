@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -51,17 +51,28 @@ def step_settings(spark: SparkSession):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write df as Parquet in the shared folder, under STEP, and read it again."""
-    spark = df.sparkSession
+def materialize(df: DataFrame, **figures: Column) -> DataFrame:
+    """Cut the lineage: write df as Parquet in the shared folder, under STEP, and read it again. Rows are counted as they are written, and any aggregate in `figures` with them (see figure)."""
+    spark, seen = df.sparkSession, Observation()
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     with step_settings(spark):
-        df.write.option("compression", "zstd").parquet(path)
+        df.observe(seen, F.count(F.lit(1)).alias("rows"), *(c.alias(k) for k, c in figures.items())).write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out._pointloom_path = path
+    out._pointloom_path, out._pointloom_figures = path, seen.get
     return out
 
 
+def figure(table: DataFrame, name: str = "rows"):
+    """A figure of a table that materialize() wrote. A task that was run again may add to it once more: bounds by it hold, exact counts are not to be had of it."""
+    return getattr(table, "_pointloom_figures", {}).get(name)
+
+
+def rows_of(table: DataFrame) -> int:
+    """An upper bound of the rows of a table that materialize() wrote; the count of any other."""
+    seen = figure(table)
+    return table.count() if seen is None else seen
+
+
 def bucketed(df: DataFrame, key: str, buckets: int) -> tuple[DataFrame, Callable[[], None]]:
     """df as a table in the shared folder, bucketed by key, so that steps which group or join by it exchange only the other side; and what deletes it."""
     spark = df.sparkSession
@@ -95,7 +106,7 @@ SMALL_ROWS = 1_000_000  # rows of a few numbers each: 8 to 40 MB
 
 def sent(table: DataFrame) -> DataFrame:
     """A written table of few numbers a row, marked to be broadcast while it has at most SMALL_ROWS rows; beyond that the join exchanges both sides."""
-    return F.broadcast(table) if table.count() <= SMALL_ROWS else table
+    return F.broadcast(table) if rows_of(table) <= SMALL_ROWS else table
 
 
 MAP_WORDS = 1 << 20  # words of a map of keys, of 64 bits each: about 40 MB where it is sent
@@ -109,7 +120,7 @@ def key_join(rows: DataFrame, keys: DataFrame, names: list[str], how: str) -> Da
     """
     other = keys.select(*(F.col(c).alias(f"{c}_") for c in names))
     same = functools.reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"{c}_")) for c in names))
-    if keys.count() <= SMALL_ROWS:
+    if rows_of(keys) <= SMALL_ROWS:
         return rows.join(F.broadcast(other), same, how)
     h = f"xxhash64({', '.join(names)})"
     word, bit = F.expr(f"pmod({h}, {MAP_WORDS}L)"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned({h}, 58) as int))")

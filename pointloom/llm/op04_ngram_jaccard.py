@@ -37,10 +37,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import RollingHash, WordBatch, _G, bucketed, hot_keys, key_join, materialize, mix, ngram_hashes, release, salted_join, sent, step_settings, text_chunks
+from pointloom.llm.common import RollingHash, WordBatch, _G, bucketed, figure, key_join, materialize, mix, ngram_hashes, release, rows_of, sent, step_settings, text_chunks
 from pointloom.operators.graph import linked_ids
 
 SHINGLE, K = 5, 3
@@ -50,7 +50,8 @@ DEFICIT = 2  # at most so many frequent tokens beyond k in an extended prefix th
 SMALL = 4  # lists up to this length are expanded into pairs at once
 FIRST = 3  # frequent tokens of a document that the first round takes
 FEW_PAIRS = 100_000  # so few pairs of one list and different classes are compared at once, without the rounds that would make them fewer
-GONE = 2_000_000  # at most so many row keys, 16 MB, are broadcast
+GONE = 1_000_000  # at most so many keys of repeated sets, 32 MB, are broadcast
+PART = 128  # members of a centre that are verified together, about
 BASE = 1.08  # set sizes are kept as powers of this in one byte
 
 
@@ -101,7 +102,7 @@ def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             most = at_most(x, y, nx, ny)
             if 100 * most >= 75 * (nx + ny - most):
                 keep.append(i)
-        yield rows.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+        yield rows.select([c for c in rows.schema.names if c not in ("x", "y", "nx", "ny")]).take(pa.array(keep, pa.int64()))
 
 
 def heavy(batches: Iterator[pa.RecordBatch], flush: int = 2_000_000) -> Iterator[pa.RecordBatch]:
@@ -263,21 +264,26 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def linked(pairs: DataFrame, maps: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity. A centre's members are dealt in parts of about 128."""
-    near = pairs.distinct().join(maps.toDF("a", "nx", "x"), "a").join(maps.toDF("b", "ny", "y"), "b")
-    pairs = materialize(near.select("a", "b", "nx", "ny", "x", "y").mapInArrow(bounded, "a long, b long"))
-    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / 128).alias("ways"))
-    dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "ways").alias("part"))
-    dealt = materialize(dealt)
-    wanted = dealt.select(F.explode(F.array("a", "b")).alias("u")).distinct()
-    keys = materialize(sets.select("u", "k1", "k2").join(wanted, "u"))
-    # one text for each set; a text on the way to its pairs is moved once for each part of a centre
-    texts = texts.join(sent(keys), ["k1", "k2"]).select("u", "text").dropDuplicates(["u"])
-    rows = dealt.union(dealt.select("a", F.col("a").alias("b"), "part").distinct()).join(texts.withColumnRenamed("u", "b"), "b")
+def linked(pairs: DataFrame, maps: DataFrame, texts: DataFrame, buckets: int) -> DataFrame:
+    """The pairs (a, b) whose sets reach the similarity; ways: into how many parts the members b of the centre a are dealt.
+
+    The pairs alone are exchanged to meet the maps. A text that is needed is exchanged twice: once to take one of its copies, once to its pairs.
+    """
+    names = ["a", "b", "ways", "a1", "a2", "b1", "b2"]
+    one = pairs.repartition(buckets, "a").groupBy("a", "b").agg(F.max("ways").alias("ways"))
+    near = one.join(maps.select(F.col("u").alias("a"), F.col("n").alias("nx"), F.col("bits").alias("x"), F.col("k1").alias("a1"), F.col("k2").alias("a2")), "a")
+    near = near.join(maps.select(F.col("u").alias("b"), F.col("n").alias("ny"), F.col("bits").alias("y"), F.col("k1").alias("b1"), F.col("k2").alias("b2")), "b")
+    near = materialize(near.select(*names, "nx", "ny", "x", "y").mapInArrow(bounded, "a long, b long, ways long, a1 long, a2 long, b1 long, b2 long"))
+    keys = near.select(F.explode(F.array(F.struct(F.col("a1").alias("k1"), F.col("a2").alias("k2")), F.struct(F.col("b1").alias("k1"), F.col("b2").alias("k2")))).alias("k")).select("k.*")
+    keys._pointloom_figures = {"rows": 2 * rows_of(near)}
+    part = F.pmod(F.xxhash64("b"), "ways").alias("part")
+    wanted = near.select("a", part, F.col("b").alias("u"), F.col("b1").alias("k1"), F.col("b2").alias("k2")).union(near.select("a", part, F.col("a").alias("u"), F.col("a1").alias("k1"), F.col("a2").alias("k2")).distinct())
+    wanted._pointloom_figures = keys._pointloom_figures
+    one_text = key_join(texts, keys, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+    rows = one_text.join(sent(wanted), ["k1", "k2"]).select("a", "part", F.col("u").alias("b"), "text")
     rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("a") != F.col("b"))
-    out = materialize(rows.select("a", "part", "b", "text").mapInArrow(verify, "a long, b long"))
-    release(pairs, dealt, keys)
+    out = materialize(rows.mapInArrow(verify, "a long, b long"))
+    release(near)
     return out
 
 
@@ -290,101 +296,109 @@ def _fits(n: str = "n", rest: str = "rest") -> str:
     return f"7 * least({rest}, cr) >= 3 * ({n} + cn)"
 
 
-def link_sets(sets: DataFrame, texts: DataFrame) -> DataFrame:
-    """(id, comp) of the sets (u, n, k1, k2, rare, single, combined, rest, mode, bits) that link: comp is the least key of a class."""
-    maps, drop_maps = bucketed(sets.select("u", "n", "bits"), "u", int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    total = sets.agg(F.sum(F.octet_length("rare").cast("long"))).first()[0] or 0
-    packed = sets.select("u", "n", "rare").mapInArrow(deal(max(1, int(total // 2_400_000))), "bucket long, base long, token binary, member binary, size binary")
+def link_sets(sets: DataFrame, texts: DataFrame, rare_bytes: int) -> DataFrame:
+    """(id, comp) of the sets (u, n, k1, k2, rare, single, combined, rest, mode, bits) that link: comp is the least key of a class. rare_bytes: a bound of the bytes of all `rare`."""
+    buckets = min(50_000, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    maps, drop_maps = bucketed(sets.select("u", "n", "bits", "k1", "k2", "mode", "single", "combined", "rest"), "u", buckets)
+    packed = sets.select("u", "n", "rare").mapInArrow(deal(max(1, rare_bytes // 2_400_000)), "bucket long, base long, token binary, member binary, size binary")
     lists = materialize(packed.groupBy("bucket").applyInArrow(gather, "list long, a long, b long, n long, rest long"))
-    often = materialize(sets.where("mode > 0").select("u", "n", "mode", "single", F.size("single").alias("k"), "combined", "rest"))
+    often = maps.where("mode > 0").select("u", "n", "mode", "single", F.size("single").alias("k"), "combined", "rest")
     rare = lists.where("list IS NOT NULL").select("list", F.col("a").alias("member"), "n", "rest", F.lit(0).alias("mode")).distinct()
     triples = often.where("mode = 2").select(F.explode(F.arrays_zip("combined", "rest")).alias("e"), "u", "n").select(F.col("e.combined").alias("list"), F.col("u").alias("member"), "n", F.col("e.rest").cast("long").alias("rest"), F.lit(0).alias("mode"))
     fixed = materialize(rare.union(triples))
 
-    def singles(rows: DataFrame, *more: str) -> DataFrame:
+    def singles(rows: DataFrame) -> DataFrame:
         # the single tokens of a set end its prefix: what follows the last one is three quarters of the set, itself included
-        e = rows.select("u", "n", "mode", *more, F.col("k"), F.posexplode("single").alias("at", "list"))
-        return e.select("list", F.col("u").alias("member"), "n", F.expr("(3 * n + 3) div 4 + k - 1 - at").alias("rest"), "mode", *more)
-
-    def star(pool: DataFrame, least, where: str) -> DataFrame:
-        """Each member of a list with the list's centre."""
-        centre = F.struct(*least, F.col("member").alias("centre"), F.col("n").alias("cn"), F.col("rest").alias("cr"), *([F.col("comp").alias("cc")] if "comp" in pool.columns else []))
-        best = materialize(pool.groupBy("list").agg(F.min(centre).alias("c"), F.count("*").alias("size")))
-        joined = salted_join(pool, best.select("list", "c.*").drop("u"), ["list"], hot_keys(best, "size", ["list"]), "member")
-        return joined.where(f"member <> centre AND {where}").select(F.col("centre").alias("a"), F.col("member").alias("b"))
-
-    some = singles(often.withColumn("single", F.slice("single", 1, FIRST)))
-    entries = fixed.union(some)
+        e = rows.select("u", "n", "mode", "k", F.posexplode("single").alias("at", "list"))
+        return e.select("list", F.col("u").alias("member"), "n", F.expr("(3 * n + 3) div 4 + k - 1 - at").alias("rest"), "mode")
+
+    def centre(*least) -> Column:
+        """The member of a list that its others are verified against, least by `least`."""
+        names = [f"_{i}" for i in range(len(least))]
+        return F.min(F.struct(*(F.lit(x).alias(k) if not isinstance(x, Column) else x.alias(k) for k, x in zip(names, least, strict=True)), F.col("member").alias("centre"), F.col("n").alias("cn"), F.col("rest").alias("cr"))).alias("c")
+
+    def parts(size: str) -> Column:
+        return F.ceil(F.col(size) / PART).cast("long").alias("ways")
+
+    some = fixed.union(singles(often.withColumn("single", F.slice("single", 1, FIRST))))
+    behind = (F.col("n") - F.col("rest")) / F.col("n")
     # a list of frequent tokens whose members are all indexed by combinations is not needed
-    sized = entries.groupBy("list").agg(F.count("*").alias("size"), F.min("mode").alias("kind")).where("size > 1 AND kind < 2").select("list")
-    entries = materialize(entries.join(sized, "list"))
-    behind = ((F.col("n") - F.col("rest")) / F.col("n")).alias("behind")
-    pairs = star(entries, ["mode", behind, F.xxhash64(F.lit(0), "member").alias("u")], _fits())
-    edges = linked(lists.where("list IS NULL").select("a", "b").union(pairs), maps, sets, texts)
-    every, step = True, 0
+    first = some.groupBy("list").agg(F.count("*").alias("size"), F.min("mode").alias("kind"), centre(F.col("mode"), behind, F.xxhash64(F.lit(0), "member"))).where("size > 1 AND kind < 2")
+    first = materialize(first.select("list", "size", "c.centre", "c.cn", "c.cr"))
+    pairs = some.join(sent(first), "list").where(f"member <> centre AND {_fits()}").select(F.col("centre").alias("a"), F.col("member").alias("b"), parts("size"))
+    edges = linked(lists.where("list IS NULL").select("a", "b", F.lit(1).cast("long").alias("ways")).union(pairs), maps, texts, buckets)
+    release(first)
+    comp, step, entries = None, 0, None
     while True:
-        comp = materialize(linked_ids(edges.toDF("q", "r"), materialize))
+        # the classes so far are as good as the links that made them
+        known = edges.toDF("q", "r") if comp is None else edges.toDF("q", "r").union(comp.toDF("q", "r"))
+        comp = linked_ids(known, materialize, rows_of(edges) + (rows_of(comp) if comp is not None else 0))
+        release(edges)
         if step == 3:
             break
-        comp_ = sent(comp)
-        if every:  # all lists, with the class of each member; those within one class are done
-            label = F.coalesce("comp", "u").alias("comp")
-            all_ = singles(often.join(comp_.withColumnRenamed("id", "u"), "u", "left").select("u", "n", "mode", "single", "k", label), "comp")
-            named = fixed.withColumnRenamed("member", "u").join(comp_.withColumnRenamed("id", "u"), "u", "left").select("list", F.col("u").alias("member"), "n", "rest", "mode", label).union(all_)
-        else:
-            named = entries.join(comp_, F.col("member") == F.col("id"), "left").select("list", "member", "n", "rest", "mode", F.coalesce("comp", "member").alias("comp"))
-        several = named.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("mode").alias("kind")).where("lo < hi AND kind < 2").select("list")
-        entries, every = materialize(named.join(several, "list")), False
-        main = entries.groupBy("list", "comp").agg(F.count("*").alias("size")).groupBy("list").agg(F.max(F.struct("size", "comp")).alias("main"), F.sum("size").alias("all"))
-        main = materialize(main.select("list", "main.comp", ((F.col("all") - F.col("main.size")) * F.col("all")).alias("pairs")).withColumnRenamed("comp", "main"))
-        left = main.agg(F.sum("pairs")).first()[0]
+        # first all lists, then those whose members were in several classes, with the class of each member
+        named = fixed.union(singles(often)) if entries is None else entries.select("list", "member", "n", "rest", "mode")
+        named = named.join(sent(comp), F.col("member") == F.col("id"), "left").select("list", "member", "n", "rest", "mode", F.coalesce("comp", "member").alias("comp"))
+        each = named.groupBy("list", "comp").agg(F.count("*").alias("size"), F.min("mode").alias("kind"), centre(F.col("mode"), F.xxhash64(F.lit(step + 1), "member")))
+        each = each.groupBy("list").agg(F.max(F.struct("size", F.col("comp").alias("main"))).alias("m"), F.sum("size").alias("all"), F.min("kind").alias("kind"), F.count("*").alias("classes"), F.min(F.struct("c", "comp")).alias("c"))
+        open_ = each.where("classes > 1 AND kind < 2").select("list", "all", "m.main", "m.size", F.col("c.c.centre"), F.col("c.c.cn"), F.col("c.c.cr"), F.col("c.comp").alias("cc"))
+        open_ = materialize(open_, pairs=F.sum((F.col("all") - F.col("size")) * F.col("all")))
+        left = figure(open_, "pairs")
         if not left:
+            release(open_)
             break
         step = 3 if left <= FEW_PAIRS else step + 1
+        before = entries
+        entries = materialize(named.join(sent(open_), "list"))
+        release(*([before] if before is not None else []), open_)
         if step < 3:
             # verify against another centre, across classes only
-            pairs = star(entries, ["mode", F.xxhash64(F.lit(step), "member").alias("u")], f"comp <> cc AND {_fits()}")
+            pairs = entries.where(f"member <> centre AND comp <> cc AND {_fits()}").select(F.col("centre").alias("a"), F.col("member").alias("b"), parts("all"))
         else:
-            flagged = entries.join(main.select("list", "main"), "list")
-            outside = flagged.where("comp <> main").select("list", F.col("member").alias("a"), F.col("n").alias("cn"), F.col("rest").alias("cr"), F.col("mode").alias("am"), F.col("comp").alias("ac"))
-            pairs = outside.join(flagged, "list").where(f"comp <> ac AND (comp = main OR a < member) AND {_fits()} AND NOT (am = 2 AND mode = 2)").select("a", F.col("member").alias("b"))
-        edges = materialize(edges.union(linked(pairs, maps, sets, texts)))
-        entries = entries.drop("comp")
+            outside = entries.where("comp <> main").select("list", F.col("member").alias("a"), F.col("n").alias("cn"), F.col("rest").alias("cr"), F.col("mode").alias("am"), F.col("comp").alias("ac"))
+            met = outside.join(entries.select("list", "main", "member", "n", "rest", "mode", "comp", "all"), "list")
+            pairs = met.where(f"comp <> ac AND (comp = main OR a < member) AND {_fits()} AND NOT (am = 2 AND mode = 2)").select("a", F.col("member").alias("b"), parts("all"))
+        edges = linked(pairs, maps, texts, buckets)
     drop_maps()
-    release(lists, often, fixed, entries)
+    release(lists, fixed, *([entries] if entries is not None else []))
     return comp
 
 
 def jaccard_rows(docs: DataFrame) -> DataFrame:
-    """For each row doc_id, k1, k2 (of its text), n_shingles, component_id and kept: whether it is the one of its class that stays (the least by id, then by text; its equals stay too)."""
+    """For each row doc_id, k1, k2 (of its text), n_shingles, component_id and kept: whether it is the one of its class that stays (the least by id, then by text; its equals stay too).
+
+    Only rows whose set occurs again, or links, meet a table by key. Such tables are broadcast while they are small; beyond, Spark joins by exchange and
+    splits the partitions of keys that many rows share.
+    """
     spark = docs.sparkSession
     base = hidden_rows(docs)
     top = base.select("text").mapInArrow(heavy, "token long, cnt long").groupBy("token").agg(F.sum("cnt").alias("cnt")).where(F.col("cnt") >= FREQUENT).orderBy(F.desc("cnt"), "token").limit(MOST_FREQUENT)
     with step_settings(spark):
-        found = top.orderBy("cnt", F.desc("token")).select("token").toArrow().column(0).to_numpy().view(np.uint64)
+        # the least frequent first; of equal counts the greatest
+        found = top.select("token").toArrow().column(0).to_numpy().view(np.uint64)[::-1]
     order = np.argsort(found)
     shared = spark.sparkContext.broadcast((found[order], order.astype(np.int32)))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    members = materialize(base.mapInArrow(prefixes(lambda: shared.value), f"doc_id {kind}, {PREFIXES}"))
-    slim = members.select("doc_id", "u", "k1", "k2", "n", "s1", "s2")
+    members = materialize(base.mapInArrow(prefixes(lambda: shared.value), f"doc_id {kind}, {PREFIXES}"), rare=F.sum(F.octet_length("rare").cast("long")))
+    shared.destroy()
+    again = materialize(members.where("n > 0").groupBy("s1", "s2").agg(F.min("u").alias("rep"), F.count("*").alias("rows")).where("rows > 1").select("s1", "s2", "rep"))
+    few = rows_of(again) <= GONE
+    joined = members.join(F.broadcast(again) if few else again, ["s1", "s2"], "left")
+    sets = joined.where("n > 0 AND (rep IS NULL OR rep = u)")
+    sets = sets if few else materialize(sets)
+    comp = link_sets(sets, base.select("k1", "k2", "text"), figure(members, "rare") or 0)
+    if not few:
+        release(sets)
+    slim = joined.select("doc_id", "u", "k1", "k2", "n", F.coalesce("rep", "u").alias("set"), F.col("rep").isNotNull().alias("grouped"))
+    slim = slim.join(sent(comp), F.col("set") == F.col("id"), "left")
+    slim = slim.select("doc_id", "k1", "k2", "n", F.coalesce("comp", "set").alias("comp"), (F.col("grouped") | F.col("comp").isNotNull()).alias("grouped"))
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
-    equal = materialize(slim.where("n > 0").groupBy("s1", "s2").agg(F.min("u").alias("rep"), F.count("*").alias("rows"), F.min(first).alias("first")))
-    rows = materialize(salted_join(slim.where("n > 0"), equal.select("s1", "s2", "rep"), ["s1", "s2"], hot_keys(equal, "rows", ["s1", "s2"]), "u").select("doc_id", "u", "k1", "k2", "n", "rep"))
-    gone = rows.where("u <> rep").select("u")
-    if gone.count() <= GONE:
-        sets = members.where("n > 0").join(F.broadcast(gone), "u", "left_anti")  # GONE keys at most
-    else:
-        sets = materialize(members.where("n > 0").join(gone, "u", "left_anti"))
-    comp = link_sets(sets, base.select("k1", "k2", "text"))
-    named = materialize(equal.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "rows", "first", F.coalesce("comp", "rep").alias("comp")))
-    least = materialize(named.groupBy("comp").agg(F.min("first").alias("first"), F.count("*").alias("size")))
-    of_rep = materialize(salted_join(named.select("comp", "rep", "rows"), least.select("comp", "first"), ["comp"], hot_keys(least, "size", ["comp"]), "rep"))
-    known = salted_join(rows, of_rep.select("rep", "first"), ["rep"], hot_keys(of_rep, "rows", ["rep"]), "u")
+    least = materialize(slim.where("grouped").groupBy("comp").agg(F.min(first).alias("first")))
+    named = slim.join(sent(least), "comp", "left")
     kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("k1") == F.col("first.k1")) & (F.col("k2") == F.col("first.k2"))
-    known = known.select("doc_id", "k1", "k2", F.col("n").alias("n_shingles"), F.col("first.doc_id").alias("component_id"), kept.alias("kept"))
-    empty = slim.where("n = 0").select("doc_id", "k1", "k2", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
-    out = materialize(known.union(empty))
-    release(members, equal, rows, sets, comp, named, least, of_rep)
+    alone = F.col("first").isNull()
+    out = materialize(named.select("doc_id", "k1", "k2", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"), (alone | kept).alias("kept")))
+    release(members, again, comp, least)
     return out
 
 
@@ -404,6 +418,6 @@ def one_of_each_class(docs: DataFrame) -> DataFrame:
     row = row.select("row", "id", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(7), "text").alias("k2"))
     # most rows are in neither group
     once = key_join(row, keys, ["id", "k1", "k2"], "left_anti").select("row.*")
-    if again.limit(1).count() == 0:
+    if not rows_of(again):
         return once
     return once.union(key_join(row, again, ["id", "k1", "k2"], "left_semi").dropDuplicates(["id", "k1", "k2"]).select("row.*"))

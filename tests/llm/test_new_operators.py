@@ -285,7 +285,7 @@ def test_checked_tokens_are_added(spark):
     got = {r.doc_id: r.spans for r in op13.secrets_of_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for i, (kind, t) in enumerate(good.items()):
         assert got[i] == f"{kind}:2:{2 + len(t)}" and got[10 + i] == ""
-    assert got[20] == f"assign:0:{8 + 40},forge_token:8:48" and got[21] == "" and got[22] == ""
+    assert got[20] == f"assign:0:{8 + 40},forge_token:8:48" and got[21] == "" and got[22] == "note_key:63:126"
     assert got[23] == "package_token:0:40,package_token:41:81"
 
 
