@@ -1,4 +1,4 @@
-"""Neighbor joins: radius search by a grid-hash equi-join, k nearest by growing radii (up to three dimensions) or by blocks.
+"""Neighbor joins: radius search by a grid-hash equi-join, k nearest by cells that fit the data, or by blocks.
 
 Edges are (q, r, value), value the metric (squared for l2), hits strictly below the radius; ties by id.
 """
@@ -14,10 +14,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.functions.vectors import METRICS
-from pointloom.operators.session import cut
+from pointloom.operators.cells import L1, L2, Metric, edges_of, nearest_lists
 
 BLOCK_ROWS = 2048
 GRID_DIM = 3
+TREE_DIM = 6  # k nearest by a split tree up to here, by pivots beyond
 
 
 @dataclass(frozen=True)
@@ -48,7 +49,7 @@ def dimension(df: DataFrame) -> int:
     return row[0] if row else 0
 
 
-def radius_join(q: DataFrame, r: DataFrame, radius: float, metric: str = "l2", dim: int | None = None) -> DataFrame:
+def radius_join(q: DataFrame, r: DataFrame, radius: float, metric: str | Metric = "l2", dim: int | None = None) -> DataFrame:
     """Pairs closer than the radius. Reference rows are copied to the cells around theirs; the smaller side of the cell join is Spark's choice."""
     dim = dim or dimension(q)
     inv = 1.0 / radius
@@ -57,8 +58,9 @@ def radius_join(q: DataFrame, r: DataFrame, radius: float, metric: str = "l2", d
     around = F.explode(F.array(*(F.struct(*(F.lit(o).alias(f"o{i}") for i, o in enumerate(offs))) for offs in product((-1, 0, 1), repeat=len(keys))))).alias("o")
     left = q.select(F.col("id").alias("q"), F.col("p").alias("qp"), *cell("p"))
     right = r.select(F.col("id").alias("r"), F.col("p").alias("rp"), *cell("p"), around).select("r", "rp", *((F.col(k) + F.col(f"o.o{i}")).alias(k) for i, k in enumerate(keys)))
-    limit = radius * radius if metric in ("l2", "l2simple", "so3") else radius
-    return left.join(right, keys).withColumn("value", METRICS[metric]("qp", "rp")).where(F.col("value") < limit).select("q", "r", "value")
+    limit = radius * radius if metric in ("l2", "l2simple", "so3", L2) else radius
+    value = metric.column if isinstance(metric, Metric) else METRICS[metric]
+    return left.join(right, keys).withColumn("value", value("qp", "rp")).where(F.col("value") < limit).select("q", "r", "value")
 
 
 def top_k(edges: DataFrame, k: int) -> DataFrame:
@@ -101,38 +103,22 @@ def block_knn(q: DataFrame, r: DataFrame, k: int, metric: str = "l2", digits: in
     return top_k(found, k)
 
 
-def grid_knn(q: DataFrame, r: DataFrame, k: int, dim: int | None = None) -> DataFrame:
-    """k nearest in up to three dimensions: the radius doubles for the queries that do not have k hits within it."""
+METRIC_OBJECTS = {"l2": L2, "l2simple": L2, "l1": L1}
+
+
+def knn(q: DataFrame, r: DataFrame, k: int, metric: str | Metric = "l2") -> DataFrame:
+    """k nearest by cells that fit the data (see cells); metrics without a Metric object by blocks."""
     _check(k)
-    dim = dim or dimension(r)
-    ends = r.agg(F.count("*"), *(f(F.col("p")[i]) for i in range(dim) for f in (F.min, F.max))).first()
-    n, spans = ends[0], [(ends[2 + 2 * i] or 0) - (ends[1 + 2 * i] or 0) for i in range(dim)]
-    if not n:
-        return q.select(F.col("id").alias("q"), F.col("id").alias("r"), F.lit(0.0).alias("value"), F.lit(0).alias("rank")).where("false")
-    want = min(k, n)
-    widest = max([*spans, 1e-9])
-    radius = widest * (2.0 * want / n) ** (1.0 / dim) + 1e-12
-    whole = 4 * (sum(s * s for s in spans) ** 0.5 + 1e-9)
-    left, done = q, None
-    while True:
-        hits = cut(top_k(radius_join(left, r, radius, dim=dim), k))
-        full = hits.groupBy("q").count().where(F.col("count") >= want).select("q")
-        good = hits.join(full, "q", "left_semi")
-        done = good if done is None else done.union(good)
-        left = cut(left.join(full, left["id"] == full["q"], "left_anti"))
-        if left.limit(1).count() == 0:
-            return done
-        if radius > whole:
-            # queries far from all points
-            return done.union(block_knn(left, r, k))
-        radius *= 2
-
-
-def knn(q: DataFrame, r: DataFrame, k: int, metric: str = "l2") -> DataFrame:
-    return grid_knn(q, r, k) if metric == "l2" and dimension(r) <= GRID_DIM else block_knn(q, r, k, metric)
-
-
-def neighbors(q: DataFrame, r: DataFrame, spec, metric: str = "l2") -> DataFrame:
+    found = metric if isinstance(metric, Metric) else METRIC_OBJECTS.get(metric)
+    if found is None:
+        return block_knn(q, r, k, metric)
+    dim = dimension(r)
+    if not dim:
+        return q.select(F.col("id").cast("long").alias("q"), F.col("id").cast("long").alias("r"), F.lit(0.0).alias("value"), F.lit(0).alias("rank")).where("false")
+    return edges_of(nearest_lists(q, r, k, found, dim, dim > TREE_DIM))
+
+
+def neighbors(q: DataFrame, r: DataFrame, spec, metric: str | Metric = "l2") -> DataFrame:
     """(q, r, value, rank) of a KNN, Radius or KNNInRadius specification."""
     if isinstance(spec, KNN):
         return knn(q, r, spec.k, metric)

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointloom.functions.vectors import vdot
-from pointloom.operators.neighbors import neighbors
+from pointloom.operators.cells import L2, covariance_of, nearest_lists
+from pointloom.operators.neighbors import KNN, TREE_DIM, neighbors
 from pointloom.operators.stats import grouped_mcd
 
 
@@ -39,11 +40,15 @@ def normals(cloud: DataFrame, spec, dim: int = 3, viewpoint=None, reference: str
 
     covariance: None for the sample covariance, options of robust_covariance, or any function (edges, cloud, dim) that gives its columns.
     """
-    edges = neighbors(cloud, cloud, spec)
-    if covariance is None:
+    if covariance is None and isinstance(spec, KNN) and dim <= TREE_DIM:
+        points = cloud.select("id", "p")
+        cov = covariance_of(nearest_lists(points, points, spec.k, L2, dim), dim)
+    elif covariance is None:
+        edges = neighbors(cloud, cloud, spec)
         sums = neighborhood_covariance(edges, cloud, dim)
         cov = sums.select("q", "qp", F.array(*(F.col(f"s{min(i, k)}{max(i, k)}") for i in range(dim) for k in range(dim))).alias("c"), "count")
     else:
+        edges = neighbors(cloud, cloud, spec)
         cov = covariance(edges, cloud, dim) if callable(covariance) else robust_covariance(edges, cloud, dim, **covariance)
 
     @F.pandas_udf("n array<double>, curvature double")

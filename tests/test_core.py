@@ -20,7 +20,7 @@ def frame(spark, x):
 
 def test_cube_neighbors(spark):
     q = spark.createDataFrame([(0, [0.1, 0.1, 0.4])], "id long, p array<double>")
-    for find in (neighbors.grid_knn, neighbors.block_knn):
+    for find in (neighbors.knn, neighbors.block_knn):
         got = find(q, frame(spark, CUBE), 2).orderBy("rank").collect()
         assert [(r.r, round(r.value, 6)) for r in got] == [(0, 0.18), (3, 0.38)]
     with pytest.raises(ValueError):
