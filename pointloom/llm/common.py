@@ -166,16 +166,31 @@ def hashed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_u", F.xxhash64("doc_id")).withColumn("_v", F.xxhash64("text"))
 
 
+MARGIN = 4  # times the wanted share of hashes that is ranked
+
+
 def least_hashes(docs: DataFrame, known: DataFrame, count: int, label: str) -> list[tuple]:
     """(text, label) of `count` distinct texts at most for each value of the label: those of `known` (_u, _v, label) with the least hashes.
 
-    Only hashes are sorted and joined, and each task keeps no more than `count` of a value; the texts of the chosen rows alone come to the driver.
+    Hashes are uniform, so of a value's n distinct texts those below MARGIN * count / n of their range hold the least `count`; only these few are
+    ranked, whatever a value's share of the rows. Should they be fewer than wanted, the range is widened. The texts of the chosen rows alone come to the driver.
     """
-    rank = F.row_number().over(Window.partitionBy(label).orderBy("_v", "_u"))
-    first = known.groupBy("_v", label).agg(F.min("_u").alias("_u"))
-    keys = materialize(first.withColumn("_rank", rank).where(F.col("_rank") <= count).select("_u", "_v", label))
-    rows = hashed(docs.select("doc_id", "text")).join(F.broadcast(keys), ["_u", "_v"]).select("_u", "_v", "text", label)  # keys: count rows at most for each value
+    first = materialize(known.groupBy("_v", label).agg(F.min("_u").alias("_u")))
+    sizes = first.groupBy(label).agg(F.count("*").alias("_n"))
+    margin = MARGIN
+    while True:
+        below = F.lit(-(2.0**63)) + F.least(F.lit(1.0), F.lit(float(margin * count)) / F.col("_n")) * F.lit(2.0**64)
+        some = first.join(F.broadcast(sizes), label).where(F.col("_v") <= below)  # a row for each value
+        rank = F.row_number().over(Window.partitionBy(label).orderBy("_v", "_u"))
+        keys = materialize(some.withColumn("_rank", rank).where(F.col("_rank") <= count).select("_u", "_v", label, "_n"))
+        short = keys.groupBy(label, "_n").count().where(F.col("count") < F.least(F.lit(count), F.col("_n"))).limit(1).count()
+        if not short and rows_of(keys) or not rows_of(first):
+            break
+        release(keys)
+        margin *= 8
+    rows = hashed(docs.select("doc_id", "text")).join(F.broadcast(keys.drop("_n")), ["_u", "_v"]).select("_u", "_v", "text", label)  # keys: count rows at most for each value
     found = {(r["_v"], r[label]): r for r in rows.toLocalIterator()}
+    release(first, keys)
     return [(found[k]["text"], found[k][label]) for k in sorted(found)]
 
 

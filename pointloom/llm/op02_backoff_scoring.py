@@ -22,12 +22,14 @@ equal texts get equal scores. An empty table gives an empty result. Other column
 
 from __future__ import annotations
 
+import hashlib
 import re
-import uuid
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,10 +55,14 @@ def cut_at_blanks(text: bytes, limit: int, order: int) -> Iterator[tuple[bytes,
 
 def cut_giants(limit: int, order: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(doc_id, text, k, lead): giant texts in pieces, k naming the row that they come from."""
+        """(doc_id, text, k, lead): giant texts in pieces. k names the row that they come from: by partition, content and how many equal rows came before, so a task that runs again, in whatever order, gives the same names."""
+        seen: Counter = Counter()
+        part = TaskContext.get().partitionId() if TaskContext.get() else 0
         for rows in batches:
-            for i, text in enumerate(rows.column("text").to_pylist()):
-                k = uuid.uuid4().hex
+            for i, (doc, text) in enumerate(zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist(), strict=True)):
+                name = hashlib.sha256(f"{doc!r}:{text}".encode()).hexdigest()
+                k = f"{part}:{name}:{seen[name]}"
+                seen[name] += 1
                 for piece, lead in cut_at_blanks(text.encode(), limit, order):
                     yield pa.RecordBatch.from_arrays([rows.column("doc_id").slice(i, 1), pa.array([piece.decode()]), pa.array([k]), pa.array([lead], pa.int32())], names=["doc_id", "text", "k", "lead"])
 

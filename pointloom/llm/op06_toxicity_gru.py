@@ -285,4 +285,5 @@ def toxicity_of_documents(docs: DataFrame, labels: DataFrame, net: Net | None =
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     out = materialize(texts.mapInArrow(score_batches(lambda: shared.value), f"doc_id {kind}, score double"))
+    shared.destroy()
     return out.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -233,6 +233,7 @@ def identify(docs: DataFrame, columns: list[str], model: Crf | None = None, name
     kept = docs.select(F.struct(*columns).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     kind = docs.select(F.struct(*columns).alias("row")).schema["row"].dataType.simpleString()
     found = materialize(kept.mapInArrow(predict(lambda: shared.value), f"row {kind}, lang_pred string, score double"))
+    shared.destroy()
     return found.select("row.*", F.col("lang_pred").alias(names[0]), F.col("score").alias(names[1]))
 
 

@@ -317,3 +317,44 @@ def test_hits_come_from_the_automaton():
     assert tried == [13_003, 25_019]
     batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["secret=1234567"]})
     assert next(op13.scan(op13.DETECTORS)(iter([batch]))).column("secrets").to_pylist() == [[{"kind": "assign", "start": 0, "end": 14}]]
+
+
+# ---- earlier operators ------------------------------------------------------
+
+
+def test_pieces_of_giant_texts_keep_their_names():
+    """The same rows in another order, equal ones included, give the same pieces under the same names."""
+    from pointloom.llm import op02_backoff_scoring as op2
+
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (1, "a b c d e f"), (3, "x y z w v u")]
+
+    def names(rows):
+        batch = pa.RecordBatch.from_pydict({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]})
+        return sorted(tuple(c.as_py() for c in row) for b in op2.cut_giants(4, 2)(iter([batch])) for row in zip(*b.columns))
+
+    a, b = names(rows), names(rows[::-1])
+    assert a == b and len({r[2] for r in a}) == 4
+
+
+@pytest.mark.parametrize("margin", [4, 1e-4])
+def test_least_hashes_whatever_the_share(spark, monkeypatch, margin):
+    """One value holds nearly all rows, another few; the range is widened until it holds enough."""
+    from pointloom.llm import common
+
+    monkeypatch.setattr(common, "MARGIN", margin)
+    rows = [(i, f"text {i % 900}", "many") for i in range(1500)] + [(2000 + i, f"other {i}", "few") for i in range(7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = common.least_hashes(docs, common.hashed(docs), 20, "lang")
+    known = {(r.text, r.lang): r.h for r in docs.select("text", "lang", F.xxhash64("text").alias("h")).collect()}
+    want = sorted((k for k in known if k[1] == "many"), key=known.get)[:20] + [k for k in known if k[1] == "few"]
+    assert sorted(got) == sorted(want)
+    assert common.least_hashes(docs.where("false"), common.hashed(docs.where("false")), 20, "lang") == []
+
+
+def test_jobs_of_near_duplicates(spark):
+    """Each job costs the driver memory: the stage takes no more of them than this."""
+    import corpus_pipeline as p
+
+    before = int(spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs())
+    p.near_duplicates(spark, spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet"), SF).count()
+    assert int(spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs()) - before < 70
