@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.functions.vectors import affine, col, finite, matvec, rows_affine, unit
+from pointloom.operators.ranks import first_rows
 
 ATTRIBUTES = ("p", "n", "c")
 
@@ -142,7 +143,7 @@ def rank_fraction(df: DataFrame, order: list, fraction: float) -> DataFrame:
     """The first round(fraction * n) rows in the given order; all rows unless 0 < fraction < 1."""
     if not 0 < fraction < 1:
         return df
-    return df.orderBy(*order).limit(int(np.floor(fraction * df.count() + 0.5)))
+    return first_rows(df, order, int(np.floor(fraction * df.count() + 0.5)))
 
 
 def best_per(df: DataFrame, key: str, order: list) -> DataFrame:

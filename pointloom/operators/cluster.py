@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+from itertools import product
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.functions.vectors import METRICS
-from pointloom.operators.neighbors import radius_join
+from pointloom.functions.vectors import METRICS, unit
+from pointloom.operators.eigen import largest_pairs
+from pointloom.operators.neighbors import GRID_DIM, radius_join
+from pointloom.operators.ranks import ranked
 from pointloom.operators.session import cut
 from pointloom.operators.stats import canonical_axes, covariance
 
@@ -64,15 +69,45 @@ def shift_once(seeds: DataFrame, cloud: DataFrame, radius: float, kernel: Column
     return seeds.select("id").join(means, F.col("id") == F.col("q"), "left").select("id", F.array(*(F.coalesce(F.col(f"m{i}"), F.lit(float("nan"))) for i in range(dim))).alias("p"))
 
 
-def mean_shift(seeds: DataFrame, cloud: DataFrame, radius: float, merge: float, max_iter: int = 100, tol: float = 1e-7, dim: int = 3) -> tuple[np.ndarray, dict[int, int]]:
-    """(modes, cluster of each seed): each seed moves until a step is shorter than tol, then joins the first cluster whose first member is nearer than merge.
+def greedy_modes(seeds: DataFrame, merge: float, dim: int) -> DataFrame:
+    """(id, first) of the seeds (id, p): in the order of ids a seed that is nearer than merge to no earlier mode becomes one; first is the earliest mode near it, itself for a mode.
+
+    In rounds over cells as wide as merge: the least undecided seed of a cell is a mode if none of the cells around holds a lesser one, since whatever
+    is near it and undecided comes later. Seeds near new modes are decided. A round sees one seed of each cell, however many lie there.
+    """
+    axes = min(dim, GRID_DIM)
+    names = [f"c{i}" for i in range(axes)]
+    cells = [F.floor(F.col("p")[i] / merge).cast("long").alias(c) for i, c in enumerate(names)]
+    steps = F.explode(F.array(*(F.struct(*(F.lit(o).alias(f"o{i}") for i, o in enumerate(offs))) for offs in product((-1, 0, 1), repeat=axes)))).alias("o")
+    around = lambda df: df.select("*", steps).select(*(c for c in df.columns if c not in names), *((F.col(c) + F.col(f"o.o{i}")).alias(c) for i, c in enumerate(names)))
+    near = METRICS["l2"]("p", "mp") < merge * merge
+    every = left = cut(seeds.select("id", "p", *cells))
+    modes = None
+    while True:
+        firsts = left.groupBy(*names).agg(F.min(F.struct("id", "p")).alias("s")).select(*names, "s.*")
+        least = around(firsts.select(*names, "id")).groupBy(*names).agg(F.min("id").alias("least"))
+        new = cut(firsts.join(least, names).where("id = least").select(F.col("id").alias("first"), F.col("p").alias("mp"), *names))
+        if new.limit(1).count() == 0:
+            break
+        beside = around(new.select("first", "mp", *names)).withColumnsRenamed({c: f"n{c}" for c in names})
+        met = functools.reduce(Column.__and__, (F.col(c) == F.col(f"n{c}") for c in names))
+        left = cut(left.join(beside, met & (near | (F.col("id") == F.col("first"))), "left_anti"))
+        modes = new if modes is None else modes.union(new)
+    if modes is None:
+        return seeds.select("id", F.col("id").alias("first")).where("false")
+    return every.join(around(modes), names).where(near | (F.col("id") == F.col("first"))).groupBy("id").agg(F.min("first").alias("first"))
+
+
+def mean_shift(seeds: DataFrame, cloud: DataFrame, radius: float, merge: float, max_iter: int = 100, tol: float = 1e-7, dim: int = 3, kernel: Column | None = None) -> DataFrame:
+    """(id, cluster, mode) of each seed: it moves until a step is shorter than tol, then joins the first cluster whose first member is nearer than merge; mode is the mean of a cluster's seeds.
 
-    A seed without neighbors stays where it is, as a mode of its own.
+    kernel: the weight of a neighbor, from the column value (the squared distance); all alike if None. A seed without neighbors stays where it is, as a
+    mode of its own. Clusters are numbered in the order of their first seeds.
     """
     done: list[DataFrame] = []
     now = cut(seeds.select("id", "p"))
     for _ in range(max_iter):
-        step = shift_once(now, cloud, radius, dim=dim).join(now.select("id", F.col("p").alias("old")), "id")
+        step = shift_once(now, cloud, radius, kernel, dim).join(now.select("id", F.col("p").alias("old")), "id")
         alone = F.isnan(F.col("p")[0])
         step = cut(step.select("id", F.when(alone, F.col("old")).otherwise(F.col("p")).alias("p"), (alone | (METRICS["l2"]("p", "old") < tol * tol)).alias("rests")))
         done.append(step.where("rests").select("id", "p"))
@@ -81,113 +116,35 @@ def mean_shift(seeds: DataFrame, cloud: DataFrame, radius: float, merge: float,
             break
     for d in done:
         now = now.union(d)
-    # the modes are few, seeds may be many: seeds that ended in one place are one point
-    points = now.groupBy("p").agg(F.min("id").alias("id"), F.count("*").alias("n")).orderBy("id").collect()
-    places = np.array([r["p"] for r in points]).reshape(len(points), dim)
-    label = np.full(len(points), -1)
-    left = np.arange(len(points))
-    k = 0
-    while len(left):
-        near = ((places[left] - places[left[0]]) ** 2).sum(1) < merge * merge
-        near[0] = True
-        label[left[near]] = k
-        left, k = left[~near], k + 1
-    n = np.array([r["n"] for r in points], float)
-    modes = np.array([np.average(places[label == c], axis=0, weights=n[label == c]) for c in range(k)])
-    of = {tuple(r["p"]): int(c) for r, c in zip(points, label, strict=True)}
-    return modes, {r["id"]: of[tuple(r["p"])] for r in now.select("id", "p").toLocalIterator()}
-
-
-DENSE_LIMIT = 5000
-
-
-def laplacian_embedding(entries: DataFrame, n: int, k: int, kind: str = "normalized_symmetric") -> tuple[np.ndarray, np.ndarray]:
-    """(eigenvalues ascending, n x k vectors) of the graph with COO entries (row, col, value), row and col from 0 to n - 1.
-
-    Up to DENSE_LIMIT nodes by a dense solver on the driver, beyond by block Lanczos steps whose products are aggregations.
-    """
-    if n <= DENSE_LIMIT:
-        a = np.zeros((n, n))
-        for r, c, v in entries.collect():
-            a[r, c] = v
-        deg = a.sum(0)
-        if kind == "unnormalized":
-            values, vectors = np.linalg.eigh(np.diag(deg) - a)
-        else:
-            s = np.where(deg > 0, 1 / np.sqrt(np.where(deg > 0, deg, 1)), 0)
-            values, vectors = np.linalg.eigh(np.eye(n) - s[:, None] * a * s[None, :])
-    else:
-        deg = np.zeros(n)
-        for c, v in entries.groupBy("col").agg(F.sum("value")).toLocalIterator():
-            deg[c] = v
-        s = np.where(deg > 0, 1 / np.sqrt(np.where(deg > 0, deg, 1)), 0)
-
-        entries = cut(entries.select("row", "col", "value"))
-
-        def product(x: np.ndarray) -> np.ndarray:
-            spark, width = entries.sparkSession, x.shape[1]
-            y = x if kind == "unnormalized" else s[:, None] * x
-            shared = spark.createDataFrame(list(zip(range(n), y.tolist(), strict=True)), "col long, x array<double>")
-            out = np.zeros((n, width))
-            for r, *v in entries.join(shared, "col").groupBy("row").agg(*(F.sum(F.col("value") * F.col("x")[i]) for i in range(width))).toLocalIterator():
-                out[r] = v
-            return deg[:, None] * x - out if kind == "unnormalized" else x - s[:, None] * out
-
-        values, vectors = block_lanczos(product, n, k)
-    values, vectors = np.maximum(values[:k], 0), vectors[:, :k]
+    ended = cut(now)
+    label = cut(greedy_modes(ended, merge, dim))
+    means = ended.join(label, "id").groupBy("first").agg(F.array(*(F.avg(F.col("p")[i]) for i in range(dim))).alias("mode"))
+    numbered = ranked(means, ["first"], "cluster")
+    return label.join(numbered, "first").select("id", F.col("cluster").cast("int").alias("cluster"), "mode")
+
+
+def laplacian(entries: DataFrame, kind: str = "normalized_symmetric") -> tuple[DataFrame, DataFrame]:
+    """(matrix, degrees): the matrix (row, col, value) whose largest eigenvalues t give the least of the Laplacian, as 1 - t, or as -t if unnormalized; degrees (id, degree) of the nodes that have entries."""
+    degree = cut(entries.groupBy(F.col("col").alias("id")).agg(F.sum("value").alias("degree")))
+    if kind == "unnormalized":
+        own = degree.select(F.col("id").alias("row"), F.col("id").alias("col"), (-F.col("degree")).alias("value"))
+        return entries.select("row", "col", "value").union(own).groupBy("row", "col").agg(F.sum("value").alias("value")), degree
+    root = degree.where("degree > 0").select("id", (1 / F.sqrt("degree")).alias("s"))
+    a = entries.join(root.toDF("row", "sr"), "row").join(root.toDF("col", "sc"), "col")
+    return a.select("row", "col", (F.col("value") * F.col("sr") * F.col("sc")).alias("value")), degree
+
+
+def laplacian_embedding(entries: DataFrame, nodes: DataFrame, k: int, kind: str = "normalized_symmetric", tol: float = 5e-7) -> tuple[np.ndarray, DataFrame]:
+    """(eigenvalues ascending, (id, p)): the k least eigenpairs of the Laplacian of the graph with entries (row, col, value) over the nodes (id)."""
+    matrix, degree = laplacian(entries, kind)
+    values, vectors = largest_pairs(matrix, nodes, k, tol)
+    values = np.maximum(-values if kind == "unnormalized" else 1 - values, 0)
     if kind == "normalized_symmetric":
-        size = np.linalg.norm(vectors, axis=1, keepdims=True)
-        vectors = np.where(size > 0, vectors / np.where(size > 0, size, 1), vectors)
-    elif kind == "normalized_random_walk":
-        vectors = s[:, None] * vectors
-    return values, vectors
-
-
-def lanczos(product, n: int, k: int, steps: int | None = None, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """The k smallest eigenpairs of a symmetric operator, with full reorthogonalization."""
-    steps = min(n, steps or max(2 * k + 20, 40))
-    q = np.zeros((n, steps))
-    v = np.random.default_rng(seed).standard_normal(n)
-    q[:, 0] = v / np.linalg.norm(v)
-    t = np.zeros((steps, steps))
-    m = steps
-    for j in range(steps):
-        w = product(q[:, j])
-        t[j, j] = w @ q[:, j]
-        for _ in range(2):
-            w = w - q[:, : j + 1] @ (q[:, : j + 1].T @ w)
-        b = np.linalg.norm(w)
-        if j + 1 == steps or b < 1e-12:
-            m = j + 1
-            break
-        t[j, j + 1] = t[j + 1, j] = b
-        q[:, j + 1] = w / b
-    values, y = np.linalg.eigh(t[:m, :m])
-    return values[:k], q[:, :m] @ y[:, :k]
-
-
-def block_lanczos(product, n: int, k: int, seed: int = 0, tol: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
-    """The k smallest eigenpairs of a symmetric operator of columns, each with a residual below tol; equal eigenvalues are found up to k + 2 times."""
-    width = min(n, k + 2)
-    q = np.linalg.qr(np.random.default_rng(seed).standard_normal((n, width)))[0]
-    basis, image = q, product(q)
-    while True:
-        h = basis.T @ image
-        values, y = np.linalg.eigh((h + h.T) / 2)
-        vectors = basis @ y[:, :k]
-        residual = np.linalg.norm(image @ y[:, :k] - vectors * values[:k], axis=0)
-        room = n - basis.shape[1]
-        if residual.max() < tol or room == 0:
-            return values[:k], vectors
-        w = image[:, -q.shape[1] :]
-        for _ in range(2):
-            w = w - basis @ (basis.T @ w)
-        u, size, _ = np.linalg.svd(w, full_matrices=False)
-        q = u[:, size > 1e-10][:, :room]
-        if not q.shape[1]:
-            return values[:k], vectors
-        q = np.linalg.qr(q - basis @ (basis.T @ q))[0]
-        basis, image = np.hstack([basis, q]), np.hstack([image, product(q)])
+        return values, vectors.select("id", unit("x").alias("p"))
+    if kind == "normalized_random_walk":
+        scale = F.when(F.col("degree") > 0, 1 / F.sqrt("degree")).otherwise(0.0)
+        return values, vectors.join(degree, "id", "left").select("id", F.transform("x", lambda v: v * F.coalesce(scale, F.lit(0.0))).alias("p"))
+    return values, vectors.select("id", F.col("x").alias("p"))
 
 
 def eigengap(values: np.ndarray) -> int:
@@ -200,23 +157,28 @@ def eigengap(values: np.ndarray) -> int:
     return at + 1
 
 
-def spectral_clusters(entries: DataFrame, n: int, k: int | None, most: int = 4, kind: str = "normalized_symmetric", seed: int = 0) -> np.ndarray:
-    """Labels of the nodes; k None: estimated, at most `most`."""
+def spread_centroids(df: DataFrame, k: int) -> np.ndarray:
+    """k points far apart: that of the least id, then each the one farthest from those before."""
+    start = [np.array(df.orderBy("id").select("p").first()[0])]
+    while len(start) < k:
+        gaps = [METRICS["l2"]("p", F.array(*(F.lit(float(v)) for v in c))) for c in start]
+        start.append(np.array(df.orderBy(F.desc(F.least(*gaps) if len(gaps) > 1 else gaps[0]), "id").select("p").first()[0]))
+    return np.array(start)
+
+
+def spectral_clusters(entries: DataFrame, nodes: DataFrame, k: int | None, most: int = 4, kind: str = "normalized_symmetric") -> DataFrame:
+    """(id, cluster) of the nodes; k None: estimated, at most `most`. Nodes may have any ids; their vectors stay in Spark."""
+    n = nodes.count()
     want = min(most + 1, n - 1) if k is None else (k if 0 < k <= n else 2)
-    values, vectors = laplacian_embedding(entries, n, want, kind)
+    values, points = laplacian_embedding(entries, nodes, want, kind)
     if k is None:
         want = min(most, eigengap(values))
-        vectors = vectors[:, :want]
+        points = points.select("id", F.slice("p", 1, want).alias("p"))
         if kind == "normalized_symmetric":
-            vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
-    spark = entries.sparkSession
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, p array<double>")
-    # far apart first centroids: each the point farthest from those before
-    start = [vectors[0]]
-    while len(start) < want:
-        start.append(vectors[np.min([((vectors - c) ** 2).sum(1) for c in start], 0).argmax()])
-    _, out, _ = kmeans(df, np.array(start))
-    return np.array([r[0] for r in out.orderBy("id").select("cluster").collect()])
+            points = points.select("id", unit("p").alias("p"))
+    points = cut(points)
+    _, out, _ = kmeans(points, spread_centroids(points, want))
+    return out.select("id", "cluster")
 
 
 def double_center(pairs: DataFrame) -> DataFrame:

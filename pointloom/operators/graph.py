@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pointloom.operators.ranks import ranked
 from pointloom.operators.session import cut
 
 
@@ -128,12 +129,10 @@ def reachable(edges: DataFrame, nodes: DataFrame, seeds: DataFrame) -> DataFrame
 
 def segments(labels: DataFrame, least: int = 1, most: int | None = None) -> DataFrame:
     """(id, cluster): components of a size within bounds, numbered by size, the largest first, ties by the least id; others null."""
-    from pyspark.sql import Window
-
     sizes = labels.groupBy("comp").agg(F.count("*").alias("size")).where(F.col("size") >= least)
     if most is not None:
         sizes = sizes.where(F.col("size") <= most)
-    numbered = sizes.withColumn("cluster", F.row_number().over(Window.orderBy(F.desc("size"), "comp")) - 1)
+    numbered = ranked(sizes, [F.desc("size"), "comp"], "cluster").withColumn("cluster", F.col("cluster").cast("int"))
     return labels.join(numbered.select("comp", "cluster"), "comp", "left").select("id", "cluster")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pointloom.functions import evaluators as ev
 from pointloom.functions.vectors import cross3, so2, unit, vadd, vdot, vsub
-from pointloom.operators import cloud, cluster, correspond, engines, graph, grid, neighbors, normals, ransac, registration, rgbd, spatial, stats, warp
+from pointloom.operators import cells, cloud, cluster, correspond, eigen, engines, graph, grid, neighbors, normals, ransac, registration, rgbd, spatial, stats, warp
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -261,6 +261,16 @@ def knn_grid(spark, d):
     return _hits(neighbors.neighbors(p.where("id % 10 = 0"), p, neighbors.KNN(6)))
 
 
+# the larger of the gap in size and twice the gap in price
+LARGER = cells.Metric(lambda a, b: F.greatest(F.abs(F.col(a)[0] - F.col(b)[0]), 2 * F.abs(F.col(a)[1] - F.col(b)[1])), lambda gaps: np.maximum(gaps[0], 2 * gaps[1]))
+
+
+@query(f"WITH {PART}, c AS (SELECT a.id AS q, b.id AS r, greatest(abs(a.x0 - b.x0), 2 * abs(a.x1 - b.x1)) AS v FROM p a, p b), t AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY v, r) - 1 AS rank FROM c) SELECT q, r, rank, round(v, 9) AS value FROM t WHERE rank < 5")
+def knn_user_metric(spark, d):
+    p = part2(spark, d)
+    return _hits(neighbors.knn(p, p, 5, LARGER))
+
+
 @query()
 def knn_so2_all(spark, d):
     p = part2(spark, d)
@@ -539,23 +549,53 @@ def meanshift_1_step(spark, d):
     return cluster.shift_once(p, p, 0.03, dim=2).select("id", *spread("p", 2))
 
 
-@query()
+SHIFTED = f"""WITH RECURSIVE {PART},
+s(step, id, x0, x1, rests) AS (
+  SELECT 0, id, x0, x1, false FROM p
+  UNION ALL
+  SELECT step + 1, id, n0, n1, (n0 - x0) * (n0 - x0) + (n1 - x1) * (n1 - x1) < 1e-4::DOUBLE * 1e-4::DOUBLE FROM (
+    SELECT s.step, s.id, s.x0, s.x1, avg(p.x0) AS n0, avg(p.x1) AS n1 FROM s JOIN p ON (s.x0 - p.x0) * (s.x0 - p.x0) + (s.x1 - p.x1) * (s.x1 - p.x1) < 0.2::DOUBLE * 0.2::DOUBLE
+    WHERE NOT s.rests AND s.step < 20 GROUP BY s.step, s.id, s.x0, s.x1)
+),
+e AS MATERIALIZED (SELECT id, arg_max(x0, step) AS x0, arg_max(x1, step) AS x1, row_number() OVER (ORDER BY id) AS i FROM s GROUP BY id),
+m(i, ms) AS (
+  SELECT 0::BIGINT, CAST([] AS STRUCT(id BIGINT, x0 DOUBLE, x1 DOUBLE)[])
+  UNION ALL
+  SELECT e.i, CASE WHEN len(list_filter(ms, lambda z: (z.x0 - e.x0) * (z.x0 - e.x0) + (z.x1 - e.x1) * (z.x1 - e.x1) < 0.1::DOUBLE * 0.1::DOUBLE)) > 0 THEN ms ELSE list_append(ms, {{'id': CAST(e.id AS BIGINT), 'x0': e.x0, 'x1': e.x1}}) END
+  FROM m JOIN e ON e.i = m.i + 1
+),
+f AS (SELECT unnest(arg_max(ms, i), recursive := true) FROM m),
+l AS (SELECT e.id, e.x0, e.x1, min(f.id) AS first FROM e JOIN f ON (f.x0 - e.x0) * (f.x0 - e.x0) + (f.x1 - e.x1) * (f.x1 - e.x1) < 0.1::DOUBLE * 0.1::DOUBLE GROUP BY ALL)
+SELECT id, CAST(dense_rank() OVER (ORDER BY first) - 1 AS INTEGER) AS cluster, round(avg(x0) OVER (PARTITION BY first), 6) AS m0, round(avg(x1) OVER (PARTITION BY first), 6) AS m1 FROM l"""
+
+
+@query(SHIFTED)
 def meanshift_modes(spark, d):
     p = part2(spark, d)
-    modes, label = cluster.mean_shift(p, p, 0.2, 0.1, max_iter=20, tol=1e-4, dim=2)
-    return spark.createDataFrame([(int(i), int(k), *map(float, modes[k])) for i, k in label.items()], "id long, cluster int, m0 double, m1 double")
+    found = cluster.mean_shift(p, p, 0.2, 0.1, max_iter=20, tol=1e-4, dim=2)
+    return found.select("id", "cluster", *spread("mode", 2, "m")).withColumns({"m0": r9("m0", 6), "m1": r9("m1", 6)})
+
+
+def _similar(spark, d):
+    """The nodes, and their ten nearest as a weighted graph."""
+    e = embeddings64(spark, d)
+    return e.select("id"), graph.matrix(neighbors.neighbors(e, e, neighbors.KNN(10)), ev.rbf(1.0), "dense")
 
 
 @query()
 def spectral(spark, d):
-    e = embeddings64(spark, d)
-    ids = [r[0] for r in e.select("id").orderBy("id").collect()]
-    edges = neighbors.neighbors(e, e, neighbors.KNN(10))
-    for c in ("q", "r"):  # nodes are numbered in the order of their ids
-        edges = edges.join(spark.createDataFrame(list(enumerate(ids)), f"at long, {c} long"), c).drop(c).withColumnRenamed("at", c)
-    edges = graph.matrix(edges, ev.rbf(1.0), "dense")
-    labels = cluster.spectral_clusters(edges, len(ids), 3)
-    return spark.createDataFrame([(i, int(k)) for i, k in zip(ids, labels, strict=True)], "id long, cluster int")
+    nodes, edges = _similar(spark, d)
+    return cluster.spectral_clusters(edges, nodes, 3)
+
+
+@query(f"WITH {EMB}, n AS (SELECT count(*) AS n FROM e) SELECT CAST(k AS INTEGER) AS k, true AS exact, true AS unit, true AS within, CASE WHEN k = 0 THEN 1.0 END AS largest FROM range(3) t(k), n WHERE n > 3")
+def spectral_pairs(spark, d):
+    """Of each of the three pairs: the residual is below 1e-6 by the entries alone, the vector has length one, the value lies in [-1, 1], and the first is 1, as that of a graph is."""
+    nodes, edges = _similar(spark, d)
+    matrix, _ = cluster.laplacian(edges)
+    values, vectors = eigen.largest_pairs(matrix, nodes, 3)
+    e = eigen.residuals(matrix, vectors, values)
+    return e.select("k", (F.col("residual") < 1e-6).alias("exact"), (F.abs(F.col("length") - 1) < 1e-9).alias("unit"), (F.abs("value") < 1 + 1e-9).alias("within"), F.when(F.col("k") == 0, r9("value", 6)).alias("largest"))
 
 
 SMALL = f"WITH {EMB}, s AS (SELECT * FROM e WHERE id < 60), d AS (SELECT a.id AS i, b.id AS j, {D2} AS d2 FROM s a, s b)"

@@ -5,7 +5,9 @@ import os
 import numpy as np
 import pytest
 
-from pointloom.operators import cloud, cluster, engines, graph, neighbors, normals, ransac, registration, spatial, stats, warp
+from pyspark.sql import functions as F
+
+from pointloom.operators import cloud, cluster, eigen, engines, graph, neighbors, normals, ranks, ransac, registration, spatial, stats, warp
 from pointloom.plans.queries import ORACLES, QUERIES
 from pointloom.operators import pointcloud, rgbd
 from pointloom.sources import files, matrix, ply
@@ -150,12 +152,29 @@ def test_mean_shift_with_a_lonely_seed(spark):
     rng = np.random.default_rng(15)
     x = np.concatenate([rng.normal(0, 0.05, (60, 2)), rng.normal(1, 0.05, (60, 2))])
     cloud = frame(spark, x)
-    modes, label = cluster.mean_shift(cloud, cloud, 0.4, 0.2, dim=2)
-    assert len(modes) == 2 and np.allclose(sorted(modes[:, 0]), [0, 1], atol=0.05)
+    got = {r.id: (r.cluster, r.mode) for r in cluster.mean_shift(cloud, cloud, 0.4, 0.2, dim=2).collect()}
+    modes = np.array([next(m for c, m in got.values() if c == k) for k in range(2)])
+    assert {c for c, _ in got.values()} == {0, 1} and np.allclose(sorted(modes[:, 0]), [0, 1], atol=0.05)
     far = frame(spark, np.concatenate([x, [[50.0, 50.0]]]))
-    again, label2 = cluster.mean_shift(far, cloud, 0.4, 0.2, dim=2)
-    assert len(again) == 3 and np.allclose(again[:2], modes) and np.allclose(again[2], [50, 50])
-    assert {k: v for k, v in label2.items() if k < 120} == label
+    again = {r.id: (r.cluster, r.mode) for r in cluster.mean_shift(far, cloud, 0.4, 0.2, dim=2).collect()}
+    assert again.pop(120) == (2, [50.0, 50.0]) and {k: v[0] for k, v in again.items()} == {k: v[0] for k, v in got.items()}
+    # points beyond the kernel's reach have no weight
+    near = cluster.mean_shift(cloud, cloud, 0.4, 0.2, dim=2, kernel=F.when(F.col("value") < 0.01, 1.0).otherwise(0.0)).select("cluster").distinct().count()
+    assert near >= 2
+
+
+@pytest.mark.parametrize("dim", [2, 4])
+def test_modes_equal_the_loop_in_order(spark, dim):
+    """Chains of seeds, many at one place, and ties of distance, against taking them one by one."""
+    rng = np.random.default_rng(16)
+    x = np.concatenate([np.arange(80)[:, None] * np.eye(dim)[:1] * 0.6, rng.random((300, dim)) * 4, np.full((200, dim), 2.5)])
+    x = np.round(x[rng.permutation(len(x))], 2)
+    modes, want = [], {}
+    for i, p in enumerate(x):
+        first = next((m for m in modes if ((x[m] - p) ** 2).sum() < 1.0), None)
+        want[i] = i if first is None else first
+        modes += [i] if first is None else []
+    assert {r.id: r.first for r in cluster.greedy_modes(frame(spark, x), 1.0, dim).collect()} == want
 
 
 def test_kmeans_repairs_two_empty_clusters(spark):
@@ -390,8 +409,8 @@ def test_spectral_and_scaling_cover_all_rows(spark, tmp_path, monkeypatch):
     centers = rng.standard_normal((3, 64)) * 20
     x = np.array([centers[i % 3] + 0.05 * rng.standard_normal(64) for i in range(270)])
     spark.createDataFrame([(i + 7, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
-    for limit in (5000, 100):  # dense and by products
-        monkeypatch.setattr(cluster, "DENSE_LIMIT", limit)
+    for most in (96, 24):  # in one sweep, and with restarts
+        monkeypatch.setattr(eigen, "MOST_VECTORS", most)
         got = {r.id: r.cluster for r in QUERIES["spectral"](spark, str(tmp_path)).collect()}
         assert sorted(got) == list(range(7, 277)) and len({(i % 3, got[i + 7]) for i in range(270)}) == len(set(got.values())) == 3
     got = {r.id: (r.x, r.y) for r in QUERIES["mds"](spark, str(tmp_path)).collect()}
@@ -425,11 +444,54 @@ def test_icp_takes_all_orders(spark, monkeypatch):
     assert seen == [spark.read.parquet(f"{SF}/orders.parquet").count()] * 2
 
 
-def test_smallest_eigenpairs_with_repeats():
-    a = np.diag([0.0, 0, 0, *np.linspace(0.05, 2, 397)])
-    u = np.linalg.qr(np.random.default_rng(13).standard_normal((400, 400)))[0]
-    values, vectors = cluster.block_lanczos(lambda x: u @ (a @ (u.T @ x)), 400, 4)
-    assert np.allclose(values, [0, 0, 0, 0.05], atol=1e-6) and np.allclose(vectors.T @ vectors, np.eye(4))
+@pytest.mark.parametrize("most", [96, 20])
+def test_eigenpairs_with_repeats(spark, most):
+    """Against a dense solver: repeated values, a node without entries, any ids, with and without restarts."""
+    a = np.diag([1.0, 1, 1, *np.linspace(-0.9, 0.7, 57)])
+    u = np.linalg.qr(np.random.default_rng(13).standard_normal((60, 60)))[0]
+    a = u @ a @ u.T
+    entries = spark.createDataFrame([(7 * i, 7 * j, float(a[i, j])) for i in range(60) for j in range(60)], "row long, col long, value double")
+    nodes = spark.createDataFrame([(7 * i,) for i in range(61)], "id long")
+    values, vectors = eigen.largest_pairs(entries, nodes, 4, most=most)
+    assert np.allclose(values, [1, 1, 1, 0.7], atol=1e-9)
+    x = np.array([r.x for r in vectors.orderBy("id").collect()])
+    assert np.allclose(x.T @ x, np.eye(4), atol=1e-9) and np.allclose(x[60], 0) and np.allclose(a @ x[:60], x[:60] * values, atol=1e-6)
+    assert eigen.residuals(entries, vectors, values).where("residual > 1e-6").count() == 0
+
+
+@pytest.mark.parametrize("kind", ["unnormalized", "normalized_symmetric", "normalized_random_walk"])
+def test_laplacian_embeddings(spark, kind):
+    rng = np.random.default_rng(17)
+    a = np.triu(rng.random((30, 30)) * (rng.random((30, 30)) < 0.3), 1)
+    a = a + a.T
+    deg = a.sum(0)
+    entries = spark.createDataFrame([(i, j, float(a[i, j])) for i in range(30) for j in range(30) if a[i, j]], "row long, col long, value double")
+    values, points = cluster.laplacian_embedding(entries, spark.range(30), 3, kind)
+    s = np.diag(1 / np.sqrt(deg))
+    want, vectors = np.linalg.eigh(np.diag(deg) - a if kind == "unnormalized" else np.eye(30) - s @ a @ s)
+    assert np.allclose(values, want[:3], atol=1e-8)
+    x = np.array([r.p for r in points.orderBy("id").collect()])
+    if kind == "normalized_symmetric":
+        assert np.allclose((x**2).sum(1), 1)
+    else:
+        v = vectors[:, :3] if kind == "unnormalized" else s @ vectors[:, :3]
+        assert np.allclose(np.abs(x), np.abs(v), atol=1e-5)
+
+
+def test_ranks_need_no_single_task(spark):
+    """Places in the whole and within groups, of which one holds most rows; no exchange goes to one partition."""
+    rows = [(int(g), int(v), i) for i, (g, v) in enumerate(zip([0] * 900 + list(range(100)), np.random.default_rng(18).integers(0, 20, 1000)))]
+    df = spark.createDataFrame(rows, "g int, v int, id int").repartition(7)
+    got = ranks.ranked(df, ["g", F.desc("v"), "id"], "at")
+    want = sorted(rows, key=lambda r: (r[0], -r[1], r[2]))
+    assert [(r.g, r.v, r.id) for r in got.orderBy("at").collect()] == want and [r[0] for r in got.select("at").orderBy("at").collect()] == list(range(1000))
+    inside = ranks.ranked(df, ["g", F.desc("v"), "id"], "at", groups=["g"]).collect()
+    assert all(r.at == [w for w in want if w[0] == r.g].index((r.g, r.v, r.id)) for r in inside[::50])
+    assert [r.id for r in ranks.first_rows(df, ["v", "id"], 10).orderBy("v", "id").collect()] == [r[2] for r in sorted(rows, key=lambda r: (r[1], r[2]))[:10]]
+    assert ranks.ranked(df.where("false"), ["g"]).count() == 0
+    labels = spark.createDataFrame([(i, i % 40) for i in range(300)], "id long, comp long")
+    for found in (graph.segments(labels), cloud.rank_fraction(df, ["v", "id"], 0.3)):
+        assert "SinglePartition" not in found._jdf.queryExecution().executedPlan().toString()
 
 
 def test_file_helpers(tmp_path):
