@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import Protocol
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from pointloom.functions.vectors import vdot
 
@@ -31,12 +37,30 @@ def index_lists(df: DataFrame, bins: list[float]) -> DataFrame:
     return accumulate(df, bins, [F.sort_array(F.collect_list("id")).alias("ids")])
 
 
-def aligned_sum(entries: str = "ns") -> Column:
-    """Sum of normals in the order of ids; each is turned to the side of the sum so far."""
-    ordered = F.array_sort(F.col(entries))
-    zero = F.transform(ordered[0]["n"], lambda x: x * 0.0)
-    add = lambda s, e: F.when(vdot(s, e["n"]) < 0, F.zip_with(s, e["n"], lambda a, b: a - b)).otherwise(F.zip_with(s, e["n"], lambda a, b: a + b))
-    return F.aggregate(ordered, zero, add)
+def aligned_parts(d: int) -> list[Column]:
+    """Aggregates of a fixed size, which merge: sums of the normals n in classes, and the first member by id.
+
+    A normal and its opposite are one line, written with its first component that is not zero positive; a class is a pattern of the other signs, so
+    the members of a class are on one side of each other.
+    """
+    x = [F.col("n")[i] for i in range(d)]
+    negative = F.lit(False)
+    for v in reversed(x):
+        negative = (v < 0) | ((v == 0) & negative)
+    line = [F.when(negative, -v).otherwise(v) for v in x]
+    kind = sum((F.when(v < 0, 1 << i).otherwise(0) for i, v in enumerate(line[1:])), F.lit(0))
+    sums = [F.sum(F.when(kind == c, line[i]).otherwise(0.0)).alias(f"_n{c}_{i}") for c in range(1 << (d - 1)) for i in range(d)]
+    return sums + [F.min_by(x[i], "id").alias(f"_f{i}") for i in range(d)]
+
+
+def aligned_sum(d: int) -> Column:
+    """Of aligned_parts: the class sums, the longest first, each turned to the side of the sum so far; the whole turned to the side of the first member."""
+    classes = F.array(*(F.array(*(F.coalesce(f"_n{c}_{i}", F.lit(0.0)) for i in range(d))) for c in range(1 << (d - 1))))
+    longest = F.array_sort(F.transform(classes, lambda s: F.struct((-vdot(s, s)).alias("by"), s.alias("s"))))
+    add = lambda s, e: F.when(vdot(s, e["s"]) < 0, F.zip_with(s, e["s"], lambda a, b: a - b)).otherwise(F.zip_with(s, e["s"], lambda a, b: a + b))
+    total = F.aggregate(longest, F.array(*[F.lit(0.0)] * d), add)
+    first = F.array(*(F.col(f"_f{i}") for i in range(d)))
+    return F.when(vdot(total, first) < 0, F.transform(total, lambda v: -v)).otherwise(total)
 
 
 def downsample(df: DataFrame, bins: list[float], min_points: int = 1) -> DataFrame:
@@ -44,17 +68,76 @@ def downsample(df: DataFrame, bins: list[float], min_points: int = 1) -> DataFra
     d = len(bins)
     aggs = [F.avg(F.col("p")[i]).alias(f"_p{i}") for i in range(d)]
     if "n" in df.columns:
-        aggs.append(F.collect_list(F.struct("id", "n")).alias("ns"))
+        aggs += aligned_parts(d)
     if "c" in df.columns:
         aggs += [F.avg(F.col("c")[i].cast("double")).alias(f"_c{i}") for i in range(3)]
-    out = accumulate(df, bins, aggs, min_points).withColumn("p", F.array(*(f"_p{i}" for i in range(d)))).drop(*(f"_p{i}" for i in range(d)))
+    out = accumulate(df, bins, aggs, min_points).withColumn("p", F.array(*(f"_p{i}" for i in range(d))))
     if "n" in df.columns:
-        out = out.withColumn("n", aligned_sum()).drop("ns")
         size = F.sqrt(vdot("n", "n"))
-        out = out.withColumn("n", F.when(size > 0, F.transform("n", lambda x: x / size)).otherwise(F.col("n")))
+        out = out.withColumn("n", aligned_sum(d)).withColumn("n", F.when(size > 0, F.transform("n", lambda x: x / size)).otherwise(F.col("n")))
     if "c" in df.columns:
-        out = out.withColumn("c", F.array("_c0", "_c1", "_c2")).drop("_c0", "_c1", "_c2")
-    return out
+        out = out.withColumn("c", F.array("_c0", "_c1", "_c2"))
+    return out.drop(*(c for c in out.columns if c.startswith("_")))
+
+
+class Accumulator(Protocol):
+    """What a user adds up for each voxel: a state as a list of numbers, which partial states merge into.
+
+    columns: the columns of the points that it reads. schema: what finish returns, as a Spark schema.
+    """
+
+    columns: list[str]
+    schema: str
+
+    def build(self, points: dict[str, list]) -> list[float]: ...
+
+    def merge(self, a: list[float], b: list[float]) -> list[float]: ...
+
+    def finish(self, state: list[float]) -> tuple: ...
+
+
+MOST_STATES = 50_000  # states that a task holds before it sends them on
+
+
+def accumulate_with(df: DataFrame, bins: list[float], accumulator: Accumulator) -> DataFrame:
+    """g0.., count and the accumulator's columns of each voxel. Tasks build and merge states before the exchange, so it moves a state for each voxel and task, not the points."""
+    d, names = len(bins), accumulator.columns
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+
+        def sent() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in held], pa.int64()) for i in range(d)), pa.array([v[0] for v in held.values()], pa.int64()), pa.array([v[1] for v in held.values()], pa.list_(pa.float64()))], names=[*(f"g{i}" for i in range(d)), "count", "state"])
+            held.clear()
+            return out
+
+        for b in batches:
+            table = pa.Table.from_batches([b])
+            keys = [f"g{i}" for i in range(d)]
+            of = table.append_column("at", pa.array(range(b.num_rows), pa.int64())).group_by(keys).aggregate([("at", "list")])
+            for *key, at in zip(*(of.column(k).to_pylist() for k in keys), of.column("at_list").to_pylist(), strict=True):
+                mine = table.take(at)
+                state, key = accumulator.build({c: mine.column(c).to_pylist() for c in names}), tuple(key)
+                old = held.get(key)
+                held[key] = [len(at), state] if old is None else [old[0] + len(at), accumulator.merge(old[1], state)]
+            if len(held) > MOST_STATES:
+                yield sent()
+        if held:
+            yield sent()
+
+    keys = ", ".join(f"g{i} long" for i in range(d))
+    states = with_grid(df, bins).select(*(f"g{i}" for i in range(d)), *names).mapInArrow(partial, f"{keys}, count long, state array<double>")
+    result = StructType.fromDDL(accumulator.schema)
+
+    def merged(group: pa.Table) -> pa.Table:
+        first, *others = group.column("state").to_pylist()
+        for s in others:
+            first = accumulator.merge(first, s)
+        values = accumulator.finish(first)
+        kinds = to_arrow_schema(result)
+        return pa.table([*(group.column(f"g{i}").slice(0, 1) for i in range(d)), pa.array([sum(group.column("count").to_pylist())]), *(pa.array([v], f.type) for v, f in zip(values, kinds, strict=True))], names=[*(f"g{i}" for i in range(d)), "count", *kinds.names])
+
+    return states.groupBy(*(f"g{i}" for i in range(d))).applyInArrow(merged, f"{keys}, count long, {accumulator.schema}")
 
 
 def lookup(df: DataFrame, voxels: DataFrame, bins: list[float]) -> DataFrame:

@@ -98,6 +98,33 @@ def voxel_index_lists(spark, d):
     return grid.index_lists(orders3(spark, d), OBINS).withColumn("ids", F.array_join("ids", ","))
 
 
+class MedianShade:
+    """A user's accumulator: the median of the second color channel, by counts of its levels of a hundredth."""
+
+    columns, schema = ["c"], "median double"
+
+    def build(self, points):
+        state = [0.0] * 101
+        for c in points["c"]:
+            state[round(c[1] * 100)] += 1
+        return state
+
+    def merge(self, a, b):
+        return [x + y for x, y in zip(a, b, strict=True)]
+
+    def finish(self, state):
+        wanted, seen = (sum(state) + 1) // 2, 0
+        for level, n in enumerate(state):
+            seen += n
+            if seen >= wanted:
+                return (level / 100,)
+
+
+@query(f"WITH {ORDERS} SELECT {OVOX}, count(*) AS count, round(quantile_disc(CAST(c1 AS DOUBLE), 0.5), 2) AS median FROM o GROUP BY g0, g1, g2")
+def voxel_user_accumulator(spark, d):
+    return grid.accumulate_with(orders3(spark, d).select("id", "p", "c"), OBINS, MedianShade()).withColumn("median", r9("median", 2))
+
+
 @query(f"WITH {ORDERS} SELECT {OVOX}, count(*) AS count, round(avg(CAST(c0 AS DOUBLE)), 9) AS c0, round(avg(CAST(c1 AS DOUBLE)), 9) AS c1, round(avg(CAST(c2 AS DOUBLE)), 9) AS c2 FROM o GROUP BY g0, g1, g2")
 def voxel_color_mean(spark, d):
     v = grid.downsample(orders3(spark, d).select("id", "p", "c"), OBINS)
@@ -511,6 +538,26 @@ def mcd(spark, d):
     return stats.grouped_mcd(o, "voxel", 3, trials=2, steps=1).select("voxel", "mean", "valid")
 
 
+@query(f"WITH {ORDERS} SELECT id % 3 AS k, true AS never_rises, true AS inside, CAST(round(0.75 * count(*)) AS BIGINT) AS h FROM o GROUP BY 1")
+def mcd_keyed(spark, d):
+    """With the defaults, 6 trials and 3 steps, over three large sets: the determinant never rises, and lies below that of all rows; h rows are nearer to the mean than any other."""
+    o = orders3(spark, d).select((F.col("id") % 3).alias("k"), "id", "p").withColumn("k", F.col("k").cast("bigint"))
+    found = stats.fast_mcd(o, 3, "k")
+    plain = o.groupBy("k").agg(*stats.covariance_columns(3), F.count("*").alias("n"))
+    s = lambda i, j: F.col(f"s{min(i, j)}{max(i, j)}")
+    det = s(0, 0) * (s(1, 1) * s(2, 2) - s(1, 2) * s(1, 2)) - s(0, 1) * (s(0, 1) * s(2, 2) - s(1, 2) * s(0, 2)) + s(0, 2) * (s(0, 1) * s(1, 2) - s(1, 1) * s(0, 2))
+    e = found.join(plain.select("k", det.alias("all"), "n"), "k")
+    falls = F.forall(F.sequence(F.lit(1), F.size("dets") - 1), lambda i: F.get("dets", i) <= F.get("dets", i - 1) * (1 + 1e-9))
+    return e.select("k", falls.alias("never_rises"), (F.element_at("dets", -1) < F.col("all")).alias("inside"), F.round(0.75 * F.col("n")).cast("long").alias("h"))
+
+
+@query(f"WITH {ORDERS} SELECT true AS never_rises, true AS valid, 3 AS steps, count(*) > 0 AS any FROM o")
+def mcd_whole(spark, d):
+    found = stats.fast_mcd(orders3(spark, d).select("id", "p"), 3, chi2=1e9)
+    falls = F.forall(F.sequence(F.lit(1), F.size("dets") - 1), lambda i: F.get("dets", i) <= F.get("dets", i - 1) * (1 + 1e-9))
+    return found.select(falls.alias("never_rises"), "valid", F.size("dets").alias("steps"), F.lit(True).alias("any"))
+
+
 @query()
 def normals_knn(spark, d):
     o = orders3(spark, d)
