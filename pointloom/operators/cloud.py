@@ -84,8 +84,8 @@ def invert_transforms(transforms: DataFrame, dim: int) -> DataFrame:
     return inv.select("id", F.col("_i").alias("r"), F.array(*(-sum((F.col("_i")[i * dim + j] * F.col("t")[j] for j in range(dim)), F.lit(0.0)) for i in range(dim))).alias("t"))
 
 
-def compose_transforms(transforms: DataFrame, r, t, before: bool = False) -> DataFrame:
-    """Each transform after the literal one (before=True: the literal one acts last)."""
+def compose_transforms(transforms: DataFrame, r, t, before: bool = False, rigid: bool = False) -> DataFrame:
+    """Each transform after the literal one (before=True: the literal one acts last); rigid: turned back to rotations, which products drift from."""
     dim = len(t)
     old = [[F.col("r")[i * dim + j] for j in range(dim)] for i in range(dim)]
     lit = [[F.lit(float(v)) for v in row] for row in np.asarray(r)]
@@ -93,7 +93,8 @@ def compose_transforms(transforms: DataFrame, r, t, before: bool = False) -> Dat
     ta, tb = ([F.lit(float(v)) for v in t], [F.col("t")[i] for i in range(dim)]) if before else ([F.col("t")[i] for i in range(dim)], [F.lit(float(v)) for v in t])
     rr = [sum((a[i][k] * b[k][j] for k in range(dim)), F.lit(0.0)) for i in range(dim) for j in range(dim)]
     tt = [sum((a[i][k] * tb[k] for k in range(dim)), ta[i]) for i in range(dim)]
-    return transforms.select("id", F.array(*rr).alias("r"), F.array(*tt).alias("t"))
+    out = transforms.select("id", F.array(*rr).alias("r"), F.array(*tt).alias("t"))
+    return rigid_transforms(out, dim) if rigid else out
 
 
 def nearest_rotation(m: np.ndarray) -> np.ndarray:

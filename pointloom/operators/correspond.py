@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointloom.functions.vectors import l2sq, unit, vscale
-from pointloom.operators.cloud import best_per, rank_fraction, transform
+from pointloom.operators.cloud import best_per, rank_fraction, transform, transform_set
 from pointloom.operators.neighbors import knn
 
 
@@ -27,6 +27,14 @@ def moved_features(df: DataFrame, r, t, normal_weight: float | None = None, colo
     return features(out, normal_weight, color_weight)
 
 
+def moved_features_by_set(df: DataFrame, transforms: DataFrame, dim: int, rigid: bool = True, normal_weight: float | None = None, color_weight: float | None = None) -> DataFrame:
+    """As moved_features, each point by its own transform (id, r, t)."""
+    out = transform_set(df, transforms, dim, rigid)
+    if normal_weight is not None:
+        out = out.withColumn("n", unit("n"))
+    return features(out, normal_weight, color_weight)
+
+
 def _one_way(queries: DataFrame, refs: DataFrame, limit: float, query_is_first: bool) -> DataFrame:
     hits = knn(queries, refs, 1).where(F.col("value") < limit)
     a, b = ("q", "r") if query_is_first else ("r", "q")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import Protocol
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -150,6 +151,31 @@ def estimate_combined(pairs: DataFrame, dim: int = 3, w_point=0.0, w_plane=1.0,
     return r, t
 
 
+class IcpInstance(Protocol):
+    """The steps of a closest-point loop over a state of the instance's own kind: where it starts, the pairs that it sees, what it makes of them (None: nothing), and how far that is from before."""
+
+    def initialise(self, start=None): ...
+
+    def correspondences(self, state) -> DataFrame: ...
+
+    def estimate(self, pairs: DataFrame, state): ...
+
+    def change(self, before, after) -> float: ...
+
+
+def closest_point_loop(icp: IcpInstance, max_iter: int = 15, tol: float = 1e-5, start=None) -> tuple[object, int, bool]:
+    """(state, rounds, converged): correspond, estimate, until a change is below tol."""
+    state = icp.initialise(start)
+    for rounds in range(1, max_iter + 1):
+        new = icp.estimate(icp.correspondences(state), state)
+        if new is None:
+            return state, rounds, False
+        delta, state = icp.change(state, new), new
+        if delta < tol:
+            return state, rounds, True
+    return state, max_iter, False
+
+
 @dataclass
 class Registration:
     """Closest-point loop: correspond, estimate, compose, until the step is below tol."""
@@ -179,27 +205,30 @@ class Registration:
         return gather(c, self.dst, self.src)
 
     def step(self, r, t):
-        pairs = self.pairs(r, t)
+        return self.estimate(self.pairs(r, t), (r, t))
+
+    def initialise(self, start=None):
+        return start if start is not None else (np.eye(self.dim), np.zeros(self.dim))
+
+    def correspondences(self, state) -> DataFrame:
+        return self.pairs(*state)
+
+    def estimate(self, pairs: DataFrame, state):
         if self.metric == "point":
-            return estimate_point_to_point(pairs, self.dim, self.rigid)
-        each = "wp" in pairs.columns
-        return estimate_combined(pairs, self.dim, F.col("wp") if each else self.w_point, F.col("wl") if each else self.w_plane, self.metric == "symmetric", self.rigid, 1, self.tol, (r, t))
+            new = estimate_point_to_point(pairs, self.dim, self.rigid)
+        else:
+            each = "wp" in pairs.columns
+            new = estimate_combined(pairs, self.dim, F.col("wp") if each else self.w_point, F.col("wl") if each else self.w_plane, self.metric == "symmetric", self.rigid, 1, self.tol, state)
+        return (nearest_rotation(new[0]), new[1]) if new is not None and self.rigid else new
+
+    def change(self, before, after) -> float:
+        dr = after[0] @ np.linalg.inv(before[0])
+        return float(np.sqrt(((dr - np.eye(self.dim)) ** 2).sum() + ((after[1] - dr @ before[1]) ** 2).sum()))
 
     def run(self, start=None) -> tuple[np.ndarray, np.ndarray, int, bool]:
         """(R, t, rounds, converged)."""
-        r, t = start if start is not None else (np.eye(self.dim), np.zeros(self.dim))
-        for rounds in range(1, self.max_iter + 1):
-            new = self.step(r, t)
-            if new is None:
-                return r, t, rounds, False
-            if self.rigid:
-                new = (nearest_rotation(new[0]), new[1])
-            dr = new[0] @ np.linalg.inv(r)
-            delta = float(np.sqrt(((dr - np.eye(self.dim)) ** 2).sum() + ((new[1] - dr @ t) ** 2).sum()))
-            r, t = new
-            if delta < self.tol:
-                return r, t, rounds, True
-        return r, t, self.max_iter, False
+        state, rounds, done = closest_point_loop(self, self.max_iter, self.tol, start)
+        return *state, rounds, done
 
     def residuals(self, r, t) -> DataFrame:
         """(id, residual) of each source point at its nearest destination: squared distances, or weighted with the squared distance to its plane."""

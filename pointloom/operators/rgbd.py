@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from typing import Protocol
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,14 +23,36 @@ def raw_depth(z, scale: float = 1000.0, most: float | None = None) -> Column:
     return raw if most is None else F.when(col(z) < most, raw).otherwise(0)
 
 
+class DepthConverter(Protocol):
+    """From the depth of a pixel to meters (zero: not valid) and back, as columns."""
+
+    def metric(self, depth: Column) -> Column: ...
+
+    def raw(self, z: Column) -> Column: ...
+
+
+@dataclass(frozen=True)
+class ScaledDepth:
+    """Raw depth in parts of a meter, none from `most` meters on."""
+
+    scale: float = 1000.0
+    most: float | None = None
+
+    def metric(self, depth: Column) -> Column:
+        return metric_depth(depth, self.scale, self.most)
+
+    def raw(self, z: Column) -> Column:
+        return raw_depth(z, self.scale, self.most)
+
+
 def _point(k, z: Column, x: Column, y: Column) -> Column:
     (fx, _, cx), (_, fy, cy), _ = np.asarray(k).tolist()
     return F.array((x - cx) * z / fx, (y - cy) * z / fy, z)
 
 
-def depth_to_points(pixels: DataFrame, k, scale: float = 1000.0, most: float | None = None, keep_invalid: bool = False, extrinsics=None, colors: bool = False) -> DataFrame:
-    """(y, x, p[, c]): valid pixels only unless keep_invalid, which gives the camera's own place for the others."""
-    df = pixels.withColumn("_z", metric_depth("depth", scale, most))
+def depth_to_points(pixels: DataFrame, k, scale: float = 1000.0, most: float | None = None, keep_invalid: bool = False, extrinsics=None, colors: bool = False, converter: DepthConverter | None = None) -> DataFrame:
+    """(y, x, p[, c]): valid pixels only unless keep_invalid, which gives the camera's own place for the others. A converter goes before scale and most."""
+    df = pixels.withColumn("_z", (converter or ScaledDepth(scale, most)).metric(F.col("depth")))
     if not keep_invalid:
         df = df.where("_z > 0")
     p = _point(k, F.col("_z"), F.col("x"), F.col("y"))
@@ -39,10 +64,14 @@ def _colors() -> Column:
     return F.array(*((F.col(c) / 255.0).cast("float") for c in "rgb")).alias("c")
 
 
-def depth_to_normals(pixels: DataFrame, k, scale: float = 1000.0, most: float | None = None, keep_invalid: bool = False, extrinsics=None, colors: bool = False) -> DataFrame:
-    """(y, x, p, n[, c]): normals from the pixels above, below, left and right, where all five depths are valid. Without keep_invalid only pixels with normals stay."""
-    df = pixels.withColumn("_z", metric_depth("depth", scale, most)).withColumn("p", _point(k, F.col("_z"), F.col("x"), F.col("y")))
-    row, column = Window.partitionBy("y").orderBy("x"), Window.partitionBy("x").orderBy("y")
+def depth_to_normals(pixels: DataFrame, k, scale: float = 1000.0, most: float | None = None, keep_invalid: bool = False, extrinsics=None, colors: bool = False, converter: DepthConverter | None = None, image: str | None = None) -> DataFrame:
+    """([image, ]y, x, p, n[, c]): normals from the pixels above, below, left and right, where all five depths are valid. Without keep_invalid only pixels with normals stay.
+
+    image: a column that tells images apart; rows and columns of pixels are then looked at within each.
+    """
+    of = [image] if image else []
+    df = pixels.withColumn("_z", (converter or ScaledDepth(scale, most)).metric(F.col("depth"))).withColumn("p", _point(k, F.col("_z"), F.col("x"), F.col("y")))
+    row, column = Window.partitionBy(*of, "y").orderBy("x"), Window.partitionBy(*of, "x").orderBy("y")
     near = {"_l": (F.lag, row), "_r": (F.lead, row), "_u": (F.lag, column), "_d": (F.lead, column)}
     for name, (f, w) in near.items():
         df = df.withColumn(name, f(F.struct("x", "y", "p")).over(w))
@@ -57,7 +86,7 @@ def depth_to_normals(pixels: DataFrame, k, scale: float = 1000.0, most: float |
     if extrinsics is not None:
         r, t = extrinsics
         df = df.withColumn("p", affine(r, t, "p")).withColumn("n", affine(r, [0.0] * 3, "n"))
-    return df.select("y", "x", "p", "n", *([_colors()] if colors else []))
+    return df.select(*of, "y", "x", "p", "n", *([_colors()] if colors else []))
 
 
 def project_points(df: DataFrame, k, width: int, height: int, extrinsics=None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -857,3 +859,49 @@ def resample_transforms(spark, d):
     edges = neighbors.knn(e, nodes, 3).select("q", "r", ev.rbf(1.0, F.round("value", 9)).alias("weight"))
     t = nodes.select("id", F.array(*(F.lit(v) for v in (1.0, 0.0, 0.0, 1.0))).alias("r"), F.array((F.col("id") % 5).cast("double"), F.lit(0.0)).alias("t"))
     return warp.resample_transforms(edges, t, 2, rigid=False).select("id", r9(F.col("t")[0]).alias("t0"))
+
+
+@dataclass
+class ShiftOnly:
+    """A user's closest-point instance: the state is a translation, estimated from nearest neighbors below a squared limit."""
+
+    dst: DataFrame
+    src: DataFrame
+    limit: float
+
+    def initialise(self, start=None):
+        return np.zeros(3) if start is None else start
+
+    def correspondences(self, state):
+        moved = cloud.transform(self.src, np.eye(3), state)
+        return correspond.gather(correspond.correspondences(self.dst, moved, self.limit), self.dst, self.src)
+
+    def estimate(self, pairs, state):
+        m = pairs.agg(*(F.avg(F.col("p1")[i] - F.col("p2")[i]) for i in range(3))).first()
+        return None if m[0] is None else np.array(m)
+
+    def change(self, before, after):
+        return float(np.linalg.norm(after - before))
+
+
+@query(f"WITH {ORDERS} SELECT count(*) AS n, 0.00002::DOUBLE AS t0, -0.00003::DOUBLE AS t1, 0.00001::DOUBLE AS t2 FROM o")
+def icp_user_instance(spark, d):
+    """Undoes a small shift of all orders."""
+    o = orders3(spark, d).select("id", "p")
+    icp = ShiftOnly(o, cloud.transform(o, np.eye(3), [-0.00002, 0.00003, -0.00001]), 1e-4)
+    t, _, _ = registration.closest_point_loop(icp, 6, 1e-9)
+    return icp.correspondences(t).agg(F.count("*").alias("n"), *(F.lit(round(float(v), 6) + 0.0).alias(f"t{i}") for i, v in enumerate(t)))
+
+
+@query(f"WITH {PIX}, z AS (SELECT *, 1000.0 / (depth + 1) AS z FROM x WHERE depth > 0) SELECT y, x, round((x - 49.5) * z / 52.5, 9) + 0.0 AS x0, round((y - 49.5) * z / 52.5, 9) + 0.0 AS x1, round(z, 9) AS x2 FROM z")
+def depth_user_converter(spark, d):
+    """Disparity instead of depth: the distance falls with the raw value."""
+    return rgbd.depth_to_points(pixels100(spark, d), K, converter=Disparity()).select("y", "x", *spread("p", 3))
+
+
+class Disparity:
+    def metric(self, depth):
+        return F.when(depth > 0, 1000.0 / (depth + 1)).otherwise(0.0)
+
+    def raw(self, z):
+        return F.floor(1000.0 / z).cast("bigint") - 1
