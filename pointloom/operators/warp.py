@@ -5,11 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pointloom.functions.vectors import vdot
-from pointloom.operators.cloud import nearest_rotation, rigid_transforms
+from pointloom.operators.cloud import rigid_transforms
 from pointloom.operators.correspond import gather
 from pointloom.operators.session import cut
 
@@ -52,122 +54,7 @@ def euler(a: np.ndarray, dim: int):
     return w @ y @ x, [w @ y @ dx, w @ dy @ x, dw @ y @ x]
 
 
-def conjugate_gradient(rows, cols, vals, b, n: int, max_iter: int = 1000, tol: float = 1e-5) -> np.ndarray:
-    """Least squares of the sparse rows by conjugate gradients on the normal equations, scaled by their diagonal."""
-    m = len(b)
-    mul = lambda x: np.bincount(rows, vals * x[cols], m)
-    tmul = lambda y: np.bincount(cols, vals * y[rows], n)
-    diag = np.bincount(cols, vals * vals, n)
-    scale = np.where(diag > 0, 1 / np.where(diag > 0, diag, 1), 1)
-    x, r = np.zeros(n), tmul(b)
-    z = scale * r
-    p, rz = z, r @ z
-    stop = tol * tol * max(rz, 1e-300)
-    for _ in range(max_iter):
-        if rz <= stop:
-            break
-        ap = tmul(mul(p))
-        k = rz / max(p @ ap, 1e-300)
-        x = x + k * p
-        r = r - k * ap
-        z = scale * r
-        rz, old = r @ z, rz
-        p = z + rz / old * p
-    return x
-
-
-def estimate_warp(src, dst, normals, pairs, control, arcs, nodes: int, kind: str = "rigid", w_point=0.0, w_plane=1.0, stiffness=1.0, huber=1e-4, max_iter=10, tol=1e-5, cg_iter=1000) -> tuple[np.ndarray, np.ndarray]:
-    """(R, t) of each node. pairs (k x 2): source and destination rows; control: for each source row (nodes, weights); arcs: (i, j, weight).
-
-    Dense fields have one node for each source point (control: itself with weight one). The nodes are few enough for the driver; the
-    matches and control edges come from Spark.
-    """
-    src, dst = np.asarray(src, float), np.asarray(dst, float)
-    dim = src.shape[1]
-    angles = 0 if kind == "affine" else (1 if dim == 2 else 3)
-    size = dim * dim + dim if kind == "affine" else angles + dim
-    x = np.zeros((nodes, size))
-    if kind == "affine":
-        x[:, : dim * dim] = np.eye(dim).ravel()
-    use = [(i, j, *control[i]) for i, j in pairs if len(control[i][0]) and np.sum(control[i][1]) > 0]
-    arcs = np.asarray(arcs, float).reshape(-1, 3)
-    ai, aj, aw = arcs[:, 0].astype(int), arcs[:, 1].astype(int), arcs[:, 2]
-    keep = ai != aj
-    ai, aj, aw = ai[keep], aj[keep], aw[keep]
-    for _ in range(max_iter):
-        rows, cols, vals, b, m = [], [], [], [], 0
-        if use:
-            s, d = src[[u[0] for u in use]], dst[[u[1] for u in use]]
-            n = np.asarray(normals, float)[[u[1] for u in use]] if normals is not None else None
-            blend = np.array([(np.asarray(w, float) / np.sum(w)) @ x[np.asarray(c)] for _, _, c, w in use])
-            if kind == "affine":
-                r = blend[:, : dim * dim].reshape(-1, dim, dim)
-                grads = [np.where(np.arange(dim)[None, :] == i // dim, s[:, i % dim][:, None], 0.0) for i in range(dim * dim)]
-            else:
-                r, dr = euler(blend[:, :angles], dim)
-                grads = [np.einsum("nij,nj->ni", g, s) for g in dr]
-            grads += [np.tile(np.eye(dim)[i], (len(s), 1)) for i in range(dim)]
-            gap = d - np.einsum("nij,nj->ni", r, s) - blend[:, -dim:]
-            terms = []
-            if w_point > 0:
-                terms += [(np.sqrt(w_point) * gap[:, i], [np.sqrt(w_point) * g[:, i] for g in grads]) for i in range(dim)]
-            if w_plane > 0 and n is not None:
-                terms.append((np.sqrt(w_plane) * (n * gap).sum(1), [np.sqrt(w_plane) * (n * g).sum(1) for g in grads]))
-            who = np.repeat(np.arange(len(use)), [len(u[2]) for u in use])
-            node = np.concatenate([np.asarray(u[2]) for u in use])
-            share = np.concatenate([np.asarray(u[3], float) / np.sum(u[3]) for u in use])
-            for rhs, coef in terms:
-                for p, g in enumerate(coef):
-                    rows.append(m + who)
-                    cols.append(node * size + p)
-                    vals.append(share * g[who])
-                b.append(rhs)
-                m += len(rhs)
-        for p in range(size):
-            gap = x[ai, p] - x[aj, p]
-            k = np.sqrt(stiffness * aw)
-            slope = k * sqrt_huber_slope(gap, huber)
-            flat = np.abs(gap) < 1e-12  # where the loss has its kink the arc still ties both ends
-            slope = np.where(flat, k / np.sqrt(2), slope)
-            rows += [m + np.arange(len(ai))] * 2
-            cols += [ai * size + p, aj * size + p]
-            vals += [slope, -slope]
-            b.append(-np.where(flat, 0, k * sqrt_huber(gap, huber)))
-            m += len(ai)
-        if not m:
-            break
-        step = conjugate_gradient(np.concatenate(rows).astype(int), np.concatenate(cols).astype(int), np.concatenate(vals), np.concatenate(b), nodes * size, cg_iter).reshape(nodes, size)
-        x += step
-        if np.sqrt((step * step).sum(1)).max() < tol:
-            break
-    r = x[:, : dim * dim].reshape(-1, dim, dim) if kind == "affine" else euler(x[:, :angles], dim)[0]
-    return r, x[:, -dim:]
-
-
-def warp_icp(dst: np.ndarray, normals, src: np.ndarray, control, arcs, nodes: int, match, kind: str = "rigid", max_iter: int = 15, tol: float = 1e-5, **options):
-    """Closest-point loop of a warp field. match(points) gives the pairs (source row, destination row) of the moved source points."""
-    dim = src.shape[1]
-    r, t, moved = np.tile(np.eye(dim), (nodes, 1, 1)), np.zeros((nodes, dim)), src.copy()
-    for rounds in range(1, max_iter + 1):
-        new_r, new_t = estimate_warp(src, dst, normals, match(moved), control, arcs, nodes, kind, **options)
-        delta = np.sqrt(((new_r - r) ** 2).sum((1, 2)) + ((new_t - t) ** 2).sum(1)).max()
-        r, t = new_r, new_t
-        moved = np.array([_blend(r, t, c, w, kind, dim, p) for p, (c, w) in zip(src, control, strict=True)])
-        if delta < tol:
-            break
-    return r, t, moved, rounds
-
-
-def _blend(r, t, nodes, weights, kind, dim, p):
-    w = np.asarray(weights, float)
-    if not len(w) or w.sum() == 0:
-        return p
-    w = w / w.sum()
-    m = np.einsum("k,kij->ij", w, r[np.asarray(nodes)])
-    return (m if kind == "affine" else nearest_rotation(m)) @ p + w @ t[np.asarray(nodes)]
-
-
-MAX_NODES = 1_000_000  # the unknowns of all nodes live on the driver: 48 MB at six each
+ONE_SOLVE = 50_000  # unknowns, and blocks of the matrix, up to which one solve takes them all; beyond, vectors stay DataFrames
 
 
 def _turn(axis: int, c: Column, s: Column, v: Column, slope: bool = False) -> Column:
@@ -204,13 +91,87 @@ def _moved_and_slopes(rows: DataFrame, kind: str, dim: int) -> tuple[DataFrame,
     return rows, slopes + [F.array(*(F.lit(float(v)) for v in eye[i])) for i in range(dim)]
 
 
+def _huber_columns(gap: Column, delta: float) -> tuple[Column, Column]:
+    """sqrt_huber and its slope as expressions."""
+    a = F.abs(gap)
+    value = F.when(a <= delta, a / 2**0.5).otherwise(F.sqrt(F.greatest(F.lit(0.0), delta * (a - delta / 2))))
+    return value, F.when(a <= delta, F.signum(gap) / 2**0.5).otherwise(F.signum(gap) * delta / (2 * F.greatest(value, F.lit(1e-300))))
+
+
+def _dot(a: str, b: str, size: int, scale: str | None = None) -> Column:
+    return F.sum(sum((F.col(a)[i] * F.col(b)[i] * (F.col(scale)[i] if scale else 1.0) for i in range(size)), F.lit(0.0)))
+
+
+def solve_blocks(matrix: DataFrame, rhs: DataFrame, size: int, max_iter: int = 1000, tol: float = 1e-5) -> DataFrame:
+    """(id, x) with matrix x = rhs by conjugate gradients, scaled by the diagonal.
+
+    matrix (row, col, h: size x size numbers) is symmetric and positive, rows of one place add up; rhs is (id, v) of every node. A step joins the matrix with the
+    direction, adds up for each row, and sends four sums to the driver; vectors are columns of one table.
+    """
+    own = matrix.where("row = col").groupBy(F.col("row").alias("id")).agg(F.array(*(F.sum(F.col("h")[i * size + i]) for i in range(size))).alias("d"))
+    scale = F.array(*(F.when(F.coalesce(F.col("d")[i], F.lit(0.0)) > 0, 1 / F.col("d")[i]).otherwise(1.0) for i in range(size)))
+    state = cut(rhs.join(own, "id", "left").select("id", F.array(*[F.lit(0.0)] * size).alias("x"), F.col("v").alias("r"), scale.alias("s")))
+    state = state.withColumn("p", F.array(*(F.col("r")[i] * F.col("s")[i] for i in range(size))))
+    stop = None
+    for _ in range(max_iter):
+        images = matrix.join(state.select(F.col("id").alias("col"), "p"), "col").groupBy("row").agg(F.array(*(F.sum(sum((F.col("h")[i * size + j] * F.col("p")[j] for j in range(size)), F.lit(0.0))) for i in range(size))).alias("m"))
+        state = state.join(images.withColumnRenamed("row", "_row"), F.col("id") == F.col("_row"), "left").drop("_row")
+        state = cut(state.withColumn("m", F.coalesce("m", F.array(*[F.lit(0.0)] * size))))
+        rz, pm, rm, mm = (v or 0.0 for v in state.agg(_dot("r", "r", size, "s"), _dot("p", "m", size), _dot("r", "m", size, "s"), _dot("m", "m", size, "s")).first())
+        stop = tol * tol * max(rz, 1e-300) if stop is None else stop
+        if rz <= stop or pm <= 0:
+            break
+        a = rz / pm
+        left = max(0.0, rz - 2 * a * rm + a * a * mm)  # of the next residual
+        r = [F.col("r")[i] - a * F.col("m")[i] for i in range(size)]
+        state = state.select("id", F.array(*(F.col("x")[i] + a * F.col("p")[i] for i in range(size))).alias("x"), F.array(*r).alias("r"), "s", F.array(*(F.col("s")[i] * r[i] + left / rz * F.col("p")[i] for i in range(size))).alias("p"))
+    return cut(state.select("id", "x"))
+
+
+def solve_at_once(matrix: DataFrame, rhs: DataFrame, size: int, max_iter: int = 1000, tol: float = 1e-5) -> DataFrame:
+    """As solve_blocks, for a system of at most ONE_SOLVE unknowns and blocks, which one task takes."""
+
+    def run(key, a: pa.Table, b: pa.Table) -> pa.Table:
+        ids = np.sort(b.column("id").to_numpy())
+        v = np.zeros((len(ids), size))
+        v[np.searchsorted(ids, b.column("id").to_numpy())] = np.array(b.column("v").to_pylist(), float).reshape(-1, size)
+        i, j = (np.searchsorted(ids, a.column(c).to_numpy()) for c in ("row", "col"))
+        h = np.array(a.column("h").to_pylist(), float).reshape(-1, size, size)
+
+        def mul(y: np.ndarray) -> np.ndarray:
+            out = np.zeros_like(y)
+            np.add.at(out, i, np.einsum("nij,nj->ni", h, y[j]))
+            return out
+
+        diag = np.zeros_like(v)
+        np.add.at(diag, i[i == j], np.einsum("nii->ni", h[i == j]))
+        scale = np.where(diag > 0, 1 / np.where(diag > 0, diag, 1), 1)
+        x, r = np.zeros_like(v), v
+        p = z = scale * r
+        rz = float((r * z).sum())
+        stop = tol * tol * max(rz, 1e-300)
+        for _ in range(max_iter):
+            if rz <= stop:
+                break
+            m = mul(p)
+            k = rz / max(float((p * m).sum()), 1e-300)
+            x, r = x + k * p, r - k * m
+            z = scale * r
+            rz, old = float((r * z).sum()), rz
+            p = z + rz / old * p
+        return pa.table([pa.array(ids), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["id", "x"])
+
+    one = F.lit(0).alias("k")
+    return cut(matrix.select(one, "row", "col", "h").groupBy("k").cogroup(rhs.select(one, "id", "v").groupBy("k")).applyInArrow(run, "id long, x array<double>"))
+
+
 @dataclass
 class WarpRegistration:
     """Closest-point loop of a warp field: each node has a transform, source points blend those of their nodes.
 
-    control (q: source id, r: node id, weight) and arcs (q, r: node ids, weight) are DataFrames; so are clouds and matches. Each Gauss-Newton
-    step is one aggregation of the matches to blocks between nodes; the driver holds the nodes' unknowns (MAX_NODES at most) and solves by
-    conjugate gradients. Arcs are tied by the Huber loss.
+    control (q: source id, r: node id, weight) and arcs (q, r: node ids, weight) are DataFrames; so are clouds, matches, and the unknowns (id, x) of the nodes,
+    however many. Each Gauss-Newton step aggregates the matches to blocks between nodes, ties arcs by the Huber loss, and
+    solves by conjugate gradients whose vectors stay DataFrames (small systems: in one task).
     """
 
     dst: DataFrame
@@ -231,31 +192,27 @@ class WarpRegistration:
     cg_iter: int = 1000
 
     def __post_init__(self):
-        both = self.control.select(F.col("r").alias("id")).union(self.arcs.select(F.col("q").alias("id"))).union(self.arcs.select(F.col("r").alias("id"))).distinct()
-        ids = both.orderBy("id").limit(MAX_NODES + 1).toPandas()["id"].to_numpy()
-        if len(ids) > MAX_NODES:
-            raise ValueError(f"more than {MAX_NODES} nodes; use a sparse field")
-        self.ids = ids
+        ends = self.control.select(F.col("r").alias("id")).union(self.arcs.select(F.col("q").alias("id"))).union(self.arcs.select(F.col("r").alias("id")))
+        self.nodes = cut(ends.select(F.col("id").cast("long").alias("id")).distinct())
         share = self.control.where("weight > 0").groupBy("q").agg(F.sum("weight").alias("total"))
         self.shares = cut(self.control.where("weight > 0").join(share, "q").select("q", "r", (F.col("weight") / F.col("total")).alias("share")))
-        a = self.arcs.where("q <> r").toPandas()
-        self.ai, self.aj = np.searchsorted(ids, a["q"]), np.searchsorted(ids, a["r"])
-        self.aw = a["weight"].to_numpy(float)
+        self.ties = cut(self.arcs.where("q <> r").select("q", "r", F.col("weight").cast("double").alias("weight")))
         self.angles = 0 if self.kind == "affine" else 1 if self.dim == 2 else 3
         self.size = self.dim**2 + self.dim if self.kind == "affine" else self.angles + self.dim
 
-    def _blended(self, x: np.ndarray) -> DataFrame:
-        """(second, x, nodes): the unknowns of each source point and its nodes with their shares."""
-        import pandas as pd
+    def start(self) -> DataFrame:
+        """(id, x): the identity at every node."""
+        x = [*np.eye(self.dim).ravel(), *[0.0] * self.dim] if self.kind == "affine" else [0.0] * self.size
+        return self.nodes.select("id", F.array(*(F.lit(float(v)) for v in x)).alias("x"))
 
-        spark = self.src.sparkSession
-        known = spark.createDataFrame(pd.DataFrame({"r": self.ids, "x": list(x.tolist())}), "r long, x array<double>")
-        j = self.shares.join(known, "r")
+    def _blended(self, x: DataFrame) -> DataFrame:
+        """(second, x, nodes): the unknowns of each source point and its nodes with their shares."""
+        j = self.shares.join(x.withColumnRenamed("id", "r"), "r")
         sums = [F.sum(F.col("share") * F.col("x")[i]) for i in range(self.size)]
         return j.groupBy("q").agg(F.array(*sums).alias("x"), F.collect_list(F.struct("r", "share")).alias("nodes")).withColumnRenamed("q", "second")
 
-    def _equations(self, pairs: DataFrame, x: np.ndarray):
-        """Blocks (i, j, H) with i <= j, and the right side, of the matches."""
+    def _matches(self, pairs: DataFrame, x: DataFrame) -> DataFrame:
+        """(i, j, h, v): blocks with i <= j, their upper halves, and the right side where i = j."""
         rows, slopes = _moved_and_slopes(pairs.join(self._blended(x), "second"), self.kind, self.dim)
         rows = rows.withColumn("gap", F.zip_with("p1", "y", lambda a, b: a - b))
         terms = [([g[i] for g in slopes], F.col("gap")[i], self.w_point) for i in range(self.dim)] if self.w_point > 0 else []
@@ -263,101 +220,91 @@ class WarpRegistration:
             terms.append(([vdot("n1", g) for g in slopes], vdot("n1", "gap"), self.w_plane))
         for k, (g, b, _) in enumerate(terms):
             rows = rows.withColumn(f"t{k}", F.array(*g)).withColumn(f"b{k}", b)
-        upper = [(i, j) for i in range(self.size) for j in range(i, self.size)]
-        h = F.array(*(sum((w * F.col(f"t{k}")[i] * F.col(f"t{k}")[j] for k, (_, _, w) in enumerate(terms)), F.lit(0.0)) for i, j in upper))
+        h = F.array(*(sum((w * F.col(f"t{k}")[i] * F.col(f"t{k}")[j] for k, (_, _, w) in enumerate(terms)), F.lit(0.0)) for i, j in self._upper()))
         v = F.array(*(sum((w * F.col(f"t{k}")[i] * F.col(f"b{k}") for k, (_, _, w) in enumerate(terms)), F.lit(0.0)) for i in range(self.size)))
         rows = rows.select("nodes", h.alias("h"), v.alias("v")).select(F.explode("nodes").alias("a"), "nodes", "h", "v").select("a", F.explode("nodes").alias("b"), "h", "v").where("a.r <= b.r")
         both = F.col("a.share") * F.col("b.share")
         own = F.when(F.col("a.r") == F.col("b.r"), F.col("a.share")).otherwise(0.0)
-        found = rows.groupBy(F.col("a.r").alias("i"), F.col("b.r").alias("j")).agg(F.array(*(F.sum(both * F.col("h")[k]) for k in range(len(upper)))).alias("h"), F.array(*(F.sum(own * F.col("v")[k]) for k in range(self.size))).alias("v")).toPandas()
-        i, j = np.searchsorted(self.ids, found["i"]), np.searchsorted(self.ids, found["j"])
-        blocks = np.zeros((len(found), self.size, self.size))
-        if len(found):
-            flat = np.array(found["h"].tolist())
-            for k, (p, q) in enumerate(upper):
-                blocks[:, p, q] = blocks[:, q, p] = flat[:, k]
-        rhs = np.zeros((len(self.ids), self.size))
-        same = i == j
-        if same.any():
-            np.add.at(rhs, i[same], np.array(found["v"].tolist())[same])
-        return i, j, blocks, rhs
-
-    def _step(self, pairs: DataFrame, x: np.ndarray) -> np.ndarray:
-        i, j, blocks, rhs = self._equations(pairs, x)
-        off = i != j
-        gap = x[self.ai] - x[self.aj]
-        k = np.sqrt(self.stiffness * self.aw)[:, None]
-        flat = np.abs(gap) < 1e-12  # where the loss has its kink the arc still ties both ends
-        slope = np.where(flat, k / np.sqrt(2), k * sqrt_huber_slope(gap, self.huber))
-        pull = slope * np.where(flat, 0, k * sqrt_huber(gap, self.huber))
-        np.add.at(rhs, self.ai, -pull)
-        np.add.at(rhs, self.aj, pull)
-        diag = np.zeros_like(x)
-        np.add.at(diag, i[~off], np.einsum("nii->ni", blocks[~off]))
-        np.add.at(diag, self.ai, slope**2)
-        np.add.at(diag, self.aj, slope**2)
-
-        def mul(y: np.ndarray) -> np.ndarray:
-            out = np.zeros_like(y)
-            np.add.at(out, i, np.einsum("nij,nj->ni", blocks, y[j]))
-            np.add.at(out, j[off], np.einsum("nij,nj->ni", blocks[off], y[i[off]]))
-            tie = slope**2 * (y[self.ai] - y[self.aj])
-            np.add.at(out, self.ai, tie)
-            np.add.at(out, self.aj, -tie)
-            return out
-
-        scale = np.where(diag > 0, 1 / np.where(diag > 0, diag, 1), 1)
-        step, r = np.zeros_like(x), rhs
-        z = scale * r
-        p, rz = z, float((r * z).sum())
-        stop = 1e-10 * max(rz, 1e-300)
-        for _ in range(self.cg_iter):
-            if rz <= stop:
-                break
-            ap = mul(p)
-            a = rz / max(float((p * ap).sum()), 1e-300)
-            step, r = step + a * p, r - a * ap
-            z = scale * r
-            rz, old = float((r * z).sum()), rz
-            p = z + rz / old * p
-        return step
+        return rows.groupBy(F.col("a.r").alias("i"), F.col("b.r").alias("j")).agg(F.array(*(F.sum(both * F.col("h")[k]) for k in range(len(self._upper())))).alias("h"), F.array(*(F.sum(own * F.col("v")[k]) for k in range(self.size))).alias("v"))
+
+    def _upper(self) -> list[tuple[int, int]]:
+        return [(i, j) for i in range(self.size) for j in range(i, self.size)]
+
+    def system(self, pairs: DataFrame, x: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """matrix (row, col, h) and rhs (id, v) of a Gauss-Newton step from x."""
+        size, at = self.size, {p: k for k, p in enumerate(self._upper())}
+        blocks = cut(self._matches(pairs, x))
+        square = F.array(*(F.col("h")[at[min(p, q), max(p, q)]] for p in range(size) for q in range(size)))
+        one = blocks.select(F.col("i").alias("row"), F.col("j").alias("col"), square.alias("h"))
+        ends = self.ties.join(x.toDF("q", "xq"), "q").join(x.toDF("r", "xr"), "r")
+        k = F.sqrt(self.stiffness * F.col("weight"))
+        slopes, pulls = [], []
+        for p in range(size):
+            gap = F.col("xq")[p] - F.col("xr")[p]
+            value, slope = _huber_columns(gap, self.huber)
+            flat = F.abs(gap) < 1e-12  # where the loss has its kink the arc still ties both ends
+            slope = F.when(flat, k / 2**0.5).otherwise(k * slope)
+            slopes.append(slope * slope)
+            pulls.append(F.when(flat, 0.0).otherwise(slope * k * value))
+        arcs = cut(ends.select("q", "r", F.array(*slopes).alias("d"), F.array(*pulls).alias("g")))
+        diagonal = lambda sign: F.array(*(sign * F.col("d")[p] if p == q else F.lit(0.0) for p in range(size) for q in range(size)))
+        tied = arcs.select(F.explode(F.array(*(F.struct(F.col(a).alias("row"), F.col(b).alias("col"), diagonal(1.0 if a == b else -1.0).alias("h")) for a in "qr" for b in "qr"))).alias("e")).select("e.*")
+        matrix = one.union(one.where("row <> col").select("col", "row", "h")).union(tied)
+        signed = lambda sign: F.transform("g", lambda v: sign * v)
+        sides = blocks.where("i = j").select(F.col("i").alias("id"), "v").union(arcs.select("q", signed(-1.0))).union(arcs.select("r", signed(1.0)))
+        sums = sides.groupBy("id").agg(F.array(*(F.sum(F.col("v")[p]) for p in range(size))).alias("v"))
+        zero = F.array(*[F.lit(0.0)] * size)
+        return cut(matrix), self.nodes.join(sums, "id", "left").select("id", F.coalesce("v", zero).alias("v"))
+
+    def step(self, pairs: DataFrame, x: DataFrame) -> tuple[DataFrame, float]:
+        """(x after a Gauss-Newton step, the longest move of a node)."""
+        matrix, rhs = self.system(pairs, x)
+        few = self.nodes.count() * self.size <= ONE_SOLVE and matrix.count() <= ONE_SOLVE
+        moved = (solve_at_once if few else solve_blocks)(matrix, rhs, self.size, self.cg_iter)
+        longest = moved.agg(F.max(F.sqrt(sum((F.col("x")[p] * F.col("x")[p] for p in range(self.size)), F.lit(0.0))))).first()[0] or 0.0
+        both = x.join(moved.withColumnRenamed("x", "dx"), "id")
+        return cut(both.select("id", F.array(*(F.col("x")[p] + F.col("dx")[p] for p in range(self.size))).alias("x"))), longest
+
+    def transforms(self, x: DataFrame) -> DataFrame:
+        """(id, r, t) of each node."""
+        dim, angles = self.dim, self.angles
+        if self.kind == "affine":
+            r = F.slice("x", 1, dim * dim)
+        else:
+            @F.pandas_udf("array<double>")
+            def turned(a: pd.Series) -> pd.Series:
+                return pd.Series(euler(np.stack(a)[:, :angles], dim)[0].reshape(len(a), -1).tolist()) if len(a) else a
 
-    def transforms(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(R, t) of each node, in the order of ids."""
-        r = x[:, : self.dim**2].reshape(-1, self.dim, self.dim) if self.kind == "affine" else euler(x[:, : self.angles], self.dim)[0]
-        return r, x[:, -self.dim :]
+            r = turned("x")
+        return x.select("id", r.alias("r"), F.slice("x", self.size - dim + 1, dim).alias("t"))
 
-    def field(self, x: np.ndarray) -> DataFrame:
+    def field(self, x: DataFrame) -> DataFrame:
         """(id, r, t) of each source point: the blend of its nodes' transforms."""
-        import pandas as pd
+        return resample_transforms(self.shares.withColumnRenamed("share", "weight"), self.transforms(x), self.dim, self.kind == "rigid")
 
-        r, t = self.transforms(x)
-        nodes = self.src.sparkSession.createDataFrame(pd.DataFrame({"id": self.ids, "r": list(r.reshape(len(r), -1).tolist()), "t": list(t.tolist())}), "id long, r array<double>, t array<double>")
-        return resample_transforms(self.shares.withColumnRenamed("share", "weight"), nodes, self.dim, self.kind == "rigid")
-
-    def moved(self, x: np.ndarray) -> DataFrame:
+    def moved(self, x: DataFrame) -> DataFrame:
         """The source under the field; points without a node stay."""
         j = self.src.join(self.field(x).withColumnsRenamed({"r": "_r", "t": "_t"}), "id", "left")
         at = F.array(*(sum((F.col("_r")[i * self.dim + k] * F.col("p")[k] for k in range(self.dim)), F.col("_t")[i]) for i in range(self.dim)))
         return j.withColumn("p", F.when(F.col("_r").isNull(), F.col("p")).otherwise(at)).select(*self.src.columns)
 
-    def run(self) -> tuple[np.ndarray, int, bool]:
-        """(unknowns of each node, rounds, converged)."""
-        x = np.zeros((len(self.ids), self.size))
-        if self.kind == "affine":
-            x[:, : self.dim**2] = np.eye(self.dim).ravel()
+    def _change(self, before: DataFrame, after: DataFrame) -> float:
+        gap = lambda a, b, n: sum(((F.col(a)[i] - F.col(b)[i]) * (F.col(a)[i] - F.col(b)[i]) for i in range(n)), F.lit(0.0))
+        both = self.transforms(before).join(self.transforms(after).toDF("id", "r2", "t2"), "id")
+        return both.agg(F.max(F.sqrt(gap("r", "r2", self.dim**2)) + F.sqrt(gap("t", "t2", self.dim)))).first()[0] or 0.0
+
+    def run(self) -> tuple[DataFrame, int, bool]:
+        """((id, x): the unknowns of each node, rounds, converged)."""
+        x = cut(self.start())
         eye, zero = np.eye(self.dim), np.zeros(self.dim)
         for rounds in range(1, self.max_iter + 1):
             moved = self.src if rounds == 1 else cut(self.moved(x))
             pairs = cut(gather(self.engine.find(self.dst, moved, eye, zero), self.dst, self.src))
-            r, t = self.transforms(x)
+            before = x
             for _ in range(self.steps):
-                step = self._step(pairs, x)
-                x = x + step
-                if np.sqrt((step**2).sum(1)).max(initial=0.0) < self.step_tol:
+                x, longest = self.step(pairs, x)
+                if longest < self.step_tol:
                     break
-            new_r, new_t = self.transforms(x)
-            delta = np.sqrt(((new_r - r) ** 2).sum((1, 2)) + ((new_t - t) ** 2).sum(1)).max(initial=0.0)
-            if delta < self.tol:
+            if self._change(before, x) < self.tol:
                 return x, rounds, True
         return x, self.max_iter, False

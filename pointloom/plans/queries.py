@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pointloom.functions import evaluators as ev
 from pointloom.functions.vectors import cross3, so2, unit, vadd, vdot, vsub
+from pointloom.operators.session import cut
 from pointloom.operators import cells, cloud, cluster, correspond, eigen, engines, graph, grid, neighbors, normals, ransac, registration, rgbd, spatial, stats, warp
 
 QUERIES: dict = {}
@@ -834,7 +835,21 @@ def warp_of_equal_clouds(spark, d):
     same = engines.GivenEngine(o.select(F.col("id").alias("first"), F.col("id").alias("second"), F.lit(0.0).alias("value")))
     field = engines.sparse_warp_icp(o.select("id", "p", "n"), o.select("id", "p"), engines.control_edges(o, nodes, 4), engines.stiffness_arcs(nodes, 6), same, w_point=1.0, max_iter=1, steps=1)
     x, _, _ = field.run()
-    return spark.createDataFrame([(len(x), int((np.abs(x) > 1e-6).any(1).sum()))], "nodes long, moved long")
+    return x.agg(F.count("*").alias("nodes"), F.sum(F.exists("x", lambda v: F.abs(v) > 1e-6).cast("long")).alias("moved"))
+
+
+@query(f"WITH {ORDERS} SELECT count(*) AS n, count(DISTINCT (floor(x0 * 4.0), floor(x1 * 4.0), floor(x2 * 4.0))) AS nodes, true AS follows FROM o")
+def warp_of_bent_cloud(spark, d):
+    """A sparse field follows all orders bent along a parabola: what is left of their squared moves is below a fiftieth."""
+    o = orders3(spark, d)
+    bent = o.withColumn("p", F.array(F.col("p")[0], F.col("p")[1], F.col("p")[2] + 0.05 * F.col("p")[0] * F.col("p")[0]))
+    nodes = cut(engines.control_nodes(o, 0.25))
+    same = engines.GivenEngine(o.select(F.col("id").alias("first"), F.col("id").alias("second"), F.lit(0.0).alias("value")))
+    field = engines.sparse_warp_icp(bent.select("id", "p", "n"), o.select("id", "p"), engines.control_edges(o, nodes, 4), engines.stiffness_arcs(nodes, 6), same, w_point=1.0, w_plane=0.0, stiffness=1e-4, max_iter=1, steps=2)
+    x, _, _ = field.run()
+    gap = lambda a, b: sum((F.col(a)[i] - F.col(b)[i]) * (F.col(a)[i] - F.col(b)[i]) for i in range(3))
+    ends = field.moved(x).withColumnRenamed("p", "now").join(bent.select("id", F.col("p").alias("goal")), "id").join(o.select("id", "p"), "id")
+    return ends.agg(F.count("*").alias("n"), F.sum(gap("now", "goal")).alias("left"), F.sum(gap("p", "goal")).alias("whole")).select("n", F.lit(x.count()).alias("nodes"), (F.col("left") < F.col("whole") / 50).alias("follows"))
 
 
 @query("SELECT 0.8::DOUBLE AS r00, 0.6::DOUBLE AS r01, 0.0::DOUBLE AS r02")

@@ -11,6 +11,7 @@ from pointloom.operators import cloud, cluster, eigen, engines, graph, neighbors
 from pointloom.plans.queries import ORACLES, QUERIES
 from pointloom.operators import pointcloud, rgbd
 from pointloom.sources import files, matrix, ply
+from tests import plain_warp
 
 SF = "/root/testdata/sf0.001"
 CUBE = np.array([[0, 0, 0], [1, 0, 0], [0, 1, 0], [0, 0, 1], [0, 1, 1], [1, 0, 1], [1, 1, 0], [1, 1, 1]], float)
@@ -298,6 +299,40 @@ def test_samples_come_from_all_rows(spark):
     assert len(set(rows)) > 0.9 * len(rows) and 250 < len(rows) / 3 < 600 and min(rows) < 400 and max(rows) > 19600
 
 
+def node_transforms(field):
+    rows = field.transforms(field.run()[0]).orderBy("id").collect()
+    return np.array([r.r for r in rows]).reshape(len(rows), field.dim, field.dim), np.array([r.t for r in rows])
+
+
+@pytest.mark.parametrize("most", [50_000, 0])
+def test_solvers_of_block_systems(spark, most):
+    """Against a dense solver: some nodes without a block, several rows of one place."""
+    rng = np.random.default_rng(19)
+    a = rng.standard_normal((36, 36))
+    a = a @ a.T + 5 * np.eye(36)
+    v = rng.standard_normal((12, 3))
+    rows = [(5 * i, 5 * j, (a[3 * i : 3 * i + 3, 3 * j : 3 * j + 3] / 2).ravel().tolist()) for i in range(12) for j in range(12)] * 2
+    matrix = spark.createDataFrame(rows, "row long, col long, h array<double>")
+    rhs = spark.createDataFrame([(5 * i, x.tolist()) for i, x in enumerate(v)] + [(999, [0.0] * 3)], "id long, v array<double>")
+    got = {r.id: r.x for r in (warp.solve_at_once if most else warp.solve_blocks)(matrix, rhs, 3, tol=1e-9).collect()}
+    want = np.linalg.solve(a, v.ravel()).reshape(12, 3)
+    assert got.pop(999) == [0.0] * 3 and np.allclose([got[5 * i] for i in range(12)], want, atol=1e-7)
+
+
+def test_fields_beyond_one_solve(spark, monkeypatch):
+    """More unknowns than one solve takes: the vectors stay in Spark, the field is the same."""
+    p = np.random.default_rng(20).random((8, 2))
+    dst, n = p + 0.02 * p**2, np.tile([0.6, 0.8], (8, 1))
+    ties = spark.createDataFrame([(i, (i + 1) % 8, 1.0) for i in range(8)], "q long, r long, weight double")
+    match = engines.GivenEngine(spark.createDataFrame([(i, i, 0.0) for i in range(8)], "first long, second long, value double"))
+    field = engines.dense_warp_icp(with_normals(spark, dst, n), with_normals(spark, p, n), ties, match, dim=2, w_point=0.5, w_plane=1.0, max_iter=1, steps=1)
+    r0, t0 = node_transforms(field)
+    monkeypatch.setattr(warp, "ONE_SOLVE", 10)
+    monkeypatch.setattr(warp, "solve_at_once", None)
+    r1, t1 = node_transforms(field)
+    assert np.allclose(r0, r1, atol=1e-4) and np.allclose(t0, t1, atol=1e-4) and np.abs(t1).max() > 1e-3
+
+
 def test_warp_fields_on_frames(spark):
     p, n = surface(120)
     same = with_normals(spark, p, n)
@@ -306,7 +341,7 @@ def test_warp_fields_on_frames(spark):
     given = engines.GivenEngine(spark.createDataFrame([(i, i, 0.0) for i in range(120)], "first long, second long, value double"))
     field = engines.sparse_warp_icp(same, same, edges, arcs, given, w_point=1.0, max_iter=1, steps=1)
     x, _, done = field.run()
-    assert done and np.allclose(x, 0, atol=1e-6)
+    assert done and np.allclose([r.x for r in x.collect()], 0, atol=1e-6)
     bend = p + np.column_stack([0 * p[:, 0], 0 * p[:, 0], 0.05 * p[:, 0] ** 2])
     field = engines.sparse_warp_icp(with_normals(spark, bend, n), same, edges, arcs, given, w_point=1.0, w_plane=0.0, stiffness=1e-4, max_iter=1, steps=3)
     got = {r.id: np.array(r.p) for r in field.moved(field.run()[0]).collect()}
@@ -316,20 +351,20 @@ def test_warp_fields_on_frames(spark):
     own = [([i], [1.0]) for i in range(40)]
     d = ((src[:, None] - src) ** 2).sum(2)
     pairs = [(i, int(j), 1.0) for i in range(40) for j in np.argsort(d[i])[1:4]]
-    r0, t0 = warp.estimate_warp(src, dst, n[:40], [(i, i) for i in range(40)], own, pairs, 40, w_point=0.5, w_plane=1.0, max_iter=1)
+    r0, t0 = plain_warp.estimate_warp(src, dst, n[:40], [(i, i) for i in range(40)], own, pairs, 40, w_point=0.5, w_plane=1.0, max_iter=1)
     ties = spark.createDataFrame(pairs, "q long, r long, weight double")
     a, b = with_normals(spark, dst, n[:40]), with_normals(spark, src, n[:40])
     field = engines.dense_warp_icp(a, b, ties, engines.GivenEngine(given.pairs.where("first < 40")), w_point=0.5, w_plane=1.0, max_iter=1, steps=1)
-    r1, t1 = field.transforms(field.run()[0])
+    r1, t1 = node_transforms(field)
     assert np.allclose(r0, r1, atol=1e-4) and np.allclose(t0, t1, atol=1e-4)
     # affine fields and the plane, one step each
     for kind, dim in (("affine", 3), ("rigid", 2), ("affine", 2)):
         s2, d2, n2 = src[:20, :dim], dst[:20, :dim] + 0.01, n[:20, :dim]
         few = [q for q in pairs if max(q[:2]) < 20]
-        r0, t0 = warp.estimate_warp(s2, d2, n2, [(i, i) for i in range(20)], own[:20], few, 20, kind, w_point=0.5, w_plane=1.0, max_iter=1)
+        r0, t0 = plain_warp.estimate_warp(s2, d2, n2, [(i, i) for i in range(20)], own[:20], few, 20, kind, w_point=0.5, w_plane=1.0, max_iter=1)
         match = engines.GivenEngine(given.pairs.where("first < 20"))
         field = engines.dense_warp_icp(with_normals(spark, d2, n2), with_normals(spark, s2, n2), spark.createDataFrame(few, "q long, r long, weight double"), match, dim=dim, kind=kind, w_point=0.5, w_plane=1.0, max_iter=1, steps=1)
-        r1, t1 = field.transforms(field.run()[0])
+        r1, t1 = node_transforms(field)
         assert np.allclose(r0, r1, atol=1e-3) and np.allclose(t0, t1, atol=1e-3), (kind, dim)
 
 
@@ -388,10 +423,10 @@ def test_warp_identity_and_bend():
     own = [([i], [1.0]) for i in range(30)]
     d = ((x[:, None] - x) ** 2).sum(2)
     arcs = [(i, j, 1.0) for i in range(30) for j in np.argsort(d[i])[1:5]]
-    r, t = warp.estimate_warp(x, x, None, [(i, i) for i in range(30)], own, arcs, 30, w_point=1.0, w_plane=0.0)
+    r, t = plain_warp.estimate_warp(x, x, None, [(i, i) for i in range(30)], own, arcs, 30, w_point=1.0, w_plane=0.0)
     assert np.allclose(r, np.eye(3), atol=1e-6) and np.allclose(t, 0, atol=1e-6)
     y = x + 0.05 * x[:, :1] ** 2
-    r, t = warp.estimate_warp(x, y, None, [(i, i) for i in range(30)], own, arcs, 30, w_point=1.0, w_plane=0.0, stiffness=1e-3)
+    r, t = plain_warp.estimate_warp(x, y, None, [(i, i) for i in range(30)], own, arcs, 30, w_point=1.0, w_plane=0.0, stiffness=1e-3)
     assert np.abs(np.einsum("nij,nj->ni", r, x) + t - y).max() < 0.01
 
 
