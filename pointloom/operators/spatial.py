@@ -60,20 +60,33 @@ class Hull:
         return float(sum(abs(np.linalg.det(self.points[list(s)] - c)) for s in self.simplices) / factorial(d))
 
 
-def _plane(p: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, float]:
-    _, _, vt = np.linalg.svd(p[1:] - p[0])
-    n = vt[-1]
-    d = -float(n @ p[0])
-    return (n, d) if n @ inside + d <= 0 else (-n, -d)
+def _planes(p: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(normals, offsets) of simplices [n, d, d], outward."""
+    e = p[:, 1:] - p[:, :1]
+    n = np.linalg.svd(e)[2][:, -1] if len(p) else np.empty((0, len(inside)))
+    b = -(n * p[:, 0]).sum(1)
+    out = np.where(n @ inside + b <= 0, 1.0, -1.0)
+    return n * out[:, None], b * out
+
+
+def _farthest(x: np.ndarray, among: np.ndarray, height: np.ndarray, scale: float) -> int:
+    """The highest of the given rows; of equals the last by coordinates, which is a corner and not within an edge or a face."""
+    top = among[height >= height.max() - 1e-12 * scale]
+    return int(top[np.lexsort(x[top].T[::-1])[-1]]) if len(top) > 1 else int(top[0])
 
 
 def convex_hull(points: np.ndarray) -> Hull | None:
-    """Incremental hull in any dimension; None for fewer than d + 1 points in general position."""
+    """Hull in any dimension; None for fewer than d + 1 points in general position.
+
+    Each point outside is kept with one face that it lies above (its conflict). The highest point of a face's list replaces the faces that it sees, which are
+    found from neighbor to neighbor, and only the points of their lists are compared with the faces that come in.
+    """
     x = np.asarray(points, float)
     n, d = x.shape
     if n < d + 1:
         return None
-    first = [int(x[:, 0].argmin())]
+    every = np.arange(n)
+    first = [_farthest(x, every, -x[:, 0], 0.0)]
     scale = np.abs(x - x.mean(0)).max() or 1.0
     while len(first) < d + 1:  # the point farthest from the span of those so far
         e = x - x[first[0]]
@@ -83,39 +96,52 @@ def convex_hull(points: np.ndarray) -> Hull | None:
         far = np.linalg.norm(e, axis=1)
         if far.max() <= EPS * scale:
             return None
-        first.append(int(far.argmax()))
-    inside = x[first].mean(0)
-    faces = {}
-    for s in combinations(first, d):
-        faces[tuple(sorted(s))] = _plane(x[list(s)], inside)
-    for i in sorted(set(range(n)) - set(first), key=lambda i: -np.linalg.norm(x[i] - inside)):
-        seen = [f for f, (a, b) in faces.items() if a @ x[i] + b > EPS * scale]
-        if not seen:
-            continue
-        ridges: dict[tuple, int] = {}
-        for f in seen:
-            for r in combinations(f, d - 1):
-                ridges[r] = ridges.get(r, 0) + 1
+        first.append(_farthest(x, every, far, scale))
+    inside, least = x[first].mean(0), EPS * scale
+    faces: dict[int, tuple[tuple[int, ...], np.ndarray, float]] = {}
+    above: dict[int, np.ndarray] = {}  # face: the points kept with it
+    sides: dict[tuple, set[int]] = {}  # d - 1 corners: the two faces that share them
+    named = 0
+
+    def put(corners: list[tuple[int, ...]], loose: np.ndarray) -> None:
+        nonlocal named
+        normals, offsets = _planes(x[np.array(corners)], inside)
+        height = x[loose] @ normals.T + offsets
+        at = height.argmax(1) if len(loose) else np.empty(0, int)
+        up = height[np.arange(len(loose)), at] > least
+        for k, c in enumerate(corners):
+            faces[named] = (c, normals[k], float(offsets[k]))
+            mine = loose[up & (at == k)]
+            if len(mine):
+                above[named] = mine
+            for r in combinations(c, d - 1):
+                sides.setdefault(r, set()).add(named)
+            named += 1
+
+    put([tuple(sorted(s)) for s in combinations(first, d)], np.setdiff1d(every, first))
+    while above:
+        start = next(iter(above))
+        _, normal, offset = faces[start]
+        i = _farthest(x, above[start], x[above[start]] @ normal + offset, scale)
+        seen, rim, queue = {start}, [], [start]
+        while queue:
+            f = queue.pop()
+            for r in combinations(faces[f][0], d - 1):
+                for g in sides[r] - {f}:
+                    if g in seen:
+                        continue
+                    if faces[g][1] @ x[i] + faces[g][2] > least:
+                        seen.add(g)
+                        queue.append(g)
+                    else:
+                        rim.append(r)
+        loose = np.concatenate([above.pop(f) for f in seen if f in above])
         for f in seen:
+            for r in combinations(faces[f][0], d - 1):
+                sides[r].discard(f)
             del faces[f]
-        for r, k in ridges.items():
-            if k == 1:
-                f = tuple(sorted((*r, i)))
-                faces[f] = _plane(x[list(f)], inside)
-    return Hull(x, list(faces), np.array([a for a, _ in faces.values()]), np.array([b for _, b in faces.values()]))
-
-
-def hull_of(df: DataFrame, dim: int) -> tuple[Hull | None, list[int]]:
-    """Hull of a cloud and the ids of its points: each task keeps the vertices of its own part, the driver joins those."""
-
-    def local(batches):
-        for pdf in batches:
-            x = np.array(pdf["p"].tolist(), float).reshape(len(pdf), -1)
-            h = convex_hull(x) if len(pdf) else None
-            yield pdf if h is None else pdf.iloc[h.vertices]
-
-    rows = df.select("id", "p").mapInPandas(local, "id long, p array<double>").orderBy("id").collect()
-    return convex_hull(np.array([r["p"] for r in rows])) if rows else None, [r["id"] for r in rows]
+        put([tuple(sorted((*r, i))) for r in rim], loose[loose != i])
+    return Hull(x, [c for c, _, _ in faces.values()], np.array([a for _, a, _ in faces.values()]), np.array([b for _, _, b in faces.values()]))
 
 
 def maximize(c: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, bool]:

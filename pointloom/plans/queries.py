@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import product
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pointloom.functions import evaluators as ev
 from pointloom.functions.vectors import cross3, so2, unit, vadd, vdot, vsub
 from pointloom.operators.session import cut
-from pointloom.operators import cells, cloud, cluster, correspond, eigen, engines, graph, grid, neighbors, normals, ransac, registration, rgbd, spatial, stats, warp
+from pointloom.operators import cells, cloud, cluster, correspond, eigen, engines, graph, grid, hulls, neighbors, normals, ransac, registration, rgbd, spatial, stats, warp
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -762,8 +763,36 @@ def signed_distances(spark, d):
 
 @query()
 def convex_hull(spark, d):
-    h, ids = spatial.hull_of(orders3(spark, d), 3)
-    return spark.createDataFrame([(int(ids[i]), float(h.area()), float(h.volume())) for i in h.vertices], "id long, area double, volume double")
+    facets = hulls.hull_facets(orders3(spark, d), 3)
+    whole = hulls.hull_measures(facets, 3).select("area", "volume")
+    return hulls.hull_vertices(facets).crossJoin(F.broadcast(whole)).select("id", "area", "volume")  # one row
+
+
+# A closed surface around all points whose corners are rows: outermost values in fixed directions are those of all rows.
+LOOKS = [u for u in product((-1, 0, 1), repeat=3) if any(u)]
+
+
+@query(f"WITH {ORDERS} SELECT true AS closed, true AS fits, " + ", ".join(f"round(max({a} * x0 + {b} * x1 + {c} * x2), 9) + 0.0 AS far{i}" for i, (a, b, c) in enumerate(LOOKS)) + " FROM o")
+def hull_support(spark, d):
+    o = orders3(spark, d)
+    facets = cut(hulls.hull_facets(o, 3))
+    whole = hulls.hull_measures(facets, 3)
+    box = o.agg(*(f(F.col("p")[i]).alias(f"{n}{i}") for i in range(3) for n, f in (("lo", F.min), ("hi", F.max)))).select((F.col("hi0") - F.col("lo0")).alias("a"), (F.col("hi1") - F.col("lo1")).alias("b"), (F.col("hi2") - F.col("lo2")).alias("c"))
+    p = F.col("p")
+    far = o.join(hulls.hull_vertices(facets), "id").agg(*(r9(F.max(a * p[0] + b * p[1] + c * p[2])).alias(f"far{i}") for i, (a, b, c) in enumerate(LOOKS)))
+    sides = F.expr("2 * (a * b + b * c + a * c)")
+    one = whole.crossJoin(box).crossJoin(far)  # one row each
+    return one.select((F.col("gap") < 1e-9).alias("closed"), ((F.col("volume") > 0) & (F.col("volume") <= F.expr("a * b * c")) & (F.col("area") <= sides)).alias("fits"), *(f"far{i}" for i in range(len(LOOKS))))
+
+
+# In the plane SQL can say it all: a size's least and greatest prices can be corners, and two of them are an edge if all others lie on one side.
+@query(f"""WITH {PART}, e AS (SELECT x0, x1, min(id) AS id FROM p GROUP BY x0, x1), c AS (SELECT * FROM (SELECT *, min(x1) OVER (PARTITION BY x0) AS lo, max(x1) OVER (PARTITION BY x0) AS hi FROM e) WHERE x1 = lo OR x1 = hi),
+s AS (SELECT a.id AS a, b.id AS b, a.x0 AS ax1, a.x1 AS ay1, b.x0 AS bx1, b.x1 AS by1, min((b.x0 - a.x0) * (k.x1 - a.x1) - (b.x1 - a.x1) * (k.x0 - a.x0)) AS least FROM c a, c b, c k WHERE a.id <> b.id GROUP BY ALL),
+t AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY (bx1 - ax1) * (bx1 - ax1) + (by1 - ay1) * (by1 - ay1) DESC) AS n1, row_number() OVER (PARTITION BY b ORDER BY (bx1 - ax1) * (bx1 - ax1) + (by1 - ay1) * (by1 - ay1) DESC) AS n2 FROM s WHERE least >= -1e-9)
+SELECT least(a, b) AS a, greatest(a, b) AS b, round(sqrt((bx1 - ax1) * (bx1 - ax1) + (by1 - ay1) * (by1 - ay1)), 9) AS length FROM t WHERE n1 = 1 AND n2 = 1""")
+def hull_edges(spark, d):
+    v = F.col("vertices")
+    return hulls.hull_facets(part2(spark, d), 2).select(v[0].alias("a"), v[1].alias("b"), r9("area").alias("length"))
 
 
 # ---- robust fits and registration ----
