@@ -251,7 +251,21 @@ def corners(halfspaces: np.ndarray) -> tuple[np.ndarray, bool, np.ndarray | None
     for x in v:
         if not any(np.abs(x - y).max() <= reach for y in kept):
             kept.append(x)
-    return np.array(kept).reshape(-1, s.dim), bool(ends.all()), inside
+    return _settled(np.array(kept).reshape(-1, s.dim), np.asarray(halfspaces, float), reach), bool(ends.all()), inside
+
+
+def _settled(v: np.ndarray, h: np.ndarray, reach: float) -> np.ndarray:
+    """Corners, each solved again from the planes that meet in it, without the way there and back through the polar set."""
+    h = h / np.linalg.norm(h[:, :-1], axis=1, keepdims=True)
+    out = v.copy()
+    for i, x in enumerate(v):
+        meet = h[np.abs(h[:, :-1] @ x + h[:, -1]) <= reach]
+        if len(meet) != v.shape[1] or np.linalg.cond(meet[:, :-1]) > 1e6:
+            continue
+        y = np.linalg.solve(meet[:, :-1], -meet[:, -1])
+        if np.abs(y - x).max() <= reach:
+            out[i] = y
+    return out
 
 
 @dataclass
