@@ -7,7 +7,8 @@ words of a batch are segmented once each, side by side.
 
 Giant texts are cut into chunks at fixed places, wherever they fall. A chunk's transfer matrix gives the best score from each
 state at its left boundary (bytes of it that a piece from before takes) to each at its right. Matrices are combined in the
-max-plus algebra to the best score from every boundary state to the end; with these, each chunk is traced back on its own, for
+max-plus algebra, which is associative: two by two to one matrix for each block of chunks, from these to the best score from every state at a block's end to
+the text's end, and from that to every boundary within a block. With these scores each chunk is traced back on its own, for
 every state it may be entered in, and the states are then followed from chunk to chunk.
 
 The vocabulary's path is a parameter. Null and empty texts: no pieces. Repeated rows get equal results. An empty table gives an empty result. Other
@@ -31,6 +32,7 @@ from pointloom.llm.common import RollingHash, materialize, text_chunks
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 GIANT = 1 << 16  # bytes from which a text is cut
 CHUNK = 1 << 14
+BLOCK = 64  # chunks whose matrices one task combines
 LONG_WORD = 64  # bytes from which a word is segmented alone
 _BITS = 20
 NONE = -np.inf
@@ -298,11 +300,20 @@ def encode_giant(v: Vocabulary, buf: bytes, chunk: int = CHUNK) -> list[int]:
     return follow([chunk_trace(v, b, n, r) for (b, n), r in zip(pieces, behind, strict=True)])
 
 
-def boundary_values(matrices: list[np.ndarray]) -> list[np.ndarray]:
-    """For each chunk, the best score from each state at its right to the end of the text: a suffix scan of max-plus products."""
+def product_of(matrices: list[np.ndarray]) -> np.ndarray:
+    """One matrix for a run of chunks: neighbors combined two by two until one is left."""
+    while len(matrices) > 1:
+        matrices = [combine(*matrices[i : i + 2]) if i + 1 < len(matrices) else matrices[i] for i in range(0, len(matrices), 2)]
+    return matrices[0]
+
+
+def boundary_values(matrices: list[np.ndarray], end: np.ndarray | None = None) -> list[np.ndarray]:
+    """For each chunk, the best score from each state at its right to the end of the text: a suffix scan of max-plus products. end: the scores behind the last one."""
     states = matrices[0].shape[0]
     r = np.full((states, 1), NONE)
     r[0] = 0
+    if end is not None:
+        r = end[:, None]
     out = []
     for m in reversed(matrices):
         out.append(r[:, 0])
@@ -365,9 +376,20 @@ def giant_documents(rows: DataFrame, shared, ids_too: bool, kind: str) -> DataFr
             m = [chunk_matrix(vocab.value, x, n).ravel().tolist() for x, n in zip(b.column("body").to_pylist(), b.column("n").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("k"), b.column("c"), pa.array(m, pa.list_(pa.float64()))], names=["k", "c", "m"])
 
+    def square(m: pd.Series) -> list[np.ndarray]:
+        return [np.array(x).reshape(longest, longest) for x in m]
+
+    def block_product(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("c")
+        return pd.DataFrame({"k": pdf["k"].iloc[:1], "b": pdf["b"].iloc[:1], "m": [product_of(square(pdf["m"])).ravel()]})
+
+    def block_scan(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("b")
+        return pd.DataFrame({"k": pdf["k"], "b": pdf["b"], "end": boundary_values(square(pdf["m"]))})
+
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("c")
-        return pd.DataFrame({"k": pdf["k"], "c": pdf["c"], "behind": boundary_values([np.array(x).reshape(longest, longest) for x in pdf["m"]])})
+        return pd.DataFrame({"k": pdf["k"], "c": pdf["c"], "behind": boundary_values(square(pdf["m"]), np.array(pdf["end"].iloc[0]))})
 
     def trace(batches):
         for b in batches:
@@ -384,8 +406,11 @@ def giant_documents(rows: DataFrame, shared, ids_too: bool, kind: str) -> DataFr
         done = _digest(vocab.value, np.array(ids), raw)
         return pd.DataFrame({"k": [pdf["k"].iloc[0]], "n_tokens": [done[0]], "ids_sha256": [done[1]], "round_trip": [done[2]]})
 
-    m = chunks.mapInArrow(matrices, "k string, c int, m array<double>")
-    behind = m.groupBy("k").applyInPandas(scan, "k string, c int, behind array<double>")
+    # a text's chunks in blocks: products of blocks, the scan over these, then over the chunks of each block by itself
+    m = materialize(chunks.mapInArrow(matrices, "k string, c int, m array<double>").withColumn("b", F.floor(F.col("c") / BLOCK).cast("int")))
+    blocks = m.groupBy("k", "b").applyInPandas(block_product, "k string, b int, m array<double>")
+    ends = blocks.groupBy("k").applyInPandas(block_scan, "k string, b int, end array<double>")
+    behind = m.join(ends, ["k", "b"]).groupBy("k", "b").applyInPandas(scan, "k string, c int, behind array<double>")
     traced = chunks.join(behind, ["k", "c"]).mapInArrow(trace, "k string, c int, body binary, n int, heads array<array<int>>, rest array<int>, right array<int>")
     done = traced.groupBy("k").applyInPandas(joined, "k string, " + ("ids array<int>" if ids_too else DIGEST))
     return rows.select("row", "k").join(done, "k").drop("k")

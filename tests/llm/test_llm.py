@@ -474,6 +474,23 @@ def test_pieces(spark, odd, none, monkeypatch):
     assert op7.encode_documents(none, ["doc_id"]).count() == 0
 
 
+def test_pieces_by_blocks_of_chunks(spark, monkeypatch):
+    rng = np.random.default_rng(51)
+    m = [np.where(rng.random((6, 6)) < 0.3, op7.NONE, -rng.integers(1, 90, (6, 6)).astype(float)) for _ in range(11)]
+    plain = op7.boundary_values(m)
+    blocks = [m[i : i + 4] for i in range(0, 11, 4)]
+    ends = op7.boundary_values([op7.product_of(b) for b in blocks])
+    assert all(np.array_equal(a, b) for a, b in zip(plain, [r for b, e in zip(blocks, ends) for r in op7.boundary_values(b, e)]))
+    v = op7.Vocabulary.load()
+    texts = [prose(52, 900), "no_blank" * 700, prose(52, 900), "b " * 3000 + "\u65e5" * 900, prose(53, 40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(op7, "GIANT", 2000)
+    monkeypatch.setattr(op7, "CHUNK", 300)
+    monkeypatch.setattr(op7, "BLOCK", 4)
+    got = {r.doc_id: r.ids for r in op7.encode_documents(docs, ["doc_id"], ids_too=True).collect()}
+    assert all(got[i] == v.encode_one(op7.escaped(t.encode())) for i, t in enumerate(texts))
+
+
 def test_shards(spark, odd, none):
     docs = spark.createDataFrame([(i * i, prose(i, 5 + i % 90)) for i in range(2000)], "doc_id long, text string")
     got = op8.shard_documents(docs).toPandas().sort_values("doc_id")
