@@ -102,8 +102,8 @@ def hull_facets(df: DataFrame, dim: int, leaf: int = LEAF) -> DataFrame:
     of area * height / dim. Rows without finite coordinates take no part; a cloud in one plane, or none, has no facets.
 
     A facet belongs to the cell of directions that its normal falls in. A point is left out of a cell if another point, the outermost in the cell's middle, is
-    farther out in all of the cell's directions; cells with more than `leaf` points are halved along all sides. Cells that this does not make lighter hold
-    points of one plane, and parts of them keep their corners alone. So the driver holds the outermost points of the first cells and nothing else; what one
+    farther out in all of the cell's directions; cells with more than `leaf` points are halved along all sides. Of heavy first cells, and of cells that
+    halving does not make lighter since their points lie in one plane, parts of `leaf` points keep their own corners alone. So the driver holds the outermost points of the first cells and nothing else; what one
     task takes is a cell, or the corners of one facet where these are more.
     """
     spark = df.sparkSession
@@ -145,7 +145,7 @@ def hull_facets(df: DataFrame, dim: int, leaf: int = LEAF) -> DataFrame:
             for i, cell in enumerate(start):
                 keep = _reach(q - best[i], cell) >= -SAME
                 if keep.any():
-                    yield _batch(cell, ids[keep], q[keep], np.iinfo(np.int64).max, False)
+                    yield _batch(cell, ids[keep], q[keep], 0, False)
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -158,7 +158,7 @@ def hull_facets(df: DataFrame, dim: int, leaf: int = LEAF) -> DataFrame:
             for k, cell in enumerate(cells.tolist()):
                 at = np.flatnonzero(where.ravel() == k)
                 c = int(n[at[0]])
-                light = c <= leaf or (c > 0.6 * before[at[0]] and c <= PLANE * leaf) or cell[1] >= DEEPEST
+                light = c <= leaf or (c > 0.6 * before[at[0]] > 0 and c <= PLANE * leaf) or cell[1] >= DEEPEST
                 for part in [cell] if light else _children(cell):
                     keep = at[_reach(q[at] - top[at], part) >= -SAME]
                     if len(keep):
