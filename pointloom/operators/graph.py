@@ -127,13 +127,19 @@ def reachable(edges: DataFrame, nodes: DataFrame, seeds: DataFrame) -> DataFrame
     return components(inside, nodes.join(found, "id", "left_semi"))
 
 
+def seeded(labels: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The labels (id, comp) of the components that hold a seed (id): what seeds reach where edges go both ways."""
+    found = labels.join(seeds.select("id").hint("merge"), "id", "left_semi").select("comp").distinct()
+    return labels.join(found.hint("merge"), "comp", "left_semi").select("id", "comp")
+
+
 def segments(labels: DataFrame, least: int = 1, most: int | None = None) -> DataFrame:
     """(id, cluster): components of a size within bounds, numbered by size, the largest first, ties by the least id; others null."""
     sizes = labels.groupBy("comp").agg(F.count("*").alias("size")).where(F.col("size") >= least)
     if most is not None:
         sizes = sizes.where(F.col("size") <= most)
     numbered = ranked(sizes, [F.desc("size"), "comp"], "cluster").withColumn("cluster", F.col("cluster").cast("int"))
-    return labels.join(numbered.select("comp", "cluster"), "comp", "left").select("id", "cluster")
+    return labels.join(numbered.select("comp", "cluster").hint("merge"), "comp", "left").select("id", "cluster")
 
 
 def cluster_members(labels: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from pointloom.functions.vectors import vdot
 from pointloom.operators.cells import L2, covariance_of, nearest_lists
-from pointloom.operators.neighbors import KNN, TREE_DIM, neighbors
+from pointloom.operators.neighbors import KNN, TREE_DIM, Radius, neighbors
+from pointloom.operators.reach import radius_sums
 from pointloom.operators.stats import grouped_mcd
 
 
@@ -21,9 +22,20 @@ def neighborhood_covariance(edges: DataFrame, cloud: DataFrame, dim: int) -> Dat
     j = j.select("q", "qp", F.zip_with("rp", "qp", lambda a, b: a - b).alias("p"))
     x = [F.col("p")[i] for i in range(dim)]
     sums = j.groupBy("q").agg(F.count("*").alias("count"), *(F.sum(x[i]).alias(f"t{i}") for i in range(dim)), *(F.sum(x[i] * x[k]).alias(f"u{i}{k}") for i in range(dim) for k in range(i, dim)))
+    return _of_sums(sums.join(own, "q"), dim)
+
+
+def _of_sums(sums: DataFrame, dim: int) -> DataFrame:
     n = F.col("count")
     cov = [((F.col(f"u{i}{k}") - F.col(f"t{i}") * F.col(f"t{k}") / n) / (n - 1)).alias(f"s{i}{k}") for i in range(dim) for k in range(i, dim)]
-    return sums.join(own, "q").select("q", "qp", "count", *((F.col(f"t{i}") / n + F.col("qp")[i]).alias(f"m{i}") for i in range(dim)), *cov)
+    return sums.select("q", "qp", "count", *((F.col(f"t{i}") / n + F.col("qp")[i]).alias(f"m{i}") for i in range(dim)), *cov)
+
+
+def radius_covariance(cloud: DataFrame, radius: float, dim: int) -> DataFrame:
+    """neighborhood_covariance of the points within the radius, without edges."""
+    pairs = [(i, k) for i in range(dim) for k in range(i, dim)]
+    m = lambda i: F.col("m")[i]
+    return _of_sums(radius_sums(cloud, cloud, radius, dim).select("q", "qp", m(0).cast("long").alias("count"), *(m(1 + i).alias(f"t{i}") for i in range(dim)), *(m(1 + dim + c).alias(f"u{i}{k}") for c, (i, k) in enumerate(pairs))), dim)
 
 
 def robust_covariance(edges: DataFrame, cloud: DataFrame, dim: int, **options) -> DataFrame:
@@ -44,8 +56,10 @@ def normals(cloud: DataFrame, spec, dim: int = 3, viewpoint=None, reference: str
         points = cloud.select("id", "p")
         cov = covariance_of(nearest_lists(points, points, spec.k, L2, dim), dim)
     elif covariance is None:
-        edges = neighbors(cloud, cloud, spec)
-        sums = neighborhood_covariance(edges, cloud, dim)
+        if isinstance(spec, Radius):
+            sums = radius_covariance(cloud, spec.radius**0.5 if spec.squared else spec.radius, dim)
+        else:
+            sums = neighborhood_covariance(neighbors(cloud, cloud, spec), cloud, dim)
         cov = sums.select("q", "qp", F.array(*(F.col(f"s{min(i, k)}{max(i, k)}") for i in range(dim) for k in range(dim))).alias("c"), "count")
     else:
         edges = neighbors(cloud, cloud, spec)

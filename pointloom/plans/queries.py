@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pointloom.functions import evaluators as ev
 from pointloom.functions.vectors import cross3, so2, unit, vadd, vdot, vsub
 from pointloom.operators.session import cut
-from pointloom.operators import cells, cloud, cluster, correspond, eigen, engines, graph, grid, hulls, neighbors, normals, ransac, registration, rgbd, spatial, stats, warp
+from pointloom.operators import cells, cloud, cluster, correspond, eigen, engines, graph, grid, hulls, neighbors, normals, ransac, reach, registration, rgbd, spatial, stats, warp
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -357,45 +357,40 @@ def nn_graph_adjacency_sym_sparse(spark, d):
 @query(f"{EDGES} SELECT q, count(*) AS degree FROM c WHERE v < 0.02::DOUBLE * 0.02::DOUBLE AND q <> r GROUP BY q")
 def nn_degree(spark, d):
     p = part2(spark, d)
-    return graph.degrees(neighbors.radius_join(p, p, 0.02), without_self=True)
+    return reach.radius_degrees(p, 0.02, 2, without_self=True)
 
 
 @query(f"{EDGES}, n AS (SELECT q, count(*) AS degree FROM c WHERE v < 0.02::DOUBLE * 0.02::DOUBLE GROUP BY q) SELECT max(degree) AS most, CAST(sum(degree) AS BIGINT) AS total FROM n")
 def nn_degree_max(spark, d):
     p = part2(spark, d)
-    return graph.degrees(neighbors.radius_join(p, p, 0.02)).agg(F.max("degree").alias("most"), F.sum("degree").alias("total"))
+    return reach.radius_degrees(p, 0.02, 2).agg(F.max("degree").alias("most"), F.sum("degree").alias("total"))
 
 
 REACH = f"{EDGES}, e AS (SELECT q, r FROM c WHERE v < 0.02::DOUBLE * 0.02::DOUBLE), t(a, b) AS (SELECT id, id FROM p UNION SELECT t.a, e.r FROM t JOIN e ON e.q = t.b), l AS (SELECT a AS id, min(b) AS comp FROM t GROUP BY a)"
 
 
 def _parts(spark, d):
-    p = part2(spark, d)
-    return p, neighbors.radius_join(p, p, 0.02)
+    return reach.radius_components(part2(spark, d), 0.02, 2)
 
 
 @query(f"{REACH} SELECT id, comp FROM l")
 def components_radius(spark, d):
-    p, e = _parts(spark, d)
-    return graph.components(e, p)
+    return _parts(spark, d)
 
 
 @query(f"{REACH}, s AS (SELECT comp, count(*) AS size FROM l GROUP BY comp HAVING count(*) BETWEEN 3 AND 50), k AS (SELECT comp, row_number() OVER (ORDER BY size DESC, comp) - 1 AS cluster FROM s) SELECT id, CAST(coalesce(cluster, -1) AS INT) AS cluster FROM l LEFT JOIN k USING (comp)")
 def components_size_filter(spark, d):
-    p, e = _parts(spark, d)
-    return graph.segments(graph.components(e, p), 3, 50).fillna(-1, ["cluster"])
+    return graph.segments(_parts(spark, d), 3, 50).fillna(-1, ["cluster"])
 
 
 @query(f"{REACH}, s AS (SELECT DISTINCT comp FROM l WHERE id % 10 = 0) SELECT id, comp FROM l JOIN s USING (comp)")
 def components_seeded(spark, d):
-    p, e = _parts(spark, d)
-    return graph.reachable(e, p, p.where("id % 10 = 0"))
+    return graph.seeded(_parts(spark, d), part2(spark, d).where("id % 10 = 0"))
 
 
 @query(f"{REACH}, s AS (SELECT comp, count(*) AS size, array_to_string(list_sort(list(id)), ',') AS ids FROM l GROUP BY comp HAVING count(*) >= 3) SELECT CAST(row_number() OVER (ORDER BY size DESC, comp) - 1 AS INT) AS cluster, ids FROM s")
 def cluster_members(spark, d):
-    p, e = _parts(spark, d)
-    return graph.cluster_members(graph.segments(graph.components(e, p), 3)).withColumn("ids", F.array_join("ids", ","))
+    return graph.cluster_members(graph.segments(_parts(spark, d), 3)).withColumn("ids", F.array_join("ids", ","))
 
 
 # ---- pair predicates ----
@@ -403,8 +398,8 @@ def cluster_members(spark, d):
 
 def _pairs(spark, d):
     p = part2(spark, d)
-    side = lambda k: p.select(F.col("id").alias("q" if k == 1 else "r"), F.array(F.cos("id"), F.sin("id")).alias(f"n{k}"), F.array(*((F.col("id") % m / m) for m in (3, 5, 7))).alias(f"c{k}"))
-    return neighbors.radius_join(p, p, 0.03).join(side(1), "q").join(side(2), "r")
+    side = lambda k: p.select("id", "p", F.array(F.cos("id"), F.sin("id")).alias(f"n{k}"), F.array(*((F.col("id") % m / m) for m in (3, 5, 7))).alias(f"c{k}"))
+    return neighbors.radius_join(side(1), side(2), 0.03, keep=(["n1", "c1"], ["n2", "c2"]))
 
 
 ANGLE = "acos(greatest(-1, least(1, cos(q) * cos(r) + sin(q) * sin(r))))"
@@ -512,8 +507,7 @@ def centroid(spark, d):
 
 @query(f"{EDGES}, j AS (SELECT q, x0, x1 FROM c JOIN p ON p.id = r WHERE v < 0.02::DOUBLE * 0.02::DOUBLE) SELECT q, count(*) AS count, round(avg(x0), 9) AS m0, round(avg(x1), 9) AS m1, round(covar_samp(x0, x0), 9) + 0.0 AS s00, round(covar_samp(x0, x1), 9) + 0.0 AS s01, round(covar_samp(x1, x1), 9) + 0.0 AS s11 FROM j GROUP BY q HAVING count(*) > 1")
 def neighborhood_cov(spark, d):
-    p, e = _parts(spark, d)
-    out = normals.neighborhood_covariance(e, p, 2).where("count > 1")
+    out = normals.radius_covariance(part2(spark, d), 0.02, 2).where("count > 1")
     return out.select("q", "count", *(r9(c).alias(c) for c in ("m0", "m1", "s00", "s01", "s11")))
 
 
