@@ -13,7 +13,8 @@ from pointloom.functions.vectors import METRICS, unit
 from pointloom.operators.eigen import largest_pairs
 from pointloom.operators.neighbors import GRID_DIM, radius_join
 from pointloom.operators.ranks import ranked
-from pointloom.operators.session import cut
+from pointloom.operators.reach import Around, distinct_points, finite, radius_sums
+from pointloom.operators.session import cut, cut_bare
 from pointloom.operators.stats import canonical_axes, covariance
 
 
@@ -61,12 +62,16 @@ def kmeans(df: DataFrame, centroids: np.ndarray, max_iter: int = 100, tol: float
     return centroids, assign(df, centroids, metric), rounds
 
 
-def shift_once(seeds: DataFrame, cloud: DataFrame, radius: float, kernel: Column | None = None, dim: int = 3) -> DataFrame:
-    """Each seed at the weighted mean of the points within the radius; NaN where there are none."""
-    w = kernel if kernel is not None else F.lit(1.0)
-    hits = radius_join(seeds, cloud, radius, dim=dim).withColumn("w", w).join(cloud.select(F.col("id").alias("r"), F.col("p").alias("rp")), "r")
-    means = hits.groupBy("q").agg(*((F.sum(F.col("w") * F.col("rp")[i]) / F.sum("w")).alias(f"m{i}") for i in range(dim)))
-    return seeds.select("id").join(means, F.col("id") == F.col("q"), "left").select("id", F.array(*(F.coalesce(F.col(f"m{i}"), F.lit(float("nan"))) for i in range(dim))).alias("p"))
+def shift_once(seeds: DataFrame, cloud: DataFrame, radius: float, kernel: Column | None = None, dim: int = 3, around: Around | None = None) -> DataFrame:
+    """Each seed at the weighted mean of the points within the radius; NaN where there are none. A column w of the cloud weighs its points; without a kernel no pair becomes a row. around: the cloud made ready for several steps."""
+    if kernel is None:
+        sums = around.sums(finite(seeds)).where(F.col("m")[0] > 0).select(F.col("id").alias("q"), F.col("p").alias("qp"), "m") if around else radius_sums(seeds.select("id", "p"), cloud, radius, dim, 1)
+        means = sums.select("q", *((F.col("qp")[i] + F.col("m")[1 + i] / F.col("m")[0]).alias(f"m{i}") for i in range(dim)))
+    else:
+        weighed = cloud.select("id", "p", F.col("p").alias("rp"), (F.col("w") if "w" in cloud.columns else F.lit(1.0)).alias("rw"))
+        hits = radius_join(seeds, weighed, radius, dim=dim, keep=([], ["rw", "rp"])).withColumn("w", kernel * F.col("rw"))
+        means = hits.groupBy("q").agg(*((F.sum(F.col("w") * F.col("rp")[i]) / F.sum("w")).alias(f"m{i}") for i in range(dim)))
+    return seeds.select("id").join(means.hint("merge"), F.col("id") == F.col("q"), "left").select("id", F.array(*(F.coalesce(F.col(f"m{i}"), F.lit(float("nan"))) for i in range(dim))).alias("p"))
 
 
 def greedy_modes(seeds: DataFrame, merge: float, dim: int) -> DataFrame:
@@ -102,14 +107,18 @@ def mean_shift(seeds: DataFrame, cloud: DataFrame, radius: float, merge: float,
     """(id, cluster, mode) of each seed: it moves until a step is shorter than tol, then joins the first cluster whose first member is nearer than merge; mode is the mean of a cluster's seeds.
 
     kernel: the weight of a neighbor, from the column value (the squared distance); all alike if None. A seed without neighbors stays where it is, as a
-    mode of its own. Clusters are numbered in the order of their first seeds.
+    mode of its own. Clusters are numbered in the order of their first seeds. Equal seeds go one way, so the first of them goes for all; equal points are weighed.
     """
     done: list[DataFrame] = []
-    now = cut(seeds.select("id", "p"))
+    ordinary = F.coalesce(F.forall("p", lambda x: F.abs(x) < float("inf")), F.lit(False))
+    alike = seeds.select("id", "p", F.when(ordinary, F.lit(0)).otherwise(F.col("id")).alias("own"))
+    firsts = cut(alike.groupBy("p", "own").agg(F.min("id").alias("id"), F.count("*").alias("w")))
+    now, cloud = firsts.select("id", "p"), cut(distinct_points(cloud))
+    around = Around(cloud, radius, dim, 1) if kernel is None else None
     for _ in range(max_iter):
-        step = shift_once(now, cloud, radius, kernel, dim).join(now.select("id", F.col("p").alias("old")), "id")
+        step = shift_once(now, cloud, radius, kernel, dim, around).join(now.select("id", F.col("p").alias("old")).hint("merge"), "id")
         alone = F.isnan(F.col("p")[0])
-        step = cut(step.select("id", F.when(alone, F.col("old")).otherwise(F.col("p")).alias("p"), (alone | (METRICS["l2"]("p", "old") < tol * tol)).alias("rests")))
+        step = cut_bare(step.select("id", F.when(alone, F.col("old")).otherwise(F.col("p")).alias("p"), (alone | (METRICS["l2"]("p", "old") < tol * tol)).alias("rests")))
         done.append(step.where("rests").select("id", "p"))
         now = step.where("NOT rests").select("id", "p")
         if now.limit(1).count() == 0:
@@ -118,9 +127,12 @@ def mean_shift(seeds: DataFrame, cloud: DataFrame, radius: float, merge: float,
         now = now.union(d)
     ended = cut(now)
     label = cut(greedy_modes(ended, merge, dim))
-    means = ended.join(label, "id").groupBy("first").agg(F.array(*(F.avg(F.col("p")[i]) for i in range(dim))).alias("mode"))
+    mean = lambda i: F.sum(F.col("p")[i] * F.col("w")) / F.sum("w")
+    means = ended.join(label.hint("merge"), "id").join(firsts.select("id", "w").hint("merge"), "id").groupBy("first").agg(F.array(*(mean(i) for i in range(dim))).alias("mode"))
     numbered = ranked(means, ["first"], "cluster")
-    return label.join(numbered, "first").select("id", F.col("cluster").cast("int").alias("cluster"), "mode")
+    found = label.join(numbered.hint("merge"), "first").select(F.col("id").alias("of"), F.col("cluster").cast("int").alias("cluster"), "mode")
+    every = alike.join(firsts.select("p", "own", F.col("id").alias("of")).hint("merge"), (alike["p"].eqNullSafe(firsts["p"])) & (alike["own"] == firsts["own"])).select(alike["id"], "of")
+    return every.join(found.hint("merge"), "of").select("id", "cluster", "mode")
 
 
 def laplacian(entries: DataFrame, kind: str = "normalized_symmetric") -> tuple[DataFrame, DataFrame]:

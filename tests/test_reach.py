@@ -76,3 +76,13 @@ def test_nearest_in_radius_as_by_all_edges(spark, points):
     got = neighbors.neighbors(cloud, cloud, neighbors.KNNInRadius(3, 0.06))
     cols = ["q", "r", "value", "rank"]
     assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
+
+
+def test_a_shift_of_many_points_needs_no_pairs(spark, points):
+    from pointloom.operators import cluster
+
+    cloud, near = cloud_of(spark, points), near_of(points, 0.1)
+    shifted = cluster.shift_once(cloud, cloud, 0.1, dim=2)
+    assert "Generate" not in shifted._jdf.queryExecution().executedPlan().toString()  # copies of rows for the cells around
+    got = {r.id: r.p for r in shifted.collect()}
+    np.testing.assert_allclose(np.array([got[i] for i in range(len(points))]), near @ points / near.sum(1)[:, None], atol=1e-9)
