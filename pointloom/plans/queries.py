@@ -305,7 +305,7 @@ def knn_user_metric(spark, d):
 @query()
 def knn_so2_all(spark, d):
     p = part2(spark, d)
-    return _hits(neighbors.block_knn(p, p, 4, "so2", 9))
+    return _hits(neighbors.so2_knn(p, p, 4, 9))
 
 
 @query()

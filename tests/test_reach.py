@@ -86,3 +86,15 @@ def test_a_shift_of_many_points_needs_no_pairs(spark, points):
     assert "Generate" not in shifted._jdf.queryExecution().executedPlan().toString()  # copies of rows for the cells around
     got = {r.id: r.p for r in shifted.collect()}
     np.testing.assert_allclose(np.array([got[i] for i in range(len(points))]), near @ points / near.sum(1)[:, None], atol=1e-9)
+
+
+@pytest.mark.parametrize("wide", [1.0, 9.0])
+def test_signed_angles_by_cells_as_by_all_blocks(spark, wide, monkeypatch):
+    monkeypatch.setattr(neighbors, "LEAF_ROWS", 30)
+    rng = np.random.default_rng(3)
+    p = np.stack([rng.random(500), rng.integers(-60, 60, 500) / 60 * wide + rng.integers(0, 3, 500) * 3e-10], 1)
+    cloud, cols = cloud_of(spark, p), ["q", "r", "value", "rank"]
+    got = neighbors.so2_knn(cloud, cloud, 4, 9)
+    assert "(cell" in got._jdf.queryExecution().analyzed().toString()  # not all pairs of blocks
+    want = neighbors.block_knn(cloud, cloud, 4, "so2", 9)
+    assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
