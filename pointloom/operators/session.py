@@ -3,21 +3,29 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df computed, written to the session's checkpoint folder and read from there. In local mode alone a temporary folder is set where none is."""
+def _set_folder(df: DataFrame) -> None:
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
         if not shared and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="pointloom-"))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df computed, written to the session's checkpoint folder and read from there. In local mode alone a temporary folder is set where none is."""
+    _set_folder(df)
     return df.checkpoint()
 
 
 def cut_bare(df: DataFrame) -> DataFrame:
-    """cut for loops whose columns are computed from the round before: a checkpoint keeps what the planner knows of its columns, and that would double with every round."""
-    return cut(df.mapInArrow(lambda batches: batches, df.schema))
+    """cut for loops that join a round with the one before: a checkpoint keeps the planner's estimate of its size, a product of those of joined sides, whose digits would multiply with every round. A written table has the size of its files."""
+    _set_folder(df)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/rounds-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
