@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 from pointloom.functions.vectors import finite
 from pointloom.operators.session import cut
 from pointloom.operators.spatial import Hull, convex_hull
+from pointloom.operators.stats import covariance
 
 LEAF = 400  # points of a cell that one task turns into facets
 FIRST_CELLS = 128  # most cells of the first pass, whose outermost points the driver holds
 PLANE = 20  # leaves' worth of points that a task also takes where neither halving nor keeping corners makes a cell lighter
 DEEPEST = 16  # halvings of a cell's sides; points of a cell this small are all but in one plane
+THIN = 128  # a cloud is widened where it is thinner, up to so many times
 SAME = 1e-9  # a distance that counts as none, in a cloud of size one
 ROWS = "cell array<int>, id long, q array<double>, s double, was long, final boolean"
 FACETS = "vertices array<long>, n array<double>, d double, area double, height double"
@@ -80,11 +82,11 @@ def _corners(q: np.ndarray) -> np.ndarray:
     return np.arange(len(q)) if h is None else np.array(h.vertices)
 
 
-def _merged(h: Hull) -> Iterator[tuple[set[int], np.ndarray, float, float]]:
-    """(corners, normal, offset, area) of the facets of a hull: simplices in one plane together, with the plane of the largest."""
+def _merged(h: Hull, back: np.ndarray) -> Iterator[tuple[set[int], np.ndarray, float, float]]:
+    """(corners, normal, offset, area) of the facets of a hull: simplices in one plane together, with the plane of the largest. Areas are those of the points taken back to the space they come from."""
     d = h.points.shape[1]
     s = np.array(h.simplices)
-    e = h.points[s[:, 1:]] - h.points[s[:, :1]]
+    e = (h.points[s[:, 1:]] - h.points[s[:, :1]]) @ back.T
     area = np.sqrt(np.maximum(0.0, np.linalg.det(e @ e.transpose(0, 2, 1)))) / factorial(d - 1)
     left = np.argsort(-area, kind="stable")
     while len(left):
@@ -108,15 +110,23 @@ def hull_facets(df: DataFrame, dim: int, leaf: int = LEAF) -> DataFrame:
     """
     spark = df.sparkSession
     x = df.where(F.col("p").isNotNull() & finite("p")).select("id", F.col("p").cast("array<double>").alias("p"))
-    ends = x.agg(*(f(F.col("p")[i]).alias(f"{n}{i}") for i in range(dim) for n, f in (("lo", F.min), ("hi", F.max), ("m", F.avg)))).first()
-    middle = np.array([ends[f"m{i}"] for i in range(dim)], float)
-    size = max((ends[f"hi{i}"] - ends[f"lo{i}"] for i in range(dim)), default=0.0) if ends["m0"] is not None else 0.0
-    if not size > 0:
+    middle, spread, n = covariance(x, dim)
+    if n < 2 or not np.isfinite(spread).all():
         return spark.createDataFrame([], FACETS)
+    axes = np.linalg.eigh(spread)[1].T
+    along = [sum((F.col("p")[j] - float(middle[j])) * float(a[j]) for j in range(dim)) for a in axes]
+    ends = x.agg(*(f(c) for c in along for f in (F.min, F.max))).first()
+    sides = np.array(ends[1::2]) - np.array(ends[::2])
+    if not sides.max() > 0:
+        return spark.createDataFrame([], FACETS)
+    # a long cloud is made as wide as it is long: its corners stay the same, and the normals of its facets do not crowd into a few cells
+    sides = np.maximum(sides, sides.max() / THIN)
     turn, _ = np.linalg.qr(np.random.default_rng(7).normal(size=(dim, dim)))  # so that no cell's side is along the axes of the data
+    turn = turn @ (axes / sides[:, None])
+    back = np.linalg.inv(turn)
 
     def scaled(batch: pa.RecordBatch) -> np.ndarray:
-        p = (_matrix(batch.column("p"), dim) - middle) / size
+        p = _matrix(batch.column("p"), dim) - middle
         return np.stack([sum(p[:, j] * turn[i, j] for j in range(dim)) for i in range(dim)], 1)  # by columns: equal points stay equal
 
     level = 0
@@ -124,24 +134,31 @@ def hull_facets(df: DataFrame, dim: int, leaf: int = LEAF) -> DataFrame:
         level += 1
     start = [[side, level, *k] for side in range(2 * dim) for k in product(range(1 << level), repeat=dim - 1)]
 
+    looks = np.stack([_score(np.eye(dim), cell) for cell in start], 1)
+
     def outermost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: list = [None] * len(start)
         for b in batches:
             q = scaled(b)
-            for i, cell in enumerate(start if len(q) else []):
-                s = _score(q, cell)
-                at = int(s.argmax())
-                if best[i] is None or s[at] > best[i][0]:
-                    best[i] = (float(s[at]), q[at])
+            if not len(q):
+                continue
+            s = q @ looks
+            for i, at in enumerate(s.argmax(0)):
+                if best[i] is None or s[at, i] > best[i][0]:
+                    best[i] = (float(s[at, i]), q[at])
         found = [(i, *b) for i, b in enumerate(best) if b is not None]
         yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2].tolist() for f in found], pa.list_(pa.float64()))], names=["i", "s", "q"])
 
     far = x.mapInArrow(outermost, "i int, s double, q array<double>").groupBy("i").agg(F.max(F.struct("s", "q"))["q"].alias("q")).collect()  # one a first cell
     best = {r["i"]: np.array(r["q"]) for r in far}
+    inner = convex_hull(np.unique(np.stack(list(best.values())), axis=0))  # what lies within it is no corner
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             q, ids = scaled(b), b.column("id").to_numpy(zero_copy_only=False)
+            if inner is not None:
+                out = (q @ inner.normals.T + inner.offsets).max(1, initial=-np.inf) >= -SAME
+                q, ids = q[out], ids[out]
             for i, cell in enumerate(start):
                 keep = _reach(q - best[i], cell) >= -SAME
                 if keep.any():
@@ -197,13 +214,15 @@ def hull_facets(df: DataFrame, dim: int, leaf: int = LEAF) -> DataFrame:
         axis, sign, low, high = _box(group.column("cell")[0].as_py())
         h = convex_hull(np.vstack([q, np.zeros(dim)]))  # with the middle, which is inside of every facet of the cloud
         rows = []
-        for corners, n, b, area in _merged(h) if h is not None else ():
+        for corners, n, b, area in _merged(h, back) if h is not None else ():
             if len(ids) in corners or sign * n[axis] <= 0:
                 continue
             u = np.delete(n, axis) / abs(n[axis])
             if (u >= low - 1e-7).all() and (u <= high + 1e-7).all():  # a facet on the border is found on both sides
                 m = turn.T @ n
-                rows.append((sorted(int(ids[i]) for i in corners), m.tolist(), float(b * size - m @ middle), area * size ** (dim - 1), -b * size))
+                length = float(np.sqrt(m @ m))
+                m = m / length
+                rows.append((sorted(int(ids[i]) for i in corners), m.tolist(), float(b / length - m @ middle), area, -b / length))
         kinds = (pa.list_(pa.int64()), pa.list_(pa.float64()), pa.float64(), pa.float64(), pa.float64())
         return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["vertices", "n", "d", "area", "height"])
 

@@ -62,3 +62,16 @@ def test_flat_empty_and_missing(spark):
     assert set(got) == {(0, 1), (0, 2), (1, 3), (2, 3)}
     h, ids = hulls.hull_of(cloud_of(spark, np.random.default_rng(3).random((500, 3))), 3)
     assert sorted(h.vertices) == list(range(len(ids)))
+
+
+def test_a_long_cloud_is_thinned_like_a_cube(spark, monkeypatch):
+    """A bar 60 times as long as wide, and its facets' areas in the bar's own measure: few rows are kept, in few rounds."""
+    x = np.random.default_rng(5).random((3000, 3)) * [1, 1, 60]
+    seen, cut = [], hulls.cut
+    monkeypatch.setattr(hulls, "cut", lambda df: seen.append(cut(df)) or seen[-1])
+    f = hulls.hull_facets(cloud_of(spark, x), 3)
+    h = spatial.convex_hull(x)
+    assert set(rows(f)) == {tuple(v) for v in h.facets()}
+    m = hulls.hull_measures(f, 3).first()
+    assert (m.area, m.volume) == pytest.approx((h.area(), h.volume()), rel=1e-9) and m.gap < 1e-9
+    assert seen[0].count() < 2 * len(x)
