@@ -105,11 +105,25 @@ def grouped_mcd(df: DataFrame, key: str, dim: int, **options) -> DataFrame:
     return df.select(key, "id", "p").groupBy(key).applyInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, mean array<double>, cov array<double>, valid boolean")
 
 
-def _robust_start(df: DataFrame, groups: list[str], trials: int, least: int, seed: int) -> DataFrame:
-    """(groups, t, id, p): for each trial the `least` rows of a group with the least hashes of id and trial."""
-    each = df.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
-    order = Window.partitionBy(*groups, "t").orderBy(F.xxhash64("id", F.col("t") + 1000 * seed), "id")
-    return each.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= least).drop("_n")
+FEW_KEYS = 2_000  # whose lines are broadcast
+PART_ROWS = 500_000  # rows of a key that one task meets
+GRID = 200  # marks of a sketch between which the rows to be ranked lie
+
+
+def _robust_start(df: DataFrame, groups: list[str], trials: int, least: int, seed: int, sizes: DataFrame | None = None) -> DataFrame:
+    """(groups, t, id, p): for each trial the `least` rows of a group with the least hashes of id and trial. Of groups with many rows (sizes: n), those of small hashes are enough."""
+    each = df.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).withColumn("_h", F.xxhash64("id", F.col("t") + 1000 * seed))
+    order = Window.partitionBy(*groups, "t").orderBy("_h", "id")
+    first = lambda rows: rows.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= least).select(*groups, "t", "id", "p")
+    if sizes is None:
+        return first(each)
+    below = F.least(F.lit(1.0), (100 + 20 * least) / F.col("n")) * 2.0**64 - 2.0**63
+    found = cut(first(each.join(sizes, [*groups, *(["_part"] if "_part" in sizes.columns else [])]).where(F.col("_h") <= below)))
+    counts = found.groupBy(*groups, "t").agg(F.count("*").alias("c"))
+    short = sizes.select(*groups, "n").distinct().join(counts, groups, "left").groupBy(*groups, "n").agg(F.sum("c").alias("c"))
+    if short.where(F.coalesce("c", F.lit(0)) < trials * F.least(F.lit(least), F.col("n"))).limit(1).count():  # ids that repeat share a hash
+        return first(each)
+    return found
 
 
 def _fits(rows: DataFrame, groups: list[str], dim: int) -> DataFrame:
@@ -132,25 +146,56 @@ def _far(dim: int) -> Column:
     return sum((gap[i] * gap[j] * F.col("inv")[i * dim + j] for i in range(dim) for j in range(dim)), F.lit(0.0))
 
 
+def _nearest(far: DataFrame, sizes: DataFrame, groups: list[str], lines) -> DataFrame:
+    """The rows (groups, _part, t, id, p, far) with the h least far of each group and trial, ties by id.
+
+    A sketch gives two values that the h-th lies between; rows below both are counted and taken, and only those between are ranked.
+    """
+    of = [*groups, "t"]
+    # shares are the same for every group but for h's rounding, so a sketch is asked for a grid of them
+    grid = [i / GRID for i in range(GRID + 1)]
+    marks = far.groupBy(*of).agg(F.percentile_approx("far", grid, 10 * GRID).alias("marks")).join(sizes, groups)
+    at = F.col("h") / F.col("n") * GRID
+    low = F.when(at > 2, F.get("marks", F.floor(at).cast("int") - 2)).otherwise(F.lit(float("-inf")))
+    high = F.when(at < GRID - 2, F.get("marks", F.ceil(at).cast("int") + 2)).otherwise(F.lit(float("inf")))
+    marks = cut(marks.select(*of, "h", low.alias("low"), high.alias("high")))
+    bounds = lines(marks.groupBy(*groups).agg(F.map_from_entries(F.collect_list(F.struct("t", F.struct("low", "high")))).alias("b")))
+    seen = far.join(bounds, [*groups, "_part"]).withColumn("b", F.col("b")[F.col("t")])
+    inside = seen.where("far < b.low").select(*of, "id", "p")
+    rest = cut(seen.where("far >= b.low AND far <= b.high OR isnan(far)").select(*of, "far", "id", "p"))
+    below = cut(marks.join(inside.groupBy(*of).agg(F.count("*").alias("below")), of, "left").select(*of, (F.col("h") - F.coalesce("below", F.lit(0))).alias("wanted")))
+    # a line for each group and trial, met by ranked rows of partitions, not of groups
+    more = ranked(rest, [*of, "far", "id"], "_rank", groups=of, lines=below).where("_rank < wanted").select(*of, "id", "p")
+    return inside.union(more)
+
+
 def fast_mcd(df: DataFrame, dim: int, key: str | None = None, trials: int = 6, steps: int = 3, share: float = 0.75, least: int = 2, chi2: float = -1.0, seed: int = 0) -> DataFrame:
     """(key, mean, cov, valid, dets): the minimum covariance determinant of all points (id, p), or of those of each key, however many a key has.
 
-    As mcd, of which each trial starts from max(least, 2) rows, here those of the least hashes. A concentration step gives every row its distance, ranks
-    rows within key and trial by ranges (no group in one task) and fits the h nearest: their mean and covariance are one aggregation. dets: the best trial's
+    As mcd, of which each trial starts from max(least, 2) rows, here those of the least hashes. A concentration step gives every row its distance
+    and fits the h nearest: their mean and covariance are one aggregation. Rows near the h-th are ranked within key and trial by ranges, so no group lies in one task. dets: the best trial's
     determinants after each step, which never rise. Keys with a single row are left out. Only a line for each key and trial is ever joined to the rows.
     """
     groups = [key] if key else ["_all"]
-    base = cut((df if key else df.withColumn("_all", F.lit(0))).select(*groups, "id", "p"))
+    base = (df if key else df.withColumn("_all", F.lit(0))).select(*groups, "id", "p")
     sizes = base.groupBy(*groups).agg(F.count("*").alias("n"), F.min("id").alias("first"))
     h = F.least(F.greatest(F.lit(least), F.round(F.lit(share) * F.col("n")).cast("long")), F.col("n"))
     sizes = cut(sizes.withColumn("h", F.when(F.col("n") <= least, F.col("n")).otherwise(h)))
-    fit = cut(_fits(_robust_start(base, groups, trials, max(least, 2), seed), groups, dim).withColumn("dets", F.array().cast("array<double>")))
+    # rows of a key that has many are dealt to parts, each of which meets a copy of the key's line
+    ways = sizes.select(*groups, F.ceil(F.col("n") / PART_ROWS).cast("int").alias("_ways")).where("_ways > 1")  # a line for each PART_ROWS rows at most
+    base = base.join(F.broadcast(ways), groups, "left")
+    base = cut(base.withColumn("_part", F.pmod(F.xxhash64("id"), F.coalesce("_ways", F.lit(1))).cast("int")).drop("_ways"))
+    every = lambda df: df.join(ways, groups, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_ways", F.lit(1)) - 1))).drop("_ways")
+    few = sizes.limit(FEW_KEYS + 1).count() <= FEW_KEYS
+    lines = (lambda df: F.broadcast(every(df))) if few else every  # with few keys the rows stay where they are
+    fit = cut(_fits(_robust_start(base, groups, trials, max(least, 2), seed, lines(sizes.select(*groups, "n"))), groups, dim).withColumn("dets", F.array().cast("array<double>")))
     for _ in range(steps):
-        far = base.join(fit.select(*groups, "t", "m", "inv"), groups).select(*groups, "t", "id", "p", _far(dim).alias("far"))
-        near = ranked(far, [*groups, "t", "far", "id"], "_rank", groups=[*groups, "t"]).join(sizes.select(*groups, "h"), groups).where("_rank < h")
+        fits = lines(fit.groupBy(*groups).agg(F.collect_list(F.struct("t", "m", "inv")).alias("f")))
+        far = base.join(fits, [*groups, "_part"]).select(*groups, "_part", "id", "p", F.explode("f").alias("f")).select(*groups, "_part", "id", "p", "f.*").select(*groups, "_part", "t", "id", "p", _far(dim).alias("far"))
+        near = _nearest(far, sizes.select(*groups, "h", "n"), groups, lines)
         fit = cut(_fits(near, groups, dim).join(fit.select(*groups, "t", "dets"), [*groups, "t"]).withColumn("dets", F.concat("dets", F.array("det"))))
     best = fit.where(F.col("det").isNotNull() & ~F.isnan("det")).groupBy(*groups).agg(F.min_by(F.struct("m", "c", "inv", "dets"), F.struct("det", "t")).alias("b"))
-    found = best.join(sizes, groups).join(base.select(*groups, F.col("id").alias("first"), "p"), [*groups, "first"])
+    found = lines(best.join(sizes, groups)).join(base.select(*groups, "_part", F.col("id").alias("first"), "p"), [*groups, "_part", "first"])
     found = found.select(*groups, F.col("b.m").alias("m"), F.col("b.c").alias("cov"), F.col("b.inv").alias("inv"), F.col("b.dets").alias("dets"), "p")
     valid = F.lit(True) if chi2 <= 0 else _far(dim) <= chi2
     return found.select(*([key] if key else []), F.col("m").alias("mean"), "cov", valid.alias("valid"), "dets")

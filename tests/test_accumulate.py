@@ -86,3 +86,23 @@ def test_small_sets_of_the_large_method(spark):
     got = {r.k: r for r in stats.fast_mcd(df, 2, "k").collect()}
     assert sorted(got) == [0] and got[0]["mean"] == [2.0, 2.0]
     assert stats.fast_mcd(df.where("false"), 2).count() == 0
+
+
+def test_the_nearest_rows_of_large_sets_meet_in_no_task(spark, monkeypatch):
+    """Alike with lines broadcast and met in parts, with ties. What is ranked is near the h-th row."""
+    rng = np.random.default_rng(6)
+    x = np.vstack([rng.normal(size=(3000, 2)), np.tile(rng.normal(size=(300, 2)), (10, 1))])
+    df = spark.createDataFrame([(i, i % 2, [float(v) for v in p]) for i, p in enumerate(x)], "id long, k long, p array<double>")
+    ranked, seen = stats.ranked, []
+    monkeypatch.setattr(stats, "ranked", lambda rows, *a, **o: seen.append(rows.count()) or ranked(rows, *a, **o))
+    want = {}
+    for few in (2000, 0):
+        monkeypatch.setattr(stats, "FEW_KEYS", few), monkeypatch.setattr(stats, "PART_ROWS", 500)
+        got = {r.k: (np.array(r.mean), np.array(r.dets)) for r in stats.fast_mcd(df, 2, "k", trials=2, steps=1).collect()}
+        want = want or got
+        assert all(np.allclose(got[k][0], want[k][0], atol=1e-12) and np.allclose(got[k][1], want[k][1], rtol=1e-9) for k in (0, 1)) and len(got) == 2
+    assert max(seen) < 2 * len(x) / 10
+    for k in (0, 1):
+        mine = x[k::2]
+        d = want[k][1]
+        assert d[-1] < np.linalg.det(np.cov(mine.T))
