@@ -397,8 +397,8 @@ def fitted(r: DataFrame, cells, metric: Metric, k: int, rows: int) -> tuple[obje
     return cells, r
 
 
-def nearest_lists(q: DataFrame, r: DataFrame, k: int, metric: Metric = L2, dim: int = 3, pivots: bool = False) -> DataFrame:
-    """(q, qp, nn) of every query with a hit: nn the k nearest rows (value, r, rp) in order, ties by id."""
+def nearest_lists(q: DataFrame, r: DataFrame, k: int, metric: Metric = L2, dim: int = 3, pivots: bool = False, points: bool = True) -> DataFrame:
+    """(q, qp, nn) of every query with a hit: nn the k nearest rows (value, r, rp) in order, ties by id. points: False leaves qp and rp empty, so that lists move without coordinates."""
     same = q is r
     r = finite(r)
     kind = Pivots(dim) if pivots else Tree(dim)
@@ -417,13 +417,16 @@ def nearest_lists(q: DataFrame, r: DataFrame, k: int, metric: Metric = L2, dim:
         right = right.join(ways, "cell", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("ways", F.lit(1)) - 1))).drop("ways")
         return left.groupBy("cell", "part").cogroup(right.groupBy("cell", "part")).applyInArrow(body, schema)
 
-    def lists(q_ids, q_x, r_ids, r_x, i, j, v) -> list[pa.Array]:
+    def lists(q_ids, q_x, r_ids, r_x, i, j, v, own=points) -> list[pa.Array]:
         """Columns q, qp, nn of the queries, hits grouped by query in order."""
         order = np.lexsort((r_ids[j], v, i))
         i, j, v = i[order], j[order], v[order]
         at = pa.array(np.searchsorted(i, np.arange(len(q_ids) + 1)).astype(np.int32))
-        width = q_x.shape[1]
-        of = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, width * len(x) + 1, max(1, width), dtype=np.int32)[: len(x) + 1]), pa.array(x.ravel()))
+        if not points:
+            r_x = r_x[:, :0]
+        if not own:
+            q_x = q_x[:, :0]
+        of = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
         hits = pa.StructArray.from_arrays([pa.array(v, pa.float64()), pa.array(r_ids[j]), of(r_x[j])], names=["value", "r", "rp"])
         return [pa.array(q_ids), of(q_x), pa.ListArray.from_arrays(at, hits)]
 
@@ -442,7 +445,7 @@ def nearest_lists(q: DataFrame, r: DataFrame, k: int, metric: Metric = L2, dim:
         a, c = a[away], c[away]
         order = np.argsort(a, kind="stable")
         at = pa.array(np.searchsorted(a[order], np.arange(len(q_ids) + 1)).astype(np.int32))
-        return pa.table([*lists(q_ids, q_x, r_ids, r_x, i, j, v), pa.ListArray.from_arrays(at, pa.array(c[order].astype(np.int64))), pa.array(bound)], names=[*names, "visit", "bound"])
+        return pa.table([*lists(q_ids, q_x, r_ids, r_x, i, j, v, True), pa.ListArray.from_arrays(at, pa.array(c[order].astype(np.int64))), pa.array(bound)], names=[*names, "visit", "bound"])
 
     def visiting(left: pa.Table, right: pa.Table) -> pa.Table:
         q_ids, q_x, r_ids, r_x = left.column("id").to_numpy(), points_of(left.column("p")), right.column("id").to_numpy(), points_of(right.column("p"))
@@ -452,14 +455,15 @@ def nearest_lists(q: DataFrame, r: DataFrame, k: int, metric: Metric = L2, dim:
 
     home = met(queries, refs, None, at_home, f"{NEAREST}, visit array<long>, bound double")
     if cells.cells == 1:
-        return home.select(*names).where(F.size("nn") > 0)
+        return home.select("q", (F.col("qp") if points else F.slice("qp", 1, 0)).alias("qp"), "nn").where(F.size("nn") > 0)
     home = cut(home)
     visits = home.where(F.size("visit") > 0).select(F.explode("visit").alias("cell"), F.col("q").alias("id"), F.col("qp").alias("p"), "bound")
     away = met(visits, refs, None, visiting, NEAREST)
-    several = home.where(F.size("visit") > 0).select(*names).union(away)
+    own = F.col("qp") if points else F.slice("qp", 1, 0)
+    several = home.where(F.size("visit") > 0).select("q", own.alias("qp"), "nn").union(away)
     # as many lists as cells were visited, of k hits each
     merged = several.groupBy("q").agg(F.first("qp").alias("qp"), F.slice(F.array_sort(F.flatten(F.collect_list("nn"))), 1, k).alias("nn"))
-    return home.where(F.size("visit") == 0).select(*names).union(merged).where(F.size("nn") > 0)
+    return home.where(F.size("visit") == 0).select("q", own.alias("qp"), "nn").union(merged).where(F.size("nn") > 0)
 
 
 def edges_of(lists: DataFrame) -> DataFrame:

@@ -123,3 +123,12 @@ def test_normals_equal_those_from_edges(spark, small):
     a = {r.id: (r.n, r.curvature) for r in normals.normals(cloud, neighbors.KNN(9)).collect()}
     b = {r.id: (r.n, r.curvature) for r in normals.normals(cloud, neighbors.KNN(9), covariance=lambda e, c, dim: normals.neighborhood_covariance(e, c, dim).select("q", "qp", F.array(*(F.col(f"s{min(i, k)}{max(i, k)}") for i in range(3) for k in range(3))).alias("c"), "count")).collect()}
     assert all(np.allclose(a[i][0], b[i][0], atol=1e-7) and abs(a[i][1] - b[i][1]) < 1e-9 for i in range(700))
+
+
+@pytest.mark.parametrize("pivots", [False, True])
+def test_lists_move_without_coordinates(spark, small, pivots):
+    x = np.random.default_rng(9).random((700, 3))
+    cloud = frame(spark, x)
+    got = cells.nearest_lists(cloud, cloud, 4, pivots=pivots, points=False).collect()
+    assert {r.q: [(n.value, n.r) for n in r.nn] for r in got} == plain(x, x, 4)
+    assert all(not r.qp and not any(n.rp for n in r.nn) for r in got)
