@@ -14,10 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.operators.session import cut
+from pointloom.operators.session import Rounds, cut
 
 MOST_VECTORS = 96  # of the basis; beyond, it is restarted from its best vectors
 WIDTH = 8  # vectors of a block, at least
+PART_ROWS = 50_000  # nodes whose entries lie in one partition, about
 DROP = 1e-14  # of a block's size, squared: directions below are as good as in the basis
 
 
@@ -72,10 +73,20 @@ def largest_pairs(entries: DataFrame, nodes: DataFrame, k: int, tol: float = 5e-
     Each has a residual of norm below tol. An eigenvalue is found as often as it occurs, up to WIDTH times, or k + 2.
     """
     width, most = max(k + 2, WIDTH), max(most or MOST_VECTORS, 4 * (k + 2))
-    entries = cut(entries.select("row", "col", "value"))
+    entries, nodes = cut(entries.select("row", "col", "value")), cut(nodes.select(F.col("id").cast("long").alias("id")))
+    # the entries stay where their columns are joined; of the tables of vectors the disk holds two
+    parts = 1 + max(nodes.count() // PART_ROWS, nodes.sparkSession.sparkContext.defaultParallelism)
+    dealt, tables = entries.repartition(parts, "col").persist(), Rounds(nodes, 2)
+    try:
+        return _largest_pairs(dealt, nodes, k, tol, seed, width, most, max_steps, tables)
+    finally:
+        dealt.unpersist()
+
+
+def _largest_pairs(entries: DataFrame, nodes: DataFrame, k: int, tol: float, seed: int, width: int, most: int, max_steps: int, tables: Rounds) -> tuple[np.ndarray, DataFrame]:
     # a start that every run draws alike
     draw = F.array(*((F.xxhash64("id", F.lit(seed * 1000 + j)) / F.lit(2.0**63)) for j in range(width)))
-    state = cut(nodes.select(F.col("id").cast("long").alias("id"), F.array().cast("array<double>").alias("q"), draw.alias("w")))
+    state = tables.written(nodes.select("id", F.array().cast("array<double>").alias("q"), draw.alias("w")))
     m, h = 0, np.zeros((0, 0))
     for _ in range(max_steps):
         # first pass: products with the basis and within the block
@@ -114,9 +125,9 @@ def largest_pairs(entries: DataFrame, nodes: DataFrame, k: int, tol: float = 5e-
         h = np.pad(h, ((0, r), (0, r)))
         m, width = m + r, r
         block = longer.select(F.col("id").alias("col"), F.col("w").alias("x"))
-        sums = entries.join(block, "col").groupBy("row").agg(*(F.sum(F.col("value") * F.col("x")[j]).alias(f"s{j}") for j in range(r)))
+        sums = entries.join(block.hint("merge"), "col").groupBy("row").agg(*(F.sum(F.col("value") * F.col("x")[j]).alias(f"s{j}") for j in range(r)))
         image = F.array(*(F.coalesce(f"s{j}", F.lit(0.0)) for j in range(r)))
-        state = cut(longer.join(sums.withColumnRenamed("row", "_row"), F.col("id") == F.col("_row"), "left").select("id", "q", image.alias("w")))
+        state = tables.written(longer.join(sums.withColumnRenamed("row", "_row").hint("merge"), F.col("id") == F.col("_row"), "left").select("id", "q", image.alias("w")))
     raise ArithmeticError(f"no convergence within {max_steps} steps")
 
 

@@ -29,3 +29,17 @@ def cut_bare(df: DataFrame) -> DataFrame:
     path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/rounds-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Rounds:
+    """Tables of a loop in the checkpoint folder. Each is written over the one before the last `most`, so that the disk holds what the loop still reads, not its history."""
+
+    def __init__(self, df: DataFrame, most: int):
+        _set_folder(df)
+        self.folder, self.most, self.count = f"{df.sparkSession.sparkContext.getCheckpointDir()}/loop-{uuid.uuid4().hex}", most, 0
+
+    def written(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{self.count % self.most}"
+        self.count += 1
+        df.write.mode("overwrite").parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)

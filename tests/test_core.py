@@ -1,5 +1,6 @@
 """Fixtures with known answers, invariants, and the SQL oracles on the smallest tables."""
 
+import glob
 import os
 
 import numpy as np
@@ -494,6 +495,18 @@ def test_eigenpairs_with_repeats(spark, most):
     assert eigen.residuals(entries, vectors, values).where("residual > 1e-6").count() == 0
 
 
+def test_eigenpairs_leave_no_history_on_disk(spark):
+    """However many steps, the tables of vectors on disk are two, beside the entries, the nodes and the result."""
+    a = np.linalg.qr(np.random.default_rng(13).standard_normal((60, 60)))[0]
+    a = a @ np.diag(np.linspace(-0.9, 0.99, 60)) @ a.T
+    entries = spark.createDataFrame([(i, j, float(a[i, j])) for i in range(60) for j in range(60)], "row long, col long, value double")
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
+    under = lambda: {p for p in glob.glob(f"{folder.removeprefix('file:')}/**/*", recursive=True) if glob.glob(f"{p}/part-*")}
+    before = under()
+    values, _ = eigen.largest_pairs(entries, spark.createDataFrame([(i,) for i in range(60)], "id long"), 2, most=16)
+    assert np.allclose(values, np.linspace(-0.9, 0.99, 60)[:-3:-1], atol=1e-9) and len(under() - before) <= 5
+
+
 @pytest.mark.parametrize("kind", ["unnormalized", "normalized_symmetric", "normalized_random_walk"])
 def test_laplacian_embeddings(spark, kind):
     rng = np.random.default_rng(17)
