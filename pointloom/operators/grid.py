@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Protocol
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -97,6 +98,8 @@ class Accumulator(Protocol):
 
 
 MOST_STATES = 50_000  # states that a task holds before it sends them on
+HELD_BYTES = 64 << 20  # of points, which a task puts in the order of their voxels
+SLICE_ROWS = 10_000  # of these that are lists at a time, about
 
 
 def accumulate_with(df: DataFrame, bins: list[float], accumulator: Accumulator) -> DataFrame:
@@ -111,17 +114,34 @@ def accumulate_with(df: DataFrame, bins: list[float], accumulator: Accumulator)
             held.clear()
             return out
 
+        def fold(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            """Rows of a voxel side by side, so that the accumulator is asked once for all of them."""
+            voxels = np.stack([v for c in (rows.column(f"g{i}") for i in range(d)) for v in (c.fill_null(0).to_numpy(), c.is_valid().to_numpy().astype(int))], 1)
+            order = np.lexsort(voxels.T[::-1])
+            voxels, rows = voxels[order], rows.select(names).take(pa.array(order))
+            starts = np.flatnonzero(np.concatenate([[True], (voxels[1:] != voxels[:-1]).any(1)]))
+            ends = np.append(starts[1:], len(voxels))
+            for some in np.split(np.arange(len(starts)), np.flatnonzero(np.diff(starts // SLICE_ROWS)) + 1):
+                low = int(starts[some[0]])
+                points = {c: rows.column(c).slice(low, int(ends[some[-1]]) - low).to_pylist() for c in names}
+                for k, at, end in zip(voxels[starts[some]].tolist(), (starts[some] - low).tolist(), (ends[some] - low).tolist(), strict=True):
+                    key = tuple(v if there else None for v, there in zip(k[::2], k[1::2], strict=True))
+                    state = accumulator.build({c: v[at:end] for c, v in points.items()})
+                    old = held.get(key)
+                    held[key] = [end - at, state] if old is None else [old[0] + end - at, accumulator.merge(old[1], state)]
+                if len(held) > MOST_STATES:
+                    yield sent()
+
+        waiting, size = [], 0
         for b in batches:
-            table = pa.Table.from_batches([b])
-            keys = [f"g{i}" for i in range(d)]
-            of = table.append_column("at", pa.array(range(b.num_rows), pa.int64())).group_by(keys).aggregate([("at", "list")])
-            for *key, at in zip(*(of.column(k).to_pylist() for k in keys), of.column("at_list").to_pylist(), strict=True):
-                mine = table.take(at)
-                state, key = accumulator.build({c: mine.column(c).to_pylist() for c in names}), tuple(key)
-                old = held.get(key)
-                held[key] = [len(at), state] if old is None else [old[0] + len(at), accumulator.merge(old[1], state)]
-            if len(held) > MOST_STATES:
-                yield sent()
+            if b.num_rows:
+                waiting.append(b)
+                size += b.nbytes
+            if size > HELD_BYTES:
+                yield from fold(pa.Table.from_batches(waiting))
+                waiting, size = [], 0
+        if waiting:
+            yield from fold(pa.Table.from_batches(waiting))
         if held:
             yield sent()
 
@@ -129,15 +149,31 @@ def accumulate_with(df: DataFrame, bins: list[float], accumulator: Accumulator)
     states = with_grid(df, bins).select(*(f"g{i}" for i in range(d)), *names).mapInArrow(partial, f"{keys}, count long, state array<double>")
     result = StructType.fromDDL(accumulator.schema)
 
-    def merged(group: pa.Table) -> pa.Table:
-        first, *others = group.column("state").to_pylist()
-        for s in others:
-            first = accumulator.merge(first, s)
-        values = accumulator.finish(first)
-        kinds = to_arrow_schema(result)
-        return pa.table([*(group.column(f"g{i}").slice(0, 1) for i in range(d)), pa.array([sum(group.column("count").to_pylist())]), *(pa.array([v], f.type) for v, f in zip(values, kinds, strict=True))], names=[*(f"g{i}" for i in range(d)), "count", *kinds.names])
+    def ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of a partition, which are sorted by voxel: states of a voxel lie one behind the other, whatever batches they come in."""
+        kinds, key, now = to_arrow_schema(result), None, []
 
-    return states.groupBy(*(f"g{i}" for i in range(d))).applyInArrow(merged, f"{keys}, count long, {accumulator.schema}")
+        def out(rows: list) -> pa.RecordBatch:
+            values = [accumulator.finish(state) for _, _, state in rows]
+            return pa.RecordBatch.from_arrays([*(pa.array([r[0][i] for r in rows], pa.int64()) for i in range(d)), pa.array([r[1] for r in rows], pa.int64()), *(pa.array([v[i] for v in values], f.type) for i, f in enumerate(kinds))], names=[*(f"g{i}" for i in range(d)), "count", *kinds.names])
+
+        for b in batches:
+            done = []
+            for *mine, count, state in zip(*(b.column(c).to_pylist() for c in (*(f"g{i}" for i in range(d)), "count", "state")), strict=True):
+                if tuple(mine) == key:
+                    now = [key, now[1] + count, accumulator.merge(now[2], state)]
+                else:
+                    if now:
+                        done.append(now)
+                    key = tuple(mine)
+                    now = [key, count, state]
+            if done:
+                yield out(done)
+        if now:
+            yield out([now])
+
+    names_of = [f"g{i}" for i in range(d)]
+    return states.repartition(*names_of).sortWithinPartitions(*names_of).mapInArrow(ended, f"{keys}, count long, {accumulator.schema}")
 
 
 def lookup(df: DataFrame, voxels: DataFrame, bins: list[float]) -> DataFrame:

@@ -49,6 +49,24 @@ def test_a_users_accumulator(spark, monkeypatch):
     assert got == {k: (len(v), sorted(v)[(len(v) + 1) // 2 - 1]) for k, v in cells.items()}
 
 
+def test_a_users_states_meet_without_a_call_for_each_voxel(spark, monkeypatch):
+    """Voxels of negative and null places, states in many small batches: merged in the order of voxels, not in groups of their own."""
+    monkeypatch.setattr(grid, "MOST_STATES", 3)
+    rows = [(i, [(i % 37 - 18) / 10.0, None if i % 50 == 0 else 0.5], [0.0, (i % 101) / 100, 0.0]) for i in range(1500)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = grid.accumulate_with(spark.createDataFrame(rows, "id long, p array<double>, c array<double>").repartition(5), [0.1, 1.0], MedianShade())
+        assert "FlatMapGroups" not in df._jdf.queryExecution().executedPlan().toString()
+        got = sorted((r.g0, -9 if r.g1 is None else r.g1, r["count"], r.median) for r in df.collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    cells = {}
+    for _, p, c in rows:
+        cells.setdefault((int(np.floor(p[0] * (1 / 0.1))), -9 if p[1] is None else 0), []).append(c[1])
+    assert got == sorted((*k, len(v), sorted(v)[(len(v) + 1) // 2 - 1]) for k, v in cells.items())
+
+
 @pytest.mark.parametrize("key", [None, "k"])
 def test_large_sets_take_the_plain_concentration_steps(spark, key):
     """From the same starts the same subsets, determinants and estimates; far points are left out, whatever key holds most rows."""
