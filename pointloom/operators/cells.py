@@ -19,14 +19,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.functions.vectors import l1, l2sq
-from pointloom.operators.session import cut
+from pointloom.operators.session import cut, cut_bare
 
 SAMPLE = 100_000  # sampled rows, about
 MAX_CELLS = 16_384  # cells of the first sample
 LEAF_ROWS, PIVOT_ROWS = 8_192, 2_048  # of a cell, where MAX_CELLS allows
 HEAVY = 8  # a cell of so many times its share is split again
 INNER = 64  # rows of the boxes that a leaf is searched by
-BLOCK = 1 << 21  # distances computed at once
+GROUP_ROWS = 32_768  # rows of the cells that a query beyond TREE_DIM dimensions visits in one task
+BLOCK, NARROW = 1 << 21, 1 << 18  # distances computed at once, by a product and by gaps
+BYTE_ROWS, BYTE_QUERIES, LEVELS = 4_096, 16, 127  # rows and queries met at once by their bytes; levels of a coordinate, so that two fit a byte
 NEAREST = "q long, qp array<double>, nn array<struct<value:double,r:long,rp:array<double>>>"
 
 
@@ -36,13 +38,14 @@ class Metric:
 
     column(a, b) is the value as an expression. of_gaps takes the gaps of each coordinate, one array a coordinate, and gives values; box bounds come from it as
     well, so it must not fall where a gap grows. distance turns values into what obeys the triangle inequality. product: values are squared
-    Euclidean, so that a matrix product preselects.
+    Euclidean, so that a matrix product preselects. sums: values are sums of the gaps, so that coordinates of a byte preselect.
     """
 
     column: Callable[[str, str], Column]
     of_gaps: Callable[[list[np.ndarray]], np.ndarray]
     distance: Callable[[np.ndarray], np.ndarray] = lambda v: v
     product: bool = False
+    sums: bool = False
 
 
 def _squares(gaps: list[np.ndarray]) -> np.ndarray:
@@ -60,7 +63,7 @@ def _sums(gaps: list[np.ndarray]) -> np.ndarray:
 
 
 L2 = Metric(l2sq, _squares, np.sqrt, product=True)
-L1 = Metric(l1, _sums)
+L1 = Metric(l1, _sums, sums=True)
 
 
 def points_of(column) -> np.ndarray:
@@ -172,8 +175,8 @@ class Tree:
             lo, hi = x[rows].min(0), x[rows].max(0)
             gaps = [np.maximum(0, np.maximum(self.low[:, i] - hi[i], lo[i] - self.high[:, i])) for i in range(x.shape[1])]
             which = np.flatnonzero((self.count > 0) & (metric.of_gaps(gaps) <= bound[rows].max()))
-            for c in range(0, len(which), 4096):
-                w = which[c : c + 4096]
+            for c in range(0, len(which), 1024):
+                w = which[c : c + 1024]
                 i, j = np.nonzero(self.to_boxes(x[rows], metric, w) <= bound[rows, None])
                 out.append((rows[i], w[j]))
         i, j = (np.concatenate(c) for c in zip(*out, strict=True))
@@ -194,8 +197,8 @@ class Tree:
         group = np.argsort(home, kind="stable")
         cuts = np.append(np.flatnonzero(np.append(True, np.diff(home[group]) > 0)), len(q))
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            for at in range(lo, hi, 512):
-                rows = group[at : min(hi, at + 512)]
+            for at in range(lo, hi, 256):
+                rows = group[at : min(hi, at + 256)]
                 limit, own = bound[rows], home[rows[0]]
                 if first[own + 1] - first[own] >= k:
                     near = pairwise(metric, q[rows], x[first[own] : first[own + 1]])
@@ -220,7 +223,7 @@ def concatenated(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 def blocks(q, x, ids, rows, take, k, limit, metric) -> list[tuple]:
     """Hits of the queries `rows` among the rows `take`, whose ids ascend: all distances, a block at a time."""
-    out, tall = [], max(1, BLOCK // len(take))
+    out, tall = [], max(1, NARROW // len(take))
     for at in range(0, len(rows), tall):
         mine, most = rows[at : at + tall], limit[at : at + tall]
         d = pairwise(metric, q[mine], x[take])
@@ -231,6 +234,59 @@ def blocks(q, x, ids, rows, take, k, limit, metric) -> list[tuple]:
     return out
 
 
+def by_bytes(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, bound: np.ndarray):
+    """(query index, row index, value) as Pivots.search, of sums of gaps; ids ascend.
+
+    Coordinates become levels of a common step. The sum of |a - b| over levels is sum(a) + sum(b) - 2 sum(min(a, b)), which bytes give fast; times the step
+    it is off by at most what the levels leave of both points. Rows that may lie within the bound by this are summed exactly, the likeliest first, as they narrow it.
+    """
+    dim, n = x.shape[1], len(x)
+    low, high = np.quantile(x[:: max(1, n // 2048)], [0.001, 0.999], axis=0)
+    step = float((high - low).max()) / LEVELS or 1.0
+
+    def levels(y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        b = np.clip(np.rint((y - low) / step), 0, LEVELS)
+        return b.astype(np.uint8), b.sum(1), np.abs(y - low - b * step).sum(1) / step
+
+    own, sums, rest = levels(x)
+    width = dim + dim % 2
+    padded = np.zeros((width, n + n % 2), np.uint8)  # zeros add nothing to a least sum
+    padded[:dim, :n] = own.T
+    room, parts = np.empty(width * BYTE_ROWS, np.uint8), []
+    for at in range(0, padded.shape[1], BYTE_ROWS):
+        part = np.ascontiguousarray(padded[:, at : at + BYTE_ROWS])
+        a, b, one = room[: part.size].reshape(part.shape), np.empty((width // 2, part.shape[1]), np.uint8), np.empty((width // 2, part.shape[1] // 2), np.uint16)
+        parts.append((part, a, b, b.view(np.uint16), one))
+    least = np.zeros((BYTE_QUERIES, padded.shape[1]), np.uint16)
+    exact = lambda i, j: np.cumsum(np.abs(x[j] - q[i]), axis=1)[:, -1]  # in the order of _sums
+    half, out = width // 2, []
+    base = np.floor((sums - rest) / 2).astype(np.int32)
+    mine, q_sums, q_rest = levels(q)
+    mine = np.pad(mine, ((0, 0), (0, width - dim)))[:, :, None]
+    for i in range(len(q)):
+        row = i % BYTE_QUERIES
+        for c, (part, a, b, both, one) in enumerate(parts if row == 0 else ()):
+            at, to = c * BYTE_ROWS, c * BYTE_ROWS + part.shape[1]
+            for to_row, levels_of in zip(least, mine[i : i + BYTE_QUERIES]):  # noqa: B905
+                np.minimum(part, levels_of, out=a)
+                np.add(a[:half], a[half:], out=b)
+                to_row[at:to:2] = np.add.reduce(np.bitwise_and(both, 255, out=one), axis=0, dtype=np.uint16)
+                to_row[at + 1 : to : 2] = np.add.reduce(np.right_shift(both, 8, out=one), axis=0, dtype=np.uint16)
+        over = least[row, :n] - base  # the more, the nearer a row may be
+        needed = lambda limit: (q_sums[i] - q_rest[i] - limit / step) / 2 - 2 if np.isfinite(limit) else -np.inf  # noqa: B023, E731
+        limit = bound[i]
+        j = np.flatnonzero(over >= needed(limit))
+        if len(j) > 4 * k:
+            first = j[np.argpartition(over[j], len(j) - 2 * k)[len(j) - 2 * k :]]
+            limit = min(limit, np.partition(exact(i, first), k - 1)[k - 1])
+            j = j[over[j] >= needed(limit)]
+        v = exact(i, j)
+        j, v = j[v <= limit], v[v <= limit]
+        top = np.argsort(v, kind="stable")[:k]
+        out.append((np.full(len(top), i), j[top], v[top]))
+    return concatenated(out)
+
+
 class Pivots:
     """Cells of the nearest pivot, with the largest distance of their rows to it."""
 
@@ -297,6 +353,9 @@ class Pivots:
     def search(self, q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, bound: np.ndarray, metric: Metric):
         order = np.argsort(ids, kind="stable")
         x, ids = x[order], ids[order]
+        if metric.sums and x.shape[1] <= 512 and len(x) and np.isfinite(x).all() and np.isfinite(q).all():
+            i, j, v = by_bytes(q, x, ids, k, bound)
+            return i, order[j], v
         if not metric.product:
             i, j, v = concatenated(blocks(q, x, ids, np.arange(len(q)), np.arange(len(x)), k, bound, metric) if len(x) else [])
             return i, order[j], v
@@ -397,21 +456,34 @@ def fitted(r: DataFrame, cells, metric: Metric, k: int, rows: int) -> tuple[obje
     return cells, r
 
 
-def nearest_lists(q: DataFrame, r: DataFrame, k: int, metric: Metric = L2, dim: int = 3, pivots: bool = False, points: bool = True) -> DataFrame:
-    """(q, qp, nn) of every query with a hit: nn the k nearest rows (value, r, rp) in order, ties by id. points: False leaves qp and rp empty, so that lists move without coordinates."""
-    same = q is r
-    r = finite(r)
-    kind = Pivots(dim) if pivots else Tree(dim)
-    kind.metric = metric
-    cells, kept = fitted(r, kind, metric, k, PIVOT_ROWS if pivots else LEAF_ROWS)
+class Index:
+    """Cells of the rows r, for searches of up to k neighbors; several may use it."""
+
+    def __init__(self, r: DataFrame, k: int, metric: Metric = L2, dim: int = 3, pivots: bool = False):
+        self.rows, self.k, self.metric, self.pivots = finite(r), k, metric, pivots
+        kind = Pivots(dim) if pivots else Tree(dim)
+        kind.metric = metric
+        self.cells, kept = fitted(self.rows, kind, metric, k, PIVOT_ROWS if pivots else LEAF_ROWS)
+        self.refs = in_cells(kept, self.cells)
+
+
+def nearest_lists(q: DataFrame, r: DataFrame, k: int, metric: Metric = L2, dim: int = 3, pivots: bool = False, points: bool = True, limit: float = np.inf, index: Index | None = None) -> DataFrame:
+    """(q, qp, nn) of every query with a hit: nn the k nearest rows (value, r, rp) in order, ties by id. points: False leaves qp and rp empty, so that lists move without coordinates.
+
+    limit: rows beyond this value are not looked for. index: the cells of r, if they are there.
+    """
+    index = index or Index(r, k, metric, dim, pivots)
+    if k > index.k:
+        raise ValueError("the index was made for fewer neighbors")
+    cells, refs, metric, pivots, limit = index.cells, index.refs, index.metric, index.pivots, float(limit)
     total = int(cells.count.sum())
-    queries = in_cells(r if same else finite(q), cells)
-    refs = in_cells(kept, cells)
-    rows = PIVOT_ROWS if pivots else LEAF_ROWS
+    queries = in_cells(index.rows if q is r else finite(q), cells)
+    # cells that are visited together: in many dimensions a ball crosses most of them, and a row for each would be as many copies of the query
+    group = np.cumsum(cells.count) // GROUP_ROWS if pivots else np.arange(cells.cells)
 
-    def met(left: DataFrame, right: DataFrame, many: DataFrame | None, body: Callable, schema: str) -> DataFrame:
+    def met(left: DataFrame, right: DataFrame, rows: int, body: Callable, schema: str) -> DataFrame:
         """Queries and rows of each cell; the queries of a cell with many are dealt to several tasks."""
-        ways = many if many is not None else left.groupBy("cell").count()
+        ways = left.groupBy("cell").count()
         ways = F.broadcast(ways.select("cell", F.ceil(F.col("count") / (2 * rows)).cast("int").alias("ways")).where("ways > 1"))  # a line a cell
         left = left.join(ways, "cell", "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("ways", F.lit(1))).cast("int")).drop("ways")
         right = right.join(ways, "cell", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("ways", F.lit(1)) - 1))).drop("ways")
@@ -434,34 +506,63 @@ def nearest_lists(q: DataFrame, r: DataFrame, k: int, metric: Metric = L2, dim:
 
     def at_home(left: pa.Table, right: pa.Table) -> pa.Table:
         q_ids, q_x, r_ids, r_x = left.column("id").to_numpy(), points_of(left.column("p")), right.column("id").to_numpy(), points_of(right.column("p"))
-        i, j, v = cells.search(q_x, r_x, r_ids, k, np.full(len(q_ids), np.inf), metric) if len(r_ids) else concatenated([])
+        i, j, v = cells.search(q_x, r_x, r_ids, k, np.full(len(q_ids), limit), metric) if len(r_ids) else concatenated([])
         bound, found = np.full(len(q_ids), -np.inf), np.bincount(i, minlength=len(q_ids))
         np.maximum.at(bound, i, v)
         short = found < k
         if short.any():
-            bound[short] = cells.enough(q_x[short], k, metric) if total >= k else np.inf
+            bound[short] = np.minimum(limit, cells.enough(q_x[short], k, metric) if total >= k > len(r_ids) else np.inf)
         a, c = cells.reach(q_x, bound, metric) if cells.cells > 1 and len(q_ids) else (np.empty(0, int), np.empty(0, int))
         away = c != left.column("cell")[0].as_py() if len(q_ids) else c > 0
+        if pivots:  # groups hold the own cell as well, whose hits are then taken from there
+            leaves = np.zeros(len(q_ids), bool)
+            leaves[a[away]] = True
+            away = leaves[a]
         a, c = a[away], c[away]
-        order = np.argsort(a, kind="stable")
-        at = pa.array(np.searchsorted(a[order], np.arange(len(q_ids) + 1)).astype(np.int32))
-        return pa.table([*lists(q_ids, q_x, r_ids, r_x, i, j, v, True), pa.ListArray.from_arrays(at, pa.array(c[order].astype(np.int64))), pa.array(bound)], names=[*names, "visit", "bound"])
+        order = np.lexsort((c, a))
+        a, c = a[order], c[order]
+        first = np.flatnonzero((np.diff(a, prepend=-1) != 0) | (np.diff(group[c], prepend=-1) != 0))  # of each query and group
+        inside = pa.ListArray.from_arrays(pa.array((np.append(first, len(c)) if pivots else np.zeros(len(first) + 1)).astype(np.int32)), pa.array((c if pivots else c[:0]).astype(np.int32)))
+        at = pa.array(np.searchsorted(a[first], np.arange(len(q_ids) + 1)).astype(np.int32))
+        visit = pa.ListArray.from_arrays(at, pa.StructArray.from_arrays([pa.array(group[c[first]].astype(np.int64)), inside], names=["cell", "inside"]))
+        return pa.table([*lists(q_ids, q_x, r_ids, r_x, i, j, v, True), visit, pa.array(bound)], names=[*names, "visit", "bound"])
 
     def visiting(left: pa.Table, right: pa.Table) -> pa.Table:
         q_ids, q_x, r_ids, r_x = left.column("id").to_numpy(), points_of(left.column("p")), right.column("id").to_numpy(), points_of(right.column("p"))
-        i, j, v = cells.search(q_x, r_x, r_ids, k, left.column("bound").to_numpy(), metric) if len(r_ids) and len(q_ids) else concatenated([])
+        bound, parts = left.column("bound").to_numpy(), []
+        if len(r_ids) and len(q_ids):
+            inside, own = left.column("inside").combine_chunks(), right.column("own").to_numpy()
+            of, cell = np.repeat(np.arange(len(q_ids)), np.diff(inside.offsets.to_numpy())), inside.flatten().to_numpy()
+            if pivots and cells.count[cell].sum() < len(q_ids) * len(r_ids) / 2:
+                for c in np.unique(cell):
+                    some, rows = of[cell == c], np.flatnonzero(own == c)
+                    i, j, v = cells.search(q_x[some], r_x[rows], r_ids[rows], k, bound[some], metric) if len(rows) else concatenated([])
+                    parts.append((some[i], rows[j], v))
+            else:
+                parts.append(cells.search(q_x, r_x, r_ids, k, bound, metric))
+        i, j, v = concatenated(parts)
+        order = np.lexsort((r_ids[j], v, i))
+        i, j, v = i[order], j[order], v[order]
+        best = np.arange(len(i)) - np.searchsorted(i, i) < k
+        i, j, v = i[best], j[best], v[best]
         hit = np.unique(i)
         return pa.table(lists(q_ids[hit], q_x[hit], r_ids, r_x, np.searchsorted(hit, i), j, v), names=names)
 
-    home = met(queries, refs, None, at_home, f"{NEAREST}, visit array<long>, bound double")
+    rows = PIVOT_ROWS if pivots else LEAF_ROWS
+    home = met(queries, refs, rows, at_home, f"{NEAREST}, visit array<struct<cell:long,inside:array<int>>>, bound double")
+    none = F.slice("qp", 1, 0)
     if cells.cells == 1:
-        return home.select("q", (F.col("qp") if points else F.slice("qp", 1, 0)).alias("qp"), "nn").where(F.size("nn") > 0)
-    home = cut(home)
-    visits = home.where(F.size("visit") > 0).select(F.explode("visit").alias("cell"), F.col("q").alias("id"), F.col("qp").alias("p"), "bound")
-    away = met(visits, refs, None, visiting, NEAREST)
+        return home.select("q", (F.col("qp") if points else none).alias("qp"), "nn").where(F.size("nn") > 0)
+    # a written table is computed once and packed, which a checkpoint is not
+    home = cut_bare(home.select("q", (F.col("qp") if points else F.when(F.size("visit") > 0, F.col("qp")).otherwise(none)).alias("qp"), "nn", "visit", F.when(F.size("visit") > 0, F.col("bound")).alias("bound")))
+    visits = home.where(F.size("visit") > 0).select(F.explode("visit").alias("v"), F.col("q").alias("id"), F.col("qp").alias("p"), "bound").select("v.cell", "id", "p", "bound", "v.inside")
+    grouped = refs.withColumn("own", F.col("cell"))
+    if pivots:
+        grouped = grouped.withColumn("cell", F.element_at(F.lit(group.tolist()).cast("array<bigint>"), (F.col("cell") + 1).cast("int")))
+    away = met(visits, grouped, GROUP_ROWS // 4 if pivots else rows, visiting, NEAREST)
     own = F.col("qp") if points else F.slice("qp", 1, 0)
-    several = home.where(F.size("visit") > 0).select("q", own.alias("qp"), "nn").union(away)
-    # as many lists as cells were visited, of k hits each
+    several = away if pivots else home.where(F.size("visit") > 0).select("q", own.alias("qp"), "nn").union(away)
+    # as many lists as cells or groups were visited, of k hits each
     merged = several.groupBy("q").agg(F.first("qp").alias("qp"), F.slice(F.array_sort(F.flatten(F.collect_list("nn"))), 1, k).alias("nn"))
     return home.where(F.size("visit") == 0).select("q", own.alias("qp"), "nn").union(merged).where(F.size("nn") > 0)
 

@@ -132,3 +132,35 @@ def test_lists_move_without_coordinates(spark, small, pivots):
     got = cells.nearest_lists(cloud, cloud, 4, pivots=pivots, points=False).collect()
     assert {r.q: [(n.value, n.r) for n in r.nn] for r in got} == plain(x, x, 4)
     assert all(not r.qp and not any(n.rp for n in r.nn) for r in got)
+
+
+def test_sums_of_gaps_by_bytes():
+    rng = np.random.default_rng(3)
+    for dim, n, odd in ((64, 5000, 0.0), (7, 4097, 1e6), (8, 3, 0.0)):
+        x = rng.normal(size=(n, dim)).round(1 if dim == 7 else 12)  # coarse ones tie
+        x[0] += odd
+        x[-1] = x[n // 2]
+        q = np.concatenate([x[:20], rng.normal(size=(20, dim))])
+        for k, bound in ((5, np.inf), (1, dim * 0.5)):
+            i, j, v = cells.by_bytes(q, x, np.arange(n), k, np.full(len(q), bound))
+            d = cells.pairwise(cells.L1, q, x)
+            for row in range(len(q)):
+                want = [c for c in np.argsort(d[row], kind="stable")[:k] if d[row, c] <= bound]
+                assert list(j[i == row]) == want
+                assert np.array_equal(v[i == row], d[row, want])
+
+
+@pytest.mark.parametrize("metric", [cells.L1, cells.L2])
+def test_visits_move_a_query_once_for_many_cells(spark, monkeypatch, metric):
+    monkeypatch.setattr(cells, "PIVOT_ROWS", 40)
+    x = np.random.default_rng(4).normal(size=(800, 12))
+    x[400:420] = x[0]
+    cloud, moved = frame(spark, x), []
+    keep = cells.cut_bare
+    monkeypatch.setattr(cells, "cut_bare", lambda df: moved.append(keep(df)) or moved[-1])
+    got = lists(cells.nearest_lists(cloud, cloud, 4, metric, 12, pivots=True))
+    assert got == plain(x, x, 4, metric)
+    rows = moved[0].selectExpr("sum(size(visit)) AS groups", "sum(aggregate(visit, 0, (a, v) -> a + size(v.inside))) AS cells").first()
+    assert rows.groups <= 800 < 5 * 800 < rows.cells  # one row a query, not one for each cell
+    near = lists(cells.nearest_lists(cloud, cloud, 4, metric, 12, pivots=True, limit=3.0))
+    assert {q: [h for h in hits if h[0] <= 3.0] for q, hits in got.items()} == near
