@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from pointloom.functions.vectors import l2sq, unit, vscale
 from pointloom.operators.cloud import best_per, rank_fraction, transform, transform_set
-from pointloom.operators.neighbors import knn
+from pointloom.operators.cells import L2, Index, nearest_lists
+from pointloom.operators.neighbors import TREE_DIM, dimension, knn
 
 
 def features(df: DataFrame, normal_weight: float | None = None, color_weight: float | None = None) -> DataFrame:
@@ -36,11 +37,23 @@ def moved_features_by_set(df: DataFrame, transforms: DataFrame, dim: int, rigid:
 
 
 def _one_way(queries: DataFrame, refs: DataFrame, limit: float, query_is_first: bool) -> DataFrame:
-    hits = knn(queries, refs, 1).where(F.col("value") < limit)
+    hits = knn(queries, refs, 1, limit=limit).where(F.col("value") < limit)
     a, b = ("q", "r") if query_is_first else ("r", "q")
     return hits.select(F.col(a).alias("first"), F.col(b).alias("second"), "value")
 
 
+def index_of(df: DataFrame) -> Index | None:
+    """Cells for the nearest point of df, which the rounds of a loop share; None without points."""
+    dim = dimension(df)
+    return Index(df, 1, L2, dim, dim > TREE_DIM) if dim else None
+
+
+def matched_points(index: Index, second: DataFrame, limit: float) -> DataFrame:
+    """(first, second, value, p1, p2): each point of `second` with the nearest one of the index, if below the limit. Points come with the search, so that no join brings them."""
+    near = nearest_lists(second, None, 1, limit=limit, index=index).select("q", "qp", F.col("nn")[0].alias("n"))
+    return near.select(F.col("n.r").alias("first"), F.col("q").alias("second"), F.col("n.value").alias("value"), F.col("n.rp").alias("p1"), F.col("qp").alias("p2")).where(F.col("value") < limit)
+
+
 def rescored(pairs: DataFrame, first: DataFrame, second: DataFrame, limit: float, score=None) -> DataFrame:
     """The pairs with their value in the given features, those below the limit."""
     j = pairs.select("first", "second").join(first.select(F.col("id").alias("first"), F.col("p").alias("a")), "first").join(second.select(F.col("id").alias("second"), F.col("p").alias("b")), "second")
