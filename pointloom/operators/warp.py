@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.functions.vectors import vdot
 from pointloom.operators.cloud import rigid_transforms
 from pointloom.operators.correspond import gather
-from pointloom.operators.session import cut
+from pointloom.operators.cells import points_of
+from pointloom.operators.session import Rounds, cut, cut_bare
 
 
 def resample_transforms(edges: DataFrame, transforms: DataFrame, dim: int, rigid: bool = True) -> DataFrame:
@@ -54,41 +54,35 @@ def euler(a: np.ndarray, dim: int):
     return w @ y @ x, [w @ y @ dx, w @ dy @ x, dw @ y @ x]
 
 
-ONE_SOLVE = 50_000  # unknowns, and blocks of the matrix, up to which one solve takes them all; beyond, vectors stay DataFrames
+ONE_SOLVE, ONE_BLOCKS = 50_000, 400_000  # unknowns, and blocks of the matrix, up to which one solve takes them all; beyond, vectors stay DataFrames
+BUCKET_ROWS, ENTRIES = 20_000, 200_000  # matches of a task's group; pairs of nodes summed at once
 
 
-def _turn(axis: int, c: Column, s: Column, v: Column, slope: bool = False) -> Column:
-    """v turned about an axis by the angle with cosine c and sine s; or its derivative by that angle."""
-    i, j = ((1, 2), (2, 0), (0, 1))[axis]
-    if slope:
-        turned = {i: -s * v[i] - c * v[j], j: c * v[i] - s * v[j], axis: F.lit(0.0)}
+def moved_and_slopes(x: np.ndarray, p: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """(n x dim, n x dim x unknowns): the points p warped by their blended unknowns x, and the derivative by each unknown."""
+    n, dim = p.shape
+    slopes = np.zeros((n, dim, x.shape[1]))
+    shift = x.shape[1] - dim
+    if kind == "affine":
+        y = np.einsum("nij,nj->ni", x[:, :shift].reshape(n, dim, dim), p)
+        for i in range(dim):
+            slopes[:, i, i * dim : (i + 1) * dim] = p
     else:
-        turned = {i: c * v[i] - s * v[j], j: s * v[i] + c * v[j], axis: v[axis]}
-    return F.array(*(turned[k] for k in range(3)))
+        turned, by = euler(x[:, :shift], dim)
+        y = np.einsum("nij,nj->ni", turned, p)
+        for a, d in enumerate(by):
+            slopes[:, :, a] = np.einsum("nij,nj->ni", d, p)
+    for i in range(dim):
+        slopes[:, i, shift + i] = 1
+    return y + x[:, shift:], slopes
 
 
-def _moved_and_slopes(rows: DataFrame, kind: str, dim: int) -> tuple[DataFrame, list]:
-    """rows (x: blended unknowns, p2) with y, the warped point, and its derivative by each unknown as arrays."""
-    x = F.col("x")
-    eye = np.eye(dim)
-    if kind == "affine":
-        y = F.array(*(sum((x[i * dim + j] * F.col("p2")[j] for j in range(dim)), x[dim * dim + i]) for i in range(dim)))
-        slopes = [F.array(*(F.col("p2")[j] if k == i else F.lit(0.0) for k in range(dim))) for i in range(dim) for j in range(dim)]
-        rows = rows.withColumn("y", y)
-    elif dim == 2:
-        c, s, p = F.cos(x[0]), F.sin(x[0]), F.col("p2")
-        rows = rows.withColumn("y", F.array(c * p[0] - s * p[1] + x[1], s * p[0] + c * p[1] + x[2])).withColumn("g0", F.array(-s * p[0] - c * p[1], c * p[0] - s * p[1]))
-        slopes = [F.col("g0")]
-    else:
-        for i in range(3):
-            rows = rows.withColumn(f"c{i}", F.cos(x[i])).withColumn(f"s{i}", F.sin(x[i]))
-        turn = lambda axis, v, slope=False: _turn(axis, F.col(f"c{axis}"), F.col(f"s{axis}"), F.col(v), slope)
-        rows = rows.withColumn("u", turn(0, "p2")).withColumn("v", turn(1, "u")).withColumn("w", turn(2, "v"))
-        rows = rows.withColumn("du", turn(0, "p2", True)).withColumn("dv", turn(1, "u", True))
-        rows = rows.withColumn("duv", turn(1, "du")).withColumn("g0", turn(2, "duv")).withColumn("g1", turn(2, "dv")).withColumn("g2", turn(2, "v", True))
-        rows = rows.withColumn("y", F.array(*(F.col("w")[i] + x[3 + i] for i in range(3))))
-        slopes = [F.col(f"g{i}") for i in range(3)]
-    return rows, slopes + [F.array(*(F.lit(float(v)) for v in eye[i])) for i in range(dim)]
+def added_up(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sums of their rows."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[first], np.add.reduceat(values[order], first, axis=0) if len(first) else values
 
 
 def _huber_columns(gap: Column, delta: float) -> tuple[Column, Column]:
@@ -98,56 +92,87 @@ def _huber_columns(gap: Column, delta: float) -> tuple[Column, Column]:
     return value, F.when(a <= delta, F.signum(gap) / 2**0.5).otherwise(F.signum(gap) * delta / (2 * F.greatest(value, F.lit(1e-300))))
 
 
-def _dot(a: str, b: str, size: int, scale: str | None = None) -> Column:
-    return F.sum(sum((F.col(a)[i] * F.col(b)[i] * (F.col(scale)[i] if scale else 1.0) for i in range(size)), F.lit(0.0)))
+def _dot(a: str, b: str, size: int) -> Column:
+    return F.sum(sum((F.col(a)[i] * F.col(b)[i] for i in range(size)), F.lit(0.0)))
+
+
+def inverse_blocks(blocks: np.ndarray, whole: bool = True) -> np.ndarray:
+    """Inverses of the diagonal blocks of a system, to scale it by: far from the origin turns and shifts of a node are nearly the same, which their diagonal alone
+    does not tell. Where a block as good as leaves a direction open, or without `whole`, the inverse of its diagonal.
+    """
+    size = blocks.shape[1]
+    diagonal = np.einsum("nii->ni", blocks)
+    root = np.where(diagonal > 0, 1 / np.sqrt(np.where(diagonal > 0, diagonal, 1)), 1)
+    even = blocks * root[:, :, None] * root[:, None, :]
+    values = np.linalg.eigvalsh((even + even.transpose(0, 2, 1)) / 2) if len(even) else np.ones((0, size))
+    even[(values[:, 0] < 1e-9) | (not whole)] = np.eye(size)
+    return np.linalg.inv(even) * root[:, :, None] * root[:, None, :]
 
 
-def solve_blocks(matrix: DataFrame, rhs: DataFrame, size: int, max_iter: int = 1000, tol: float = 1e-5) -> DataFrame:
-    """(id, x) with matrix x = rhs by conjugate gradients, scaled by the diagonal.
+def solve_blocks(matrix: DataFrame, rhs: DataFrame, size: int, max_iter: int = 1000, tol: float = 1e-5, whole: bool = True) -> DataFrame:
+    """(id, x) with matrix x = rhs by conjugate gradients, scaled by inverse_blocks.
 
     matrix (row, col, h: size x size numbers) is symmetric and positive, rows of one place add up; rhs is (id, v) of every node. A step joins the matrix with the
-    direction, adds up for each row, and sends four sums to the driver; vectors are columns of one table.
+    direction, adds up for each row, and sends four sums to the driver; vectors are columns of one table, written over the one before the last.
     """
-    own = matrix.where("row = col").groupBy(F.col("row").alias("id")).agg(F.array(*(F.sum(F.col("h")[i * size + i]) for i in range(size))).alias("d"))
-    scale = F.array(*(F.when(F.coalesce(F.col("d")[i], F.lit(0.0)) > 0, 1 / F.col("d")[i]).otherwise(1.0) for i in range(size)))
-    state = cut(rhs.join(own, "id", "left").select("id", F.array(*[F.lit(0.0)] * size).alias("x"), F.col("v").alias("r"), scale.alias("s")))
-    state = state.withColumn("p", F.array(*(F.col("r")[i] * F.col("s")[i] for i in range(size))))
-    stop = None
-    for _ in range(max_iter):
-        images = matrix.join(state.select(F.col("id").alias("col"), "p"), "col").groupBy("row").agg(F.array(*(F.sum(sum((F.col("h")[i * size + j] * F.col("p")[j] for j in range(size)), F.lit(0.0))) for i in range(size))).alias("m"))
-        state = state.join(images.withColumnRenamed("row", "_row"), F.col("id") == F.col("_row"), "left").drop("_row")
-        state = cut(state.withColumn("m", F.coalesce("m", F.array(*[F.lit(0.0)] * size))))
-        rz, pm, rm, mm = (v or 0.0 for v in state.agg(_dot("r", "r", size, "s"), _dot("p", "m", size), _dot("r", "m", size, "s"), _dot("m", "m", size, "s")).first())
-        stop = tol * tol * max(rz, 1e-300) if stop is None else stop
-        if rz <= stop or pm <= 0:
-            break
-        a = rz / pm
-        left = max(0.0, rz - 2 * a * rm + a * a * mm)  # of the next residual
-        r = [F.col("r")[i] - a * F.col("m")[i] for i in range(size)]
-        state = state.select("id", F.array(*(F.col("x")[i] + a * F.col("p")[i] for i in range(size))).alias("x"), F.array(*r).alias("r"), "s", F.array(*(F.col("s")[i] * r[i] + left / rz * F.col("p")[i] for i in range(size))).alias("p"))
-    return cut(state.select("id", "x"))
-
-
-def solve_at_once(matrix: DataFrame, rhs: DataFrame, size: int, max_iter: int = 1000, tol: float = 1e-5) -> DataFrame:
-    """As solve_blocks, for a system of at most ONE_SOLVE unknowns and blocks, which one task takes."""
+    zero, many = F.array(*[F.lit(0.0)] * size), size * size
+
+    @F.pandas_udf("array<double>")
+    def inverted(h: pd.Series) -> pd.Series:
+        return pd.Series(inverse_blocks(np.stack(h).reshape(-1, size, size), whole).reshape(-1, many).tolist()) if len(h) else h
+
+    times = lambda v: F.array(*(sum((F.col("s")[i * size + j] * F.col(v)[j] for j in range(size)), F.lit(0.0)) for i in range(size)))
+    own = matrix.where("row = col").groupBy(F.col("row").alias("id")).agg(F.array(*(F.sum(F.col("h")[i]) for i in range(many))).alias("h"))
+    own = own.select("id", inverted("h").alias("s"))
+    eye = F.array(*(F.lit(float(i % (size + 1) == 0)) for i in range(many)))
+    state = rhs.join(own, "id", "left").select("id", zero.alias("x"), F.col("v").alias("r"), F.coalesce("s", eye).alias("s"))
+    tables = Rounds(state, 2)
+    state = tables.written(state.withColumn("z", times("r")).withColumn("p", F.col("z")))
+    dealt, stop = matrix.repartition("col").persist(), None
+    try:
+        for _ in range(max_iter):
+            images = dealt.join(state.select(F.col("id").alias("col"), "p").hint("merge"), "col").groupBy("row").agg(F.array(*(F.sum(sum((F.col("h")[i * size + j] * F.col("p")[j] for j in range(size)), F.lit(0.0))) for i in range(size))).alias("m"))
+            state = state.join(images.withColumnRenamed("row", "_row"), F.col("id") == F.col("_row"), "left").drop("_row")
+            state = tables.written(state.withColumn("m", F.coalesce("m", zero)).withColumn("sm", times("m")))
+            rz, pm, rm, mm = (v or 0.0 for v in state.agg(_dot("r", "z", size), _dot("p", "m", size), _dot("z", "m", size), _dot("m", "sm", size)).first())
+            stop = tol * tol * max(rz, 1e-300) if stop is None else stop
+            if rz <= stop or pm <= 0:
+                break
+            a = rz / pm
+            left = max(0.0, rz - 2 * a * rm + a * a * mm)  # of the next residual
+            less = lambda u, v, a=a: [F.col(u)[i] - a * F.col(v)[i] for i in range(size)]
+            z = less("z", "sm")
+            state = state.select("id", F.array(*less("x", "p", -a)).alias("x"), F.array(*less("r", "m")).alias("r"), "s", F.array(*z).alias("z"), F.array(*(z[i] + left / rz * F.col("p")[i] for i in range(size))).alias("p"))
+        return cut_bare(state.select("id", "x"))
+    finally:
+        dealt.unpersist()
+
+
+def solve_at_once(matrix: DataFrame, rhs: DataFrame, size: int, max_iter: int = 1000, tol: float = 1e-5, whole: bool = True) -> DataFrame:
+    """As solve_blocks, for a system of at most ONE_SOLVE unknowns and ONE_BLOCKS blocks, which one task takes."""
 
     def run(key, a: pa.Table, b: pa.Table) -> pa.Table:
         ids = np.sort(b.column("id").to_numpy())
         v = np.zeros((len(ids), size))
-        v[np.searchsorted(ids, b.column("id").to_numpy())] = np.array(b.column("v").to_pylist(), float).reshape(-1, size)
+        v[np.searchsorted(ids, b.column("id").to_numpy())] = points_of(b.column("v")).reshape(-1, size)
         i, j = (np.searchsorted(ids, a.column(c).to_numpy()) for c in ("row", "col"))
-        h = np.array(a.column("h").to_pylist(), float).reshape(-1, size, size)
+        h = points_of(a.column("h")).reshape(-1, size, size)
+        order = np.argsort(i, kind="stable")
+        i, j, h = i[order], j[order], h[order]
+        first = np.flatnonzero(np.diff(i, prepend=-1))
 
         def mul(y: np.ndarray) -> np.ndarray:
             out = np.zeros_like(y)
-            np.add.at(out, i, np.einsum("nij,nj->ni", h, y[j]))
+            if len(i):
+                out[i[first]] = np.add.reduceat(np.matmul(h, y[j][:, :, None])[:, :, 0], first, axis=0)
             return out
 
-        diag = np.zeros_like(v)
-        np.add.at(diag, i[i == j], np.einsum("nii->ni", h[i == j]))
-        scale = np.where(diag > 0, 1 / np.where(diag > 0, diag, 1), 1)
+        own = np.zeros((len(ids), size, size))
+        np.add.at(own, i[i == j], h[i == j])
+        scale = inverse_blocks(own, whole)
+        scaled = lambda y: np.matmul(scale, y[:, :, None])[:, :, 0]
         x, r = np.zeros_like(v), v
-        p = z = scale * r
+        p = z = scaled(r)
         rz = float((r * z).sum())
         stop = tol * tol * max(rz, 1e-300)
         for _ in range(max_iter):
@@ -156,13 +181,13 @@ def solve_at_once(matrix: DataFrame, rhs: DataFrame, size: int, max_iter: int =
             m = mul(p)
             k = rz / max(float((p * m).sum()), 1e-300)
             x, r = x + k * p, r - k * m
-            z = scale * r
+            z = scaled(r)
             rz, old = float((r * z).sum()), rz
             p = z + rz / old * p
         return pa.table([pa.array(ids), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["id", "x"])
 
     one = F.lit(0).alias("k")
-    return cut(matrix.select(one, "row", "col", "h").groupBy("k").cogroup(rhs.select(one, "id", "v").groupBy("k")).applyInArrow(run, "id long, x array<double>"))
+    return cut_bare(matrix.select(one, "row", "col", "h").groupBy("k").cogroup(rhs.select(one, "id", "v").groupBy("k")).applyInArrow(run, "id long, x array<double>"))
 
 
 @dataclass
@@ -192,10 +217,12 @@ class WarpRegistration:
     cg_iter: int = 1000
 
     def __post_init__(self):
-        ends = self.control.select(F.col("r").alias("id")).union(self.arcs.select(F.col("q").alias("id"))).union(self.arcs.select(F.col("r").alias("id")))
+        control = cut_bare(self.control.select(F.col("q").cast("long").alias("q"), F.col("r").cast("long").alias("r"), F.col("weight").cast("double").alias("weight")))  # a search, done once
+        ends = control.select(F.col("r").alias("id")).union(self.arcs.select(F.col("q").alias("id"))).union(self.arcs.select(F.col("r").alias("id")))
         self.nodes = cut(ends.select(F.col("id").cast("long").alias("id")).distinct())
-        share = self.control.where("weight > 0").groupBy("q").agg(F.sum("weight").alias("total"))
-        self.shares = cut(self.control.where("weight > 0").join(share, "q").select("q", "r", (F.col("weight") / F.col("total")).alias("share")))
+        lists = control.where("weight > 0").groupBy("q").agg(F.array_sort(F.collect_list(F.struct("r", "weight"))).alias("n"), F.sum("weight").alias("total"))
+        self.lists = cut_bare(lists.select("q", F.transform("n", lambda e: F.struct(e["r"].alias("r"), (e["weight"] / F.col("total")).alias("share"))).alias("n")))
+        self.shares = self.lists.select("q", F.explode("n").alias("n")).select("q", "n.r", "n.share")
         self.ties = cut(self.arcs.where("q <> r").select("q", "r", F.col("weight").cast("double").alias("weight")))
         self.angles = 0 if self.kind == "affine" else 1 if self.dim == 2 else 3
         self.size = self.dim**2 + self.dim if self.kind == "affine" else self.angles + self.dim
@@ -205,35 +232,72 @@ class WarpRegistration:
         x = [*np.eye(self.dim).ravel(), *[0.0] * self.dim] if self.kind == "affine" else [0.0] * self.size
         return self.nodes.select("id", F.array(*(F.lit(float(v)) for v in x)).alias("x"))
 
-    def _blended(self, x: DataFrame) -> DataFrame:
-        """(second, x, nodes): the unknowns of each source point and its nodes with their shares."""
-        j = self.shares.join(x.withColumnRenamed("id", "r"), "r")
-        sums = [F.sum(F.col("share") * F.col("x")[i]) for i in range(self.size)]
-        return j.groupBy("q").agg(F.array(*sums).alias("x"), F.collect_list(F.struct("r", "share")).alias("nodes")).withColumnRenamed("q", "second")
-
-    def _matches(self, pairs: DataFrame, x: DataFrame) -> DataFrame:
-        """(i, j, h, v): blocks with i <= j, their upper halves, and the right side where i = j."""
-        rows, slopes = _moved_and_slopes(pairs.join(self._blended(x), "second"), self.kind, self.dim)
-        rows = rows.withColumn("gap", F.zip_with("p1", "y", lambda a, b: a - b))
-        terms = [([g[i] for g in slopes], F.col("gap")[i], self.w_point) for i in range(self.dim)] if self.w_point > 0 else []
-        if self.w_plane > 0:
-            terms.append(([vdot("n1", g) for g in slopes], vdot("n1", "gap"), self.w_plane))
-        for k, (g, b, _) in enumerate(terms):
-            rows = rows.withColumn(f"t{k}", F.array(*g)).withColumn(f"b{k}", b)
-        h = F.array(*(sum((w * F.col(f"t{k}")[i] * F.col(f"t{k}")[j] for k, (_, _, w) in enumerate(terms)), F.lit(0.0)) for i, j in self._upper()))
-        v = F.array(*(sum((w * F.col(f"t{k}")[i] * F.col(f"b{k}") for k, (_, _, w) in enumerate(terms)), F.lit(0.0)) for i in range(self.size)))
-        rows = rows.select("nodes", h.alias("h"), v.alias("v")).select(F.explode("nodes").alias("a"), "nodes", "h", "v").select("a", F.explode("nodes").alias("b"), "h", "v").where("a.r <= b.r")
-        both = F.col("a.share") * F.col("b.share")
-        own = F.when(F.col("a.r") == F.col("b.r"), F.col("a.share")).otherwise(0.0)
-        return rows.groupBy(F.col("a.r").alias("i"), F.col("b.r").alias("j")).agg(F.array(*(F.sum(both * F.col("h")[k]) for k in range(len(self._upper())))).alias("h"), F.array(*(F.sum(own * F.col("v")[k]) for k in range(self.size))).alias("v"))
+    def dealt(self, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(rows, halo): matches with the nodes of their source point, those of one nearest node in one bucket, and the nodes that each bucket sees. One table serves all steps of a round."""
+        ends = pairs.select("second", "p1", "p2", *(["n1"] if self.w_plane > 0 else []))
+        rows = ends.join(self.lists.withColumnRenamed("q", "second"), "second").drop("second")
+        main = F.element_at(F.array_sort(F.transform("n", lambda e: F.struct((-e["share"]).alias("s"), e["r"].alias("r")))), 1)["r"]
+        buckets = max(1, -(-pairs.count() // BUCKET_ROWS))
+        rows = cut_bare(rows.select("p1", "p2", *ends.columns[3:], F.col("n.r").alias("r"), F.col("n.share").alias("share"), F.pmod(F.xxhash64(main), F.lit(buckets)).alias("bucket")))
+        ways = [1] * buckets
+        for b, n in rows.groupBy("bucket").count().collect():  # a line a bucket; that of a node with many is dealt to several tasks
+            ways[b] = -(-n // (2 * BUCKET_ROWS))
+        of = F.element_at(F.lit(ways).cast("array<bigint>"), (F.col("bucket") + 1).cast("int"))
+        rows = rows.withColumn("part", F.pmod(F.xxhash64("p1", "p2"), of))
+        return rows, cut_bare(rows.select("bucket", "part", F.explode("r").alias("id")).distinct())
+
+    def _matches(self, dealt: tuple[DataFrame, DataFrame], x: DataFrame) -> DataFrame:
+        """(i, j, h, v): blocks with i <= j, their upper halves, and the right side where i = j. Each bucket adds up its own before they move."""
+        size, kind, dim, w_point, w_plane = self.size, self.kind, self.dim, self.w_point, self.w_plane
+        p, q = (np.array(c) for c in zip(*self._upper(), strict=True))
+
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            ids = right.column("id").to_numpy()
+            order = np.argsort(ids)
+            ids, field = ids[order], points_of(right.column("x"))[order]
+            lists, keys, sums = left.column("r").combine_chunks(), [], []
+            count = np.diff(lists.offsets.to_numpy()) if left.num_rows and len(ids) else np.zeros(0, int)
+            node, share = np.searchsorted(ids, lists.flatten().to_numpy()), left.column("share").combine_chunks().flatten().to_numpy()
+            start = np.cumsum(count) - count
+            p1, p2 = (points_of(left.column(c)) for c in ("p1", "p2"))
+            n1 = points_of(left.column("n1")) if w_plane > 0 else None
+            for c in np.unique(count):
+                every, few = np.flatnonzero(count == c), max(1, ENTRIES // (c * (c + 1) // 2))
+                for at in range(0, len(every), few):
+                    rows = every[at : at + few]
+                    where = start[rows][:, None] + np.arange(c)
+                    n, w = node[where], share[where]
+                    y, slopes = moved_and_slopes(np.einsum("nc,ncs->ns", w, field[n]), p2[rows], kind)
+                    gap = p1[rows] - y
+                    h, v = np.zeros((len(rows), len(p))), np.zeros((len(rows), size))
+                    if w_point > 0:
+                        h += w_point * np.einsum("nds,ndt->nst", slopes, slopes)[:, p, q]
+                        v += w_point * np.einsum("nds,nd->ns", slopes, gap)
+                    if w_plane > 0:
+                        g = np.einsum("nd,nds->ns", n1[rows], slopes)
+                        h += w_plane * g[:, p] * g[:, q]
+                        v += w_plane * g * (n1[rows] * gap).sum(1)[:, None]
+                    a, b = np.triu_indices(c)
+                    twice = np.where((a != b) & (n[:, a] == n[:, b]), 2.0, 1.0)  # a node that is listed twice
+                    values = np.concatenate([h[:, None, :] * (twice * w[:, a] * w[:, b])[:, :, None], v[:, None, :] * np.where(a == b, w[:, a], 0.0)[:, :, None]], axis=2)
+                    k, t = added_up((n[:, a] * len(ids) + n[:, b]).ravel(), values.reshape(-1, values.shape[2]))
+                    keys.append(k), sums.append(t)
+            k, t = added_up(np.concatenate([*keys, np.zeros(0, int)]), np.concatenate([*sums, np.zeros((0, len(p) + size))]))
+            of = lambda y: pa.ListArray.from_arrays(pa.array((np.arange(len(y) + 1) * y.shape[1]).astype(np.int32)), pa.array(np.ascontiguousarray(y).ravel()))
+            return pa.table([pa.array(ids[k // max(1, len(ids))]), pa.array(ids[k % max(1, len(ids))]), of(t[:, : len(p)]), of(t[:, len(p) :])], names=["i", "j", "h", "v"])
+
+        rows, halo = dealt
+        seen = halo.join(x, "id")
+        found = rows.groupBy("bucket", "part").cogroup(seen.groupBy("bucket", "part")).applyInArrow(run, "i long, j long, h array<double>, v array<double>")
+        return found.groupBy("i", "j").agg(F.array(*(F.sum(F.col("h")[k]) for k in range(len(p)))).alias("h"), F.array(*(F.sum(F.col("v")[k]) for k in range(size))).alias("v"))
 
     def _upper(self) -> list[tuple[int, int]]:
         return [(i, j) for i in range(self.size) for j in range(i, self.size)]
 
-    def system(self, pairs: DataFrame, x: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def system(self, dealt: tuple[DataFrame, DataFrame], x: DataFrame) -> tuple[DataFrame, DataFrame]:
         """matrix (row, col, h) and rhs (id, v) of a Gauss-Newton step from x."""
         size, at = self.size, {p: k for k, p in enumerate(self._upper())}
-        blocks = cut(self._matches(pairs, x))
+        blocks = cut_bare(self._matches(dealt, x))
         square = F.array(*(F.col("h")[at[min(p, q), max(p, q)]] for p in range(size) for q in range(size)))
         one = blocks.select(F.col("i").alias("row"), F.col("j").alias("col"), square.alias("h"))
         ends = self.ties.join(x.toDF("q", "xq"), "q").join(x.toDF("r", "xr"), "r")
@@ -246,7 +310,7 @@ class WarpRegistration:
             slope = F.when(flat, k / 2**0.5).otherwise(k * slope)
             slopes.append(slope * slope)
             pulls.append(F.when(flat, 0.0).otherwise(slope * k * value))
-        arcs = cut(ends.select("q", "r", F.array(*slopes).alias("d"), F.array(*pulls).alias("g")))
+        arcs = cut_bare(ends.select("q", "r", F.array(*slopes).alias("d"), F.array(*pulls).alias("g")))
         diagonal = lambda sign: F.array(*(sign * F.col("d")[p] if p == q else F.lit(0.0) for p in range(size) for q in range(size)))
         tied = arcs.select(F.explode(F.array(*(F.struct(F.col(a).alias("row"), F.col(b).alias("col"), diagonal(1.0 if a == b else -1.0).alias("h")) for a in "qr" for b in "qr"))).alias("e")).select("e.*")
         matrix = one.union(one.where("row <> col").select("col", "row", "h")).union(tied)
@@ -254,16 +318,16 @@ class WarpRegistration:
         sides = blocks.where("i = j").select(F.col("i").alias("id"), "v").union(arcs.select("q", signed(-1.0))).union(arcs.select("r", signed(1.0)))
         sums = sides.groupBy("id").agg(F.array(*(F.sum(F.col("v")[p]) for p in range(size))).alias("v"))
         zero = F.array(*[F.lit(0.0)] * size)
-        return cut(matrix), self.nodes.join(sums, "id", "left").select("id", F.coalesce("v", zero).alias("v"))
+        return cut_bare(matrix), self.nodes.join(sums, "id", "left").select("id", F.coalesce("v", zero).alias("v"))
 
-    def step(self, pairs: DataFrame, x: DataFrame) -> tuple[DataFrame, float]:
+    def step(self, dealt: tuple[DataFrame, DataFrame], x: DataFrame) -> tuple[DataFrame, float]:
         """(x after a Gauss-Newton step, the longest move of a node)."""
-        matrix, rhs = self.system(pairs, x)
-        few = self.nodes.count() * self.size <= ONE_SOLVE and matrix.count() <= ONE_SOLVE
-        moved = (solve_at_once if few else solve_blocks)(matrix, rhs, self.size, self.cg_iter)
+        matrix, rhs = self.system(dealt, x)
+        few = self.nodes.count() * self.size <= ONE_SOLVE and matrix.count() <= ONE_BLOCKS
+        moved = (solve_at_once if few else solve_blocks)(matrix, rhs, self.size, self.cg_iter, whole=self.kind == "rigid")
         longest = moved.agg(F.max(F.sqrt(sum((F.col("x")[p] * F.col("x")[p] for p in range(self.size)), F.lit(0.0))))).first()[0] or 0.0
         both = x.join(moved.withColumnRenamed("x", "dx"), "id")
-        return cut(both.select("id", F.array(*(F.col("x")[p] + F.col("dx")[p] for p in range(self.size))).alias("x"))), longest
+        return cut_bare(both.select("id", F.array(*(F.col("x")[p] + F.col("dx")[p] for p in range(self.size))).alias("x"))), longest
 
     def transforms(self, x: DataFrame) -> DataFrame:
         """(id, r, t) of each node."""
@@ -299,10 +363,10 @@ class WarpRegistration:
         eye, zero = np.eye(self.dim), np.zeros(self.dim)
         for rounds in range(1, self.max_iter + 1):
             moved = self.src if rounds == 1 else cut(self.moved(x))
-            pairs = cut(gather(self.engine.find(self.dst, moved, eye, zero), self.dst, self.src))
+            dealt = self.dealt(cut_bare(gather(self.engine.find(self.dst, moved, eye, zero), self.dst, self.src)))
             before = x
             for _ in range(self.steps):
-                x, longest = self.step(pairs, x)
+                x, longest = self.step(dealt, x)
                 if longest < self.step_tol:
                     break
             if self._change(before, x) < self.tol:

@@ -320,6 +320,25 @@ def test_solvers_of_block_systems(spark, most):
     assert got.pop(999) == [0.0] * 3 and np.allclose([got[5 * i] for i in range(12)], want, atol=1e-7)
 
 
+@pytest.mark.parametrize("solve", [warp.solve_at_once, warp.solve_blocks])
+def test_few_steps_solve_fields_far_from_the_origin(spark, solve):
+    """Where turns of a node are nearly its shifts: as many steps as elsewhere."""
+    rng = np.random.default_rng(21)
+    a = np.zeros((24, 24))
+    for node in range(4):
+        p = rng.random((30, 3)) + [0, 0, 200]
+        _, slopes = warp.moved_and_slopes(np.zeros((30, 6)), p, "rigid")
+        a[6 * node : 6 * node + 6, 6 * node : 6 * node + 6] = np.einsum("nds,ndt->st", slopes, slopes)
+    tie = np.kron(np.array([[1, -1], [-1, 1]]), np.eye(6)) * 1e-4
+    for node in range(3):
+        a[6 * node : 6 * node + 12, 6 * node : 6 * node + 12] += tie
+    want = rng.standard_normal(24)
+    matrix = spark.createDataFrame([(i, j, a[6 * i : 6 * i + 6, 6 * j : 6 * j + 6].ravel().tolist()) for i in range(4) for j in range(4)], "row long, col long, h array<double>")
+    rhs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate((a @ want).reshape(4, 6))], "id long, v array<double>")
+    gap = np.concatenate([r.x for r in solve(matrix, rhs, 6, max_iter=6).orderBy("id").collect()]) - want
+    assert gap @ a @ gap < 1e-9 * (want @ a @ want) and np.abs(gap).max() < 1  # 248 by the diagonal alone
+
+
 def test_fields_beyond_one_solve(spark, monkeypatch):
     """More unknowns than one solve takes: the vectors stay in Spark, the field is the same."""
     p = np.random.default_rng(20).random((8, 2))
