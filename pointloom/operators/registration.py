@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import Protocol
 
 import numpy as np
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pointloom.functions.vectors import affine, cross3, l2sq, matvec, vadd, vdot, vsub
 from pointloom.operators.cloud import nearest_rotation, transform
-from pointloom.operators.correspond import correspondences, gather
+from pointloom.operators.correspond import correspondences, gather, index_of, matched_points
 
 
 def fit_rigid(d: np.ndarray, s: np.ndarray):
@@ -194,6 +194,7 @@ class Registration:
     fraction: float = 1.0
     one_to_one: bool = False
     engine: object = None  # see engines.Engine and engines.CombinedMetric; None: nearest neighbors by the settings above
+    _index: tuple = field(default=(None, None), init=False, repr=False)  # the destination, and its cells
 
     def pairs(self, r, t) -> DataFrame:
         if hasattr(self.engine, "pairs") and not hasattr(self.engine, "find"):
@@ -201,6 +202,12 @@ class Registration:
         if self.engine is not None:
             return gather(self.engine.find(self.dst, self.src, r, t), self.dst, self.src)
         moved = transform(self.src.select("id", "p"), r, t)
+        if self.rigid and self.metric == "point" and (self.direction, self.fraction, self.one_to_one) == ("second_to_first", 1.0, False):
+            if self._index[0] is not self.dst:
+                self._index = self.dst, index_of(self.dst)
+            if self._index[1] is not None:
+                found, turn = matched_points(self._index[1], moved, self.max_distance), np.asarray(r).T
+                return found.withColumn("p2", affine(turn, -turn @ np.asarray(t), "p2"))
         c = correspondences(self.dst.select("id", "p"), moved, self.max_distance, self.direction, fraction=self.fraction, one_to_one=self.one_to_one)
         return gather(c, self.dst, self.src)
 

@@ -162,3 +162,16 @@ def test_streamed_voxels(spark, tmp_path):
     for i in range(60):
         want.setdefault(((1000 + i) // 20 * 20, int(np.floor(i * 0.1))), []).append(i * 0.1)
     assert got == sorted((float(w), g, len(v), round(float(np.mean(v)), 9)) for (w, g), v in want.items())
+
+
+def test_rigid_pairs_come_with_the_search(spark, monkeypatch):
+    """Points of both ends, without a join that fetches them; equal to the gathered ones."""
+    x = np.random.default_rng(31).random((60, 3))
+    frame = lambda y: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(y)], "id long, p array<double>")
+    r, t = np.array([[0.0, -1.0, 0.0], [1.0, 0.0, 0.0], [0.0, 0.0, 1.0]]), np.array([0.1, 0.2, 0.3])
+    dst, src = x @ r.T + t + 0.001, x
+    icp = registration.Registration(frame(dst), frame(src), max_distance=0.01)
+    rows = lambda df: {p.second: (p.first, round(p.value, 9), np.round(p.p1, 9).tolist(), np.round(p.p2, 9).tolist()) for p in df.collect()}
+    want = rows(registration.gather(registration.correspondences(icp.dst, registration.transform(icp.src, r, t), 0.01), icp.dst, icp.src))
+    monkeypatch.setattr(registration, "gather", None)
+    assert rows(icp.pairs(r, t)) == want and len(want) == 60
