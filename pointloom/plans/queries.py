@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import product
 
 import numpy as np
@@ -906,17 +906,18 @@ class ShiftOnly:
     dst: DataFrame
     src: DataFrame
     limit: float
+    index: object = field(init=False)
 
     def initialise(self, start=None):
+        self.index = correspond.index_of(self.dst)
         return np.zeros(3) if start is None else start
 
     def correspondences(self, state):
-        moved = cloud.transform(self.src, np.eye(3), state)
-        return correspond.gather(correspond.correspondences(self.dst, moved, self.limit), self.dst, self.src)
+        return correspond.matched_points(self.index, cloud.transform(self.src, np.eye(3), state), self.limit)
 
     def estimate(self, pairs, state):
         m = pairs.agg(*(F.avg(F.col("p1")[i] - F.col("p2")[i]) for i in range(3))).first()
-        return None if m[0] is None else np.array(m)
+        return None if m[0] is None else state + np.array(m)
 
     def change(self, before, after):
         return float(np.linalg.norm(after - before))
