@@ -48,8 +48,10 @@ def index_of(df: DataFrame) -> Index | None:
     return Index(df, 1, L2, dim, dim > TREE_DIM) if dim else None
 
 
-def matched_points(index: Index, second: DataFrame, limit: float) -> DataFrame:
+def matched_points(index: Index | None, second: DataFrame, limit: float) -> DataFrame:
     """(first, second, value, p1, p2): each point of `second` with the nearest one of the index, if below the limit. Points come with the search, so that no join brings them."""
+    if index is None:
+        return second.select(F.col("id").alias("first"), F.col("id").alias("second"), F.lit(0.0).alias("value"), F.col("p").alias("p1"), F.col("p").alias("p2")).where("false")
     near = nearest_lists(second, None, 1, limit=limit, index=index).select("q", "qp", F.col("nn")[0].alias("n"))
     return near.select(F.col("n.r").alias("first"), F.col("q").alias("second"), F.col("n.value").alias("value"), F.col("n.rp").alias("p1"), F.col("qp").alias("p2")).where(F.col("value") < limit)
 

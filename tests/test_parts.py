@@ -175,3 +175,9 @@ def test_rigid_pairs_come_with_the_search(spark, monkeypatch):
     want = rows(registration.gather(registration.correspondences(icp.dst, registration.transform(icp.src, r, t), 0.01), icp.dst, icp.src))
     monkeypatch.setattr(registration, "gather", None)
     assert rows(icp.pairs(r, t)) == want and len(want) == 60
+
+
+def test_no_points_match_nothing(spark):
+    some = spark.createDataFrame([(1, [0.0, 1.0])], "id long, p array<double>")
+    assert correspond.index_of(some.where("false")) is None
+    assert correspond.matched_points(None, some, 1.0).count() == 0
