@@ -1,7 +1,9 @@
-"""Weights and predicates of edges, as column expressions."""
+"""Weights and predicates of edges, as column expressions. Normals and colors are columns of arrays, or lists of the columns of their coordinates."""
 
 from __future__ import annotations
 
+from math import cos, pi
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,10 +34,14 @@ def points_near(limit: float, value="value") -> Column:
 
 def _angle_ok(limit: float, n1, n2, strict: bool) -> Column:
     """A negative limit compares the angle regardless of the normals' sign."""
-    a = angle(n1, n2)
+    a, near, most = angle(n1, n2), vdot(n1, n2), pi
     if limit < 0:
-        a = F.least(a, F.pi() - a)
-    return a < abs(limit) if strict else a <= abs(limit)
+        a, near, most = F.least(a, F.pi() - a), F.abs(near), pi / 2
+    ok = a < abs(limit) if strict else a <= abs(limit)
+    if not 1e-3 < abs(limit) < most:
+        return ok
+    # the cosine decides; the angle is taken where rounding might. A NaN counts as an angle of zero, and is larger than any number here as well
+    return (near > cos(limit) + 1e-9) | ((near > cos(limit) - 1e-9) & ok)
 
 
 def normals_near(limit: float, n1="n1", n2="n2") -> Column:
@@ -58,5 +64,5 @@ def normals_colors_near(limit: float, color: float, n1="n1", n2="n2", c1="c1", c
     return _angle_ok(limit, n1, n2, strict=True) & colors_near(color, c1, c2)
 
 
-def all_near(dist: float, limit: float, color: float) -> Column:
-    return points_normals_near(dist, limit) & colors_near(color)
+def all_near(dist: float, limit: float, color: float, value="value", n1="n1", n2="n2", c1="c1", c2="c2") -> Column:
+    return points_normals_near(dist, limit, value, n1, n2) & colors_near(color, c1, c2)

@@ -1,4 +1,7 @@
-"""Column expressions over coordinate arrays (array<double>)."""
+"""Column expressions over coordinate arrays (array<double>).
+
+vdot and l2sq also take vectors as lists of their coordinates' columns: such sums are compiled, while lambdas over arrays are interpreted, which tells on large joins.
+"""
 
 from __future__ import annotations
 
@@ -14,7 +17,17 @@ def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
 
 
+def _plain(a, b, term) -> Column | None:
+    """The sum of term over coordinates, in the order and from the zero that total has, if both vectors are lists of columns."""
+    if not (isinstance(a, (list, tuple)) and isinstance(b, (list, tuple))):
+        return None
+    return sum((term(col(x), col(y)) for x, y in zip(a, b, strict=True)), F.lit(0.0))
+
+
 def vdot(a, b) -> Column:
+    plain = _plain(a, b, lambda x, y: x * y)
+    if plain is not None:
+        return plain
     return total(F.zip_with(col(a), col(b), lambda x, y: x * y))
 
 
@@ -40,6 +53,9 @@ def l1(a, b) -> Column:
 
 def l2sq(a, b) -> Column:
     """Squared Euclidean distance."""
+    plain = _plain(a, b, lambda x, y: (x - y) * (x - y))
+    if plain is not None:
+        return plain
     return total(F.zip_with(col(a), col(b), lambda x, y: (x - y) * (x - y)))
 
 

@@ -320,7 +320,7 @@ EDGES = f"WITH RECURSIVE {PART}, c AS (SELECT a.id AS q, b.id AS r, (a.x0 - b.x0
 @query(f"{EDGES} SELECT q, r, round(v, 9) AS value FROM c WHERE v < 0.02::DOUBLE * 0.02::DOUBLE")
 def radius_l2(spark, d):
     p = part2(spark, d)
-    return neighbors.radius_join(p, p, 0.02).select("q", "r", r9("value").alias("value"))
+    return neighbors.radius_join(p, p, 0.02, shown=r9).select("q", "r", "value")
 
 
 @query(f"{EDGES}, t AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY v, r) - 1 AS rank FROM c WHERE v < 0.02::DOUBLE * 0.02::DOUBLE) SELECT q, r, rank, round(v, 9) AS value FROM t WHERE rank < 3")
@@ -396,10 +396,15 @@ def cluster_members(spark, d):
 # ---- pair predicates ----
 
 
+NORMALS, COLORS = ([[f"{c}{k}{i}" for i in range(n)] for k in (1, 2)] for c, n in (("n", 2), ("c", 3)))
+
+
 def _pairs(spark, d):
     p = part2(spark, d)
-    side = lambda k: p.select("id", "p", F.array(F.cos("id"), F.sin("id")).alias(f"n{k}"), F.array(*((F.col("id") % m / m) for m in (3, 5, 7))).alias(f"c{k}"))
-    return neighbors.radius_join(side(1), side(2), 0.03, keep=(["n1", "c1"], ["n2", "c2"]))
+    attributes = [F.cos("id"), F.sin("id"), *(F.col("id") % m / m for m in (3, 5, 7))]
+    names = [NORMALS[k] + COLORS[k] for k in (0, 1)]
+    side = lambda k: p.select("id", "p", *(a.alias(n) for a, n in zip(attributes, names[k], strict=True)))
+    return neighbors.radius_join(side(0), side(1), 0.03, keep=names)
 
 
 ANGLE = "acos(greatest(-1, least(1, cos(q) * cos(r) + sin(q) * sin(r))))"
@@ -413,22 +418,22 @@ def pair_points(spark, d):
 
 @query(f"{EDGES} SELECT q, r FROM c WHERE v < 0.03::DOUBLE * 0.03::DOUBLE AND v < 0.0004 AND {ANGLE} < 0.5")
 def pair_points_normals(spark, d):
-    return _pairs(spark, d).where(ev.points_normals_near(0.0004, 0.5)).select("q", "r")
+    return _pairs(spark, d).where(ev.points_normals_near(0.0004, 0.5, "value", *NORMALS)).select("q", "r")
 
 
 @query(f"{EDGES} SELECT q, r FROM c WHERE v < 0.03::DOUBLE * 0.03::DOUBLE AND least({ANGLE}, pi() - {ANGLE}) <= 0.4")
 def pair_normals_unsigned(spark, d):
-    return _pairs(spark, d).where(ev.normals_near(-0.4)).select("q", "r")
+    return _pairs(spark, d).where(ev.normals_near(-0.4, *NORMALS)).select("q", "r")
 
 
 @query(f"{EDGES} SELECT q, r FROM c WHERE v < 0.03::DOUBLE * 0.03::DOUBLE AND v < 0.0004 AND {COLOR} < 0.25")
 def pair_points_colors(spark, d):
-    return _pairs(spark, d).where(ev.points_colors_near(0.0004, 0.5)).select("q", "r")
+    return _pairs(spark, d).where(ev.points_colors_near(0.0004, 0.5, "value", *COLORS)).select("q", "r")
 
 
 @query(f"{EDGES} SELECT q, r FROM c WHERE v < 0.03::DOUBLE * 0.03::DOUBLE AND v < 0.0004 AND {ANGLE} < 0.9 AND {COLOR} < 0.36")
 def pair_all(spark, d):
-    return _pairs(spark, d).where(ev.all_near(0.0004, 0.9, 0.6)).select("q", "r")
+    return _pairs(spark, d).where(ev.all_near(0.0004, 0.9, 0.6, "value", *NORMALS, *COLORS)).select("q", "r")
 
 
 # ---- correspondences: even ids first, odd ids second ----

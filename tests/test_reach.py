@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pointloom.operators import graph, neighbors, normals, reach
 
@@ -98,3 +99,41 @@ def test_signed_angles_by_cells_as_by_all_blocks(spark, wide, monkeypatch):
     assert "(cell" in got._jdf.queryExecution().analyzed().toString()  # not all pairs of blocks
     want = neighbors.block_knn(cloud, cloud, 4, "so2", 9)
     assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
+
+
+def of_pairs(df):
+    """The plan's lines from the top to the join."""
+    lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    return "\n".join(lines[: 1 + next(i for i, line in enumerate(lines) if "Join Inner" in line)])
+
+
+def test_equal_points_are_joined_once_and_predicates_are_compiled(spark, points, monkeypatch):
+    monkeypatch.setattr(neighbors, "PAIR_LIST", 7)
+    cloud, near = cloud_of(spark, points).withColumn("w", F.col("id") * 2), near_of(points, 0.06)
+    got = neighbors.radius_join(cloud, cloud.withColumn("v", -F.col("id")), 0.06, keep=(["w"], ["v"]), shown=lambda v: F.round(v, 3))
+    rows = got.collect()
+    assert sorted((r.q, r.r) for r in rows) == list(zip(*(x.tolist() for x in np.nonzero(near)), strict=True))
+    gap = ((points[:, None] - points[None]) ** 2).sum(2)
+    assert all(r.w == 2 * r.q and r.v == -r.r and abs(r.value - gap[r.q, r.r]) <= 0.0005 + 1e-12 for r in rows)
+    assert "lambda" not in of_pairs(got) and of_pairs(got).count("Generate inline") == 2
+
+
+@pytest.mark.parametrize("name", ["pair_points", "pair_points_normals", "pair_normals_unsigned", "pair_points_colors", "pair_all", "radius_l2"])
+def test_pair_queries_interpret_no_lambdas_for_each_pair(spark, name):
+    from pointloom.plans import queries
+
+    assert "lambda" not in of_pairs(queries.QUERIES[name](spark, "/root/testdata/sf0.001"))
+
+
+@pytest.mark.parametrize("limit", [0.0, 5e-4, 0.4, 1.57, 2.5, 3.5, -0.4, -1.57, -2.0])
+def test_the_cosine_decides_as_the_angle(spark, limit):
+    from pointloom.functions import evaluators
+
+    dots = [*np.cos(np.linspace(0, np.pi, 300)), 1.5, -1.5, float("nan"), 0.0, *(s * np.cos(abs(limit)) + d for s in (1, -1) for d in (-1e-9, -1e-16, 0, 1e-16, 1e-9))]
+    df = spark.createDataFrame([(float(d), [float(d)], [1.0]) for d in dots], "d double, n1 array<double>, n2 array<double>")
+    a = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("d"))))
+    a = F.least(a, F.pi() - a) if limit < 0 else a
+    for strict in (True, False):
+        wrong = df.where(evaluators._angle_ok(limit, "n1", "n2", strict) != evaluators._angle_ok(limit, ["d"], [F.lit(1.0)], strict))
+        want = a < abs(limit) if strict else a <= abs(limit)
+        assert wrong.count() == 0 and df.where(evaluators._angle_ok(limit, ["d"], [F.lit(1.0)], strict) != want).count() == 0
