@@ -234,6 +234,36 @@ def blocks(q, x, ids, rows, take, k, limit, metric) -> list[tuple]:
     return out
 
 
+def singles(q: np.ndarray, x: np.ndarray, norms: np.ndarray, k: int, bound: np.ndarray):
+    """A function that gives (i, j) of the rows that can be among the k nearest of the queries from one place to another, by a product in single precision; None where bounds are not known, or its rounding is not small beside them.
+
+    Only rows within the bounds are looked at further, where all distances would have to be ranked without one.
+    """
+    sq, most = (q * q).sum(1), norms.max()
+    slack = (x.shape[1] + 8) * 1.2e-7 * (sq + most)  # twice what the rounding of operands, products and sums can come to
+    if not (np.isfinite(bound).all() and np.isfinite(slack).all() and sq.max() + most < 1e30 and slack.max() <= 0.01 * np.median(bound)):
+        return None
+    rows = np.ascontiguousarray(np.column_stack([x, norms]).astype(np.float32).T)
+    of = np.column_stack([-2 * q, np.ones(len(q))]).astype(np.float32)
+    limit = np.nextafter((bound - sq + slack).astype(np.float32), np.float32(np.inf))
+
+    def near(start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        d = of[start:end] @ rows
+        at = np.flatnonzero(d <= limit[start:end, None])
+        i, j = np.divmod(at, d.shape[1])
+        v = d.ravel()[at].astype(float)
+        order = np.lexsort((v, i))
+        first = np.searchsorted(i, np.arange(len(d)))  # i ascends, before and after
+        last = np.append(first[1:], len(i))
+        kth = np.full(len(d), np.inf)
+        enough = last - first >= k
+        kth[enough] = v[order][first[enough] + k - 1]
+        keep = v <= (kth + 2 * slack[start:end])[i]
+        return i[keep], j[keep]
+
+    return near
+
+
 def by_bytes(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, bound: np.ndarray):
     """(query index, row index, value) as Pivots.search, of sums of gaps; ids ascend.
 
@@ -360,7 +390,18 @@ class Pivots:
             i, j, v = concatenated(blocks(q, x, ids, np.arange(len(q)), np.arange(len(x)), k, bound, metric) if len(x) else [])
             return i, order[j], v
         out, tall, norms = [], max(1, BLOCK // max(1, len(x))), (x * x).sum(1)
+        short = singles(q, x, norms, k, bound) if len(x) > k and len(q) else None
+        tall = tall if short is None else 4 * tall  # fewer, larger products
         for at in range(0, len(q), tall):
+            if short is not None:
+                i, j = short(at, at + tall)
+                mine = q[at : at + tall]
+                v = metric.of_gaps([np.abs(mine[i, d] - x[j, d]) for d in range(x.shape[1])])
+                place = np.lexsort((j, v, i))
+                i, j, v = i[place], j[place], v[place]
+                keep = (np.arange(len(i)) - np.searchsorted(i, i) < k) & (v <= bound[at + i])
+                out.append((at + i[keep], j[keep], v[keep]))
+                continue
             mine = q[at : at + tall]
             sq = (mine * mine).sum(1)
             near = sq[:, None] + norms - 2 * mine @ x.T  # one matrix product preselects

@@ -136,14 +136,15 @@ def mean_shift(seeds: DataFrame, cloud: DataFrame, radius: float, merge: float,
 
 
 def laplacian(entries: DataFrame, kind: str = "normalized_symmetric") -> tuple[DataFrame, DataFrame]:
-    """(matrix, degrees): the matrix (row, col, value) whose largest eigenvalues t give the least of the Laplacian, as 1 - t, or as -t if unnormalized; degrees (id, degree) of the nodes that have entries."""
+    """(matrix, degrees): the matrix (row, col, value) whose largest eigenvalues t give the least of the Laplacian, as 1 - t, or as -t if unnormalized; degrees (id, degree) of the nodes that have entries. Entries and matrix are written, so that a graph behind them is made once."""
+    entries = cut_bare(entries.select("row", "col", "value"))
     degree = cut(entries.groupBy(F.col("col").alias("id")).agg(F.sum("value").alias("degree")))
     if kind == "unnormalized":
         own = degree.select(F.col("id").alias("row"), F.col("id").alias("col"), (-F.col("degree")).alias("value"))
         return entries.select("row", "col", "value").union(own).groupBy("row", "col").agg(F.sum("value").alias("value")), degree
     root = degree.where("degree > 0").select("id", (1 / F.sqrt("degree")).alias("s"))
     a = entries.join(root.toDF("row", "sr"), "row").join(root.toDF("col", "sc"), "col")
-    return a.select("row", "col", (F.col("value") * F.col("sr") * F.col("sc")).alias("value")), degree
+    return cut_bare(a.select("row", "col", (F.col("value") * F.col("sr") * F.col("sc")).alias("value"))), degree
 
 
 def laplacian_embedding(entries: DataFrame, nodes: DataFrame, k: int, kind: str = "normalized_symmetric", tol: float = 5e-7) -> tuple[np.ndarray, DataFrame]:

@@ -74,9 +74,9 @@ def largest_pairs(entries: DataFrame, nodes: DataFrame, k: int, tol: float = 5e-
     """
     width, most = max(k + 2, WIDTH), max(most or MOST_VECTORS, 4 * (k + 2))
     entries, nodes = cut(entries.select("row", "col", "value")), cut(nodes.select(F.col("id").cast("long").alias("id")))
-    # the entries stay where their columns are joined; of the tables of vectors the disk holds two
+    # the entries stay where their columns are joined, in the order of the join; of the tables of vectors the disk holds two
     parts = 1 + max(nodes.count() // PART_ROWS, nodes.sparkSession.sparkContext.defaultParallelism)
-    dealt, tables = entries.repartition(parts, "col").persist(), Rounds(nodes, 2)
+    dealt, tables = entries.repartition(parts, "col").sortWithinPartitions("col").persist(), Rounds(nodes, 2)
     try:
         return _largest_pairs(dealt, nodes, k, tol, seed, width, most, max_steps, tables)
     finally:

@@ -164,3 +164,19 @@ def test_visits_move_a_query_once_for_many_cells(spark, monkeypatch, metric):
     assert rows.groups <= 800 < 5 * 800 < rows.cells  # one row a query, not one for each cell
     near = lists(cells.nearest_lists(cloud, cloud, 4, metric, 12, pivots=True, limit=3.0))
     assert {q: [h for h in hits if h[0] <= 3.0] for q, hits in got.items()} == near
+
+
+@pytest.mark.parametrize("far", [0.0, 3.0, 1e4, 1e20])
+def test_single_precision_preselects_and_no_more(far, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = rng.integers(-3, 4, (3000, 12)) / 4 + rng.integers(0, 2, (3000, 12)) * 1e-9 + far  # many ties, and gaps that single precision does not see
+    ids, q = rng.permutation(3000), x[:200] + 1e-9
+    d = ((q[:, None] - x[None]) ** 2).sum(2)
+    bound = np.sort(d, 1)[:, rng.integers(0, 30, 200)].diagonal() if far < 1e19 else np.full(200, np.inf)
+    asked = []
+    monkeypatch.setattr(cells, "singles", lambda *a, of=cells.singles: asked.append(of(*a)) or asked[-1])
+    i, j, v = cells.Pivots(12).search(q, x, ids, 6, bound, cells.L2)
+    assert (asked[0] is not None) == (far <= 3.0)
+    monkeypatch.setattr(cells, "singles", lambda *a: None)
+    for got, want in zip((i, j, v), cells.Pivots(12).search(q, x, ids, 6, bound, cells.L2), strict=True):
+        np.testing.assert_array_equal(got, want)

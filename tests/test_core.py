@@ -526,6 +526,22 @@ def test_eigenpairs_leave_no_history_on_disk(spark):
     assert np.allclose(values, np.linspace(-0.9, 0.99, 60)[:-3:-1], atol=1e-9) and len(under() - before) <= 5
 
 
+def test_a_laplacian_reads_its_graph_from_a_table(spark):
+    edges = spark.createDataFrame([(0, 1, 2.0), (1, 0, 2.0), (1, 2, 1.0), (2, 1, 1.0)], "row long, col long, value double")
+    asked = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            asked.add(b.num_rows)
+            yield b
+
+    matrix, degree = cluster.laplacian(edges.mapInArrow(counted, edges.schema))
+    for _ in range(2):
+        got = {(r.row, r.col): r.value for r in matrix.collect()}
+        assert degree.count() == 3
+    assert got[0, 1] == got[1, 0] == pytest.approx(2 / 6**0.5) and asked.value == 4
+
+
 @pytest.mark.parametrize("kind", ["unnormalized", "normalized_symmetric", "normalized_random_walk"])
 def test_laplacian_embeddings(spark, kind):
     rng = np.random.default_rng(17)
